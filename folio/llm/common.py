@@ -119,14 +119,22 @@ class Words:
         word[1:] = is_word[b]
         edge = np.flatnonzero(np.diff(word))
         self.starts, self.ends = edge[::2], edge[1::2]
-        ups, downs = _tables(len(b) + 1)
-        sums = np.zeros(len(b) + 1, np.uint64)
-        np.cumsum((b.astype(np.uint64) + np.uint64(1)) * ups[: len(b)], out=sums[1:])
-        self.hashes = mix((sums[self.ends] - sums[self.starts]) * downs[self.starts] + (self.ends - self.starts).astype(np.uint64))
+        ups, _ = _tables(len(b) + 1)
+        self._sums = np.zeros(len(b) + 1, np.uint64)
+        np.cumsum((b.astype(np.uint64) + np.uint64(1)) * ups[: len(b)], out=self._sums[1:])
+        self.hashes = self._hash(self.starts, self.ends)
         self.offsets = np.zeros(len(texts) + 1, np.int64)
         np.cumsum(sizes + 1, out=self.offsets[1:])
         self.bounds = np.searchsorted(self.starts, self.offsets)
 
+    def _hash(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        return mix((self._sums[ends] - self._sums[starts]) * _powers[1][starts] + (ends - starts).astype(np.uint64))
+
+    def prefixes(self, words: np.ndarray, n: int) -> np.ndarray:
+        """Hashes of the first n bytes of words, unlike those of whole words."""
+        at = self.starts[words]
+        return mix(self._hash(at, at + n) + np.uint64(n))
+
     def word(self, i: int) -> bytes:
         return self.joined[self.starts[i] : self.ends[i]].tobytes()
 

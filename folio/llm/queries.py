@@ -6,11 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folio.llm import bpe, sharding
+from folio.llm import bpe, language_id, sharding, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
+        language_id.op1_ppm_language,
+        toxicity.op4_nearest_toxicity,
         bpe.op6_bpe_round_trip,
         sharding.op7_feistel_shards,
     )
