@@ -6,16 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folio.llm import bpe, language_id, sharding, toxicity
+from folio.llm import bpe, decontamination, exact_dedup, language_id, sharding, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         language_id.op1_ppm_language,
         toxicity.op4_nearest_toxicity,
+        exact_dedup.op5_block_naming,
         bpe.op6_bpe_round_trip,
         sharding.op7_feistel_shards,
+        decontamination.op9_benchmark_containment,
     )
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op5_block_naming": exact_dedup.SQL,
+    "op9_benchmark_containment": decontamination.SQL,
+}
