@@ -1,7 +1,7 @@
 """Toxicity by the nearest labelled examples under exact TF-IDF cosine.
 
 Terms are words (letters, A-Z as a-z) and beginnings of words of 4 to 6 bytes, so that unseen endings of a known stem
-count. The vocabulary keeps the terms whose presence goes with the label (chi-square, at most `max_terms`). Labelled
+count. The vocabulary keeps the terms whose presence goes with the label (by chi-square and odds ratio, at most MAX_TERMS). Labelled
 examples are kept as an inverted index: for each term its postings by blocks of examples, with the largest weight of each
 block. A query opens blocks in the order of their upper bounds and stops when no block left can beat the k-th best, so
 the neighbours are exact. Votes weigh 1 / (1 - cosine + 0.05); isotonic regression over left-out votes of the examples
@@ -24,12 +24,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folio.llm.common import IS_LETTER, Words, cut, remainder, sub_batches, table, text_bytes
+from folio.llm.common import IS_LETTER, Words, cut, mix, remainder, shingle_set, sub_batches, table, text_bytes
 
-MAX_EXAMPLES = 8192
+MAX_EXAMPLES = 12_000
 MAX_TERMS = 1024
-LEAST_CHI2 = 20.0
+LEAST_CHI2 = 40.0  # over six standard errors: among millions of terms next to none gets there by chance
+LEAST_ODDS = 8.0
 NEIGHBOURS = 15
+CALM = 10
 BLOCK = 64
 PREFIXES = (4, 5, 6)
 THRESHOLD = 0.3
@@ -84,7 +86,8 @@ class BlockMaxIndex:
 
 
 def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Steps (smallest x, value) of the non-decreasing function of x with the least squares from y."""
+    """Steps (smallest x, value) of the non-decreasing function of x with the least squares from y; each value is drawn
+    to its pool's mean x as by CALM more rows."""
     order = np.argsort(x, kind="stable")
     pools: list[list[float]] = []
     for a, b in zip(x[order], y[order], strict=True):
@@ -92,13 +95,16 @@ def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             pools[-1][1] += b
             pools[-1][2] += 1
         else:
-            pools.append([a, float(b), 1.0, a])
+            pools.append([a, float(b), 1.0, a, 0.0])
+        pools[-1][4] += a
         while len(pools) > 1 and pools[-2][1] * pools[-1][2] >= pools[-1][1] * pools[-2][2]:
             last = pools.pop()
             pools[-1][1] += last[1]
             pools[-1][2] += last[2]
             pools[-1][3] = last[3]
-    return np.array([p[0] for p in pools]), np.array([p[1] / p[2] for p in pools])
+            pools[-1][4] += last[4]
+    values = np.array([(p[1] + CALM * p[4] / p[2]) / (p[2] + CALM) for p in pools])
+    return np.array([p[0] for p in pools]), np.maximum.accumulate(values)
 
 
 class ToxicityModel:
@@ -149,11 +155,34 @@ class ToxicityModel:
         return float(self.values[max(0, at)]), near
 
 
+def _without_copies(sample: DataFrame) -> DataFrame:
+    """One of each group of near copies: those that share the smallest five-word shingle in one of two random orders. A
+    document copied a hundred times would else make all its words go with its label."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts, least = text_bytes(batch.column("text")), []
+            for a, b in sub_batches(np.array([len(x) for x in texts]), 1 << 20):
+                w = Words(texts[a:b])
+                for i in range(b - a):
+                    h = shingle_set(w.hashes[w.bounds[i] : w.bounds[i + 1]], 5)
+                    least.append((h.min(), mix(h + np.uint64(1)).min()) if len(h) else (0, 0))
+            keys = np.array(least, np.uint64).reshape(-1, 2).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "toxic", "text")), pa.array(keys[:, 0]), pa.array(keys[:, 1])], names=["doc_id", "toxic", "text", "_a", "_b"])
+
+    kinds = {c: sample.schema[c].dataType.simpleString() for c in ("doc_id", "toxic")}
+    keyed = sample.mapInArrow(run, f"doc_id {kinds['doc_id']}, toxic {kinds['toxic']}, text string, _a long, _b long")
+    row = F.struct("doc_id", "toxic", "text", "_b")
+    once = keyed.groupBy("_a").agg(F.min(row).alias("r")).select("r.*")
+    return once.groupBy("_b").agg(F.min(F.struct("doc_id", "toxic", "text")).alias("r")).select("r.*")
+
+
 def train(labelled: DataFrame, max_examples: int = MAX_EXAMPLES) -> ToxicityModel:
     """From labelled(doc_id, text, toxic)."""
     known = labelled.where("doc_id is not null and toxic is not null")
     chosen = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_examples)
-    sample = cut(known.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text")))
+    sample = known.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
+    sample = cut(_without_copies(sample))
 
     def present(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -176,8 +205,8 @@ def train(labelled: DataFrame, max_examples: int = MAX_EXAMPLES) -> ToxicityMode
     n, y = F.col("n"), F.col("toxic")
     chi2 = total * F.pow(y * (total - n - bad + y) - (n - y) * (bad - y), 2.0) / (F.lit(float(bad)) * (total - bad) * n * (total - n))
     seen = sample.mapInArrow(present, "term long, n long, toxic long").groupBy("term").agg(F.sum("n").cast("double").alias("n"), F.sum("toxic").cast("double").alias("toxic"))
-    # The label must be likelier with the term than without by half at least
-    rows = seen.where((n >= 5) & (n < total)).withColumn("chi2", chi2).where((F.col("chi2") >= LEAST_CHI2) & (y * total > 1.5 * n * bad)).orderBy(F.desc("chi2"), "term").limit(MAX_TERMS).collect() if 0 < bad < total else []
+    odds = y * (total - n - bad + y) >= LEAST_ODDS * (n - y) * (bad - y)  # of the label, with the term against without
+    rows = seen.where((n >= 5) & (n < total)).withColumn("chi2", chi2).where((F.col("chi2") >= LEAST_CHI2) & (y * total > n * bad) & odds).orderBy(F.desc("chi2"), "term").limit(MAX_TERMS).collect() if 0 < bad < total else []
     hashes = np.array([r["term"] for r in rows], np.int64).view(np.uint64)
     order = np.argsort(hashes)
     idf = np.log((1 + total) / (1 + np.array([r["n"] for r in rows])))[order] + 1 if len(rows) else np.empty(0)
