@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folio.llm import bpe, decontamination, exact_dedup, language_id, sharding, toxicity
+from folio.llm import bpe, decontamination, exact_dedup, language_id, line_dedup, sharding, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
@@ -17,6 +17,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         bpe.op6_bpe_round_trip,
         sharding.op7_feistel_shards,
         decontamination.op9_benchmark_containment,
+        line_dedup.op10_line_chunks,
     )
 }
 
