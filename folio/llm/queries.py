@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folio.llm import bpe, decontamination, exact_dedup, jaccard_join, language_id, line_dedup, sharding, toxicity
+from folio.llm import bpe, decontamination, exact_dedup, jaccard_join, language_id, language_model, line_dedup, sharding, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         language_id.op1_ppm_language,
         jaccard_join.op2_token_group_join,
+        language_model.op3_pitman_yor,
         toxicity.op4_nearest_toxicity,
         exact_dedup.op5_block_naming,
         bpe.op6_bpe_round_trip,
