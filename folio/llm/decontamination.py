@@ -101,13 +101,21 @@ class ContainmentIndex:
         return out
 
 
+def _indexes(items: DataFrame, items_per_block: int) -> Iterator[ContainmentIndex]:
+    """Of about items_per_block items each."""
+    items = items.select("item_id", "text")
+    blocks = max(1, -(-items.count() // items_per_block))
+    numbered = items.withColumn("_b", F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)))
+    for b in range(blocks):
+        rows = numbered.where(F.col("_b") == b).select("item_id", "text").collect()  # one block of items
+        yield ContainmentIndex([(r["item_id"], (r["text"] or "").encode()) for r in rows])
+
+
 def contained_items(docs: DataFrame, items: DataFrame, items_per_block: int = ITEMS_PER_BLOCK) -> DataFrame:
     """doc_id, item_id, shared, item_shingles, containment for each item of items(item_id, text) that a document has."""
     slim, items = docs.select("doc_id", "text"), items.select("item_id", "text")
     kinds = [df.schema[0].dataType.simpleString() for df in (slim, items)]
     item_kind = items.schema[0].dataType
-    blocks = max(1, -(-items.count() // items_per_block))
-    numbered = items.withColumn("_b", F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)))
 
     def search(index: ContainmentIndex) -> DataFrame:
         from pyspark.sql.pandas.types import to_arrow_type
@@ -124,11 +132,24 @@ def contained_items(docs: DataFrame, items: DataFrame, items_per_block: int = IT
 
         return slim.mapInArrow(run, f"doc_id {kinds[0]}, item_id {kinds[1]}, shared long, item_shingles long, containment double")
 
-    parts = []
-    for b in range(blocks):
-        rows = numbered.where(F.col("_b") == b).collect()  # one block of items
-        parts.append(search(ContainmentIndex([(r["item_id"], (r["text"] or "").encode()) for r in rows])))
-    return reduce(DataFrame.unionByName, parts)
+    return reduce(DataFrame.unionByName, map(search, _indexes(items, items_per_block)))
+
+
+def keep_uncontaminated(docs: DataFrame, items: DataFrame, items_per_block: int = ITEMS_PER_BLOCK) -> DataFrame:
+    """The rows of docs that have none of the items, with all their columns."""
+
+    def without(docs: DataFrame, index: ContainmentIndex) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                texts = text_bytes(batch.column("text"))
+                for a, b in sub_batches(np.array([len(x) for x in texts]), 1 << 20):
+                    clean = np.ones(b - a, bool)
+                    clean[[f[0] for f in index.search(texts[a:b])]] = False
+                    yield batch.slice(a, b - a).filter(pa.array(clean))
+
+        return docs.mapInArrow(run, docs.schema)
+
+    return reduce(without, _indexes(items, items_per_block), docs)
 
 
 def op9_benchmark_containment(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -36,9 +36,9 @@ def normalised(text: Column) -> Column:
     return out
 
 
-def _blocks(docs: DataFrame, size: int) -> DataFrame:
+def _blocks(docs: DataFrame, size: int, row: str | None) -> DataFrame:
     """A row for each block: _row, n_blocks, _pos, block; the first block also has the document's own columns."""
-    rows = docs.select("doc_id", F.monotonically_increasing_id().alias("_row"), F.char_length(F.coalesce("text", F.lit(""))).cast("long").alias("_chars"), normalised(F.col("text")).cast("binary").alias("_norm"))
+    rows = docs.select("doc_id", (F.col(row) if row else F.monotonically_increasing_id()).alias("_row"), F.char_length(F.coalesce("text", F.lit(""))).cast("long").alias("_chars"), normalised(F.col("text")).cast("binary").alias("_norm"))
     count = F.greatest(F.lit(1), F.ceil(F.octet_length("_norm") / size)).cast("int")
     cuts = F.transform(F.sequence(F.lit(0), count - 1), lambda i: F.substring(F.col("_norm"), i * size + 1, F.lit(size)))
     first = rows.select("_row", "doc_id", "_chars", F.sha2("_norm", 256).alias("text_sha256"), count.alias("n_blocks"), F.posexplode(cuts).alias("_pos", "block"))
@@ -46,8 +46,8 @@ def _blocks(docs: DataFrame, size: int) -> DataFrame:
     return first.withColumns(own)
 
 
-def _first_names(docs: DataFrame, size: int, hot: int) -> DataFrame:
-    blocks = _blocks(docs, size)
+def _first_names(docs: DataFrame, size: int, hot: int, row: str | None) -> DataFrame:
+    blocks = _blocks(docs, size, row)
     number = F.struct("_row", "_pos")
     hashed = blocks.select(F.xxhash64("block").alias("_h")).groupBy("_h").agg(F.count("*").alias("_n"))
     often = hashed.where(F.col("_n") > hot).orderBy(F.desc("_n"), "_h").limit(MAX_HOT).select("_h").collect()
@@ -59,9 +59,9 @@ def _first_names(docs: DataFrame, size: int, hot: int) -> DataFrame:
     return cut(named.select("_row", "doc_id", "_chars", "text_sha256", "n_blocks", "_pos", "_name", F.when(lead, F.col("block")).alias("_lead")))
 
 
-def identities(docs: DataFrame, size: int = BLOCK_BYTES, hot: int = 1000) -> DataFrame:
+def identities(docs: DataFrame, size: int = BLOCK_BYTES, hot: int = 1000, row: str | None = None) -> DataFrame:
     """_row, doc_id, _chars, text_sha256, n_blocks, _name: one row a document, alike in the last two if texts are equal."""
-    level = _first_names(docs, size, hot)
+    level = _first_names(docs, size, hot, row)
     # Of each hot content, the names that its salts gave: SALTS rows a content at most
     leads = level.where("_lead is not null").select("_lead", "_name")
     best = leads.groupBy("_lead").agg(F.min("_name").alias("_to"))
@@ -93,15 +93,24 @@ def identities(docs: DataFrame, size: int = BLOCK_BYTES, hot: int = 1000) -> Dat
     return short.unionByName(long)
 
 
-def dedup(docs: DataFrame, size: int = BLOCK_BYTES, hot: int = 1000) -> DataFrame:
-    """doc_id, keep_id, group_size, kept, text_sha256 for every row of docs(doc_id, text)."""
-    rows = cut(identities(docs, size, hot))
+def dedup(docs: DataFrame, size: int = BLOCK_BYTES, hot: int = 1000, row: str | None = None) -> DataFrame:
+    """doc_id, keep_id, group_size, kept, text_sha256 and _row for every row of docs(doc_id, text); _row is the value of
+    the column named by `row`, which must be unique, or else a number."""
+    rows = cut(identities(docs, size, hot, row))
     rank = F.struct((-F.col("_chars")).alias("_c"), F.col("doc_id").isNull().alias("_n"), F.col("doc_id").alias("_d"), F.col("_row").alias("_r"))
     groups = cut(rows.groupBy("n_blocks", "_name").agg(F.count("*").alias("group_size"), F.min(rank).alias("_best")))
     out = rows.join(groups, ["n_blocks", "_name"])
     return out.select("doc_id", F.col("_best._d").alias("keep_id"), "group_size", (F.col("_row") == F.col("_best._r")).alias("kept"), "text_sha256", "_row")
 
 
+def keep_one(docs: DataFrame) -> DataFrame:
+    """The rows of docs that stay, with all their columns."""
+    row = "_folio_row_" + "_" * max(map(len, docs.columns))  # no other column has this name
+    numbered = cut(docs.withColumn(row, F.monotonically_increasing_id()))
+    stay = dedup(numbered, row=row).where("kept").select(F.col("_row").alias(row))
+    return numbered.join(stay, row, "left_semi").drop(row)
+
+
 def op5_block_naming(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup(table(spark, sf_dir, "documents")).drop("_row")
 

@@ -257,6 +257,12 @@ def join_components(docs: DataFrame) -> DataFrame:
     return rows.join(found, "doc_id", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("c", "doc_id").alias("component_id"))
 
 
+def keep_one(docs: DataFrame) -> DataFrame:
+    """The rows of docs that have the smallest doc_id of their component, or none, with all their columns."""
+    stay = join_components(docs).where("doc_id = component_id").select("doc_id").distinct()
+    return docs.where("doc_id is not null").join(stay, "doc_id", "left_semi").unionByName(docs.where("doc_id is null")).select(docs.columns)
+
+
 def op2_token_group_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return join_components(table(spark, sf_dir, "documents"))
 

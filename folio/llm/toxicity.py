@@ -243,6 +243,19 @@ def score(docs: DataFrame, model: ToxicityModel, column: str = "text") -> DataFr
     return docs.select("doc_id", column).mapInArrow(run, f"doc_id {kind}, score double, predicted int, nearest array<struct<doc_id:bigint,label:int,cosine:double>>")
 
 
+def keep_clean(docs: DataFrame, model: ToxicityModel, column: str = "text") -> DataFrame:
+    """The rows of docs with a score under THRESHOLD, with all their columns."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = text_bytes(batch.column(column))
+            for a, b in sub_batches(np.array([len(x) for x in texts]), 1 << 20):
+                clean = [model.score(c)[0] < THRESHOLD for c in model.counts(texts[a:b])]
+                yield batch.slice(a, b - a).filter(pa.array(clean, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def train_from_tables(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES) -> ToxicityModel:
     """The examples are chosen among the labels first, of the three quarters that may be learnt from, so that few texts are joined."""
     learn = labels.where((remainder(F.col("doc_id"), 4) != 2) & F.col("toxic").isNotNull() & F.col("doc_id").isNotNull())
