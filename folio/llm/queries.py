@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folio.llm import bpe, decontamination, exact_dedup, jaccard_join, language_id, language_model, line_dedup, sharding, toxicity
+from folio.llm import bpe, decontamination, exact_dedup, jaccard_join, language_id, language_model, line_dedup, sharding, token_files, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
@@ -18,6 +18,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         exact_dedup.op5_block_naming,
         bpe.op6_bpe_round_trip,
         sharding.op7_feistel_shards,
+        token_files.op8_context_mixing_files,
         decontamination.op9_benchmark_containment,
         line_dedup.op10_line_chunks,
     )
