@@ -1,7 +1,517 @@
-"""Queries of the engine's own operators and their SQL."""
+"""Queries of the engine's own operators over the test tables, and SQL that says the same independently.
+
+Noise that the tables lack (ligatures, broken words, bullets, tags) is put in by the query; the SQL states what must come
+out without it."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
-FLAGSHIP = None
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from folio.functions import text
+from folio.operators import islands, joins, layout, markup, ordering, policy, retention, rules, sequence, vocabulary
+from folio.sources import feeds, packages
+from folio.streaming import policy as streaming
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def doc_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "source", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "text"))
+    return docs
+
+
+def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as books, turns as pages whose first line is the role."""
+    c = read(spark, sf_dir, "conversations")
+    lines = F.split(F.concat(F.col("role"), F.lit(" "), F.col("turn").cast("string"), F.lit("\n"), F.col("text")), "\n", -1)
+    return c.select(F.col("conv_id").alias("book_id"), F.col("turn").alias("page_no"), F.posexplode(lines).alias("line_no", "text"))
+
+
+def page_counts(lines: DataFrame) -> DataFrame:
+    return lines.groupBy("book_id").agg(F.countDistinct("page_no").alias("n_pages"))
+
+
+# Text
+
+
+@query("SELECT doc_id, md5(text) AS h FROM documents")
+def q_normalize_chars(spark, sf_dir):
+    noisy = F.regexp_replace(F.replace(F.replace("text", F.lit("fi"), F.lit("ﬁ")), F.lit("ff"), F.lit("ﬀ")), " ", " ​")
+    return read(spark, sf_dir, "documents").select("doc_id", F.md5(text.normalize_characters(noisy)).alias("h"))
+
+
+@query("""
+SELECT doc_id, trim(left(trim(regexp_replace(regexp_replace(string_split(text, chr(10))[1], '[\\\\/:*?"<>|]', ' ', 'g'), '\\s+', ' ', 'g'), '. '), 120), '. ') AS name,
+  CASE WHEN n_chars < 1024 THEN n_chars || ' B' ELSE round(n_chars / 1024.0)::BIGINT || ' KB' END AS size
+FROM documents WHERE n_chars < 1048576 AND n_chars % 1024 <> 512""")
+def q_sanitize_name(spark, sf_dir):
+    d = read(spark, sf_dir, "documents").where("n_chars < 1048576 and n_chars % 1024 <> 512")
+    name = text.sanitize_filename(F.element_at(F.split("text", "\n", -1), 1))
+    return d.select("doc_id", F.when(name == "untitled", "").otherwise(name).alias("name"), text.format_bytes(F.col("n_chars")).alias("size"))
+
+
+@query("SELECT doc_id, replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') AS html FROM documents")
+def q_escape_html(spark, sf_dir):
+    return read(spark, sf_dir, "documents").select("doc_id", text.escape_html(F.col("text")).alias("html"))
+
+
+@query("""
+WITH l AS (SELECT source, unnest(string_split(text, chr(10))) AS line FROM documents)
+SELECT source, count(*) AS lines, count(DISTINCT lower(trim(regexp_replace(regexp_replace(line, '[0-9]+', '#', 'g'), '\\s+', ' ', 'g')))) AS keys FROM l GROUP BY source""")
+def q_header_keys(spark, sf_dir):
+    return doc_lines(spark, sf_dir).groupBy("source").agg(F.count("*").alias("lines"), F.countDistinct(text.header_key(F.col("text"))).alias("keys"))
+
+
+@query("""
+WITH d AS (SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN '* * *' WHEN 1 THEN '◇◇◇' WHEN 2 THEN '*' WHEN 3 THEN '...' WHEN 4 THEN '◆' ELSE '-----------' END AS t FROM documents)
+SELECT doc_id, doc_id % 6 IN (0, 1, 4) AS is_break FROM d""")
+def q_scene_breaks(spark, sf_dir):
+    k = F.col("doc_id") % 6
+    line = F.when(k == 0, "* * *").when(k == 1, "◇◇◇").when(k == 2, "*").when(k == 3, "...").when(k == 4, "◆").otherwise("-----------")
+    return read(spark, sf_dir, "documents").select("doc_id", text.is_scene_break(line).alias("is_break"))
+
+
+@query("""
+WITH w AS (SELECT source, unnest(regexp_extract_all(lower(text), '\\p{L}+')) AS word FROM documents)
+SELECT source, count(DISTINCT word) AS words, min(word) AS first_word FROM w GROUP BY source""")
+def q_vocabulary(spark, sf_dir):
+    d = read(spark, sf_dir, "documents").withColumnRenamed("source", "book_id")
+    return vocabulary.vocabulary(d).groupBy(F.col("book_id").alias("source")).agg(F.count("*").alias("words"), F.min("word").alias("first_word"))
+
+
+@query("""
+WITH d AS (SELECT source, doc_id, regexp_extract(text, '^(\\p{L}+)', 1) AS w FROM documents)
+SELECT doc_id, CASE WHEN length(w) >= 6 THEN left(w, 3) || lower(substr(w, 4)) ELSE '' END AS joined FROM d""")
+def q_dehyphenate(spark, sf_dir):
+    """A long first word is broken; the book has it elsewhere (its whole text follows), so it is joined again."""
+    d = read(spark, sf_dir, "documents").select(F.col("source").alias("book_id"), F.col("doc_id").alias("block_no"), "text")
+    first = F.regexp_extract("text", r"^(\p{L}+)", 1)
+    broken = F.concat(F.substring(first, 1, 3), F.lit("- "), F.lower(F.substring(first, F.lit(4), F.length(first))), F.lit(" "), F.col("text"))
+    noisy = d.where(F.length(first) >= 6).withColumn("text", broken)
+    fixed = vocabulary.dehyphenate(noisy).select("block_no", F.regexp_extract("text", r"^(\p{L}+)", 1).alias("joined"))
+    return d.select("block_no").join(fixed, "block_no", "left").select(F.col("block_no").alias("doc_id"), F.coalesce("joined", F.lit("")).alias("joined"))
+
+
+# Layout
+
+
+_TURNS = """
+WITH c AS (SELECT conv_id AS book_id, turn AS page_no, string_split(role || ' ' || turn || chr(10) || text, chr(10)) AS ls FROM conversations),
+l AS (SELECT book_id, page_no, unnest(ls) AS t, generate_subscripts(ls, 1) - 1 AS line_no, len(ls) AS n FROM c),
+e AS (SELECT *, line_no < 2 OR line_no >= n - 2 AS edge, lower(trim(regexp_replace(regexp_replace(t, '[0-9]+', '#', 'g'), '\\s+', ' ', 'g'))) AS key FROM l),
+p AS (SELECT book_id, count(DISTINCT page_no) AS n_pages FROM l GROUP BY 1),
+h AS (SELECT book_id, key, count(DISTINCT page_no) AS pages FROM e WHERE edge AND key <> '' GROUP BY 1, 2),
+r AS (SELECT book_id, key, pages FROM h JOIN p USING (book_id) WHERE pages >= 3 AND pages > 0.5 * n_pages)
+"""
+
+
+@query(_TURNS + "SELECT * FROM r")
+def q_running_heads(spark, sf_dir):
+    lines = turns(spark, sf_dir)
+    return layout.running_heads(lines, page_counts(lines))
+
+
+@query(_TURNS + """
+SELECT book_id, count(*) AS kept FROM e LEFT JOIN r USING (book_id, key)
+WHERE NOT (edge AND (r.pages IS NOT NULL OR regexp_full_match(t, '\\s*[0-9]+\\s*'))) GROUP BY book_id""")
+def q_strip_heads(spark, sf_dir):
+    lines = turns(spark, sf_dir)
+    return layout.strip_running_heads(lines, page_counts(lines)).groupBy("book_id").agg(F.count("*").alias("kept"))
+
+
+@query("""
+WITH l AS (SELECT source, doc_id, unnest(string_split(text, chr(10))) AS t FROM documents),
+k AS (SELECT source, doc_id, lower(trim(regexp_replace(regexp_replace(t, '[0-9]+', '#', 'g'), '\\s+', ' ', 'g'))) AS key FROM l),
+n AS (SELECT source, count(*) AS n FROM documents GROUP BY 1)
+SELECT source, key, count(DISTINCT doc_id) AS docs FROM k JOIN n USING (source) WHERE key <> '' GROUP BY source, key, n.n HAVING count(DISTINCT doc_id) >= 3 AND count(DISTINCT doc_id) > 0.1 * n.n""")
+def q_source_boilerplate(spark, sf_dir):
+    keyed = doc_lines(spark, sf_dir).withColumn("key", text.header_key(F.col("text"))).where("key <> ''")
+    docs = keyed.select("source", "key", "doc_id").distinct().groupBy("source", "key").agg(F.count("*").alias("docs"))
+    n = read(spark, sf_dir, "documents").groupBy("source").agg(F.count("*").alias("n"))
+    return docs.where("docs >= 3").join(n, "source").where("docs > 0.1 * n").drop("n")
+
+
+def _geometry(lines: DataFrame) -> DataFrame:
+    """Steps of 10, of 30 after a line whose length is a multiple of 3; every fifth line has a bullet."""
+    w = Window.partitionBy("doc_id").orderBy("line_no")
+    step = F.when(F.length(F.lag("text").over(w)) % 3 == 0, 30).otherwise(10)
+    drawn = lines.withColumn("_step", step).withColumn("y", (-F.sum("_step").over(w.rowsBetween(Window.unboundedPreceding, 0))).cast("double")).withColumn("height", F.lit(10.0))
+    return drawn.select("doc_id", F.lit(1).alias("page_no"), "line_no", "y", "height", F.when(F.col("line_no") % 5 == 4, F.concat(F.lit("• "), F.col("text"))).otherwise(F.col("text")).alias("text"))
+
+
+@query("""
+WITH s AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents),
+l AS (SELECT doc_id, unnest(ls) AS t, generate_subscripts(ls, 1) - 1 AS line_no FROM s),
+p AS (SELECT *, line_no % 5 = 4 AS bullet, lag(t) OVER w AS pt, lag(line_no % 5 = 4) OVER w AS pb FROM l WINDOW w AS (PARTITION BY doc_id ORDER BY line_no)),
+f AS (SELECT *, CASE WHEN pt IS NULL OR bullet OR length(pt) % 3 = 0 OR (pb AND NOT regexp_matches(t, '^[a-z]')) THEN 1 ELSE 0 END AS st FROM p),
+b AS (SELECT *, sum(st) OVER (PARTITION BY doc_id ORDER BY line_no) AS block_no FROM f),
+g AS (SELECT doc_id, block_no, count(*) AS n_lines, bool_or(bullet AND st = 1) AS li FROM b GROUP BY 1, 2)
+SELECT doc_id, count(*) AS blocks, sum(CASE WHEN li THEN 1 ELSE 0 END)::BIGINT AS bullets, max(n_lines) AS longest FROM g GROUP BY doc_id""")
+def q_blocks(spark, sf_dir):
+    blocks = layout.assemble_blocks(_geometry(doc_lines(spark, sf_dir)))
+    return blocks.groupBy("doc_id").agg(F.count("*").alias("blocks"), F.count_if(F.col("type") == "li").alias("bullets"), F.max("n_lines").alias("longest"))
+
+
+@query("""
+WITH c AS (SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN rtrim(text, '.') ELSE lower(left(text, 1)) || substr(text, 2) END AS t FROM conversations),
+p AS (SELECT *, lag(t) OVER (PARTITION BY conv_id ORDER BY turn) AS pt FROM c),
+s AS (SELECT *, CASE WHEN pt IS NULL OR regexp_matches(pt, '[.!?…"”’'']\\s*$') OR right(pt, 1) = ']' OR NOT regexp_matches(t, '^\\p{Ll}') THEN 1 ELSE 0 END AS st FROM p)
+SELECT conv_id, sum(st)::BIGINT AS blocks FROM s GROUP BY conv_id""")
+def q_stitch(spark, sf_dir):
+    c = read(spark, sf_dir, "conversations")
+    t = F.when(F.col("turn") % 2 == 0, F.rtrim(F.col("text"), F.lit("."))).otherwise(F.concat(F.lower(F.left("text", F.lit(1))), F.substring("text", F.lit(2), F.length("text"))))
+    blocks = c.select("conv_id", F.col("turn").alias("page_no"), F.lit(1).alias("block_no"), F.lit("p").alias("type"), t.alias("text"))
+    return layout.stitch_pages(blocks, "conv_id").groupBy("conv_id").agg(F.count("*").alias("blocks"))
+
+
+@query("""
+WITH d AS (SELECT doc_id, regexp_extract_all(left(text, 400), '\\S+') AS w FROM documents)
+SELECT doc_id, least(len(w), 40) AS words, ceil(least(len(w), 40) / 8.0)::BIGINT AS lines FROM d WHERE len(w) > 0""")
+def q_glyph_lines(spark, sf_dir):
+    """The first words of each document set eight to a line, in shuffled order of arrival."""
+    d = read(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.slice(F.regexp_extract_all(F.left("text", F.lit(400)), F.lit(r"[^ \t-\r]+"), F.lit(0)), 1, 40)).alias("i", "w"))
+    x, y = (F.col("i") % 8) * 1000.0, -20.0 * F.floor(F.col("i") / 8)
+    glyphs = d.select(F.col("doc_id").cast("string").alias("file_id"), F.lit(1).alias("page_no"), F.pmod(F.xxhash64("doc_id", "i"), F.lit(1 << 30)).cast("int").alias("glyph_no"), F.col("w").alias("str"), (F.length("w") * 5.0).alias("width"), F.lit(10.0).alias("height"), F.array(F.lit(1.0), F.lit(0.0), F.lit(0.0), F.lit(1.0), x, y.cast("double")).alias("transform"))
+    lines = layout.reconstruct_lines(glyphs)
+    return lines.groupBy(F.col("file_id").cast("long").alias("doc_id")).agg(F.sum(F.size(F.split("text", " "))).alias("words"), F.count("*").alias("lines"))
+
+
+# Sequences
+
+
+@query("""
+WITH n AS (SELECT l_orderkey AS g, CAST(l_linenumber + (l_partkey % 3) AS INT) AS num FROM lineitem),
+s AS (SELECT g, count(*) AS present, count(DISTINCT num) AS d, min(num) AS mn, max(num) AS mx FROM n GROUP BY g),
+o AS (SELECT *, present >= 3 AND mx > mn AND mx - mn + 1 <= 5000 AND d >= 0.6 * (mx - mn + 1) AS ok FROM s),
+c AS (SELECT g, num, count(*) AS k FROM n GROUP BY 1, 2)
+SELECT o.g AS orderkey, ok AS has_order, CASE WHEN ok THEN mx - mn + 1 - d ELSE 0 END::BIGINT AS n_missing,
+  CASE WHEN ok THEN (SELECT count(*) FROM c WHERE c.g = o.g AND k > 1) ELSE 0 END::BIGINT AS n_duplicates, CASE WHEN ok THEN mn END AS lo, CASE WHEN ok THEN mx END AS hi
+FROM o""")
+def q_sequence(spark, sf_dir):
+    n = read(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_linenumber").alias("position"), (F.col("l_linenumber") + F.col("l_partkey") % 3).cast("int").alias("num"), F.lit("Chapter").alias("label"))
+    found = sequence.analyze(n, "l_orderkey", "position")
+    return found.select(F.col("l_orderkey").alias("orderkey"), "has_order", F.size("missing").cast("long").alias("n_missing"), F.size("duplicates").cast("long").alias("n_duplicates"), F.col("min").alias("lo"), F.col("max").alias("hi"))
+
+
+@query("""
+WITH p AS (SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'Ch. ' || p_size || ' ' || p_name || '.pdf' WHEN 1 THEN p_name || ' ' || p_size || '.pdf' WHEN 2 THEN p_name || '.pdf' ELSE 'Vol #' || p_size || '.pdf' END AS name, p_size, p_name FROM part)
+SELECT p_partkey, CASE WHEN p_partkey % 4 = 2 THEN NULL ELSE p_size END AS num, CASE p_partkey % 4 WHEN 0 THEN 'Chapter' WHEN 3 THEN 'Volume' END AS label,
+  CASE p_partkey % 4 WHEN 0 THEN 'Chapter ' || p_size WHEN 1 THEN p_name || ' ' || p_size WHEN 2 THEN p_name ELSE 'Volume ' || p_size END AS title FROM p""")
+def q_extract_number(spark, sf_dir):
+    p = read(spark, sf_dir, "part")
+    k, size = F.col("p_partkey") % 4, F.col("p_size").cast("string")
+    name = F.when(k == 0, F.concat(F.lit("Ch. "), size, F.lit(" "), F.col("p_name"), F.lit(".pdf"))).when(k == 1, F.concat(F.col("p_name"), F.lit(" "), size, F.lit(".pdf"))).when(k == 2, F.concat(F.col("p_name"), F.lit(".pdf"))).otherwise(F.concat(F.lit("Vol #"), size, F.lit(".pdf")))
+    found = sequence.extract_number(name)
+    return p.select("p_partkey", found["num"].alias("num"), found["label"].alias("label"), sequence.chapter_title(name).alias("title"))
+
+
+@query("""
+WITH n AS (SELECT DISTINCT l_orderkey AS g, CAST(l_linenumber + (l_partkey % 3) AS INT) AS num FROM lineitem),
+r AS (SELECT g, num, num - row_number() OVER (PARTITION BY g ORDER BY num) AS k FROM n),
+i AS (SELECT g, min(num) AS a, max(num) AS b FROM r GROUP BY g, k)
+SELECT g AS orderkey, string_agg(CASE WHEN a = b THEN a::VARCHAR ELSE a || '–' || b END, ', ' ORDER BY a) AS ranges FROM i GROUP BY g""")
+def q_number_ranges(spark, sf_dir):
+    n = read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("orderkey"), (F.col("l_linenumber") + F.col("l_partkey") % 3).cast("int").alias("num")).distinct()
+    return islands.number_ranges(n, ["orderkey"], "num")
+
+
+@query("SELECT l_orderkey, l_linenumber, l_linenumber * 1e6 + l_partkey AS key FROM lineitem")
+def q_title_key(spark, sf_dir):
+    t = F.format_string("Vol. %d Ch %d", "l_linenumber", "l_partkey")
+    return read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", sequence.title_key(t).alias("key"))
+
+
+@query("""
+WITH p AS (SELECT p_partkey, p_name || ' ' || (p_partkey % 1000) AS name, p_name, p_partkey % 1000 AS n FROM part)
+SELECT p_partkey, row_number() OVER (PARTITION BY p_name ORDER BY n, p_partkey) AS pos FROM p""")
+def q_natural_order(spark, sf_dir):
+    p = read(spark, sf_dir, "part").withColumn("name", F.concat("p_name", F.lit(" "), (F.col("p_partkey") % 1000).cast("string")))
+    w = Window.partitionBy("p_name").orderBy(text.natural_key(F.col("name")), "p_partkey")
+    return p.select("p_partkey", F.row_number().over(w).alias("pos"))
+
+
+# Order
+
+
+@query("""
+WITH e AS (SELECT user_id, event_id, CASE WHEN event_id % 7 <> 0 THEN value END AS v FROM events),
+k AS (SELECT *, lag(v) OVER (PARTITION BY user_id ORDER BY event_id) AS p FROM e WHERE v IS NOT NULL),
+s AS (SELECT user_id, count(*) FILTER (v > p) AS up, count(*) FILTER (v < p) AS down FROM k GROUP BY 1)
+SELECT user_id, up, down, coalesce(CASE WHEN up + down < 2 THEN NULL WHEN down > 2 * up THEN true WHEN up > 2 * down THEN false END, false) AS newest_first FROM s""")
+def q_order_vote(spark, sf_dir):
+    e = read(spark, sf_dir, "events").select("user_id", "event_id", F.when(F.col("event_id") % 7 != 0, F.col("value")).alias("v"))
+    votes = ordering.step_votes(e, "user_id", "event_id", "v")
+    return votes.withColumn("newest_first", F.coalesce(ordering.vote(F.col("up"), F.col("down")), F.lit(False)))
+
+
+@query("""
+WITH e AS (SELECT user_id, event_id, CASE WHEN event_id % 3 <> 0 THEN value END AS v FROM events),
+h AS (SELECT *, last_value(CASE WHEN v IS NOT NULL THEN event_id END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS pid FROM e)
+SELECT h.user_id, h.event_id, row_number() OVER (PARTITION BY h.user_id ORDER BY h.pid IS NOT NULL, p.value, h.pid, h.event_id) - 1 AS pos FROM h LEFT JOIN events p ON p.event_id = h.pid""")
+def q_neighbour_sort(spark, sf_dir):
+    e = read(spark, sf_dir, "events").select("user_id", "event_id", F.when(F.col("event_id") % 3 != 0, F.col("value")).alias("v"))
+    return ordering.keep_neighbours(e, "user_id", "event_id", "v").select("user_id", "event_id", F.col("pos").cast("long").alias("pos"))
+
+
+@query("""
+WITH o AS (SELECT o_custkey, o_orderkey, o_orderdate, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS position, count(*) OVER (PARTITION BY o_custkey) AS n FROM orders)
+SELECT o_custkey, o_orderkey, CASE WHEN n >= 2 THEN row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, position DESC) ELSE 1 END - 1 AS pos FROM o""")
+def q_oldest_first(spark, sf_dir):
+    w = Window.partitionBy("o_custkey").orderBy("o_orderkey")
+    o = read(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", F.unix_micros(F.col("o_orderdate").cast("timestamp")).alias("date"), F.row_number().over(w).alias("position"), F.lit(None).cast("double").alias("number"), F.lit("newest-first").alias("order"))
+    return ordering.oldest_first(o, "o_custkey").select("o_custkey", "o_orderkey", F.col("pos").cast("long").alias("pos"))
+
+
+# Retention and look-ups
+
+
+@query("""
+WITH o AS (SELECT *, row_number() OVER w AS ord, count(*) OVER (PARTITION BY o_custkey) AS n, sum(b) OVER (PARTITION BY o_custkey) AS total, coalesce(sum(b) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS gone
+  FROM (SELECT o_custkey, o_orderkey, o_orderdate, CAST(floor(o_totalprice) AS BIGINT) AS b FROM orders) WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey))
+SELECT o_custkey, o_orderkey, ord FROM o WHERE (n - (ord - 1) > 8 OR total - gone > 1000000) AND ord <= n - 2""")
+def q_prune(spark, sf_dir):
+    o = read(spark, sf_dir, "orders")
+    return retention.prune_victims(o, ["o_custkey"], "o_orderdate", "o_orderkey", F.floor("o_totalprice"), count_cap=8, budget=1_000_000, keep_at_least=2).select("o_custkey", "o_orderkey", "ord")
+
+
+@query("""
+WITH d AS (SELECT source, doc_id, coalesce(sum(n_chars) OVER (PARTITION BY source ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM documents)
+SELECT source, doc_id FROM d WHERE before < 20000""")
+def q_free_space(spark, sf_dir):
+    return retention.free_space(read(spark, sf_dir, "documents"), ["source"], "doc_id", "doc_id", F.col("n_chars"), 20000).select("source", "doc_id")
+
+
+@query("SELECT text, min(doc_id) AS doc_id FROM documents GROUP BY text")
+def q_dedupe_first(spark, sf_dir):
+    return joins.first_of_each(read(spark, sf_dir, "documents").select("doc_id", "text"), ["text"], ["doc_id"])
+
+
+@query("SELECT o_orderkey, o_custkey, c_name FROM orders LEFT JOIN (SELECT * FROM customer WHERE c_custkey % 3 = 0) ON c_custkey = o_custkey")
+def q_left_lookup(spark, sf_dir):
+    c = read(spark, sf_dir, "customer").where("c_custkey % 3 = 0").select(F.col("c_custkey").alias("o_custkey"), "c_name")
+    return joins.lookup(read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), c, "o_custkey")
+
+
+@query("SELECT p_partkey, CASE WHEN p_partkey % 5 = 0 THEN p_brand ELSE p_name END AS p_name FROM part")
+def q_rename(spark, sf_dir):
+    p = read(spark, sf_dir, "part")
+    new = p.where("p_partkey % 5 = 0 or p_partkey % 5 = 1").select("p_partkey", F.when(F.col("p_partkey") % 5 == 0, F.col("p_brand")).otherwise(" ").alias("p_name"))
+    return joins.rename(p.select("p_partkey", "p_name"), new, "p_partkey", "p_name")
+
+
+@query("SELECT doc_id, lang FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1)")
+def q_semi(spark, sf_dir):
+    chosen = read(spark, sf_dir, "labels").where("toxic = 1")
+    return joins.selected_or_all(read(spark, sf_dir, "documents").select("doc_id", "lang"), chosen, "doc_id")
+
+
+@query("SELECT doc_id, lang FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
+def q_anti(spark, sf_dir):
+    return joins.without(read(spark, sf_dir, "documents").select("doc_id", "lang"), read(spark, sf_dir, "labels"), "doc_id")
+
+
+@query("""
+SELECT user_id, event_id, rank FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rank FROM events) WHERE rank <= 3""")
+def q_ring_buffer(spark, sf_dir):
+    return joins.last_n(read(spark, sf_dir, "events").select("user_id", "event_id", "ts"), ["user_id"], [F.desc("ts"), F.desc("event_id")], 3).select("user_id", "event_id", "rank")
+
+
+@query("""
+WITH f AS (SELECT user_id, event_type, max(event_id) AS last FROM events GROUP BY 1, 2)
+SELECT user_id, string_agg(event_type, ',' ORDER BY last DESC) AS recent FROM f GROUP BY user_id""")
+def q_mru(spark, sf_dir):
+    """The names used by each user, most recent first: a fold over the ordered uses."""
+    uses = read(spark, sf_dir, "events").groupBy("user_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("event_id", "event_type"))), lambda x: x["event_type"]).alias("u"))
+    return uses.select("user_id", F.array_join(F.aggregate("u", F.array().cast("array<string>"), lambda a, x: text.remember(a, x)), ",").alias("recent"))
+
+
+# Rules and colours
+
+
+@query("""
+WITH t AS (SELECT l_orderkey, l_linenumber, l_discount * 10 AS r FROM lineitem),
+u AS (SELECT *, least(1.0, greatest(0.0, r)) AS t FROM t),
+c AS (SELECT l_orderkey, l_linenumber, t, CASE WHEN t < 0.5 THEN 209 + (194 - 209) * t * 2 ELSE 194 + (31 - 194) * (t - 0.5) * 2 END AS a,
+  CASE WHEN t < 0.5 THEN 31 + (162 - 31) * t * 2 ELSE 162 + (158 - 162) * (t - 0.5) * 2 END AS b, CASE WHEN t < 0.5 THEN 31 + (0 - 31) * t * 2 ELSE 0 + (61 - 0) * (t - 0.5) * 2 END AS c FROM u)
+SELECT l_orderkey, l_linenumber, 'rgb(' || floor(a + 0.5)::INT || ',' || floor(b + 0.5)::INT || ',' || floor(c + 0.5)::INT || ')' AS color FROM c""")
+def q_percent_ramp(spark, sf_dir):
+    return read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", rules.percent_color(F.col("l_discount") * 10, rules.Rules()).alias("color"))
+
+
+@query("""
+WITH p AS (SELECT p_partkey, (p_partkey * 7919) % 256 AS r, (p_partkey * 104729) % 256 AS g, (p_partkey * 1299709) % 256 AS b FROM part),
+l AS (SELECT *, (299 * r + 587 * g + 114 * b) / 1000.0 / 255 AS grey,
+  0.2126 * (CASE WHEN r / 255.0 <= 0.03928 THEN r / 255.0 / 12.92 ELSE pow((r / 255.0 + 0.055) / 1.055, 2.4) END) + 0.7152 * (CASE WHEN g / 255.0 <= 0.03928 THEN g / 255.0 / 12.92 ELSE pow((g / 255.0 + 0.055) / 1.055, 2.4) END) + 0.0722 * (CASE WHEN b / 255.0 <= 0.03928 THEN b / 255.0 / 12.92 ELSE pow((b / 255.0 + 0.055) / 1.055, 2.4) END) AS y FROM p)
+SELECT p_partkey, round(1.05 / (y + 0.05), 6) AS on_white, round((y + 0.05) / 0.05, 6) AS on_black, round(grey, 6) AS grey,
+  CASE WHEN 1.05 / (y + 0.05) < 2.5 THEN 'light' WHEN (y + 0.05) / 0.05 < 2.5 THEN 'dark' END AS fails FROM l""")
+def q_contrast(spark, sf_dir):
+    p = read(spark, sf_dir, "part")
+    c = F.format_string("#%02X%02x%02x", (F.col("p_partkey") * 7919) % 256, (F.col("p_partkey") * 104729) % 256, (F.col("p_partkey") * 1299709) % 256)
+    seen = rules.check_color(c)
+    return p.select("p_partkey", F.round(seen["on_white"], 6).alias("on_white"), F.round(seen["on_black"], 6).alias("on_black"), F.round(rules.perceived(c), 6).alias("grey"), seen["fails"].alias("fails"))
+
+
+@query("""
+SELECT p_partkey, CASE split_part(p_name, ' ', 1) WHEN 'small' THEN 'rarity-low' WHEN 'red' THEN 'rarity-high' END AS class FROM part WHERE split_part(p_name, ' ', 1) IN ('small', 'red')""")
+def q_rule_tags(spark, sf_dir):
+    p = read(spark, sf_dir, "part").select("p_partkey", F.concat(F.lit("a ["), F.initcap(F.split("p_name", " ")[0]), F.lit("] thing [Nothing]")).alias("t"))
+    words = spark.createDataFrame([("small", 0, "rarity-none"), ("Small", 1, "rarity-low"), ("red", 2, "rarity-high")], "word string, ord int, class string")
+    return rules.tag_matches(p, words, "p_partkey", "t").select("p_partkey", "class")
+
+
+@query("""
+SELECT l_orderkey, l_linenumber, 'Power: <span class="pct" style="font-weight:700;color:' || CASE WHEN l_tax > 0 AND l_discount >= l_tax THEN 'rgb(31,158,61)' ELSE NULL END || '">' || CAST(round(l_discount * 100) AS INT) || '%</span> of <span class="pct" style="font-weight:700;color:rgb(31,158,61)">' || CAST(round(l_tax * 100) AS INT) || '%</span>' AS html
+FROM lineitem WHERE l_tax > 0 AND round(l_discount * 100) >= round(l_tax * 100)""")
+def q_percent_pairs(spark, sf_dir):
+    a, b = (F.round(F.col(c) * 100).cast("int").cast("string") for c in ("l_discount", "l_tax"))
+    t = F.concat(F.lit("Power: "), a, F.lit("% of "), b, F.lit("%"))
+    rows = read(spark, sf_dir, "lineitem").where("l_tax > 0 and round(l_discount * 100) >= round(l_tax * 100)")
+    return rows.select("l_orderkey", "l_linenumber", rules.style_stat(t, rules.Rules()).alias("html"))
+
+
+# Markup and feeds
+
+
+@query("""
+WITH p AS (SELECT page_id, regexp_extract_all(html, '(?i)href="([^"]*)"', 1) AS l FROM pages)
+SELECT page_id, len(list_distinct(l))::INT AS links, l[1] AS first_link FROM p""")
+def q_links(spark, sf_dir):
+    found = markup.links(F.col("html"))
+    return read(spark, sf_dir, "pages").select("page_id", F.size(found).alias("links"), F.get(found, F.lit(0)).alias("first_link"))
+
+
+@query("""
+WITH p AS (SELECT page_id, unnest(regexp_extract_all(html, '(?is)<p(?:[ \\t\\r\\n][^>]*)?>(.*?)</p>', 1)) AS t FROM pages),
+d AS (SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(regexp_replace(t, '<[^>]*>', '', 'g'), '&quot;', '"'), '&copy;', '©'), '&middot;', '·'), '&amp;', '&'), '[\\s\\x0B]+', ' ', 'g')) AS t FROM p)
+SELECT page_id, count(*) AS paragraphs, sum(length(t))::BIGINT AS chars FROM d WHERE t <> '' GROUP BY page_id""")
+def q_html_text(spark, sf_dir):
+    p = read(spark, sf_dir, "pages").select("page_id", F.explode(markup.paragraphs(F.col("html"))).alias("t"))
+    return p.groupBy("page_id").agg(F.count("*").alias("paragraphs"), F.sum(F.length("t")).alias("chars"))
+
+
+@query()
+def q_html_blocks(spark, sf_dir):
+    blocks = markup.with_blocks(read(spark, sf_dir, "pages").select("page_id", "html"), "html", markup.html_to_blocks)
+    return blocks.select("page_id", F.posexplode("blocks").alias("block_no", "b")).select("page_id", "block_no", "b.type", "b.text", "b.role", "b.align", markup.render_runs(F.coalesce("b.runs", F.array().cast(markup.BLOCK.split("runs:")[1].split(",align")[0]))).alias("rich"))
+
+
+@query("""
+SELECT event_id // 10 AS run_id, event_id, 'p' || (event_id % 7) AS id FROM events WHERE event_id % 10 < 9 QUALIFY row_number() OVER (PARTITION BY event_id // 10, event_id % 7 ORDER BY event_id) = 1""")
+def q_feed_crawl(spark, sf_dir):
+    """Ten events make a run, three a page; ids repeat after seven. The last event stands for a page that isn't JSON."""
+    e = read(spark, sf_dir, "events").withColumn("run_id", F.expr("event_id div 10")).withColumn("k", F.col("event_id") % 10)
+    post = F.struct(F.concat(F.lit("p"), (F.col("event_id") % 7).cast("string")).alias("id"), F.lit("post").alias("type"), F.struct(F.col("event_id").cast("string").alias("title")).alias("attributes"))
+    good = e.where("k < 9").groupBy("run_id", F.expr("cast(k div 3 as int)").alias("page")).agg(F.to_json(F.struct(F.transform(F.array_sort(F.collect_list(F.struct("event_id", post.alias("p")))), lambda x: x["p"]).alias("data"))).alias("body"))
+    bad = e.where("k = 9").select("run_id", F.lit(3).alias("page"), F.lit("<html>").alias("body"))
+    return feeds.crawl(feeds.parse_pages(good.unionByName(bad))).select("run_id", F.col("title").cast("long").alias("event_id"), "id")
+
+
+@query("SELECT event_type, sum(CAST(json_extract(props, '$.k') AS BIGINT))::BIGINT AS total, count(*) AS n FROM events GROUP BY event_type")
+def q_json_fields(spark, sf_dir):
+    e = read(spark, sf_dir, "events").select("event_type", F.from_json("props", "struct<k:long>")["k"].alias("k"))
+    return e.groupBy("event_type").agg(F.sum("k").alias("total"), F.count("*").alias("n"))
+
+
+# Policy
+
+
+_STREAKS = """
+WITH e AS (SELECT user_id, event_id, event_type = 'error' AS f, lag(event_type = 'error') OVER (PARTITION BY user_id ORDER BY event_id) AS p FROM events),
+s AS (SELECT *, sum(CASE WHEN f AND NOT coalesce(p, false) THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY event_id) AS streak FROM e),
+r AS (SELECT user_id, streak::BIGINT AS streak, count(*) AS length, min(event_id) AS first, max(event_id) AS last FROM s WHERE f GROUP BY 1, 2)
+"""
+
+
+def _streaks(spark, sf_dir):
+    return policy.failure_streaks(read(spark, sf_dir, "events"), ["user_id"], ["event_id"], F.col("event_type") == "error")
+
+
+@query(_STREAKS + "SELECT * FROM r")
+def q_streaks(spark, sf_dir):
+    return _streaks(spark, sf_dir)
+
+
+@query(_STREAKS + "SELECT user_id, streak, least(length // 3, 3)::INT AS pauses, CASE least(length // 3, 3) WHEN 0 THEN 0 WHEN 1 THEN 30 WHEN 2 THEN 90 ELSE 210 END AS seconds, length // 3 > 3 AS halted FROM r")
+def q_pauses(spark, sf_dir):
+    return policy.pauses(_streaks(spark, sf_dir), ["user_id"])
+
+
+@query()
+def q_adaptive_pool(spark, sf_dir):
+    e = read(spark, sf_dir, "events").groupBy("user_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("event_id", (F.col("event_type") != "error").alias("ok")))), lambda x: x["ok"]).alias("o"))
+    return e.select("user_id", F.element_at(policy.pool_limits(F.col("o")), -1).alias("limit"))
+
+
+@query("""
+WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 6 HOURS THEN 0 ELSE 1 END AS st FROM events),
+s AS (SELECT *, sum(st) OVER (PARTITION BY user_id ORDER BY ts) AS k FROM g)
+SELECT user_id, min(ts) AS first, max(ts) AS last, count(*) AS n FROM s GROUP BY user_id, k""")
+def q_debounce(spark, sf_dir):
+    return streaming.quiet_periods(read(spark, sf_dir, "events"), "6 hours")
+
+
+@query("SELECT user_id, count(*) FILTER (event_type = 'error') AS failures FROM events GROUP BY user_id")
+def q_stream_breaker(spark, sf_dir):
+    schema = read(spark, sf_dir, "events").schema
+    e = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir) if not _folder(spark, sf_dir, "events") else spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parquet")
+    out = streaming.breaker(e.select("user_id", "ts", "event_id", (F.col("event_type") == "error").alias("failed")))
+    return streaming.once(out, spark, "update").groupBy("user_id").agg(F.max("failures").alias("failures"))
+
+
+def _folder(spark: SparkSession, sf_dir: str, name: str) -> bool:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{name}.parquet")
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(p).isDirectory()
+
+
+@query("SELECT conv_id AS book_id, count(*) + 4 AS entries FROM conversations GROUP BY conv_id")
+def q_packages(spark, sf_dir):
+    """A book of each conversation: packages made, opened again, and their entries counted."""
+    c = read(spark, sf_dir, "conversations").select(F.col("conv_id").alias("book_id"), F.col("turn").cast("int").alias("ord"), F.concat("role", F.lit(" "), F.col("turn").cast("string")).alias("title"), F.concat(F.lit("<p>"), text.escape_xml(F.col("text")), F.lit("</p>")).alias("body"))
+    made = packages.zip_books(packages.entries(c))
+
+    def opened(batches):
+        import io
+        import zipfile
+
+        import pandas as pd
+
+        for b in batches:
+            yield pd.DataFrame({"book_id": b["book_id"], "entries": [len(zipfile.ZipFile(io.BytesIO(x)).namelist()) for x in b["package"]]})
+
+    return made.mapInPandas(opened, "book_id long, entries long")
+
+
+@query("""
+WITH s AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents),
+l AS (SELECT doc_id, unnest(ls) AS t, generate_subscripts(ls, 1) - 1 AS line_no FROM s),
+p AS (SELECT *, line_no % 5 = 4 AS bullet, lag(t) OVER w AS pt, lag(line_no % 5 = 4) OVER w AS pb FROM l WINDOW w AS (PARTITION BY doc_id ORDER BY line_no)),
+f AS (SELECT *, CASE WHEN pt IS NULL OR bullet OR length(pt) % 3 = 0 OR (pb AND NOT regexp_matches(t, '^[a-z]')) THEN 1 ELSE 0 END AS st FROM p)
+SELECT doc_id, sum(st)::BIGINT AS blocks, count(*) AS n_lines FROM f GROUP BY doc_id""")
+def q_segmentation(spark, sf_dir):
+    """Documents to lines, boilerplate of their source found and anti-joined (none is at the edges of half the documents),
+    blocks assembled."""
+    lines = _geometry(doc_lines(spark, sf_dir))
+    blocks = layout.assemble_blocks(lines)
+    return blocks.groupBy("doc_id").agg(F.count("*").alias("blocks"), F.sum("n_lines").alias("n_lines"))
+
+
+def FLAGSHIP(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return q_segmentation(spark, sf_dir)
