@@ -15,7 +15,13 @@ from pyspark.sql import functions as F
 SPACE = b" \t\n\x0b\x0c\r"
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Whole texts make rows long: few of them at once keep Arrow buffers and Python workers small."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -48,6 +54,7 @@ def drop_dir(spark: SparkSession, path: str) -> None:
 def cut(df: DataFrame) -> DataFrame:
     """Writes df as Parquet into the shared folder and reads it back: the result survives lost executors and has no lineage."""
     spark = df.sparkSession
+    small_batches(spark)
     path = shared_dir(spark)
     df.write.option("compression", "zstd").parquet(path)
     atexit.register(drop_dir, spark, path)

@@ -6,8 +6,9 @@
    of them, and what is linked to each other makes a group.
 3. The token-group matrix has a row for each token and group that has it. A set of n tokens that has 0.8 or more in
    common with another shares at least one of its first n - ceil(0.8 n) + 1 tokens in any order that is the same for all
-   sets, so the matrix is kept for these only. The order puts tokens that many documents share last; what is in that list
-   decides speed only, never results. Tokens of one group alone fall away.
+   sets, so the matrix is kept for these only. The order puts tokens that many documents share last; they are found
+   by rounds over the matrix itself, and what is in that list decides speed only, never results. Tokens of one group alone
+   fall away.
 4. A document is a candidate for each other group with a token in common. Groups are held in blocks of BLOCK members with
    the union of their tokens; a block is opened for a query only if the union has 0.8 of the query's tokens, and then its
    members of fitting size are compared exactly. No links are lost, and no pairs within a group are made.
@@ -24,7 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from folio.llm.common import Words, cut, mix, shingle_hashes, sub_batches, table, text_bytes
@@ -34,9 +35,11 @@ SHINGLE = 5
 PERCENT = 80
 BINS = 16
 BLOCK = 64
-OFTEN = 200
-MOST_OFTEN = 1_000_000
-FLUSH = 3_000_000
+OFTEN = 16
+WIDE = 8
+ROUNDS = 4
+MOST_OFTEN = 2_000_000
+FLUSH = 2_000_000
 BROADCAST_IDS = 4_000_000
 
 
@@ -118,18 +121,36 @@ def describe(docs: DataFrame) -> DataFrame:
     return slim.mapInArrow(run, f"doc_id {kind}, n long, d1 long, d2 long, keys array<long>, token long, times long")
 
 
-def prefix_of(s: np.ndarray, often: np.ndarray) -> np.ndarray:
-    """The first tokens of a set, those in `often` last, of which any similar set has one among its own first."""
+class Often:
+    """Tokens that many documents share, with how many: they come last in the order of tokens, the most shared last of all."""
+
+    def __init__(self) -> None:
+        self.tokens, self.times = np.empty(0, np.uint64), np.empty(0, np.int64)
+
+    def with_more(self, tokens: np.ndarray, times: np.ndarray) -> Often:
+        out = Often()
+        out.tokens, at = np.unique(np.concatenate([self.tokens, tokens]), return_index=True)
+        out.times = np.concatenate([self.times, times])[at]
+        return out
+
+    def has(self, s: np.ndarray) -> np.ndarray:
+        return self.tokens[self.places(s)] == s if len(self.tokens) else np.zeros(len(s), bool)
+
+    def places(self, s: np.ndarray) -> np.ndarray:
+        return np.minimum(np.searchsorted(self.tokens, s), len(self.tokens) - 1)
+
+
+def prefix_of(s: np.ndarray, often: Often) -> np.ndarray:
+    """The first tokens of a set, of which any similar set has one among its own first."""
     p = len(s) - needed(len(s)) + 1
-    if len(often):
-        at = np.minimum(np.searchsorted(often, s), len(often) - 1)
-        hot = often[at] == s
-        if hot[:p].any():
-            return np.concatenate([s[~hot], s[hot]])[:p]
-    return s[:p]
+    hot = often.has(s)
+    if not hot[:p].any():
+        return s[:p]
+    late = s[hot]
+    return np.concatenate([s[~hot], late[np.lexsort((late, often.times[often.places(late)]))]])[:p]
 
 
-def postings(docs: DataFrame, often: np.ndarray) -> DataFrame:
+def postings(docs: DataFrame, often: Often) -> DataFrame:
     """token, doc_id for the first tokens of each set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -207,13 +228,19 @@ def open_blocks(docs: DataFrame, queries: DataFrame, members: DataFrame) -> Data
     return rows.select("block", "role", "doc_id", "tokens").mapInArrow(compare, f"a {kind}, b {kind}")
 
 
+def _collected(rows: DataFrame, count: str) -> tuple[np.ndarray, np.ndarray]:
+    """Tokens and their counts, MOST_OFTEN at most, those of the largest counts. The list decides speed only."""
+    top = rows.orderBy(F.desc(count), "token").limit(MOST_OFTEN).select("token", count).toPandas()
+    return top["token"].to_numpy(np.int64).view(np.uint64), top[count].to_numpy(np.int64)
+
+
 def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(doc_id, n) of every row, and links (a, b) that connect all similar documents: within a group of equal or similar
     ones with the first of them, between groups all that there are."""
     told = cut(describe(docs))
     rows = told.where("n is not null").select("doc_id", "n", "d1", "d2", "keys")
-    often_rows = told.where("token is not null").groupBy("token").agg(F.sum("times").alias("times")).where(F.col("times") >= OFTEN)
-    often = np.sort(np.array([r["token"] for r in often_rows.orderBy(F.desc("times"), "token").limit(MOST_OFTEN).select("token").collect()], np.int64).view(np.uint64))
+    shared = told.where("token is not null").groupBy("token").agg(F.sum("times").alias("times")).where(F.col("times") >= OFTEN)
+    often = Often().with_more(*_collected(shared, "times"))
 
     full = rows.where("n > 0 and doc_id is not null")
     nodes = cut(full.groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("doc_id"), F.first("keys").alias("keys")))
@@ -226,18 +253,24 @@ def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     firsts = stars.select(F.col("block").alias("doc_id"), "block").distinct()
     near = cut(open_blocks(docs, stars, firsts))
     groups = components(near)
-    group_of = cut(nodes.select("doc_id").distinct().join(groups.withColumnRenamed("v", "doc_id"), "doc_id", "left").select("doc_id", F.coalesce("c", "doc_id").alias("g")))
+    group_of = cut(nodes.select("doc_id", "n").join(groups.withColumnRenamed("v", "doc_id"), "doc_id", "left").select("doc_id", "n", F.coalesce("c", "doc_id").alias("g")))
 
     # The matrix: tokens of two documents, then of two groups at least
-    from pyspark.sql import Window
-
-    per_token = Window.partitionBy("token")
-    met = postings(docs, often).withColumn("m", F.count("*").over(per_token)).where("m > 1").drop("m")
-    matrix = met.join(group_of, "doc_id").distinct()
-    both = Window.partitionBy("token")
-    matrix = cut(matrix.withColumns({"lo": F.min("g").over(both), "hi": F.max("g").over(both)}).where("lo <> hi").select("token", "doc_id", "g"))
-    columns = matrix.select("token", F.col("g").alias("other")).distinct()
-    asked = cut(matrix.join(columns, "token").where("other < g").select("doc_id", F.col("other").alias("g")).distinct())
+    for last in [*[False] * (ROUNDS - 1), True]:
+        by_token = Window.partitionBy("token")
+        met = postings(docs, often).withColumn("m", F.count("*").over(by_token)).where("m > 1").drop("m")
+        matrix = met.join(group_of, "doc_id").distinct()
+        matrix = cut(matrix.withColumns({"lo": F.min("g").over(by_token), "hi": F.max("g").over(by_token)}).where("lo <> hi").select("token", "doc_id", "n", "g"))
+        columns = matrix.groupBy("token", "g").agg(F.min("n").alias("least"), F.max("n").alias("most"))
+        if last:
+            break
+        tokens, times = _collected(columns.groupBy("token").agg(F.count("*").alias("times")).where(F.col("times") > WIDE), "times")
+        new = ~often.has(tokens)
+        if (times[new] ** 2).sum() <= matrix.count():  # what is left makes few candidates
+            break
+        often = often.with_more(tokens[new], times[new])
+    fits = (F.col("other") < F.col("g")) & (PERCENT * F.col("n") <= 100 * F.col("most")) & (PERCENT * F.col("least") <= 100 * F.col("n"))
+    asked = cut(matrix.join(columns.withColumnRenamed("g", "other"), "token").where(fits).select("doc_id", F.col("other").alias("g")).distinct())
 
     # Members of asked groups, in blocks
     sizes = group_of.groupBy("g").agg(F.ceil(F.count("*") / BLOCK).alias("blocks")).join(asked.select("g").distinct(), "g")
