@@ -39,3 +39,57 @@ def plausible(ids: Column, seen: Column, expected: Column) -> Column:
 
 def count_matches(n: Column, expected: Column) -> Column:
     return F.abs(n - expected) <= F.greatest(F.lit(5.0), 0.05 * expected)
+
+
+def numeric_id(path: Column, folder: str) -> Column:
+    """The number at the end of the name under a folder of a path: /folder/12, /folder/a-name-12."""
+    return F.nullif(F.regexp_extract(path, rf"/{folder}/(?:[^/?#]*-)?([0-9]+)(?:[/?#]|\z)", 1), F.lit(""))
+
+
+def linked_ids(html: Column, folder: str, tag: str, value: str) -> Column:
+    """array<string>: distinct ids of links to a folder that carry tag=value, in the order of their first place."""
+    from folio.operators.markup import decode_entities
+
+    found = F.regexp_extract_all(html, F.lit(rf"""(?i)href[ \t\r\n]*=[ \t\r\n]*["']([^"']*/{folder}/[^"']*)["']"""), F.lit(1))
+    ours = F.filter(F.transform(found, decode_entities), lambda u: F.regexp_extract(u, rf"[?&]{tag}=([0-9]+)", 1) == value)
+    return F.array_distinct(F.filter(F.transform(ours, lambda u: numeric_id(u, folder)), lambda i: i.isNotNull()))
+
+
+def listing_title(title: Column) -> Column:
+    """struct(title, creator, count) of `Name | Collection from Creator | 178 posts | Site`."""
+    parts = F.transform(F.split(title, r"\|", -1), lambda p: F.trim(p))
+    flags = F.transform(parts, lambda p: p.rlike(r"(?i)^collection from[ \t]+"))
+    at = F.array_position(flags, F.lit(True))
+    rest = F.slice(parts, F.greatest(at, F.lit(1)) + 1, F.greatest(F.size(parts) - F.greatest(at, F.lit(1)), F.lit(0)))
+    counted = F.filter(rest, lambda p: p.rlike(r"^[0-9][0-9.,\s]*\s+\p{L}+\z"))
+    number = F.regexp_replace(F.regexp_extract(F.get(counted, F.lit(0)), r"^([0-9][0-9.,\s]*)\s", 1), "[^0-9]", "")
+    creator = F.nullif(F.trim(F.regexp_replace(F.get(parts, at - 1), r"(?i)^collection from[ \t]+", "")), F.lit(""))
+    return F.struct(F.when(at > 1, F.array_join(F.slice(parts, 1, at - 1), " | ")).alias("title"), F.when(at > 0, creator).alias("creator"), F.nullif(number, F.lit("")).cast("int").alias("count"))
+
+
+def allowed_url(url: Column, hosts: list[str], suffixes: list[str] = []) -> Column:  # noqa: B006
+    host = F.lower(F.try_parse_url(url, F.lit("HOST")))
+    ok = host.isin(hosts) if hosts else F.lit(False)
+    for s in suffixes:
+        ok = ok | host.endswith(s)
+    return F.coalesce((F.try_parse_url(url, F.lit("PROTOCOL")) == "https") & ok, F.lit(False))
+
+
+def collection(body: Column) -> Column:
+    """array<struct<id, title>> of a collection document: ids from its attribute, else its relationship, else what is
+    included; each once, with the details of what is included."""
+    kind = (
+        "struct<data:struct<attributes:struct<post_ids:array<string>>,relationships:struct<posts:struct<data:array<struct<id:string>>>>>,"
+        "included:array<struct<id:string,type:string,attributes:struct<title:string>>>>"
+    )
+    b = F.from_json(body, kind)
+    posts = F.filter(F.coalesce(b["included"], F.array().cast("array<struct<id:string,type:string,attributes:struct<title:string>>>")), lambda p: (p["type"] == "post") & p["id"].isNotNull())
+    some = lambda a: F.when(F.size(a) > 0, a)
+    ids = F.coalesce(some(b["data"]["attributes"]["post_ids"]), some(F.transform(b["data"]["relationships"]["posts"]["data"], lambda p: p["id"])), F.transform(posts, lambda p: p["id"]))
+    title = lambda i: F.get(F.filter(posts, lambda p: p["id"] == i), F.lit(0))["attributes"]["title"]
+    return F.transform(F.array_distinct(F.filter(ids, lambda i: i.isNotNull())), lambda i: F.struct(i.alias("id"), title(i).alias("title")))
+
+
+def post_content(html: Column, document: Column, page: Column) -> Column:
+    """The first that has something: the API's HTML, its rich-text document, the page's body."""
+    return F.coalesce(*[F.when(F.trim(c) != "", c) for c in (html, document, page)])
