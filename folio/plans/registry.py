@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from folio.functions import text
-from folio.operators import islands, joins, layout, markup, ordering, policy, retention, rules, sequence, vocabulary
+from folio.operators import islands, joins, layout, markup, ordering, palette, policy, retention, rules, sequence, sheets, vocabulary
 from folio.sources import feeds, packages
 from folio.streaming import policy as streaming
 
@@ -387,9 +387,80 @@ def q_percent_pairs(spark, sf_dir):
     return rows.select("l_orderkey", "l_linenumber", rules.style_stat(t, rules.Rules()).alias("html"))
 
 
+@query("""
+SELECT p_partkey, 'Name: ' || split_part(p_name, ' ', 1) || '|Build Quality: [Rank: ' || p_size || ']|Est. Value: ' || p_size AS fields FROM part""")
+def q_labeled_fields(spark, sf_dir):
+    t = F.concat(F.lit("Name: "), F.split("p_name", " ")[0], F.lit(" Build Quality: [Rank: "), F.col("p_size"), F.lit("] Est. Value: "), F.col("p_size"))
+    p = read(spark, sf_dir, "part").select("p_partkey", t.alias("text"))
+    return sheets.with_fields(p).select("p_partkey", F.array_join("fields", "|").alias("fields"))
+
+
+@query("""
+WITH l AS (SELECT conv_id, turn, unnest(string_split(text, chr(10))) AS t, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS b FROM conversations),
+h AS (SELECT *, regexp_matches(t, '\\[[0-9]|%|\\]') AS hint FROM l),
+g AS (SELECT *, b - row_number() OVER (PARTITION BY conv_id, turn ORDER BY b) AS k FROM h WHERE hint),
+r AS (SELECT conv_id, turn, min(b) AS first, count(*) AS size FROM g GROUP BY conv_id, turn, k),
+best AS (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY size DESC, turn, first) = 1),
+n AS (SELECT conv_id, turn, count(*) AS n FROM l GROUP BY 1, 2),
+longest AS (SELECT * FROM n QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY n DESC, turn) = 1),
+w AS (SELECT n.conv_id, n.turn, n.n, size, first, CASE WHEN size IS NOT NULL THEN least(n.n, greatest(10, size)) END AS target
+  FROM longest l LEFT JOIN best USING (conv_id) JOIN n ON n.conv_id = l.conv_id AND n.turn = coalesce(best.turn, l.turn)),
+e AS (SELECT *, CASE WHEN target IS NOT NULL THEN least(n, greatest(first - (target - size) // 2, 0) + target) ELSE least(n, 15) END AS stop FROM w)
+SELECT conv_id, turn, stop - coalesce(greatest(0, stop - target), 0) AS shown FROM e""")
+def q_sample_blocks(spark, sf_dir):
+    c = read(spark, sf_dir, "conversations").select(F.col("conv_id").alias("book_id"), F.col("turn").alias("chapter_no"), F.posexplode(F.split("text", "\n", -1)).alias("block_no", "text"), F.lit("p").alias("type"))
+    return sheets.sample_blocks(c).groupBy(F.col("book_id").alias("conv_id"), F.col("chapter_no").alias("turn")).agg(F.count("*").alias("shown"))
+
+
+@query("""
+WITH p AS (SELECT p_brand, p_partkey, (p_partkey * 7919) % 256 AS r, (p_partkey * 104729) % 256 AS g, (p_partkey * 1299709) % 256 AS b FROM part),
+y AS (SELECT p_brand, p_partkey, (0.299 * r + 0.587 * g + 0.114 * b) / 255 AS y FROM p),
+d AS (SELECT p_brand, lag(p_partkey) OVER w AS a, p_partkey AS b, abs(lag(y) OVER w - y) AS delta FROM y WINDOW w AS (PARTITION BY p_brand ORDER BY p_partkey))
+SELECT p_brand, a, b, round(delta, 6) AS delta FROM d WHERE delta < 0.1""")
+def q_grey_clashes(spark, sf_dir):
+    c = F.format_string("#%02x%02x%02x", (F.col("p_partkey") * 7919) % 256, (F.col("p_partkey") * 104729) % 256, (F.col("p_partkey") * 1299709) % 256)
+    tiers = read(spark, sf_dir, "part").select("p_brand", "p_partkey", F.col("p_partkey").alias("label"), c.alias("color"))
+    return palette.grey_clashes(tiers, "p_brand", "p_partkey").select("p_brand", "a", "b", F.round("delta", 6).alias("delta"))
+
+
+@query()
+def q_fix_colors(spark, sf_dir):
+    c = F.format_string("#%02x%02x%02x", (F.col("p_partkey") * 7919) % 256, (F.col("p_partkey") * 104729) % 256, (F.col("p_partkey") * 1299709) % 256)
+    return palette.fix_colors(read(spark, sf_dir, "part").select("p_partkey", c.alias("color")), "color")
+
+
+@query()
+def q_render(spark, sf_dir):
+    """Documents' lines as blocks, some of them bullets or fields, rendered as chapters."""
+    lines = doc_lines(spark, sf_dir)
+    kind = F.when(F.col("line_no") % 5 == 4, "li").otherwise("p")
+    body = F.when(F.col("line_no") % 7 == 3, F.concat(F.lit("Power: 3 of 4 Range: [A][B] Hit: 20% of 40% "), F.col("text"))).otherwise(F.col("text"))
+    blocks = lines.select("doc_id", F.col("line_no").alias("block_no"), kind.alias("type"), body.alias("text"), F.lit(None).cast("array<struct<text:string,marks:array<string>,br:boolean>>").alias("runs"), F.lit(None).cast("string").alias("align"), F.lit(None).cast("string").alias("role"))
+    return sheets.render(blocks, rules.Rules())
+
+
 # Markup and feeds
 
 
+@query("""
+SELECT page_id, 'i' || page_id || ',j' AS ids FROM (SELECT page_id FROM pages)""")
+def q_collection(spark, sf_dir):
+    own = F.concat(F.lit("i"), F.col("page_id").cast("string"))
+    post = lambda i: F.struct(i.alias("id"), F.lit("post").alias("type"))
+    body = F.to_json(F.struct(F.array(post(own), post(F.lit("j")), post(own)).alias("included")))
+    found = feeds.collection(body)
+    return read(spark, sf_dir, "pages").select("page_id", F.array_join(F.transform(found, lambda p: p["id"]), ",").alias("ids"))
+
+
+@query("""
+SELECT p_partkey, '<metadata>' || chr(9) || chr(9) || '<meta name="calibre:series" content="' || p_brand || '" />' || chr(10) || chr(9) || chr(9) || '<meta name="calibre:series_index" content="' || p_size || '" />' || chr(10) || chr(9) || chr(9)
+  || '<meta property="belongs-to-collection" id="series">' || p_brand || '</meta>' || chr(10) || chr(9) || chr(9) || '<meta refines="#series" property="collection-type">series</meta>' || chr(10) || chr(9) || chr(9) || '<meta refines="#series" property="group-position">' || p_size || '</meta>'
+  || chr(10) || chr(9) || '</metadata>' AS opf FROM part""")
+def q_series_metadata(spark, sf_dir):
+    p = read(spark, sf_dir, "part")
+    return p.select("p_partkey", packages.with_series(F.lit("<metadata></metadata>"), F.col("p_brand"), F.col("p_size").cast("double")).alias("opf"))
+
+
 @query("""
 WITH p AS (SELECT page_id, regexp_extract_all(html, '(?i)href="([^"]*)"', 1) AS l FROM pages)
 SELECT page_id, len(list_distinct(l))::INT AS links, l[1] AS first_link FROM p""")
