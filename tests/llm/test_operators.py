@@ -208,7 +208,8 @@ def test_jaccard_join_empty(spark):
 def test_decontamination(spark, per_block):
     rnd = random.Random(4)
     rows = corpus(60)
-    items = [(i, " ".join(rnd.choice(rows)[1].split()[:k]) if k else "") for i, k in enumerate([0, 1, 2, 4, 5, 6, 20, 60, 60, 60, 30] * 2) if rnd.choice(rows)[1]]
+    texts = [t for _, t, *_ in rows if t]
+    items = [(i, " ".join(rnd.choice(texts).split()[:k])) for i, k in enumerate([0, 1, 2, 4, 5, 6, 20, 60, 60, 60, 30] * 2)]
     items += [(90, None), (None, "x"), (91, "X"), (91, "X")]
     items = [(i, t) for i, t in items if t is None or len(t) < 5000]
 
