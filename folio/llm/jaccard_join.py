@@ -4,12 +4,12 @@
    documents share. Documents with equal sets have one representative.
 2. Similar documents are partitioned into groups: representatives with a band key in common are compared with the first
    of them, and what is linked to each other makes a group.
-3. The token-group matrix has a row for each token and group that has it. A set of n tokens that has 0.8 or more in
-   common with another shares at least one of its first n - ceil(0.8 n) + 1 tokens in any order that is the same for all
-   sets, so the matrix is kept for these only. The order puts tokens that many documents share last; they are found
+3. The token-group matrix has a row for each token and group that has it. Two sets with 0.8 or more in common share at
+   least l of their first n - ceil(0.8 n) + l tokens in any order that is the same for all sets, so the matrix is kept for
+   these only (l = 1 + n / SHARE, of the smaller set). The order puts tokens that many documents share last; they are found
    by rounds over the matrix itself, and what is in that list decides speed only, never results. Tokens of one group alone
    fall away.
-4. A document is a candidate for each other group with a token in common. Groups are held in blocks of BLOCK members with
+4. A document is a candidate for each other group that shares enough of these tokens. Groups are held in blocks of BLOCK members with
    the union of their tokens; a block is opened for a query only if the union has 0.8 of the query's tokens, and then its
    members of fitting size are compared exactly. No links are lost, and no pairs within a group are made.
 5. Components of all links.
@@ -25,7 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from folio.llm.common import Words, cut, mix, shingle_hashes, sub_batches, table, text_bytes
@@ -37,10 +37,12 @@ BINS = 16
 BLOCK = 64
 OFTEN = 16
 WIDE = 8
+SHARE = 12
 ROUNDS = 4
 MOST_OFTEN = 2_000_000
 FLUSH = 2_000_000
 BROADCAST_IDS = 4_000_000
+QUERIES = 500
 
 
 def needed(n: int, percent: int = PERCENT) -> int:
@@ -48,6 +50,11 @@ def needed(n: int, percent: int = PERCENT) -> int:
     return -(-percent * n // 100)
 
 
+def least_shared(n: int) -> int:
+    """Tokens that the first tokens of a set of n must share with those of a similar set of n tokens or more."""
+    return 1 + n // SHARE
+
+
 def similar(shared: int, a: int, b: int, percent: int = PERCENT) -> bool:
     return 100 * shared >= percent * (a + b - shared)
 
@@ -141,8 +148,9 @@ class Often:
 
 
 def prefix_of(s: np.ndarray, often: Often) -> np.ndarray:
-    """The first tokens of a set, of which any similar set has one among its own first."""
-    p = len(s) - needed(len(s)) + 1
+    """The first tokens of a set. Of two similar sets the first tokens share at least as many as least_shared() says for
+    the smaller one: of the `needed` tokens in common at most n - p(n) lie beyond the first p(n)."""
+    p = len(s) - needed(len(s)) + least_shared(len(s))
     hot = often.has(s)
     if not hot[:p].any():
         return s[:p]
@@ -196,8 +204,11 @@ def open_blocks(docs: DataFrame, queries: DataFrame, members: DataFrame) -> Data
     """Links (a, b) of queries(doc_id, block) with the members(doc_id, block) of the same block.
 
     Only texts of documents in either are read on; the ids are broadcast while there are few, else joined by shuffle."""
-    asked = queries.select("block").distinct()
-    roles = cut(members.join(asked, "block").select("doc_id", "block", F.lit(0).alias("role")).unionByName(queries.select("doc_id", "block", F.lit(1).alias("role"))).distinct())
+    # A block that very many documents ask for is held once for each QUERIES of them
+    parts = cut(queries.groupBy("block").agg(F.ceil(F.count("*") / QUERIES).cast("int").alias("parts")))
+    held = members.join(parts, "block").select("doc_id", "block", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("role"))
+    asking = queries.join(parts, "block").select("doc_id", "block", F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int").alias("part"), F.lit(1).alias("role"))
+    roles = cut(held.unionByName(asking).distinct().select("doc_id", F.concat_ws("/", F.col("block").cast("string"), F.col("part").cast("string")).alias("block"), "role"))
     ids = cut(roles.select("doc_id").distinct())
     texts = docs.select("doc_id", "text").join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id")
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -228,6 +239,17 @@ def open_blocks(docs: DataFrame, queries: DataFrame, members: DataFrame) -> Data
     return rows.select("block", "role", "doc_id", "tokens").mapInArrow(compare, f"a {kind}, b {kind}")
 
 
+def _enough(n: Column, least: Column, most: Column) -> Column:
+    """First tokens that a set of n must share with a similar one of least..most tokens. Similar sets of n and r have
+    ceil(80 (n + r) / 180) in common, of which at most as many lie beyond the first tokens as either set has there. That
+    grows up to r = n and falls beyond, so it is smallest at an end; 2 less make up for rounding."""
+    share = lambda x: F.ceil(F.lit(PERCENT) * x / 100)
+    beyond = lambda x: share(x) - 1 - F.floor(x / SHARE)
+    at = lambda r: F.ceil(F.lit(PERCENT) * (n + r) / (100 + PERCENT)) - F.greatest(beyond(n), beyond(r))
+    low, high = F.greatest(least, share(n)), F.least(most, F.floor(n * 100 / PERCENT))
+    return F.greatest(F.lit(1), F.least(at(low), at(high)) - 2)
+
+
 def _collected(rows: DataFrame, count: str) -> tuple[np.ndarray, np.ndarray]:
     """Tokens and their counts, MOST_OFTEN at most, those of the largest counts. The list decides speed only."""
     top = rows.orderBy(F.desc(count), "token").limit(MOST_OFTEN).select("token", count).toPandas()
@@ -270,7 +292,8 @@ def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
             break
         often = often.with_more(tokens[new], times[new])
     fits = (F.col("other") < F.col("g")) & (PERCENT * F.col("n") <= 100 * F.col("most")) & (PERCENT * F.col("least") <= 100 * F.col("n"))
-    asked = cut(matrix.join(columns.withColumnRenamed("g", "other"), "token").where(fits).select("doc_id", F.col("other").alias("g")).distinct())
+    met = matrix.join(columns.withColumnRenamed("g", "other"), "token").where(fits).groupBy("doc_id", "n", F.col("other").alias("g")).agg(F.count("*").alias("shared"), F.min("least").alias("least"), F.max("most").alias("most"))
+    asked = cut(met.where(F.col("shared") >= _enough(F.col("n"), F.col("least"), F.col("most"))).select("doc_id", "g").distinct())
 
     # Members of asked groups, in blocks
     sizes = group_of.groupBy("g").agg(F.ceil(F.count("*") / BLOCK).alias("blocks")).join(asked.select("g").distinct(), "g")

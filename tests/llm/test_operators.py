@@ -186,7 +186,7 @@ def brute_components(rows):
 
 @pytest.mark.parametrize(("often", "wide", "block"), [(16, 8, 64), (3, 1, 2)])
 def test_jaccard_join(spark, monkeypatch, often, wide, block):
-    for name, value in (("OFTEN", often), ("WIDE", wide), ("BLOCK", block)):
+    for name, value in (("OFTEN", often), ("WIDE", wide), ("BLOCK", block), ("QUERIES", block)):
         monkeypatch.setattr(jaccard_join, name, value)
     rows = [*corpus(110, seed=9), (None, "a b c d e f", None, None, None)]
     got = defaultdict(list)
