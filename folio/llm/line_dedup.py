@@ -5,6 +5,12 @@ only the boundaries beside them. A line of LONG_WORDS words or more is a chunk b
 or of LONG_WORDS words or more, that stands in more than one place of the whole table is removed everywhere but at its
 first place, by (doc_id, line). Chunks count as equal only if all their bytes are equal: they meet by content, not by hash.
 
+Chunks miss passages that their boundaries cut elsewhere. `dedup_runs` therefore also removes each run of lines of LONG_WORDS
+words or more in all that stands at an earlier place, wherever boundaries fall. Such a run is the union of the shortest runs
+of LONG_WORDS words from each of its lines on and back from each of its lines (`short_runs`). Where these end depends on their
+own lines only, so they meet by one join, without chains of neighbours. They count as equal by a 128-bit BLAKE2b digest.
+The earliest place is kept, and so is what overlaps with it; lines without a word at the ends of a run stay.
+
 All chunks go through one shuffle by content and one back to their documents. Contents that occur more than `hot` times
 (counted by hash beforehand with partial sums; at most MAX_HOT by that bound) are spread over SALTS tasks by doc_id, and
 their first places are found by a partial minimum.
@@ -17,13 +23,14 @@ columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from folio.llm.common import table
+from folio.llm.common import table, text_bytes
 
 DIVISOR = 4
 LONG_WORDS = 50
@@ -57,26 +64,94 @@ def split_chunks(text: bytes, divisor: int = DIVISOR, long_words: int = LONG_WOR
     return out
 
 
+def numbered(docs: DataFrame) -> DataFrame:
+    return docs.select(F.monotonically_increasing_id().alias("_row"), "doc_id", "text")
+
+
 def chunks(docs: DataFrame, divisor: int = DIVISOR, long_words: int = LONG_WORDS) -> DataFrame:
-    """_row, doc_id, first_line, n_lines, removable, chunk for each chunk of docs(doc_id, text)."""
+    """_row, of (hash of the text), doc_id, first_line, n_lines, removable, chunk for each chunk of docs(doc_id, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
         for whole in batches:
             for at in range(0, whole.num_rows, 500):
                 batch = whole.slice(at, 500)
-                made = [split_chunks(x or b"", divisor, long_words) for x in batch.column("text").cast("binary").to_pylist()]
+                texts = text_bytes(batch.column("text"))
+                made = [split_chunks(x, divisor, long_words) for x in texts]
+                of = pa.array([xxhash.xxh3_64_intdigest(x) for x in texts], pa.uint64()).view(pa.int64())
                 parent = pa.array(np.repeat(np.arange(len(made)), [len(m) for m in made]))
                 flat = [c for m in made for c in m]
                 removable = [w > 0 and (n > 1 or w >= long_words) for _, n, w, _ in flat]
                 first, lines = (np.array([c[i] for c in flat], np.int32) for i in (0, 1))
-                yield pa.RecordBatch.from_arrays([batch.column("_row").take(parent), batch.column("doc_id").take(parent), pa.array(first), pa.array(lines), pa.array(removable, pa.bool_()), pa.array([c[3] for c in flat], pa.binary()).cast("string")], names=["_row", "doc_id", "first_line", "n_lines", "removable", "chunk"])
+                yield pa.RecordBatch.from_arrays([batch.column("_row").take(parent), of.take(parent), batch.column("doc_id").take(parent), pa.array(first), pa.array(lines), pa.array(removable, pa.bool_()), pa.array([c[3] for c in flat], pa.binary()).cast("string")], names=["_row", "of", "doc_id", "first_line", "n_lines", "removable", "chunk"])
 
-    rows = docs.select(F.monotonically_increasing_id().alias("_row"), "doc_id", "text")
-    return rows.mapInArrow(run, f"_row long, doc_id {rows.schema['doc_id'].dataType.simpleString()}, first_line int, n_lines int, removable boolean, chunk string")
+    rows = numbered(docs)
+    return rows.mapInArrow(run, f"_row long, of long, doc_id {rows.schema['doc_id'].dataType.simpleString()}, first_line int, n_lines int, removable boolean, chunk string")
 
 
-def dedup_lines(docs: DataFrame, divisor: int = DIVISOR, long_words: int = LONG_WORDS, hot: int = HOT) -> DataFrame:
-    """doc_id, n_lines, n_chunks, removed_lines, removed (spans of lines, the last one included), text for every row."""
+def short_runs(text: bytes, long_words: int = LONG_WORDS) -> list[tuple[int, int, bytes]]:
+    """(first line, lines, digest) of the shortest runs of two lines or more that have long_words words, forward from each
+    line with a word and back from each. Runs of one line are chunks."""
+    lines = text.split(b"\n")
+    words = np.fromiter((len(x.split()) for x in lines), np.int64, len(lines))
+    sums, at = np.zeros(len(lines) + 1, np.int64), np.zeros(len(lines) + 1, np.int64)
+    np.cumsum(words, out=sums[1:])
+    if len(lines) < 2 or sums[-1] < long_words:
+        return []
+    np.cumsum([len(x) + 1 for x in lines], out=at[1:])
+    own = np.flatnonzero(words)
+    ends, starts = np.searchsorted(sums, sums[own] + long_words), np.searchsorted(sums, sums[own + 1] - long_words, "right") - 1
+    spans = {*zip(own.tolist(), ends.tolist()), *zip(starts.tolist(), (own + 1).tolist())}
+    return [(a, b - a, blake2b(text[at[a] : at[b] - 1], digest_size=16).digest()) for a, b in sorted(spans) if a >= 0 and b <= len(lines) and b - a > 1]
+
+
+def repeated_runs(docs: DataFrame, long_words: int = LONG_WORDS) -> DataFrame:
+    """_row, of (hash of the text), runs (first_line, n_lines) of each row of docs(_row, doc_id, text) with short runs that
+    also stand at an earlier place."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
+        for whole in batches:
+            for at in range(0, whole.num_rows, 500):
+                batch = whole.slice(at, 500)
+                texts = text_bytes(batch.column("text"))
+                made = [short_runs(x, long_words) for x in texts]
+                parent = pa.array(np.repeat(np.arange(len(made)), [len(m) for m in made]))
+                flat = [c for m in made for c in m]
+                of = pa.array([xxhash.xxh3_64_intdigest(x) for x in texts], pa.uint64()).view(pa.int64())
+                first, lines = (pa.array([c[i] for c in flat], pa.int32()) for i in (0, 1))
+                yield pa.RecordBatch.from_arrays([batch.column("_row").take(parent), batch.column("doc_id").take(parent), of.take(parent), first, lines, pa.array([c[2] for c in flat], pa.binary())], names=["_row", "doc_id", "of", "first_line", "n_lines", "digest"])
+
+    spans = docs.mapInArrow(run, f"_row long, doc_id {docs.schema['doc_id'].dataType.simpleString()}, of long, first_line int, n_lines int, digest binary")
+    place = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("d"), F.col("_row").alias("r"), F.col("first_line").alias("l"))
+    firsts = spans.groupBy("digest").agg(F.min(place).alias("a"), F.count("*").alias("m")).where("m > 1").drop("m")
+    overlaps = (F.col("a.r") == F.col("_row")) & (F.col("first_line") < F.col("a.l") + F.col("n_lines"))
+    return spans.join(firsts, "digest").where(~overlaps).groupBy("_row").agg(F.first("of").alias("of"), F.sort_array(F.collect_list(F.struct("first_line", "n_lines"))).alias("runs"))
+
+
+def _without(lines: int, chunks: list[dict], runs: list[dict]) -> tuple[list[tuple[int, int]], str]:
+    """Removed spans of lines, as long as can be, and the text that is left of chunks."""
+    gone = np.zeros(lines + 1, np.int32)  # +1 where a removed run begins, -1 behind it
+    for x in [*runs, *(c for c in chunks if not c["kept"])]:
+        gone[x["first_line"]] += 1
+        gone[x["first_line"] + x["n_lines"]] -= 1
+    gone = np.cumsum(gone) > 0
+    edges = np.flatnonzero(np.diff(np.concatenate([[False], gone])))
+    left = []
+    for c in chunks:
+        if c["kept"]:
+            own = gone[c["first_line"] : c["first_line"] + c["n_lines"]]
+            if not own.any():
+                left.append(c["chunk"])
+            elif not own.all():
+                left.append("\n".join(x for x, g in zip(c["chunk"].split("\n"), own) if not g))
+    return list(zip(edges[::2].tolist(), (edges[1::2] - 1).tolist())), "\n".join(left)
+
+
+def _pieces(docs: DataFrame, divisor: int, long_words: int, hot: int) -> DataFrame:
+    """_row, of, doc_id and p, the chunks in their order (first_line, n_lines, kept, chunk if kept), for every row."""
     parts = chunks(docs, divisor, long_words)
     h = F.xxhash64("chunk")
     often = parts.where("removable").select(h.alias("h")).groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") > hot)
@@ -92,7 +167,12 @@ def dedup_lines(docs: DataFrame, divisor: int = DIVISOR, long_words: int = LONG_
         named = named.withColumn("_sha", F.when(is_hot, F.sha2("chunk", 256))).join(F.broadcast(firsts), "_sha", "left")
         named = named.withColumn("_kept", F.col("_kept") & (F.col("_first").isNull() | (F.col("_first") == place))).drop("_sha", "_first")
     piece = F.struct("first_line", "n_lines", F.col("_kept").alias("kept"), F.when(F.col("_kept"), F.col("chunk")).alias("chunk"))
-    whole = named.groupBy("_row").agg(F.first("doc_id").alias("doc_id"), F.sort_array(F.collect_list(piece)).alias("p"))
+    return named.groupBy("_row").agg(F.first("of").alias("of"), F.first("doc_id").alias("doc_id"), F.sort_array(F.collect_list(piece)).alias("p"))
+
+
+def dedup_lines(docs: DataFrame, divisor: int = DIVISOR, long_words: int = LONG_WORDS, hot: int = HOT) -> DataFrame:
+    """doc_id, n_lines, n_chunks, removed_lines, removed (spans of lines, the last one included), text for every row."""
+    whole = _pieces(docs, divisor, long_words, hot)
     gone = F.filter("p", lambda x: ~x["kept"])
     return whole.select(
         "doc_id",
@@ -104,6 +184,36 @@ def dedup_lines(docs: DataFrame, divisor: int = DIVISOR, long_words: int = LONG_
     )
 
 
+def dedup_runs(docs: DataFrame, divisor: int = DIVISOR, long_words: int = LONG_WORDS, hot: int = HOT) -> DataFrame:
+    """The columns of dedup_lines, without repeated chunks and without repeated runs of long_words words; removed spans are as
+    long as can be."""
+    whole = _pieces(docs, divisor, long_words, hot)
+    found = repeated_runs(numbered(docs), long_words).withColumnRenamed("of", "seen")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        span = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())]))
+        for all_rows in batches:
+            for at in range(0, all_rows.num_rows, 100):
+                batch = all_rows.slice(at, 100)
+                n_lines, n_chunks, removed_lines, removed, texts = [], [], [], [], []
+                for row in batch.select(["of", "seen", "p", "runs"]).to_pylist():
+                    if row["seen"] not in (None, row["of"]):
+                        raise RuntimeError("The table's rows came in another order when they were read again")
+                    n = sum(c["n_lines"] for c in row["p"])
+                    spans, left = _without(n, row["p"], row["runs"] or [])
+                    n_lines.append(n)
+                    n_chunks.append(len(row["p"]))
+                    removed_lines.append(sum(b - a + 1 for a, b in spans))
+                    removed.append([{"first": a, "last": b} for a, b in spans])
+                    texts.append(left)
+                counts = [pa.array(x, pa.int32()) for x in (n_lines, n_chunks, removed_lines)]
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *counts, pa.array(removed, span), pa.array(texts, pa.string())], names=["doc_id", "n_lines", "n_chunks", "removed_lines", "removed", "text"])
+
+    kind = whole.schema["doc_id"].dataType.simpleString()
+    joined = whole.join(found, "_row", "left").select("doc_id", "of", "seen", "p", "runs")
+    return joined.mapInArrow(run, f"doc_id {kind}, n_lines int, n_chunks int, removed_lines int, removed array<struct<first: int, last: int>>, text string")
+
+
 def op10_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = dedup_lines(table(spark, sf_dir, "documents"))
+    out = dedup_runs(table(spark, sf_dir, "documents"))
     return out.withColumns({"n_chars": F.char_length("text"), "text_sha256": F.sha2("text", 256)}).drop("text")
