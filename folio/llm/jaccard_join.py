@@ -11,9 +11,14 @@
    fall away.
 4. A document is a candidate for each other group that shares enough of these tokens. Groups are held in blocks of BLOCK members with
    the union of their tokens; a block is opened for a query only if the union has 0.8 of the query's tokens, and then its
-   members of fitting size are compared exactly. No links are lost, and no pairs within a group are made.
+   members of fitting size are compared exactly. Between groups no links are lost. Components need no more: within a group
+   only links with the first of a band are made.
 5. Components of all links.
 
+`similar_pairs` has all links: each group's blocks are opened for its own members too, under the same bound. They are given
+as pairs of representatives with the membership of documents; `link_counts` counts them for each document from both, without
+pairs of copies. A document whose rows have different sets represents itself only.
+
 Defined results: null text counts as without words; sets without tokens are linked with nothing; rows of one doc_id are one
 document with the links of each; null doc_id has component_id null; an empty table gives an empty result; other columns
 are ignored. Tokens are compared by 64-bit hashes of words and shingles.
@@ -185,6 +190,15 @@ class OpenBlock:
         self.sets.append(s)
         self.union = None
 
+    def _unite(self) -> None:
+        """The union of the sets, and for each token of it a bit for each set that has it."""
+        self.union, of_token = np.unique(np.concatenate(self.sets), return_inverse=True)
+        self.masks = np.zeros((len(self.union), -(-len(self.sets) // 8)), np.uint8)
+        at = 0
+        for i, s in enumerate(self.sets):
+            self.masks[of_token[at : at + len(s)], i // 8] |= np.uint8(1 << i % 8)
+            at += len(s)
+
     @staticmethod
     def shared(q: np.ndarray, s: np.ndarray) -> int:
         at = np.searchsorted(s, q)
@@ -194,9 +208,14 @@ class OpenBlock:
     def links(self, doc_id, q: np.ndarray) -> list:
         if len(self.sets) > 1:
             if self.union is None:
-                self.union = np.unique(np.concatenate(self.sets))
-            if self.shared(q, self.union) < needed(len(q)):
+                self._unite()
+            at = np.searchsorted(self.union, q)
+            at[at == len(self.union)] = 0
+            at = at[self.union[at] == q] if len(self.union) else at[:0]
+            if len(at) < needed(len(q)):
                 return []
+            shared = np.unpackbits(self.masks[at], axis=1, count=len(self.sets), bitorder="little").sum(0, dtype=np.int64).tolist()
+            return [i for i, s, n in zip(self.ids, self.sets, shared, strict=True) if i != doc_id and needed(len(q)) <= len(s) and needed(len(s)) <= len(q) and similar(n, len(q), len(s))]
         return [i for i, s in zip(self.ids, self.sets, strict=True) if i != doc_id and needed(len(q)) <= len(s) and needed(len(s)) <= len(q) and similar(self.shared(q, s), len(q), len(s))]
 
 
@@ -259,14 +278,25 @@ def _collected(rows: DataFrame, count: str) -> tuple[np.ndarray, np.ndarray]:
 def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(doc_id, n) of every row, and links (a, b) that connect all similar documents: within a group of equal or similar
     ones with the first of them, between groups all that there are."""
+    rows, copies, made = _links(docs, False)
+    return rows, copies.unionByName(made)
+
+
+def _links(docs: DataFrame, within: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(doc_id, n) of every row, links of copies with their representatives, and links of representatives: all between
+    groups, and within a group all if `within`, else those with the first of a band."""
     told = cut(describe(docs))
     rows = told.where("n is not null").select("doc_id", "n", "d1", "d2", "keys")
     shared = told.where("token is not null").groupBy("token").agg(F.sum("times").alias("times")).where(F.col("times") >= OFTEN)
     often = Often().with_more(*_collected(shared, "times"))
 
-    full = rows.where("n > 0 and doc_id is not null")
-    nodes = cut(full.groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("doc_id"), F.first("keys").alias("keys")))
-    copies = full.join(nodes.select("d1", "d2", "n", F.col("doc_id").alias("b")), ["d1", "d2", "n"]).where("doc_id <> b").select(F.col("doc_id").alias("a"), "b")
+    full, equal = rows.where("n > 0 and doc_id is not null"), ["d1", "d2", "n"]
+    if within:  # a document of several sets is not the same as those that have one of them
+        several = full.groupBy("doc_id").agg((F.countDistinct(*equal) > 1).alias("several")).where("several")
+        full = full.join(cut(several), "doc_id", "left").withColumn("own", F.when(F.col("several"), F.col("doc_id").cast("string")).otherwise("")).drop("several")
+        equal.append("own")
+    nodes = cut(full.groupBy(*equal).agg(F.min("doc_id").alias("doc_id"), F.first("keys").alias("keys")))
+    copies = full.join(nodes.select(*equal, F.col("doc_id").alias("b")), equal).where("doc_id <> b").select(F.col("doc_id").alias("a"), "b")
 
     # Groups: each document against the first of its band
     keyed = cut(nodes.select("doc_id", F.posexplode("keys").alias("band", "key")))
@@ -294,6 +324,8 @@ def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     fits = (F.col("other") < F.col("g")) & (PERCENT * F.col("n") <= 100 * F.col("most")) & (PERCENT * F.col("least") <= 100 * F.col("n"))
     met = matrix.join(columns.withColumnRenamed("g", "other"), "token").where(fits).groupBy("doc_id", "n", F.col("other").alias("g")).agg(F.count("*").alias("shared"), F.min("least").alias("least"), F.max("most").alias("most"))
     asked = cut(met.where(F.col("shared") >= _enough(F.col("n"), F.col("least"), F.col("most"))).select("doc_id", "g").distinct())
+    if within:
+        asked = asked.unionByName(group_of.join(group_of.groupBy("g").agg(F.count("*").alias("m")).where("m > 1"), "g").select("doc_id", "g").distinct())
 
     # Members of asked groups, in blocks
     sizes = group_of.groupBy("g").agg(F.ceil(F.count("*") / BLOCK).alias("blocks")).join(asked.select("g").distinct(), "g")
@@ -303,7 +335,7 @@ def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     queries = asked.join(sizes, "g").select("doc_id", "g", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("part")).select("doc_id", block(F.col("part")).alias("block"))
     text_block = lambda df: df.withColumn("block", F.concat_ws(":", "block.g", "block.part"))
     across = open_blocks(docs, text_block(queries), text_block(members))
-    return rows.select("doc_id", "n"), copies.unionByName(near).unionByName(across)
+    return rows.select("doc_id", "n"), copies, near.unionByName(across)
 
 
 def join_components(docs: DataFrame) -> DataFrame:
@@ -313,6 +345,29 @@ def join_components(docs: DataFrame) -> DataFrame:
     return rows.join(found, "doc_id", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("c", "doc_id").alias("component_id"))
 
 
+def similar_pairs(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(doc_id, n) of every row; the representative of each document that has tokens; all pairs (a < b) of similar ones
+    among the representatives. Documents of one representative are similar too."""
+    rows, copies, made = _links(docs, True)
+    copies = copies.select(F.col("a").alias("doc_id"), F.col("b").alias("representative")).distinct()
+    ids = rows.where("n > 0 and doc_id is not null").select("doc_id").distinct()
+    members = ids.join(copies, "doc_id", "left").select("doc_id", F.coalesce("representative", "doc_id").alias("representative"))
+    return rows, cut(members), cut(made.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+
+
+def link_counts(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id, n_links (other documents that are similar) for every row of docs(doc_id, text)."""
+    rows, members, pairs = similar_pairs(docs)
+    found = components(members.select(F.col("doc_id").alias("a"), F.col("representative").alias("b")).unionByName(pairs)).withColumnRenamed("v", "doc_id")
+    sizes = cut(members.groupBy("representative").agg(F.count("*").alias("size")))
+    both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    beyond = both.join(sizes.withColumnRenamed("representative", "b"), "b").groupBy(F.col("a").alias("representative")).agg(F.sum("size").alias("beyond"))
+    n_links = F.col("size") - 1 + F.coalesce("beyond", F.lit(0))
+    counts = members.join(sizes.join(beyond, "representative", "left").select("representative", n_links.alias("n_links")), "representative").drop("representative")
+    out = rows.join(found, "doc_id", "left").join(counts, "doc_id", "left")
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("c", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+
+
 def keep_one(docs: DataFrame) -> DataFrame:
     """The rows of docs that have the smallest doc_id of their component, or none, with all their columns."""
     stay = join_components(docs).where("doc_id = component_id").select("doc_id").distinct()
@@ -323,6 +378,10 @@ def op2_token_group_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return join_components(table(spark, sf_dir, "documents"))
 
 
+def op2_link_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return link_counts(table(spark, sf_dir, "documents"))
+
+
 SQL = """
 WITH RECURSIVE d AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
@@ -339,3 +398,8 @@ r(v, c) AS (
 SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, m.component_id
 FROM d LEFT JOIN n ON n.doc_id = d.doc_id JOIN (SELECT v, min(c) AS component_id FROM r GROUP BY v) m ON m.v = d.doc_id
 """
+
+LINKS_SQL = (
+    SQL.replace("m.component_id\nFROM", "m.component_id, coalesce(k.n_links, 0) AS n_links\nFROM")
+    + "LEFT JOIN (SELECT a, count(DISTINCT b) AS n_links FROM both_ways GROUP BY a) k ON k.a = d.doc_id\n"
+)

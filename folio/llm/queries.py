@@ -13,6 +13,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         language_id.op1_ppm_language,
         jaccard_join.op2_token_group_join,
+        jaccard_join.op2_link_counts,
         language_model.op3_pitman_yor,
         toxicity.op4_nearest_toxicity,
         exact_dedup.op5_block_naming,
@@ -26,6 +27,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLE_SQL: dict[str, str] = {
     "op2_token_group_join": jaccard_join.SQL,
+    "op2_link_counts": jaccard_join.LINKS_SQL,
     "op5_block_naming": exact_dedup.SQL,
     "op9_benchmark_containment": decontamination.SQL,
 }
