@@ -4,17 +4,20 @@
    documents share. Documents with equal sets have one representative.
 2. Similar documents are partitioned into groups: representatives with a band key in common are compared with the first
    of them, and what is linked to each other makes a group.
-3. The token-group matrix has a row for each token and group that has it. Two sets with 0.8 or more in common share at
-   least l of their first n - ceil(0.8 n) + l tokens in any order that is the same for all sets, so the matrix is kept for
-   these only (l = 1 + n / SHARE, of the smaller set). The order puts tokens that many documents share last; they are found
-   by rounds over the matrix itself, and what is in that list decides speed only, never results. Tokens of one group alone
-   fall away.
-4. A document is a candidate for each other group that shares enough of these tokens. Groups are held in blocks of BLOCK members with
+3. The token-group matrix has a row for each token and group that has it. Of two similar sets of x <= y tokens at least
+   16/18 x and 0.8 y tokens are in common. So in any order that is the same for all sets the first token in common is among
+   the first x - ceil(16 x / 18) + 1 of the one and the first y - ceil(0.8 y) + 1 of the other: only these go into the
+   matrix and ask it. The order puts tokens that many documents share last; they are found by rounds over the matrix
+   itself, and what is in that list decides speed only, never results. Tokens of one group alone fall away.
+4. A document is a candidate for each other group of sets no larger than itself that has one of these tokens, if what is left behind that
+   token's place in both is enough for a similar pair. Groups are held in blocks of BLOCK members with
    the union of their tokens; a block is opened for a query only if the union has 0.8 of the query's tokens, and then its
    members of fitting size are compared exactly. Between groups no links are lost. Components need no more: within a group
    only links with the first of a band are made.
 5. Components of all links.
 
+Sets are hashed anew where they are needed, for reading 8 bytes a shingle back costs more than hashing 6 bytes a word.
+
 `similar_pairs` has all links: each group's blocks are opened for its own members too, under the same bound. They are given
 as pairs of representatives with the membership of documents; `link_counts` counts them for each document from both, without
 pairs of copies. A document whose rows have different sets represents itself only.
@@ -42,12 +45,11 @@ BINS = 16
 BLOCK = 64
 OFTEN = 16
 WIDE = 8
-SHARE = 12
-ROUNDS = 4
+ROUNDS = 3
 MOST_OFTEN = 2_000_000
 FLUSH = 2_000_000
-BROADCAST_IDS = 4_000_000
-QUERIES = 500
+BROADCAST_BYTES = 64 << 20
+QUERIES = 128
 
 
 def needed(n: int, percent: int = PERCENT) -> int:
@@ -55,9 +57,14 @@ def needed(n: int, percent: int = PERCENT) -> int:
     return -(-percent * n // 100)
 
 
-def least_shared(n: int) -> int:
-    """Tokens that the first tokens of a set of n must share with those of a similar set of n tokens or more."""
-    return 1 + n // SHARE
+def first_asking(n: int) -> int:
+    """How many first tokens of a set of n can be the first in common with a similar set that is no larger."""
+    return n - needed(n) + 1
+
+
+def first_held(n: int, percent: int = PERCENT) -> int:
+    """The same with a similar set that is no smaller."""
+    return n + (-2 * percent * n // (100 + percent)) + 1
 
 
 def similar(shared: int, a: int, b: int, percent: int = PERCENT) -> bool:
@@ -153,9 +160,8 @@ class Often:
 
 
 def prefix_of(s: np.ndarray, often: Often) -> np.ndarray:
-    """The first tokens of a set. Of two similar sets the first tokens share at least as many as least_shared() says for
-    the smaller one: of the `needed` tokens in common at most n - p(n) lie beyond the first p(n)."""
-    p = len(s) - needed(len(s)) + least_shared(len(s))
+    """The first tokens of a set in the order of all sets."""
+    p = first_asking(len(s))
     hot = often.has(s)
     if not hot[:p].any():
         return s[:p]
@@ -163,18 +169,27 @@ def prefix_of(s: np.ndarray, often: Often) -> np.ndarray:
     return np.concatenate([s[~hot], late[np.lexsort((late, often.times[often.places(late)]))]])[:p]
 
 
-def postings(docs: DataFrame, often: Often) -> DataFrame:
-    """token, doc_id for the first tokens of each set."""
+def prefixes(docs: DataFrame, often: Often) -> DataFrame:
+    """doc_id, n, held (how many of the tokens go into the matrix), tokens (that ask it, in their order) of each set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, sets in _texts(batches):
             first = [prefix_of(s, often) if len(s) else s for s in sets]
-            parent = pa.array(np.repeat(np.arange(len(first)), [len(f) for f in first]))
-            tokens = np.concatenate([*first, np.empty(0, np.uint64)]).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(tokens), batch.column("doc_id").take(parent)], names=["token", "doc_id"])
+            offsets = np.zeros(len(first) + 1, np.int32)
+            np.cumsum([len(f) for f in first], out=offsets[1:])
+            tokens = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([*first, np.empty(0, np.uint64)]).view(np.int64)))
+            n = [len(s) for s in sets]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array([first_held(x) for x in n], pa.int32()), tokens], names=["doc_id", "n", "held", "tokens"])
+
+    slim = docs.select("doc_id", "text").where("doc_id is not null and text is not null")
+    return slim.mapInArrow(run, f"doc_id {slim.schema['doc_id'].dataType.simpleString()}, n long, held int, tokens array<long>")
 
-    slim = docs.select("doc_id", "text").where("doc_id is not null")
-    return slim.mapInArrow(run, f"token long, doc_id {slim.schema['doc_id'].dataType.simpleString()}")
+
+def _small(rows: DataFrame) -> DataFrame:
+    """rows to be sent to all executors while they have at most BROADCAST_BYTES there, else to be joined by shuffle."""
+    sizes = [F.octet_length(F.col(c).cast("string")) for c in rows.columns]
+    held = rows.agg(F.sum(sum(sizes, F.lit(24)))).first()[0] or 0
+    return F.broadcast(rows) if held <= BROADCAST_BYTES else rows
 
 
 class OpenBlock:
@@ -222,14 +237,14 @@ class OpenBlock:
 def open_blocks(docs: DataFrame, queries: DataFrame, members: DataFrame) -> DataFrame:
     """Links (a, b) of queries(doc_id, block) with the members(doc_id, block) of the same block.
 
-    Only texts of documents in either are read on; the ids are broadcast while there are few, else joined by shuffle."""
+    Only texts of documents in either are read on."""
     # A block that very many documents ask for is held once for each QUERIES of them
     parts = cut(queries.groupBy("block").agg(F.ceil(F.count("*") / QUERIES).cast("int").alias("parts")))
     held = members.join(parts, "block").select("doc_id", "block", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("role"))
     asking = queries.join(parts, "block").select("doc_id", "block", F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int").alias("part"), F.lit(1).alias("role"))
     roles = cut(held.unionByName(asking).distinct().select("doc_id", F.concat_ws("/", F.col("block").cast("string"), F.col("part").cast("string")).alias("block"), "role"))
     ids = cut(roles.select("doc_id").distinct())
-    texts = docs.select("doc_id", "text").join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id")
+    texts = docs.select("doc_id", "text").join(_small(ids), "doc_id")
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -258,17 +273,6 @@ def open_blocks(docs: DataFrame, queries: DataFrame, members: DataFrame) -> Data
     return rows.select("block", "role", "doc_id", "tokens").mapInArrow(compare, f"a {kind}, b {kind}")
 
 
-def _enough(n: Column, least: Column, most: Column) -> Column:
-    """First tokens that a set of n must share with a similar one of least..most tokens. Similar sets of n and r have
-    ceil(80 (n + r) / 180) in common, of which at most as many lie beyond the first tokens as either set has there. That
-    grows up to r = n and falls beyond, so it is smallest at an end; 2 less make up for rounding."""
-    share = lambda x: F.ceil(F.lit(PERCENT) * x / 100)
-    beyond = lambda x: share(x) - 1 - F.floor(x / SHARE)
-    at = lambda r: F.ceil(F.lit(PERCENT) * (n + r) / (100 + PERCENT)) - F.greatest(beyond(n), beyond(r))
-    low, high = F.greatest(least, share(n)), F.least(most, F.floor(n * 100 / PERCENT))
-    return F.greatest(F.lit(1), F.least(at(low), at(high)) - 2)
-
-
 def _collected(rows: DataFrame, count: str) -> tuple[np.ndarray, np.ndarray]:
     """Tokens and their counts, MOST_OFTEN at most, those of the largest counts. The list decides speed only."""
     top = rows.orderBy(F.desc(count), "token").limit(MOST_OFTEN).select("token", count).toPandas()
@@ -307,23 +311,29 @@ def _links(docs: DataFrame, within: bool) -> tuple[DataFrame, DataFrame, DataFra
     groups = components(near)
     group_of = cut(nodes.select("doc_id", "n").join(groups.withColumnRenamed("v", "doc_id"), "doc_id", "left").select("doc_id", "n", F.coalesce("c", "doc_id").alias("g")))
 
-    # The matrix: tokens of two documents, then of two groups at least
+    # The matrix: tokens of two groups at least, one of which holds the token
+    of = _small(group_of.select("doc_id", "g").distinct())
     for last in [*[False] * (ROUNDS - 1), True]:
-        by_token = Window.partitionBy("token")
-        met = postings(docs, often).withColumn("m", F.count("*").over(by_token)).where("m > 1").drop("m")
-        matrix = met.join(group_of, "doc_id").distinct()
-        matrix = cut(matrix.withColumns({"lo": F.min("g").over(by_token), "hi": F.max("g").over(by_token)}).where("lo <> hi").select("token", "doc_id", "n", "g"))
-        columns = matrix.groupBy("token", "g").agg(F.min("n").alias("least"), F.max("n").alias("most"))
-        if last:
+        first = cut(prefixes(docs, often).join(of, "doc_id"))
+        place = first.select("doc_id", "g", "n", "held", F.posexplode("tokens").alias("at", "token"))
+        place = place.select("token", "g", "doc_id", "n", (F.col("n") - F.col("at")).alias("rest"), (F.col("at") < F.col("held")).alias("holds"))
+        met = cut(place.groupBy("token").agg(F.min("g").alias("lo"), F.max("g").alias("hi"), F.max("holds").alias("holds")).where("lo <> hi and holds").select("token"))
+        matrix = cut(place.join(_small(met), "token").distinct())
+        columns = matrix.where("holds").groupBy("token", "g").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.max("rest").alias("rest"))
+        columns = cut(columns.withColumnsRenamed({"g": "other", "rest": "other_rest"}))
+        wide = columns.groupBy("token").agg(F.count("*").alias("times"))
+        met_rows = matrix.groupBy("token").agg(F.count("*").alias("asking")).join(wide, "token").agg(F.sum(F.col("asking").cast("double") * F.col("times"))).first()[0] or 0.0
+        if last or met_rows <= 2 * matrix.count():
             break
-        tokens, times = _collected(columns.groupBy("token").agg(F.count("*").alias("times")).where(F.col("times") > WIDE), "times")
+        tokens, times = _collected(wide.where(F.col("times") > WIDE), "times")
         new = ~often.has(tokens)
-        if (times[new] ** 2).sum() <= matrix.count():  # what is left makes few candidates
+        if not new.any():
             break
         often = often.with_more(tokens[new], times[new])
-    fits = (F.col("other") < F.col("g")) & (PERCENT * F.col("n") <= 100 * F.col("most")) & (PERCENT * F.col("least") <= 100 * F.col("n"))
-    met = matrix.join(columns.withColumnRenamed("g", "other"), "token").where(fits).groupBy("doc_id", "n", F.col("other").alias("g")).agg(F.count("*").alias("shared"), F.min("least").alias("least"), F.max("most").alias("most"))
-    asked = cut(met.where(F.col("shared") >= _enough(F.col("n"), F.col("least"), F.col("most"))).select("doc_id", "g").distinct())
+    n = F.col("n")
+    overlap = F.ceil(PERCENT * (n + F.greatest("least", F.ceil(PERCENT * n / 100))) / (100 + PERCENT) - 1e-6)
+    fits = (F.col("other") != F.col("g")) & (F.col("least") <= n) & (PERCENT * n <= 100 * F.col("most")) & (F.least("rest", "other_rest") >= overlap)
+    asked = cut(matrix.join(columns, "token").where(fits).select("doc_id", F.col("other").alias("g")).distinct())
     if within:
         asked = asked.unionByName(group_of.join(group_of.groupBy("g").agg(F.count("*").alias("m")).where("m > 1"), "g").select("doc_id", "g").distinct())
 
