@@ -16,8 +16,9 @@ SPACE = b" \t\n\x0b\x0c\r"
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Whole texts make rows long: few of them at once keep Arrow buffers and Python workers small."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    """Whole texts make rows long: few of them and few bytes at once keep Arrow buffers and Python workers small."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "500")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -46,6 +46,7 @@ BLOCK = 64
 OFTEN = 16
 WIDE = 8
 ROUNDS = 3
+MEETINGS = 8
 MOST_OFTEN = 2_000_000
 FLUSH = 2_000_000
 BROADCAST_BYTES = 64 << 20
@@ -323,7 +324,7 @@ def _links(docs: DataFrame, within: bool) -> tuple[DataFrame, DataFrame, DataFra
         columns = cut(columns.withColumnsRenamed({"g": "other", "rest": "other_rest"}))
         wide = columns.groupBy("token").agg(F.count("*").alias("times"))
         met_rows = matrix.groupBy("token").agg(F.count("*").alias("asking")).join(wide, "token").agg(F.sum(F.col("asking").cast("double") * F.col("times"))).first()[0] or 0.0
-        if last or met_rows <= 2 * matrix.count():
+        if last or met_rows <= MEETINGS * matrix.count():
             break
         tokens, times = _collected(wide.where(F.col("times") > WIDE), "times")
         new = ~often.has(tokens)
