@@ -11,8 +11,8 @@
    itself, and what is in that list decides speed only, never results. Tokens of one group alone fall away.
 4. A document is a candidate for each other group of sets no larger than itself that has one of these tokens, if what is left behind that
    token's place in both is enough for a similar pair. Groups are held in blocks of BLOCK members with
-   the union of their tokens; a block is opened for a query only if the union has 0.8 of the query's tokens, and then its
-   members of fitting size are compared exactly. Between groups no links are lost. Components need no more: within a group
+   the union of their tokens as a bitmap; a block is opened for a query only if the union leaves enough of the query's tokens
+   for a similar pair. Only then its members' sets are sent, and those of fitting size are compared exactly. Between groups no links are lost. Components need no more: within a group
    only links with the first of a band are made.
 5. Components of all links.
 
@@ -235,18 +235,77 @@ class OpenBlock:
         return [i for i, s in zip(self.ids, self.sets, strict=True) if i != doc_id and needed(len(q)) <= len(s) and needed(len(s)) <= len(q) and similar(self.shared(q, s), len(q), len(s))]
 
 
+def bitmap(s: np.ndarray) -> np.ndarray:
+    """A bit for each token of a set, by its last bits, in 4 to 8 bits a token (a power of two of them), packed."""
+    size = 1 << max(6, (4 * len(s) - 1).bit_length())
+    bits = np.zeros(size, bool)
+    bits[(s & np.uint64(size - 1)).astype(np.int64)] = True
+    return np.packbits(bits, bitorder="little")
+
+
+def folded(bits: np.ndarray, size: int) -> np.ndarray:
+    """The bitmap of the same set in `size` bytes, a power of two."""
+    return np.bitwise_or.reduce(bits.reshape(-1, size), axis=0) if len(bits) > size else bits
+
+
+class BlockBound:
+    """The union of the tokens of a block's sets as a bitmap, and the smallest size of a set."""
+
+    def __init__(self) -> None:
+        self.union: np.ndarray | None = None
+        self.least = 0
+
+    def add(self, n: int, bits: np.ndarray) -> None:
+        if self.union is None:
+            self.union, self.least = bits, n
+            return
+        size = min(len(bits), len(self.union))
+        self.union, self.least = folded(self.union, size) | folded(bits, size), min(self.least, n)
+
+    def may_link(self, n: int, bits: np.ndarray) -> bool:
+        """False only if no set of the block can be similar: each bit of a query that the union lacks is a token it lacks."""
+        if self.union is None or not n:
+            return False
+        size = min(len(bits), len(self.union))
+        lacks = int(np.bitwise_count(folded(bits, size) & ~folded(self.union, size)).sum())
+        return (100 + PERCENT) * (n - lacks) >= PERCENT * (n + max(self.least, needed(n)))
+
+
 def open_blocks(docs: DataFrame, queries: DataFrame, members: DataFrame) -> DataFrame:
     """Links (a, b) of queries(doc_id, block) with the members(doc_id, block) of the same block.
 
-    Only texts of documents in either are read on."""
+    First the bitmaps of queries and members meet, half a byte to a byte a token: the block's union bounds the overlap. Sets
+    go only to blocks that are opened, with the queries that opened them. Only texts of documents in either are read on."""
     # A block that very many documents ask for is held once for each QUERIES of them
     parts = cut(queries.groupBy("block").agg(F.ceil(F.count("*") / QUERIES).cast("int").alias("parts")))
     held = members.join(parts, "block").select("doc_id", "block", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("role"))
     asking = queries.join(parts, "block").select("doc_id", "block", F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int").alias("part"), F.lit(1).alias("role"))
     roles = cut(held.unionByName(asking).distinct().select("doc_id", F.concat_ws("/", F.col("block").cast("string"), F.col("part").cast("string")).alias("block"), "role"))
-    ids = cut(roles.select("doc_id").distinct())
-    texts = docs.select("doc_id", "text").join(_small(ids), "doc_id")
     kind = docs.schema["doc_id"].dataType.simpleString()
+    id_type = "doc_id " + kind
+
+    def texts_of(roles: DataFrame) -> DataFrame:
+        return docs.select("doc_id", "text").join(_small(cut(roles.select("doc_id").distinct())), "doc_id")
+
+    def by_block(rows: DataFrame, roles: DataFrame) -> DataFrame:
+        return rows.join(roles, "doc_id").repartition("block").sortWithinPartitions("block", "role").select("block", "role", *rows.columns)
+
+    def bitmaps_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, sets in _texts(batches):
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([bitmap(s).tobytes() for s in sets], pa.binary())], names=["doc_id", "n", "bits"])
+
+    def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, union = None, BlockBound()
+        for batch in batches:
+            opened = []
+            for own, role, n, bits in zip(*(batch.column(c).to_pylist() for c in ("block", "role", "n", "bits")), strict=True):
+                if own != block:
+                    block, union = own, BlockBound()
+                bits = np.frombuffer(bits, np.uint8)
+                if role == 0:
+                    union.add(n, bits)
+                opened.append(role == 1 and union.may_link(n, bits))
+            yield batch.select(["doc_id", "block"]).filter(pa.array(opened, pa.bool_()))
 
     def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, sets in _texts(batches):
@@ -269,9 +328,12 @@ def open_blocks(docs: DataFrame, queries: DataFrame, members: DataFrame) -> Data
                     b += found
             yield pa.RecordBatch.from_arrays([pa.array(a, batch.column("doc_id").type), pa.array(b, batch.column("doc_id").type)], names=["a", "b"])
 
-    sets = texts.mapInArrow(sets_of, f"doc_id {kind}, tokens binary")
-    rows = sets.join(roles, "doc_id").repartition("block").sortWithinPartitions("block", "role")
-    return rows.select("block", "role", "doc_id", "tokens").mapInArrow(compare, f"a {kind}, b {kind}")
+    maps = texts_of(roles).mapInArrow(bitmaps_of, f"{id_type}, n long, bits binary")
+    opening = cut(by_block(maps, roles).mapInArrow(bound, f"{id_type}, block string").distinct())
+    opened = cut(opening.select("block").distinct())
+    roles = cut(opening.withColumn("role", F.lit(1)).unionByName(roles.where("role = 0").join(opened, "block", "left_semi")))
+    sets = texts_of(roles).mapInArrow(sets_of, f"{id_type}, tokens binary")
+    return by_block(sets, roles).select("block", "role", "doc_id", "tokens").mapInArrow(compare, f"a {kind}, b {kind}")
 
 
 def _collected(rows: DataFrame, count: str) -> tuple[np.ndarray, np.ndarray]:
