@@ -45,8 +45,7 @@ BINS = 16
 BLOCK = 64
 OFTEN = 16
 WIDE = 8
-ROUNDS = 3
-MEETINGS = 8
+ROUNDS = 4
 MOST_OFTEN = 2_000_000
 FLUSH = 2_000_000
 BROADCAST_BYTES = 64 << 20
@@ -376,8 +375,8 @@ def _links(docs: DataFrame, within: bool) -> tuple[DataFrame, DataFrame, DataFra
 
     # The matrix: tokens of two groups at least, one of which holds the token
     of = _small(group_of.select("doc_id", "g").distinct())
+    first = cut(prefixes(docs, often).join(of, "doc_id"))
     for last in [*[False] * (ROUNDS - 1), True]:
-        first = cut(prefixes(docs, often).join(of, "doc_id"))
         place = first.select("doc_id", "g", "n", "held", F.posexplode("tokens").alias("at", "token"))
         place = place.select("token", "g", "doc_id", "n", (F.col("n") - F.col("at")).alias("rest"), (F.col("at") < F.col("held")).alias("holds"))
         met = cut(place.groupBy("token").agg(F.min("g").alias("lo"), F.max("g").alias("hi"), F.max("holds").alias("holds")).where("lo <> hi and holds").select("token"))
@@ -385,14 +384,21 @@ def _links(docs: DataFrame, within: bool) -> tuple[DataFrame, DataFrame, DataFra
         columns = matrix.where("holds").groupBy("token", "g").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.max("rest").alias("rest"))
         columns = cut(columns.withColumnsRenamed({"g": "other", "rest": "other_rest"}))
         wide = columns.groupBy("token").agg(F.count("*").alias("times"))
-        met_rows = matrix.groupBy("token").agg(F.count("*").alias("asking")).join(wide, "token").agg(F.sum(F.col("asking").cast("double") * F.col("times"))).first()[0] or 0.0
-        if last or met_rows <= MEETINGS * matrix.count():
+        wide = wide.where(F.col("times") > WIDE)
+        asking = matrix.groupBy("token").agg(F.count("*").alias("asking"))
+        heavy = asking.join(wide, "token").agg(F.sum(F.col("asking").cast("double") * F.col("times"))).first()[0] or 0.0
+        if last or heavy <= matrix.count():  # what meets at other tokens is linear
             break
-        tokens, times = _collected(wide.where(F.col("times") > WIDE), "times")
+        tokens, times = _collected(wide, "times")
         new = ~often.has(tokens)
         if not new.any():
             break
         often = often.with_more(tokens[new], times[new])
+        # The first tokens of other documents stay the same
+        moved = cut(wide.select("token"))
+        changed = _small(cut(matrix.join(_small(moved), "token", "left_semi").select("doc_id").distinct()))
+        anew = prefixes(docs.select("doc_id", "text").join(changed, "doc_id", "left_semi"), often).join(of, "doc_id")
+        first = cut(first.join(changed, "doc_id", "left_anti").unionByName(anew))
     n = F.col("n")
     overlap = F.ceil(PERCENT * (n + F.greatest("least", F.ceil(PERCENT * n / 100))) / (100 + PERCENT) - 1e-6)
     fits = (F.col("other") != F.col("g")) & (F.col("least") <= n) & (PERCENT * n <= 100 * F.col("most")) & (F.least("rest", "other_rest") >= overlap)
