@@ -62,6 +62,23 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def released(batches: Iterator) -> Iterator:
+    """batches; what each of them needed goes back to the system, so that workers stay small between long texts."""
+    import ctypes
+
+    import pyarrow as pa
+
+    try:
+        trim = ctypes.CDLL("libc.so.6").malloc_trim
+    except (OSError, AttributeError):  # other C libraries have no such call
+        trim = None
+    for batch in batches:
+        yield batch
+        pa.default_memory_pool().release_unused()
+        if trim:
+            trim(0)
+
+
 def sub_batches(sizes: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
     """Row ranges of at most `most` bytes each (one row at least)."""
     ends = np.cumsum(sizes, dtype=np.int64)

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from folio.llm.common import Words, cut, mix, shingle_hashes, sub_batches, table, text_bytes
+from folio.llm.common import Words, cut, mix, released, shingle_hashes, sub_batches, table, text_bytes
 from folio.llm.components import components
 
 SHINGLE = 5
@@ -47,8 +47,8 @@ OFTEN = 16
 WIDE = 8
 ROUNDS = 4
 MOST_OFTEN = 2_000_000
-FLUSH = 2_000_000
-BROADCAST_BYTES = 64 << 20
+FLUSH = 1_000_000
+BROADCAST_BYTES = 32 << 20
 QUERIES = 128
 
 
@@ -96,7 +96,7 @@ def band_keys(s: np.ndarray) -> np.ndarray:
 
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
-    for batch in batches:
+    for batch in released(batches):
         texts = text_bytes(batch.column("text"))
         for a, b in sub_batches(np.fromiter(map(len, texts), np.int64, len(texts)), 1 << 20):
             yield batch.slice(a, b - a), token_sets(texts[a:b])
@@ -295,7 +295,7 @@ def open_blocks(docs: DataFrame, queries: DataFrame, members: DataFrame) -> Data
 
     def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, union = None, BlockBound()
-        for batch in batches:
+        for batch in released(batches):
             opened = []
             for own, role, n, bits in zip(*(batch.column(c).to_pylist() for c in ("block", "role", "n", "bits")), strict=True):
                 if own != block:
@@ -312,7 +312,7 @@ def open_blocks(docs: DataFrame, queries: DataFrame, members: DataFrame) -> Data
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, opened = None, OpenBlock()
-        for batch in batches:
+        for batch in released(batches):
             a, b = [], []
             for i in range(batch.num_rows):
                 own, role, doc_id = batch.column("block")[i].as_py(), batch.column("role")[i].as_py(), batch.column("doc_id")[i].as_py()
