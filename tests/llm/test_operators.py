@@ -282,20 +282,52 @@ def test_ppm_code_lengths():
 
 
 @settings(max_examples=60, deadline=None)
-@given(st.integers(0, 10_000), st.integers(1, 9))
-def test_block_max_is_exact(seed, k):
+@given(st.integers(0, 10_000), st.integers(1, 9), st.sampled_from([0, 3, 50]))
+def test_block_max_is_exact(seed, k, dense):
     rng = np.random.default_rng(seed)
 
-    def vector():
-        v = {int(t): float(x) for t, x in zip(rng.choice(20, rng.integers(1, 6), replace=False), rng.integers(1, 4, 6), strict=False)}
-        n = np.sqrt(sum(x * x for x in v.values()))
-        return {t: x / n for t, x in v.items()}
-
-    examples, query = [vector() for _ in range(60)], vector()
-    index = toxicity.BlockMaxIndex(examples, 20, block=8)
-    scores = [(-round(sum(x * e.get(t, 0) for t, x in query.items()), 12), i) for i, e in enumerate(examples)]
-    want = sorted(s for s in scores if s[0] < 0)[:k]
-    assert [i for i, _ in index.nearest(query, k)] == [i for _, i in want]
+    def vectors(n):
+        x = rng.integers(1, 4, (n, 20)) * (rng.random((n, 20)) < 0.2)
+        x[np.arange(n), rng.integers(0, 20, n)] = 1
+        return x / np.sqrt((x * x).sum(1))[:, None]
+
+    examples, queries = vectors(60), vectors(5)
+    flat = lambda x: (*np.nonzero(x), x[np.nonzero(x)])
+    index = toxicity.BlockMaxIndex(*flat(examples), 60, 20, block=8, dense_terms=dense)
+    near, cosines = index.nearest(*flat(queries), 5, k)
+    for ids, found, exact in zip(near, cosines, queries @ examples.T, strict=True):
+        want = np.lexsort((np.arange(60), -np.rint(exact * 1e6)))[:k]
+        want = want[exact[want] > 0]
+        assert found[: len(want)] == pytest.approx(exact[want], abs=2e-6) and (ids[len(want) :] == -1).all()
+        assert exact[ids[: len(want)]] == pytest.approx(exact[want], abs=2e-6)
+
+
+def test_scores_by_brute_force(spark):
+    """Neighbours and scores against cosines of all examples spelt out in dictionaries."""
+    rnd = random.Random(5)
+    words = ["".join(rnd.choices("abcdefghij", k=rnd.randrange(2, 9))) for _ in range(150)]
+    rows = [(i, " ".join(rnd.choices(words, k=rnd.randrange(1, 40)) + ["badword"] * (i % 5 == 0))) for i in range(200)]
+    labels = [(i, int(i % 5 == 0)) for i in range(150)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    model = toxicity.train(df.join(spark.createDataFrame(labels, "doc_id long, toxic int"), "doc_id"))
+
+    def vector(text):
+        doc, term, count = toxicity.text_terms([text.encode()])
+        weight = dict(zip(model.hashes.tolist(), model.weight.tolist(), strict=True))
+        v = {t: (1 + np.log(c)) * weight.get(t, model.new_weight) for t, c in zip(term.tolist(), count.tolist(), strict=True)}
+        norm = np.sqrt(sum(x * x for x in v.values()))
+        return {t: x / norm for t, x in v.items()}
+
+    vectors = {i: vector(t) for i, t in rows}
+    share = dict(zip(model.ids, model.share.tolist(), strict=True))
+    got = {r["doc_id"]: r for r in toxicity.score(df, model).collect()}
+    for i, _ in rows:
+        cosines = sorted(((-round(sum(x * vectors[j].get(t, 0) for t, x in vectors[i].items()), 6), j) for j, _ in labels))[: toxicity.NEIGHBOURS]
+        w = [share[j] / (1.05 + s) for s, j in cosines]
+        vote = (sum(a for a, (_, j) in zip(w, cosines, strict=True) if j % 5 == 0) + model.prior) / (sum(w) + 1)
+        assert got[i]["score"] == pytest.approx(float(model.calibrated(np.array([vote]))[0]), abs=1e-3)
+        assert [n["cosine"] for n in got[i]["nearest"]] == pytest.approx([-s for s, _ in cosines[:3]], abs=3e-6)
+    assert len({r["score"] for r in got.values()}) > 50
 
 
 def test_toxicity(spark):
@@ -317,6 +349,9 @@ def test_toxicity(spark):
     assert sum(got[d]["predicted"] == y for d, y in held) >= 0.98 * len(held)
     assert got[2002]["predicted"] == 1 and got[2002]["nearest"][0]["label"] == 1 and got[2000]["score"] == got[2001]["score"] < 0.3
     assert toxicity.keep_clean(df, model).count() == sum(r["predicted"] == 0 for r in got.values())
+    clash = df.selectExpr("cast(doc_id as string) doc_id", "text", "lang as toxic", "source as score", "n_chars as nearest").unionAll(df.selectExpr("cast(doc_id as string)", "text", "lang", "source", "n_chars"))
+    named = toxicity.score(clash, toxicity.train_from_tables(df.selectExpr("cast(doc_id as string) doc_id", "text"), labs.selectExpr("cast(doc_id as string) doc_id", "toxic"))).collect()
+    assert len(named) == 2 * len(got) and {r["doc_id"]: r["predicted"] for r in named}["2002"] == 1
     none = toxicity.train_from_tables(df, labs.where("false"))
     assert {r["score"] for r in toxicity.score(df, none).collect()} == {0.0}
 
