@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from folio.llm.common import IS_LETTER, Words, cut, released, remainder, sub_batches, table, text_bytes
 
-MAX_EXAMPLES = 4000
+MAX_EXAMPLES = 2000
 NEIGHBOURS = 15
 FIRST = 2
 CALM = 10
