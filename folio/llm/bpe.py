@@ -3,10 +3,11 @@
 A text is an element of a monoid: its leaves (a run of white space and the run of other characters after it) with their
 token ids. `encode_text` halves a text down to blocks and joins neighbours. A cut between a non-space and a space is
 stable whatever stands around it: no match of the pattern goes over it, and none before it looks beyond it. A join grows
-its window from the cut to the nearest stable cut on each side, encodes only the window again, and keeps all else.
-A long piece (one match of the pattern) is halved down to short runs of bytes. There a join re-encodes a window of tokens
+its window from the cut to the nearest stable cut on each side, splits only the window again, and keeps all else.
+Each piece (one match of the pattern) of each leaf is halved in turn, down to PIECE_BYTES bytes. A join re-encodes a window of tokens
 that grows until both tokens at its rims are compatible with their outer neighbours, that is, the pair encodes to itself;
 an encoding in which every adjacent pair is compatible is the encoding of the whole, so tokens outside can't change.
+Nodes met before (short runs of bytes, leaves) come from caches of bounded size. No library encodes anything here.
 Decoding concatenates the bytes of the ids up the tree, which for whole columns is one gather.
 
 Defined results: null text counts as empty and has no ids; ids outside the vocabulary raise an error when decoded; other
@@ -17,6 +18,7 @@ from __future__ import annotations
 
 import base64
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,12 +28,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from folio.llm.common import table
+from folio.llm.common import released, table
 
 BLOCK_CHARS = 8192
-LEAF_CHARS = 256
-PIECE_BYTES = 64
-CACHED_LEAVES = 300_000
+PIECE_BYTES = 6
+CACHED = 300_000
+CACHED_BYTES = 16
 
 #: White space as the pattern's \s has it (Unicode White_Space).
 WS = "\t-\r \x85\xa0  -     　"
@@ -43,78 +45,96 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
 
 
+class Cache(dict):
+    """The last `most` to 2 * `most` entries: when full, it becomes the older half, where entries are still found."""
+
+    def __init__(self, most: int = CACHED) -> None:
+        super().__init__()
+        self.most, self.older = most, {}
+
+    def __missing__(self, key):
+        value = self.older.get(key)
+        if value is not None:
+            self.put(key, value)
+        return value
+
+    def put(self, key, value) -> None:
+        if len(self) >= self.most:
+            self.older = dict(self)
+            self.clear()
+        self[key] = value
+
+
 class TreeEncoder:
     """Encodes texts by the ranks of one vocabulary and a splitting pattern."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, leaf_chars: int = LEAF_CHARS, block_chars: int = BLOCK_CHARS, piece_bytes: int = PIECE_BYTES) -> None:
+    def __init__(self, ranks: dict[bytes, int], pattern: str, block_chars: int = BLOCK_CHARS, piece_bytes: int = PIECE_BYTES) -> None:
         import regex
-        import tiktoken
 
-        self.enc = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         self.ranks, self.bytes_of = ranks, {v: k for k, v in ranks.items()}
-        self.leaf_chars, self.block_chars, self.piece_bytes = leaf_chars, block_chars, piece_bytes
+        self.block_chars, self.piece_bytes = block_chars, piece_bytes
         spelled = pattern.replace(r"[^\s", f"[^{WS}").replace(r"\s", f"[{WS}]").replace(r"\S", f"[^{WS}]")
         self.pieces = regex.compile(spelled)
-        self.cache: dict[str, bytes] = {}
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.cache, self.nodes, self.pairs = Cache(), Cache(), Cache()
 
     # Runs of bytes
 
-    def _short(self, b: bytes) -> list[int]:
+    def _short(self, b: bytes) -> tuple[int, ...]:
         """Merges of the lowest rank first, leftmost first."""
+        get = self.ranks.get
         parts = [b[i : i + 1] for i in range(len(b))]
         while len(parts) > 1:
             best, at = None, -1
             for i in range(len(parts) - 1):
-                r = self.ranks.get(parts[i] + parts[i + 1])
+                r = get(parts[i] + parts[i + 1])
                 if r is not None and (best is None or r < best):
                     best, at = r, i
             if best is None:
                 break
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
-        return [self.ranks[p] for p in parts]
+        return tuple([self.ranks[p] for p in parts])
 
     def _compatible(self, x: int, y: int) -> bool:
-        if (x, y) not in self.pairs:
-            if len(self.pairs) > 200_000:
-                self.pairs.clear()
-            self.pairs[x, y] = self._short(self.bytes_of[x] + self.bytes_of[y]) == [x, y]
-        return self.pairs[x, y]
-
-    def join_tokens(self, a: list[int], b: list[int]) -> list[int]:
-        if not a or not b:
-            return a + b
-        if self._compatible(a[-1], b[0]):
+        known = self.pairs[x, y]
+        if known is None:
+            known = self._short(self.bytes_of[x] + self.bytes_of[y]) == (x, y)
+            self.pairs.put((x, y), known)
+        return known
+
+    def join_tokens(self, a: tuple[int, ...], b: tuple[int, ...]) -> tuple[int, ...]:
+        if not a or not b or self._compatible(a[-1], b[0]):
             return a + b
         i = j = 1
         while True:
-            window = self._short(b"".join(self.bytes_of[t] for t in [*a[len(a) - i :], *b[:j]]))
+            window = self._short(b"".join([self.bytes_of[t] for t in a[len(a) - i :] + b[:j]]))
             left = i == len(a) or self._compatible(a[-i - 1], window[0])
             right = j == len(b) or self._compatible(window[-1], b[j])
             if left and right:
                 return a[: len(a) - i] + window + b[j:]
             i, j = i if left else min(2 * i, len(a)), j if right else min(2 * j, len(b))
 
-    def encode_bytes(self, b: bytes) -> list[int]:
-        if len(b) <= self.piece_bytes:
-            return self._short(b)
-        m = len(b) // 2
-        return self.join_tokens(self.encode_bytes(b[:m]), self.encode_bytes(b[m:]))
-
-    def encode_piece(self, b: bytes) -> list[int]:
+    def encode_bytes(self, b: bytes) -> tuple[int, ...]:
+        if len(b) > CACHED_BYTES:
+            m = len(b) // 2
+            return self.join_tokens(self.encode_bytes(b[:m]), self.encode_bytes(b[m:]))
+        found = self.nodes[b]
+        if found is None:
+            m = len(b) // 2
+            found = self._short(b) if len(b) <= self.piece_bytes else self.join_tokens(self.encode_bytes(b[:m]), self.encode_bytes(b[m:]))
+            self.nodes.put(b, found)
+        return found
+
+    def encode_piece(self, b: bytes) -> tuple[int, ...]:
         """One match of the pattern; one that is a token as a whole is that token."""
-        return [self.ranks[b]] if b in self.ranks else self.encode_bytes(b)
+        own = self.ranks.get(b)
+        return self.encode_bytes(b) if own is None else (own,)
 
     # Texts
 
     def _leaf(self, s: str) -> bytes:
-        if len(s) <= self.leaf_chars:
-            ids = self.enc.encode_ordinary(s)
-        else:
-            ids = [t for p in self.pieces.findall(s) for t in self.encode_piece(p.encode())]
-        out = np.array(ids, np.int32).tobytes()
-        if len(self.cache) < CACHED_LEAVES and len(s) <= 32:
-            self.cache[s] = out
+        out = array("i", [t for p in self.pieces.findall(s) for t in self.encode_piece(p.encode())]).tobytes()
+        if len(s) <= CACHED_BYTES:
+            self.cache.put(s, out)
         return out
 
     def leaves(self, s: str) -> list[str]:
@@ -137,8 +157,8 @@ class TreeEncoder:
     def encode_text(self, s: str) -> bytes:
         """Ids as little-endian int32."""
         leaves = self.segment(s)
-        get, leaf = self.cache.get, self._leaf
-        return b"".join([get(x) or leaf(x) for x in leaves])
+        cache, leaf = self.cache, self._leaf
+        return b"".join([cache[x] or leaf(x) for x in leaves])
 
 
 WHITE = re.compile(f"[{WS}]").match
@@ -159,7 +179,7 @@ def encode(df: DataFrame, vocabulary: str, pattern: str, text: str = "text", out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tree = TreeEncoder(ranks, pattern)
-        for whole in batches:
+        for whole in released(batches):
             for at in range(0, whole.num_rows, 1000):
                 batch = whole.slice(at, 1000)
                 blobs = [tree.encode_text(s or "") for s in batch.column(text).to_pylist()]
@@ -180,7 +200,7 @@ def decode(df: DataFrame, vocabulary: str, ids: str = "ids", out: str = "decoded
         for k, v in ranks.items():
             words[v] = k
         vocab = pa.array(words, pa.binary())
-        for whole in batches:
+        for whole in released(batches):
             for at in range(0, whole.num_rows, 1000):
                 batch = whole.slice(at, 1000)
                 lists = batch.column(ids)
