@@ -31,7 +31,7 @@ from pyspark.sql import types as T
 from folio.llm.common import released, table
 
 BLOCK_CHARS = 8192
-PIECE_BYTES = 6
+PIECE_BYTES = 4
 CACHED = 300_000
 CACHED_BYTES = 16
 
@@ -72,41 +72,50 @@ class TreeEncoder:
         import regex
 
         self.ranks, self.bytes_of = ranks, {v: k for k, v in ranks.items()}
+        self.none = max(ranks.values(), default=0) + 1
         self.block_chars, self.piece_bytes = block_chars, piece_bytes
         spelled = pattern.replace(r"[^\s", f"[^{WS}").replace(r"\s", f"[{WS}]").replace(r"\S", f"[^{WS}]")
         self.pieces = regex.compile(spelled)
-        self.cache, self.nodes, self.pairs = Cache(), Cache(), Cache()
+        self.cache, self.nodes, self.pairs, self.windows = Cache(), Cache(), Cache(CACHED // 2), Cache(CACHED // 2)
 
     # Runs of bytes
 
     def _short(self, b: bytes) -> tuple[int, ...]:
         """Merges of the lowest rank first, leftmost first."""
-        get = self.ranks.get
+        get, none = self.ranks.get, self.none
         parts = [b[i : i + 1] for i in range(len(b))]
-        while len(parts) > 1:
-            best, at = None, -1
-            for i in range(len(parts) - 1):
-                r = get(parts[i] + parts[i + 1])
-                if r is not None and (best is None or r < best):
-                    best, at = r, i
-            if best is None:
-                break
+        pairs = [get(x + y, none) for x, y in zip(parts, parts[1:])]
+        while pairs and (best := min(pairs)) != none:
+            at = pairs.index(best)
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
+            del pairs[at]
+            if at:
+                pairs[at - 1] = get(parts[at - 1] + parts[at], none)
+            if at < len(pairs):
+                pairs[at] = get(parts[at] + parts[at + 1], none)
         return tuple([self.ranks[p] for p in parts])
 
     def _compatible(self, x: int, y: int) -> bool:
         known = self.pairs[x, y]
         if known is None:
-            known = self._short(self.bytes_of[x] + self.bytes_of[y]) == (x, y)
+            known = self._window((x, y)) == (x, y)
             self.pairs.put((x, y), known)
         return known
 
+    def _window(self, tokens: tuple[int, ...]) -> tuple[int, ...]:
+        found = self.windows[tokens]
+        if found is None:
+            found = self._short(b"".join([self.bytes_of[t] for t in tokens]))
+            if len(tokens) <= 4:
+                self.windows.put(tokens, found)
+        return found
+
     def join_tokens(self, a: tuple[int, ...], b: tuple[int, ...]) -> tuple[int, ...]:
         if not a or not b or self._compatible(a[-1], b[0]):
             return a + b
         i = j = 1
         while True:
-            window = self._short(b"".join([self.bytes_of[t] for t in a[len(a) - i :] + b[:j]]))
+            window = self._window(a[len(a) - i :] + b[:j])
             left = i == len(a) or self._compatible(a[-i - 1], window[0])
             right = j == len(b) or self._compatible(window[-1], b[j])
             if left and right:
