@@ -7,8 +7,8 @@ of u shingles that a document contains to 80 percent misses at most u - ceil(0.8
 sketch is present: no containment is lost. Documents look up each of their shingles among the sketches; candidates are
 verified by exact containment over the words themselves.
 
-Items go through in blocks of `items_per_block`, so that what is sent to the executors has a bound; each block scans the
-documents once, and no document is shuffled.
+Items go through in blocks of about `items_per_block`, each block's result being written before the next block is read, so that
+what the driver and the executors hold has a bound; each block scans the documents once, and no document is shuffled.
 
 Defined results: an item of fewer than five words is one shingle, its whole sequence, sought as a run of words; items or
 texts without words, and null ones, are in no pair; each row of either table counts by itself, so repeated rows repeat
@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folio.llm.common import Words, shingle_hashes, sub_batches, table, text_bytes
+from folio.llm.common import Words, cut, shingle_hashes, sub_batches, table, text_bytes
 
 SHINGLE = 5
 PERCENT = 80
@@ -101,10 +101,14 @@ class ContainmentIndex:
         return out
 
 
+def _blocks(items: DataFrame, items_per_block: int) -> int:
+    return max(1, -(-items.count() // items_per_block))
+
+
 def _indexes(items: DataFrame, items_per_block: int) -> Iterator[ContainmentIndex]:
     """Of about items_per_block items each."""
     items = items.select("item_id", "text")
-    blocks = max(1, -(-items.count() // items_per_block))
+    blocks = _blocks(items, items_per_block)
     numbered = items.withColumn("_b", F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)))
     for b in range(blocks):
         rows = numbered.where(F.col("_b") == b).select("item_id", "text").collect()  # one block of items
@@ -132,7 +136,9 @@ def contained_items(docs: DataFrame, items: DataFrame, items_per_block: int = IT
 
         return slim.mapInArrow(run, f"doc_id {kinds[0]}, item_id {kinds[1]}, shared long, item_shingles long, containment double")
 
-    return reduce(DataFrame.unionByName, map(search, _indexes(items, items_per_block)))
+    if _blocks(items, items_per_block) == 1:
+        return search(next(_indexes(items, items_per_block)))
+    return reduce(DataFrame.unionByName, [cut(search(index)) for index in _indexes(items, items_per_block)])
 
 
 def keep_uncontaminated(docs: DataFrame, items: DataFrame, items_per_block: int = ITEMS_PER_BLOCK) -> DataFrame:
@@ -149,7 +155,11 @@ def keep_uncontaminated(docs: DataFrame, items: DataFrame, items_per_block: int
 
         return docs.mapInArrow(run, docs.schema)
 
-    return reduce(without, _indexes(items, items_per_block), docs)
+    if _blocks(items, items_per_block) == 1:
+        return without(docs, next(_indexes(items, items_per_block)))
+    for index in _indexes(items, items_per_block):
+        docs = cut(without(docs, index))
+    return docs
 
 
 def op9_benchmark_containment(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -106,9 +106,16 @@ class PpmModel:
 def train(labelled: DataFrame, train_docs: int = TRAIN_DOCS) -> PpmModel:
     """From labelled(doc_id, text, lang): at most train_docs documents of each language."""
     keyed = labelled.where("lang is not null and text is not null").select("doc_id", "lang", "text", F.xxhash64("doc_id", "text").alias("_h"))
-    order = Window.partitionBy("lang").orderBy("_h", "doc_id")
-    chosen = keyed.select("doc_id", "lang", "_h").withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= train_docs).drop("_n").distinct()
-    texts = keyed.join(F.broadcast(chosen.select("lang", "_h").distinct()), ["lang", "_h"]).groupBy("lang", "_h").agg(F.min("text").alias("text"))
+    # Hashes are counted by their first 16 bits, so that only those about the last one taken are ranked in one task
+    part = F.shiftright("_h", 48)
+    hashes = keyed.select("lang", "_h").distinct()
+    counts = hashes.groupBy("lang", part.alias("_part")).agg(F.count("*").alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy("lang").orderBy("_part")) - F.col("_n")
+    last = counts.withColumn("_before", before).where(F.col("_before") < train_docs).groupBy("lang").agg(F.max("_part").alias("_last"))
+    near = hashes.join(F.broadcast(last), "lang").where(part <= F.col("_last")).select("lang", "_h")
+    order = Window.partitionBy("lang").orderBy("_h")
+    chosen = near.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= train_docs).drop("_n")
+    texts = keyed.join(F.broadcast(chosen), ["lang", "_h"]).groupBy("lang", "_h").agg(F.min("text").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
