@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import unicodedata
 from functools import reduce
 
 from pyspark.sql import Column
@@ -18,6 +19,10 @@ NOT_A_DIVIDER = [".", ",", ";", ":", "!", "?", "…", "'", '"', "‘", "’", "
 NEEDS_REPETITION = ["-", "–", "—", "~", "_", "=", "+", "*"]
 MAX_FILENAME = 120
 
+# Lower-case Latin letters with accents, and their base letters
+_DECOMPOSED = [(chr(c), unicodedata.normalize("NFD", chr(c))[0]) for c in range(0xE0, 0x250) if chr(c).islower() and unicodedata.normalize("NFD", chr(c)) != chr(c)]
+_ACCENTS = ("".join(a for a, _ in _DECOMPOSED), "".join(b for _, b in _DECOMPOSED))
+
 
 def normalize_characters(c: Column) -> Column:
     """Ligatures are spelt out, invisible characters go, hard spaces become spaces; nothing else changes."""
@@ -93,9 +98,14 @@ def series_title(series: Column, index: Column, title: Column) -> Column:
 
 
 def natural_key(c: Column) -> Column:
-    """Sorts digits by value: each run padded to 20 places; case and accents folded by the collation."""
-    padded = js.rebuild(F.lower(c), "[0-9]+", lambda m: F.lpad(F.regexp_replace(m, "^0+(?=[0-9])", ""), 20, "0"))
-    return F.coalesce(padded, F.lit(""))
+    """Sorts digits by value: each run goes behind its number of places, without zeros before it. Case and the accents of
+    Latin letters count for nothing."""
+
+    def sized(m: Column) -> Column:
+        digits = F.regexp_replace(m, "^0+(?=[0-9])", "")
+        return F.concat(F.lpad(F.length(digits).cast("string"), 6, "0"), digits)
+
+    return F.coalesce(js.rebuild(F.translate(F.lower(c), *_ACCENTS), "[0-9]+", sized), F.lit(""))
 
 
 def utc_seconds(ts: Column) -> Column:

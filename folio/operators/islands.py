@@ -35,3 +35,15 @@ def number_ranges(df: DataFrame, by: list[str], number: str) -> DataFrame:
     runs = islands(step, by, [number], F.col("_starts"), "_run").groupBy(*by, "_run").agg(F.min(number).alias("a"), F.max(number).alias("b"))
     text = F.when(F.col("a") == F.col("b"), F.col("a").cast("string")).otherwise(F.concat(F.col("a").cast("string"), F.lit("–"), F.col("b").cast("string")))
     return runs.groupBy(*by).agg(joined_text(text, F.col("_run"), ", ").alias("ranges"))
+
+
+def running_sum(rows: DataFrame, value: str, by: list[str], order: str, width: int = 4096) -> DataFrame:
+    """rows with `running`: the sum of value over rows up to each, by an integer order. Sums run within spans of `width` and
+    over the spans' totals, so that one hot key is many tasks; rows of one order count in any order among themselves."""
+    span = F.floor(F.col(order) / width)
+    seen = rows.withColumn("_span", span)
+    totals = seen.groupBy(*by, "_span").agg(F.sum(value).alias("_total"))
+    over = Window.partitionBy(*by).orderBy("_span").rowsBetween(Window.unboundedPreceding, -1)
+    before = totals.select(*by, "_span", F.coalesce(F.sum("_total").over(over), F.lit(0)).alias("_before"))
+    here = Window.partitionBy(*by, "_span").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    return seen.join(before, [*by, "_span"]).withColumn("running", F.col("_before") + F.coalesce(F.sum(value).over(here), F.lit(0))).drop("_span", "_before")

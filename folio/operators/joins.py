@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from folio.functions import js
+
 
 def lookup(ids: DataFrame, details: DataFrame, key: str) -> DataFrame:
     """All ids, with details where there are any."""
@@ -13,7 +15,7 @@ def lookup(ids: DataFrame, details: DataFrame, key: str) -> DataFrame:
 
 def rename(rows: DataFrame, titles: DataFrame, key: str, column: str) -> DataFrame:
     """rows with new titles; a blank or missing one keeps the old."""
-    new = titles.select(key, F.nullif(F.trim(F.col(column)), F.lit("")).alias("_new"))
+    new = titles.select(key, F.nullif(js.trim(F.col(column)), F.lit("")).alias("_new"))
     return rows.join(new, key, "left").withColumn(column, F.coalesce("_new", column)).drop("_new")
 
 

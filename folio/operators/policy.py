@@ -10,7 +10,8 @@ from folio.operators.islands import islands
 TRANSIENT_STREAK = 3
 PAUSES = [30, 60, 120]
 GROW_AFTER = 20
-RETRYABLE = [408, 425, 429, 500, 502, 503, 504]
+AUTH_AFTER, LOCKED_AFTER, AGAIN_AFTER = 2, 3, 10
+SLOWEST, RATE_LIMIT_MAX, RATE_LIMIT_MS = 8.0, 8, 600_000
 
 
 def failure_streaks(events: DataFrame, by: list[str], order: list[str], failed: Column) -> DataFrame:
@@ -43,9 +44,53 @@ def pool_limits(outcomes: Column, most: int = 3) -> Column:
     return F.aggregate(outcomes, start, step, lambda s: s["out"])
 
 
+def retryable(status: Column) -> Column:
+    return status.isin(408, 429) | (status >= 500)
+
+
 def classify(status: Column, content_type: Column, error: Column) -> Column:
-    """ok, auth, locked, missing or transient."""
+    """What an API's answer means: ok, auth (asked to log in: HTML with a refusal or in place of JSON), locked (refused in
+    JSON), missing, transient (worth a retry), or page (any other refusal: the post's page is tried next)."""
+    html = F.coalesce(F.lower(content_type).contains("html"), F.lit(False))
     return (
-        F.when(error.isNotNull() | status.isin(RETRYABLE) | (status >= 500), "transient").when(status == 401, "auth").when(status == 403, "locked")
-        .when(status.isin(404, 410), "missing").when(content_type.startswith("text/html") & (status == 200), "auth").otherwise("ok")
+        F.when(error.isNotNull() | retryable(status), "transient").when(status.isin(401, 403), F.when(html, "auth").otherwise("locked"))
+        .when(status == 404, "missing").when(status >= 400, "page").when(html, "auth").otherwise("ok")
     )
+
+
+def probes(outcomes: Column) -> Column:
+    """array<boolean>: whether a probe of the login is due after each of array<string> outcomes, if all probes pass.
+
+    Due after AUTH_AFTER auth answers in a row, or after LOCKED_AFTER locked or missing ones in a row once anything has
+    been ok; after the first probe, after AGAIN_AFTER of either. A success ends both rows; a probe ends them too."""
+
+    def step(s: Column, o: Column) -> Column:
+        ok = o == "ok"
+        any_ok = s["any_ok"] | ok
+        auth = F.when(ok, 0).when(o == "auth", s["auth"] + 1).otherwise(s["auth"])
+        locked = F.when(ok, 0).when(o.isin("locked", "missing") & any_ok, s["locked"] + 1).otherwise(s["locked"])
+        due = ((o == "auth") & (auth >= F.when(s["probed"], AGAIN_AFTER).otherwise(AUTH_AFTER))) | (o.isin("locked", "missing") & any_ok & (locked >= F.when(s["probed"], AGAIN_AFTER).otherwise(LOCKED_AFTER)))
+        held = lambda n: F.when(due, 0).otherwise(n).cast("int")
+        return F.struct(any_ok.alias("any_ok"), (s["probed"] | due).alias("probed"), held(auth).alias("auth"), held(locked).alias("locked"), F.concat(s["out"], F.array(due)).alias("out"))
+
+    start = F.struct(F.lit(False).alias("any_ok"), F.lit(False).alias("probed"), F.lit(0).alias("auth"), F.lit(0).alias("locked"), F.array().cast("array<boolean>").alias("out"))
+    return F.aggregate(outcomes, start, step, lambda s: s["out"])
+
+
+def slowdowns(answers: Column) -> Column:
+    """array<struct<slow double, gave_up boolean>> after each of array<struct<status int, wait_ms long>>.
+
+    A 429, or a 503 that says how long to wait, doubles the pause between requests (SLOWEST times at most); a success takes a tenth off
+    (never under 1). The RATE_LIMIT_MAX-th 429 in a row, or one that brings the waits of all over RATE_LIMIT_MS, gives up."""
+
+    def step(s: Column, a: Column) -> Column:
+        limited, wait = a["status"] == 429, F.coalesce(a["wait_ms"], F.lit(0)).cast("long")
+        row = F.when(limited, s["row"] + 1).otherwise(0).cast("int")
+        gave_up = limited & ((row >= RATE_LIMIT_MAX) | (s["waited"] + wait > RATE_LIMIT_MS))
+        doubled = (limited & ~gave_up) | ((a["status"] == 503) & a["wait_ms"].isNotNull())
+        slow = F.when(doubled, F.least(F.lit(SLOWEST), s["slow"] * 2)).when(a["status"] < 400, F.greatest(F.lit(1.0), s["slow"] * 0.9)).otherwise(s["slow"])
+        waited = s["waited"] + F.when(limited & ~gave_up, wait).otherwise(0)
+        return F.struct(slow.alias("slow"), row.alias("row"), waited.cast("long").alias("waited"), F.concat(s["out"], F.array(F.struct(slow.alias("slow"), gave_up.alias("gave_up")))).alias("out"))
+
+    start = F.struct(F.lit(1.0).alias("slow"), F.lit(0).alias("row"), F.lit(0).cast("long").alias("waited"), F.array().cast("array<struct<slow:double,gave_up:boolean>>").alias("out"))
+    return F.aggregate(answers, start, step, lambda s: s["out"])

@@ -492,7 +492,8 @@ def q_feed_crawl(spark, sf_dir):
     post = F.struct(F.concat(F.lit("p"), (F.col("event_id") % 7).cast("string")).alias("id"), F.lit("post").alias("type"), F.struct(F.col("event_id").cast("string").alias("title")).alias("attributes"))
     good = e.where("k < 9").groupBy("run_id", F.expr("cast(k div 3 as int)").alias("page")).agg(F.to_json(F.struct(F.transform(F.array_sort(F.collect_list(F.struct("event_id", post.alias("p")))), lambda x: x["p"]).alias("data"))).alias("body"))
     bad = e.where("k = 9").select("run_id", F.lit(3).alias("page"), F.lit("<html>").alias("body"))
-    return feeds.crawl(feeds.parse_pages(good.unionByName(bad))).select("run_id", F.col("title").cast("long").alias("event_id"), "id")
+    pages = good.unionByName(bad)
+    return feeds.crawl(feeds.parse_pages(pages), pages).select("run_id", F.col("title").cast("long").alias("event_id"), "id")
 
 
 @query("SELECT event_type, sum(CAST(json_extract(props, '$.k') AS BIGINT))::BIGINT AS total, count(*) AS n FROM events GROUP BY event_type")
@@ -586,3 +587,6 @@ def q_segmentation(spark, sf_dir):
 
 def FLAGSHIP(spark: SparkSession, sf_dir: str) -> DataFrame:
     return q_segmentation(spark, sf_dir)
+
+
+from folio.plans import library_queries  # noqa: E402, F401  registers its queries too

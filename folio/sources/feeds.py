@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from folio.functions import js
+
 PAGE = (
     "struct<data:array<struct<id:string,type:string,attributes:struct<title:string,published_at:string,url:string,current_user_can_view:boolean>>>,"
     "links:struct<next:string>,meta:struct<pagination:struct<cursors:struct<next:string>>>>"
@@ -18,15 +20,71 @@ def parse_pages(pages: DataFrame, kind: str = "post") -> DataFrame:
     return rows.where((F.col("d.type") == kind) & F.col("d.id").isNotNull()).select("run_id", "page", "pos", "d.id", "d.attributes.title", "d.attributes.published_at", F.col("d.attributes.current_user_can_view").alias("can_view"), "next")
 
 
-def crawl(rows: DataFrame) -> DataFrame:
-    """Each id once, from the pages up to the first that brings nothing new."""
+def too_many(n: Column, expected: Column) -> Column:
+    """Far over the number expected, if one is."""
+    return F.coalesce(n > expected + F.greatest(F.lit(5.0), 0.1 * expected), F.lit(False))
+
+
+def _fresh(rows: DataFrame, pages: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """rows with _new (first of its id), and (run_id, page, n) of all pages, n: how many new ids each has."""
     first = Window.partitionBy("run_id", "id").orderBy("page", "pos")
     marked = rows.withColumn("_new", F.row_number().over(first) == 1)
-    fresh = marked.groupBy("run_id", "page").agg(F.count_if("_new").alias("n"))
+    counts = marked.groupBy("run_id", "page").agg(F.count_if("_new").alias("n"))
+    return marked, pages.select("run_id", "page").distinct().join(counts, ["run_id", "page"], "left").select("run_id", "page", F.coalesce("n", F.lit(0)).alias("n"))
+
+
+def crawl(rows: DataFrame, pages: DataFrame) -> DataFrame:
+    """Each id once, from the pages(run_id, page, ...) up to the first that brings nothing new, be it without any row."""
+    marked, fresh = _fresh(rows, pages)
     stop = fresh.where("n = 0").groupBy("run_id").agg(F.min("page").alias("_stop"))
     return marked.where("_new").join(stop, "run_id", "left").where(F.col("_stop").isNull() | (F.col("page") < F.col("_stop"))).drop("_new", "_stop")
 
 
+def crawl_summary(rows: DataFrame, pages: DataFrame, expected: DataFrame) -> DataFrame:
+    """run_id, posts, pages, implausible, complete of each run of pages; expected(run_id, expected) may lack runs.
+
+    Pages count up to the first that brings nothing new, itself included. Implausible: more pages than
+    ceil(expected * 1.1 / 10) + 3 (60 if none is expected), or far more posts than expected. Complete: nine tenths of
+    what is expected, rounded down, at least."""
+    _, fresh = _fresh(rows, pages)
+    stop = fresh.where("n = 0").groupBy("run_id").agg(F.min("page").alias("_stop"))
+    read = fresh.join(stop, "run_id", "left").where(F.col("_stop").isNull() | (F.col("page") <= F.col("_stop")))
+    runs = read.groupBy("run_id").agg(F.sum("n").alias("posts"), F.count("*").alias("pages")).join(expected, "run_id", "left")
+    most = F.coalesce(F.when(F.col("expected") > 0, F.ceil(F.col("expected") * 1.1 / 10) + 3), F.lit(60))
+    enough = F.coalesce((F.col("expected") == 0) | (F.col("posts") >= F.floor(F.col("expected") * 0.9)), F.lit(True))
+    implausible = (F.col("pages") > most) | ((F.col("expected") > 0) & too_many(F.col("posts"), F.col("expected")))
+    return runs.select("run_id", "posts", "pages", F.coalesce(implausible, F.lit(False)).alias("implausible"), enough.alias("complete"))
+
+
+def order_of(sort_type: Column) -> Column:
+    """What a listing's sort type says about its order; descending words count before ascending ones."""
+    s = F.lower(F.coalesce(sort_type, F.lit("")))
+    return F.when(s.rlike("desc|newest|latest|reverse"), "collection-desc").when(s.rlike("asc|oldest|earliest|custom|manual|collection_order|creator"), "collection-asc").otherwise("collection")
+
+
+def api_url(origin: str, path: Column, parameters: list[tuple[str, Column]]) -> Column:
+    """origin, path and the parameters that aren't null, in their order, encoded as forms are."""
+    pairs = F.array(*[F.when(v.isNotNull(), F.concat(F.url_encode(F.lit(k)), F.lit("="), F.url_encode(v.cast("string")))) for k, v in parameters])
+    query = F.array_join(pairs, "&")
+    return F.concat(F.lit(origin), path, F.when(query != "", F.concat(F.lit("?"), query)).otherwise(""))
+
+
+def posts_url(origin: str, collection: Column, sorted_: Column, page_size: Column) -> Column:
+    """The listing of a collection's posts; page_size null or 0: the server's own."""
+    size = F.when(page_size > 0, page_size)
+    return api_url(origin, F.lit("/api/posts"), [("filter[collection_id]", collection), ("sort", F.when(sorted_, "collection_order")), ("page[count]", size), ("fields[post]", F.lit("title,published_at,url,current_user_can_view")), ("json-api-version", F.lit("1.0"))])
+
+
+def post_url(origin: str, post: Column) -> Column:
+    return api_url(origin, F.concat(F.lit("/api/posts/"), post), [("fields[post]", F.lit("title,content,content_json_string,published_at,current_user_can_view")), ("json-api-version", F.lit("1.0"))])
+
+
+def same_origin(url: Column, origin: str) -> Column:
+    """url resolved against origin if it is a path, else as it is; null if it leads elsewhere."""
+    whole = F.when(url.startswith("/") & ~url.startswith("//"), F.concat(F.lit(origin), url)).otherwise(url)
+    return F.when((whole == origin) | whole.startswith(origin + "/") | whole.startswith(origin + "?"), whole)
+
+
 def published_ms(c: Column) -> Column:
     return F.unix_millis(F.try_to_timestamp(c))
 
@@ -38,7 +96,9 @@ def plausible(ids: Column, seen: Column, expected: Column) -> Column:
 
 
 def count_matches(n: Column, expected: Column) -> Column:
-    return F.abs(n - expected) <= F.greatest(F.lit(5.0), 0.05 * expected)
+    """Some ids, and as many as expected to 5 percent or 5, if a number is."""
+    near = F.abs(n - expected) <= F.greatest(F.lit(5.0), 0.05 * expected)
+    return (n > 0) & F.coalesce(near, F.lit(True))
 
 
 def numeric_id(path: Column, folder: str) -> Column:
@@ -92,4 +152,4 @@ def collection(body: Column) -> Column:
 
 def post_content(html: Column, document: Column, page: Column) -> Column:
     """The first that has something: the API's HTML, its rich-text document, the page's body."""
-    return F.coalesce(*[F.when(F.trim(c) != "", c) for c in (html, document, page)])
+    return F.coalesce(*[F.when(js.trim(c) != "", c) for c in (html, document, page)])

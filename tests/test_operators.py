@@ -214,7 +214,7 @@ def test_feeds(spark):
     good = '{"data":[{"id":"1","type":"post","attributes":{"title":"a"}},{"id":null,"type":"post"},{"id":"2","type":"user"}],"links":{"next":"n"}}'
     pages = spark.createDataFrame([("r", 0, good), ("r", 1, good), ("r", 2, '{"data":[{"id":"9","type":"post"}]}'), ("r", 3, "<html>"), ("r", 4, None)], "run_id string, page int, body string")
     rows = feeds.parse_pages(pages)
-    assert rows.count() == 3 and [r["id"] for r in feeds.crawl(rows).collect()] == ["1"]  # page 1 brings nothing new
+    assert rows.count() == 3 and [r["id"] for r in feeds.crawl(rows, pages).collect()] == ["1"]  # page 1 brings nothing new
 
 
 def test_policy(spark):
