@@ -33,6 +33,11 @@ def utf16_length(c: Column) -> Column:
     return (F.octet_length(F.encode(c, "UTF-16BE")) / 2).cast("int")
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is evaluated once, however often body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def rebuild(c: Column, pattern: str, replacement: Callable[[Column], Column]) -> Column:
     """Every match of the pattern replaced by a function of it; what lies between stays."""
     between = F.split(c, pattern, -1)

@@ -12,6 +12,7 @@ EDGE_LINES = 2
 REPEAT_SHARE = 0.5
 MIN_REPEAT_PAGES = 3
 PARAGRAPH_GAP = 1.8
+BUCKET = 8.0
 LINES = "file_id string, page_no int, line_no int, y double, height double, text string"
 
 
@@ -21,6 +22,8 @@ def group_lines(pdf):
     import re
 
     made: list[dict] = []
+    by_height: dict[int, list[int]] = {}  # numbers of lines by the place of their baseline
+    tallest = 0.0
     rows = pdf.sort_values("glyph_no")
     for s, width, height, t in zip(rows["str"], rows["width"], rows["height"], rows["transform"], strict=True):
         s = s or ""
@@ -29,10 +32,15 @@ def group_lines(pdf):
             continue
         h = height if height and height == height else 10.0
         x, y = t[4], t[5]
-        line = next((m for m in made if abs(m["y"] - y) <= 0.5 * max(m["height"], h)), None)
-        if line is None:
-            line = {"y": y, "height": h, "parts": []}
-            made.append(line)
+        reach = 0.5 * max(tallest, h)
+        near = (i for b in range(int((y - reach) // BUCKET), int((y + reach) // BUCKET) + 1) for i in by_height.get(b, ()))
+        at = min((i for i in near if abs(made[i]["y"] - y) <= 0.5 * max(made[i]["height"], h)), default=None)
+        if at is None:
+            at = len(made)
+            made.append({"y": y, "height": h, "parts": []})
+            by_height.setdefault(int(y // BUCKET), []).append(at)
+        line = made[at]
+        tallest = max(tallest, h)
         line["height"] = max(line["height"], h)
         line["parts"].append((x, width, height, s))
     out = []
@@ -78,11 +86,11 @@ def running_heads(lines: DataFrame, pages: DataFrame, share: float = REPEAT_SHAR
     return seen.join(pages, "book_id").where((F.col("pages") >= least) & (F.col("pages") > share * F.col("n_pages"))).select("book_id", "key", "pages")
 
 
-def strip_running_heads(lines: DataFrame, pages: DataFrame) -> DataFrame:
-    """lines without running heads and page numbers at the edges."""
+def strip_running_heads(lines: DataFrame, pages: DataFrame, share: float = REPEAT_SHARE, least: int = MIN_REPEAT_PAGES) -> DataFrame:
+    """lines without running heads and page numbers at the edges. Lines are read twice; write those that are dear to make."""
     edged = edge_lines(lines).withColumn("key", text.header_key(F.col("text")))
     numbered = F.col("is_edge") & text.is_page_number(F.col("text"))
-    heads = running_heads(lines, pages).select("book_id", "key", F.lit(True).alias("is_edge"))
+    heads = running_heads(lines, pages, share, least).select("book_id", "key", F.lit(True).alias("is_edge"))
     return edged.where(~F.coalesce(numbered, F.lit(False))).join(heads, ["book_id", "key", "is_edge"], "left_anti").drop("key", "is_edge")
 
 

@@ -61,8 +61,8 @@ def _map(entries: dict[str, str]) -> Column:
 
 def outside_spans(html: Column, fn) -> Column:
     """fn applied to the stretches of text between finished spans."""
-    between = F.transform(F.split(html, SPAN, -1), fn)
-    spans = F.regexp_extract_all(html, F.lit(SPAN), F.lit(0))
+    between = F.transform(F.when(html.contains("<span"), F.split(html, SPAN, -1)).otherwise(F.array(html)), fn)
+    spans = F.when(html.contains("<span"), F.regexp_extract_all(html, F.lit(SPAN), F.lit(0))).otherwise(F.array().cast("array<string>"))
     return F.array_join(F.zip_with(between, spans, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
 
 
@@ -111,14 +111,24 @@ def percent_color(ratio: Column, rules: Rules) -> Column:
 
 def percent_ratios(text: Column, rules: Rules) -> Column:
     """array<double>: the ratio of each percentage; `a% of b%` counts as a / b and 1, pairs taken from the left."""
-    values = F.transform(F.regexp_extract_all(text, F.lit(PERCENT), F.lit(0)), lambda m: F.rtrim(m, F.lit("%")).cast("double"))
+    numbers = F.transform(F.regexp_extract_all(text, F.lit(PERCENT), F.lit(0)), lambda m: F.rtrim(m, F.lit("%")).cast("double"))
     if not rules.pair_max:
-        return F.transform(values, lambda v: F.least(F.lit(1.0), v / 100))
-    gaps = F.slice(F.split(text, PERCENT, -1), 2, F.greatest(F.size(values) - 1, F.lit(0)))
-    # Of each number: does it pair with the next, if the last one didn't pair with it?
-    joins = F.transform(values, lambda v, i: (i < F.size(values) - 1) & (js.utf16_length(F.coalesce(F.get(gaps, i), F.lit(""))) <= 6) & F.coalesce(F.get(gaps, i), F.lit("-")).rlike(PAIR_GAP) & (F.coalesce(F.get(values, i + 1), F.lit(0.0)) > 0))
-    first = F.aggregate(joins, F.array().cast("array<boolean>"), lambda a, j: F.concat(a, F.array(j & ~F.coalesce(F.get(a, F.size(a) - 1), F.lit(False)))))
-    return F.transform(values, lambda v, i: F.when(F.get(first, i), F.least(F.lit(1.0), v / F.get(values, i + 1))).when((i > 0) & F.coalesce(F.get(first, i - 1), F.lit(False)), F.lit(1.0)).otherwise(F.least(F.lit(1.0), v / 100)))
+        return F.transform(numbers, lambda v: F.least(F.lit(1.0), v / 100))
+
+    def joined(s: Column) -> Column:
+        """Of each number: does it pair with the next, if the last one didn't pair with it?"""
+        values, gaps = s["values"], s["gaps"]
+        pairs = F.zip_with(values, gaps, lambda v, g: F.coalesce(js.utf16_length(g) <= 6, F.lit(False)) & F.coalesce(g.rlike(PAIR_GAP), F.lit(False)))
+        able = F.zip_with(pairs, F.slice(values, 2, F.greatest(F.size(values) - 1, F.lit(0))), lambda p, following: F.coalesce(p & (following > 0), F.lit(False)))
+        first = F.aggregate(able, F.array().cast("array<boolean>"), lambda a, j: F.concat(a, F.array(j & ~F.coalesce(F.get(a, F.size(a) - 1), F.lit(False)))))
+        return F.struct(values.alias("values"), first.alias("first"))
+
+    def ratios(s: Column) -> Column:
+        values, first = s["values"], s["first"]
+        return F.transform(values, lambda v, i: F.when(F.get(first, i), F.least(F.lit(1.0), v / F.get(values, i + 1))).when((i > 0) & F.coalesce(F.get(first, i - 1), F.lit(False)), F.lit(1.0)).otherwise(F.least(F.lit(1.0), v / 100)))
+
+    found = F.struct(numbers.alias("values"), F.slice(F.split(text, PERCENT, -1), 2, 1 << 30).alias("gaps"))
+    return js.let(js.let(found, joined), ratios)
 
 
 def tag_percents(html: Column, rules: Rules) -> Column:

@@ -6,9 +6,9 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from folio.functions import text
-from folio.operators import islands, library, policy, queue
+from folio.operators import islands, library, palette, policy, queue
 from folio.plans.registry import query, read
-from folio.sources import feeds, files
+from folio.sources import feeds, files, packages
 
 # Files
 
@@ -306,3 +306,59 @@ def q_slowdown(spark, sf_dir):
     answer = F.struct(F.when(F.col("event_type") == "error", 429).otherwise(200).alias("status"), F.lit(0).cast("long").alias("wait_ms"))
     e = read(spark, sf_dir, "events").groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("event_id", answer.alias("a")))).alias("l"))
     return e.select("user_id", F.round(F.element_at(policy.slowdowns(F.transform("l", lambda x: x["a"])), -1)["slow"], 6).alias("slow"))
+
+
+# Styles and packages
+
+
+def _configs(spark, sf_dir):
+    """A rule set of each part: one rarity, one keyword with a glow, percentages, a panel that tries to break out."""
+    p = read(spark, sf_dir, "part")
+    color = F.concat(F.lit("#"), F.lower(F.lpad(F.hex((F.col("p_partkey") * 7919) % 16777216), 6, "0")))
+    style = lambda glow, bold: F.struct(color.alias("color"), F.lit(glow).alias("glow"), bold.alias("bold"))
+    group = lambda key, s: F.array(F.struct(F.lit(key).alias("key"), F.lit("L").alias("label"), F.array(F.lit(" W ")).alias("words"), s.alias("style")))
+    percent = F.struct(color.alias("low"), F.lit("#123").alias("mid"), F.lit("#FFFFFF").alias("high"))
+    sheet = F.struct(F.lit("red;}").alias("border"), F.lit("transparent").alias("background"), (F.col("p_partkey") % 2 == 0).alias("rounded"))
+    json = F.to_json(F.struct(group("a", style("", F.col("p_partkey") % 3 == 0)).alias("rarities"), group("b", style("0 0 4px #fff", F.lit(False))).alias("keywords"), percent.alias("percent"), sheet.alias("statSheet")))
+    broken = F.when(F.col("p_partkey") % 11 == 0, F.replace(json, F.lit('"key":"b"'), F.lit('"key":"1b"'))).when(F.col("p_partkey") % 13 == 0, F.replace(json, F.lit('"rounded":'), F.lit('"rounded":1,"r":'))).otherwise(json)
+    return palette.validate(p.select("p_partkey", broken.alias("json")))
+
+
+@query("""
+SELECT p_partkey, CASE WHEN p_partkey % 11 = 0 THEN 'keywords[0]: invalid "key" "1b" (letters, digits, - and _ only)' WHEN p_partkey % 13 = 0 THEN 'statSheet.rounded must be a boolean' END AS error FROM part""")
+def q_validate(spark, sf_dir):
+    return _configs(spark, sf_dir).select("p_partkey", "error")
+
+
+@query("""
+WITH p AS (SELECT p_partkey, '#' || lower(lpad(printf('%X', (p_partkey * 7919) % 16777216), 6, '0')) AS c FROM part WHERE p_partkey % 11 <> 0 AND p_partkey % 13 <> 0)
+SELECT p_partkey, '.stat-sheet{margin:1em 0;padding:0.55em 0.85em;border:1px solid currentColor;border-radius:' || CASE WHEN p_partkey % 2 = 0 THEN '8px' ELSE '0' END || ';background:transparent;font-size:0.95em;line-height:1.5;}' AS first,
+  '.rarity-a{color:' || c || ';font-weight:' || CASE WHEN p_partkey % 3 = 0 THEN 600 ELSE 400 END || ';}' AS rarity, '.kw-b{color:' || c || ';text-shadow:0 0 4px #fff;letter-spacing:0.02em;font-weight:700;}' AS keyword, 12 AS n FROM p""")
+def q_css(spark, sf_dir):
+    lines = F.split(palette.css(F.col("config")), "\n")
+    return _configs(spark, sf_dir).where("ok").select("p_partkey", F.element_at(lines, 1).alias("first"), F.element_at(lines, -2).alias("rarity"), F.element_at(lines, -1).alias("keyword"), F.size(lines).alias("n"))
+
+
+@query("SELECT p_partkey, true AS same, true AS legible, true AS bare FROM part WHERE p_partkey % 11 <> 0 AND p_partkey % 13 <> 0")
+def q_config_round_trip(spark, sf_dir):
+    """Exported rule sets read back alike; fixed ones show on both pages; border-only panels have no fill."""
+    from folio.operators.rules import check_color
+
+    c = _configs(spark, sf_dir).where("ok").select("p_partkey", "config", palette.config_json(F.col("config")).alias("json"))
+    again = palette.validate(c.select("p_partkey", F.col("config").alias("was"), "json"))
+    fixed = palette.fix_config(again.withColumn("bare", palette.border_only(F.col("config"))))
+    legible = check_color(F.col("config")["rarities"][0]["style"]["color"])["ok"] & check_color(F.col("config")["percent"]["high"])["ok"]
+    return fixed.select("p_partkey", (F.to_json("was") == F.to_json("bare")).alias("same"), legible.alias("legible"), (F.col("bare")["stat_sheet"]["background"] == "transparent").alias("bare"))
+
+
+@query("""
+SELECT p_partkey, '<!DOCTYPE html>' || chr(10) || '<html class="' || p_brand || '" xml:lang="de" lang="de"><head><meta charset="utf-8" /><title>' || p_partkey || '</title>' || chr(9) || '<link rel="stylesheet" type="text/css" href="style.css" />' || chr(10) || '</head></html>' AS page,
+  '<package version="3.0"><metadata><dc:title>' || p_partkey || '</dc:title><dc:language>de</dc:language>' || chr(9) || chr(9) || '<meta property="dcterms:modified">1980-01-01T00:00:00Z</meta>' || chr(10) || chr(9) || '</metadata><manifest><item id="cover-image" href="c" properties="cover-image" />'
+  || chr(9) || chr(9) || '<item id="rarity-css" href="style.css" media-type="text/css" />' || chr(10) || chr(9) || chr(9) || '<item id="nav" href="nav.xhtml" media-type="application/xhtml+xml" properties="nav" />' || chr(10) || chr(9) || '</manifest></package>' AS opf FROM part""")
+def q_upgrade(spark, sf_dir):
+    """Pages and package documents of older packages."""
+    n = F.col("p_partkey").cast("string")
+    page = F.concat(F.when(F.col("p_partkey") % 2 == 0, '<!DOCTYPE html PUBLIC "x" "y">\n').otherwise(""), F.lit('<html xml:lang="en" class="'), F.col("p_brand"), F.lit('"><head><meta http-equiv="Content-Type" content="x"><title>'), n, F.lit("</title></head></html>"))
+    opf = F.concat(F.lit('<package version="2.0"><metadata><dc:title opf:role="x">'), n, F.lit('</dc:title><dc:language>en</dc:language></metadata><manifest><item id="cover-image" href="c"/></manifest></package>'))
+    entry = lambda name, c: packages.upgrade_entry(F.lit(name), c.cast("binary"), "de").cast("string")
+    return read(spark, sf_dir, "part").select("p_partkey", entry("OEBPS/a.xhtml", page).alias("page"), entry("OEBPS/content.opf", opf).alias("opf"))

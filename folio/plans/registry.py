@@ -60,12 +60,14 @@ def q_normalize_chars(spark, sf_dir):
 
 @query("""
 SELECT doc_id, trim(left(trim(regexp_replace(regexp_replace(string_split(text, chr(10))[1], '[\\\\/:*?"<>|]', ' ', 'g'), '\\s+', ' ', 'g'), '. '), 120), '. ') AS name,
-  CASE WHEN n_chars < 1024 THEN n_chars || ' B' ELSE round(n_chars / 1024.0)::BIGINT || ' KB' END AS size
-FROM documents WHERE n_chars < 1048576 AND n_chars % 1024 <> 512""")
+  CASE WHEN n_chars < 1024 THEN n_chars || ' B' WHEN n_chars < 1048576 THEN (n_chars + 512) // 1024 || ' KB' WHEN n_chars < 1073741824 THEN printf('%.1f MB', floor(n_chars / 1048576.0 * 10 + 0.5) / 10)
+    ELSE printf('%.2f GB', floor(n_chars / 1073741824.0 * 100 + 0.5) / 100) END AS size,
+  printf('%.1f MB', floor((1048576 + n_chars * 977) / 1048576.0 * 10 + 0.5) / 10) AS larger
+FROM documents""")
 def q_sanitize_name(spark, sf_dir):
-    d = read(spark, sf_dir, "documents").where("n_chars < 1048576 and n_chars % 1024 <> 512")
+    d = read(spark, sf_dir, "documents")
     name = text.sanitize_filename(F.element_at(F.split("text", "\n", -1), 1))
-    return d.select("doc_id", F.when(name == "untitled", "").otherwise(name).alias("name"), text.format_bytes(F.col("n_chars")).alias("size"))
+    return d.select("doc_id", F.when(name == "untitled", "").otherwise(name).alias("name"), text.format_bytes(F.col("n_chars")).alias("size"), text.format_bytes(F.col("n_chars") * 977 + 1048576).alias("larger"))
 
 
 @query("SELECT doc_id, replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') AS html FROM documents")
@@ -183,15 +185,17 @@ def q_stitch(spark, sf_dir):
 
 
 @query("""
-WITH d AS (SELECT doc_id, regexp_extract_all(left(text, 400), '\\S+') AS w FROM documents)
-SELECT doc_id, least(len(w), 40) AS words, ceil(least(len(w), 40) / 8.0)::BIGINT AS lines FROM d WHERE len(w) > 0""")
+WITH d AS (SELECT doc_id, regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+l AS (SELECT doc_id, unnest(range(0, len(w), 8)) AS k, w FROM d)
+SELECT doc_id, k // 400 + 1 AS page_no, sum(least(8, len(w) - k))::BIGINT AS words, count(*) AS lines, md5(string_agg(list_aggregate(w[k + 1 : k + 8], 'string_agg', ' '), chr(10) ORDER BY k)) AS text FROM l GROUP BY 1, 2""")
 def q_glyph_lines(spark, sf_dir):
-    """The first words of each document set eight to a line, in shuffled order of arrival."""
-    d = read(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.slice(F.regexp_extract_all(F.left("text", F.lit(400)), F.lit(r"[^ \t-\r]+"), F.lit(0)), 1, 40)).alias("i", "w"))
+    """The words of each document set eight to a line, fifty lines to a page, in shuffled order of arrival."""
+    d = read(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))).alias("i", "w"))
     x, y = (F.col("i") % 8) * 1000.0, -20.0 * F.floor(F.col("i") / 8)
-    glyphs = d.select(F.col("doc_id").cast("string").alias("file_id"), F.lit(1).alias("page_no"), F.pmod(F.xxhash64("doc_id", "i"), F.lit(1 << 30)).cast("int").alias("glyph_no"), F.col("w").alias("str"), (F.length("w") * 5.0).alias("width"), F.lit(10.0).alias("height"), F.array(F.lit(1.0), F.lit(0.0), F.lit(0.0), F.lit(1.0), x, y.cast("double")).alias("transform"))
+    glyphs = d.select(F.col("doc_id").cast("string").alias("file_id"), (F.floor(F.col("i") / 400) + 1).cast("int").alias("page_no"), F.pmod(F.xxhash64("doc_id", "i"), F.lit(1 << 30)).cast("int").alias("glyph_no"), F.col("w").alias("str"), (F.length("w") * 5.0).alias("width"), F.lit(10.0).alias("height"), F.array(F.lit(1.0), F.lit(0.0), F.lit(0.0), F.lit(1.0), x, y.cast("double")).alias("transform"))
     lines = layout.reconstruct_lines(glyphs)
-    return lines.groupBy(F.col("file_id").cast("long").alias("doc_id")).agg(F.sum(F.size(F.split("text", " "))).alias("words"), F.count("*").alias("lines"))
+    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "text"))), lambda l: l["text"]), "\n")
+    return lines.groupBy(F.col("file_id").cast("long").alias("doc_id"), F.col("page_no").cast("long").alias("page_no")).agg(F.sum(F.size(F.split("text", " "))).alias("words"), F.count("*").alias("lines"), F.md5(whole).alias("text"))
 
 
 # Sequences
@@ -378,13 +382,16 @@ def q_rule_tags(spark, sf_dir):
 
 
 @query("""
-SELECT l_orderkey, l_linenumber, 'Power: <span class="pct" style="font-weight:700;color:' || CASE WHEN l_tax > 0 AND l_discount >= l_tax THEN 'rgb(31,158,61)' ELSE NULL END || '">' || CAST(round(l_discount * 100) AS INT) || '%</span> of <span class="pct" style="font-weight:700;color:rgb(31,158,61)">' || CAST(round(l_tax * 100) AS INT) || '%</span>' AS html
-FROM lineitem WHERE l_tax > 0 AND round(l_discount * 100) >= round(l_tax * 100)""")
+WITH l AS (SELECT l_orderkey, l_linenumber, CAST(round(l_discount * 100) AS INT) AS a, CAST(round(l_tax * 100) AS INT) AS b FROM lineitem),
+r AS (SELECT *, CASE WHEN b > 0 THEN least(1.0, a / b) ELSE a / 100 END AS t FROM l),
+c AS (SELECT *, CASE WHEN t < 0.5 THEN 209 + (194 - 209) * t * 2 ELSE 194 + (31 - 194) * (t - 0.5) * 2 END AS x,
+  CASE WHEN t < 0.5 THEN 31 + (162 - 31) * t * 2 ELSE 162 + (158 - 162) * (t - 0.5) * 2 END AS y, CASE WHEN t < 0.5 THEN 31 + (0 - 31) * t * 2 ELSE 0 + (61 - 0) * (t - 0.5) * 2 END AS z FROM r)
+SELECT l_orderkey, l_linenumber, 'Power: <span class="pct" style="font-weight:700;color:rgb(' || floor(x + 0.5)::INT || ',' || floor(y + 0.5)::INT || ',' || floor(z + 0.5)::INT || ')">' || a || '%</span> of <span class="pct" style="font-weight:700;color:'
+  || CASE WHEN b > 0 THEN 'rgb(31,158,61)' ELSE 'rgb(209,31,31)' END || '">' || b || '%</span>' AS html FROM c""")
 def q_percent_pairs(spark, sf_dir):
     a, b = (F.round(F.col(c) * 100).cast("int").cast("string") for c in ("l_discount", "l_tax"))
     t = F.concat(F.lit("Power: "), a, F.lit("% of "), b, F.lit("%"))
-    rows = read(spark, sf_dir, "lineitem").where("l_tax > 0 and round(l_discount * 100) >= round(l_tax * 100)")
-    return rows.select("l_orderkey", "l_linenumber", rules.style_stat(t, rules.Rules()).alias("html"))
+    return read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", rules.style_stat(t, rules.Rules()).alias("html"))
 
 
 @query("""
@@ -553,11 +560,17 @@ def _folder(spark: SparkSession, sf_dir: str, name: str) -> bool:
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(p).isDirectory()
 
 
-@query("SELECT conv_id AS book_id, count(*) + 4 AS entries FROM conversations GROUP BY conv_id")
+@query("""
+WITH c AS (SELECT conv_id AS book_id, turn, role || ' ' || turn || ' &' AS title, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS n FROM conversations),
+b AS (SELECT book_id, count(*) AS pages, string_agg('page-' || n || '.xhtml=' || replace(title, '&', '&amp;'), '|' ORDER BY n) AS toc, string_agg('OEBPS/page-' || n || '.xhtml', ',' ORDER BY n) AS files FROM c GROUP BY 1)
+SELECT book_id, 'mimetype,META-INF/container.xml,OEBPS/content.opf,OEBPS/toc.ncx,OEBPS/nav.xhtml,OEBPS/style.css,OEBPS/table-of-contents.xhtml,' || CASE WHEN book_id % 2 = 0 THEN 'OEBPS/cover-image.png,OEBPS/front-cover.xhtml,' ELSE '' END
+  || files || CASE WHEN book_id % 3 = 0 THEN ',OEBPS/notes.xhtml' ELSE '' END AS files, toc || CASE WHEN book_id % 3 = 0 THEN '|notes.xhtml=Notes' ELSE '' END AS toc, pages + 1 + CASE WHEN book_id % 2 = 0 THEN 1 ELSE 0 END + CASE WHEN book_id % 3 = 0 THEN 1 ELSE 0 END AS spine FROM b""")
 def q_packages(spark, sf_dir):
-    """A book of each conversation: packages made, opened again, and their entries counted."""
-    c = read(spark, sf_dir, "conversations").select(F.col("conv_id").alias("book_id"), F.col("turn").cast("int").alias("ord"), F.concat("role", F.lit(" "), F.col("turn").cast("string")).alias("title"), F.concat(F.lit("<p>"), text.escape_xml(F.col("text")), F.lit("</p>")).alias("body"))
-    made = packages.zip_books(packages.entries(c))
+    """A book of each conversation, each second with a cover, each third with notes: packages made and opened again; their
+    entries in order, what their navigation maps list, and how long their spines are."""
+    c = read(spark, sf_dir, "conversations").select(F.col("conv_id").alias("book_id"), F.col("turn").cast("int").alias("ord"), F.concat("role", F.lit(" "), F.col("turn").cast("string"), F.lit(" &")).alias("title"), F.concat(F.lit("<p>"), text.escape_xml(F.col("text")), F.lit("</p>")).alias("body"))
+    about = c.select("book_id").distinct().select("book_id", F.lit("T & U").alias("title"), F.lit("A").alias("author"), F.when(F.col("book_id") % 3 == 0, "n").alias("notes"), F.when(F.col("book_id") % 2 == 0, F.lit(b"\x89PNG")).alias("cover"))
+    made = packages.zip_books(packages.entries(c, about, ".x{}"))
 
     def opened(batches):
         import io
@@ -566,23 +579,40 @@ def q_packages(spark, sf_dir):
         import pandas as pd
 
         for b in batches:
-            yield pd.DataFrame({"book_id": b["book_id"], "entries": [len(zipfile.ZipFile(io.BytesIO(x)).namelist()) for x in b["package"]]})
-
-    return made.mapInPandas(opened, "book_id long, entries long")
+            zips = [zipfile.ZipFile(io.BytesIO(x)) for x in b["package"]]
+            opf = [z.read("OEBPS/content.opf").decode() for z in zips]
+            yield pd.DataFrame({"book_id": b["book_id"], "files": [",".join(z.namelist()) for z in zips], "ncx": [z.read("OEBPS/toc.ncx").decode() for z in zips], "spine": [x.count("<itemref ") for x in opf]})
+
+    read_back = made.mapInPandas(opened, "book_id long, files string, ncx string, spine long")
+    toc = F.array_join(F.transform(packages.nav_entries(F.col("ncx")), lambda e: F.concat(e["src"], F.lit("="), e["title"])), "|")
+    return read_back.select("book_id", "files", toc.alias("toc"), "spine")
+
+
+_SEGMENTS = """
+WITH s AS (SELECT source, doc_id, string_split(text, chr(10)) AS ls FROM documents),
+l0 AS (SELECT source, doc_id, unnest(ls) AS t, generate_subscripts(ls, 1) - 1 AS line_no, len(ls) AS n FROM s),
+e AS (SELECT *, line_no < 2 OR line_no >= n - 2 AS edge, lower(trim(regexp_replace(regexp_replace(t, '[0-9]+', '#', 'g'), '\\s+', ' ', 'g'))) AS key FROM l0),
+q AS (SELECT source, count(*) AS n_pages FROM documents GROUP BY 1),
+h AS (SELECT source, key, count(DISTINCT doc_id) AS pages FROM e WHERE edge AND key <> '' GROUP BY 1, 2),
+r AS (SELECT source, key FROM h JOIN q USING (source) WHERE pages >= 3 AND pages > 0.1 * n_pages),
+l AS (SELECT e.* FROM e LEFT JOIN r ON r.source = e.source AND r.key = e.key WHERE NOT (edge AND (r.key IS NOT NULL OR regexp_full_match(t, '\\s*[0-9]+\\s*')))),
+"""
 
 
-@query("""
-WITH s AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents),
-l AS (SELECT doc_id, unnest(ls) AS t, generate_subscripts(ls, 1) - 1 AS line_no FROM s),
+@query(_SEGMENTS + """
 p AS (SELECT *, line_no % 5 = 4 AS bullet, lag(t) OVER w AS pt, lag(line_no % 5 = 4) OVER w AS pb FROM l WINDOW w AS (PARTITION BY doc_id ORDER BY line_no)),
 f AS (SELECT *, CASE WHEN pt IS NULL OR bullet OR length(pt) % 3 = 0 OR (pb AND NOT regexp_matches(t, '^[a-z]')) THEN 1 ELSE 0 END AS st FROM p)
-SELECT doc_id, sum(st)::BIGINT AS blocks, count(*) AS n_lines FROM f GROUP BY doc_id""")
+SELECT doc_id, sum(st)::BIGINT AS blocks, count(*) AS n_lines, max(n) - count(*) AS stripped FROM f GROUP BY doc_id""")
 def q_segmentation(spark, sf_dir):
-    """Documents to lines, boilerplate of their source found and anti-joined (none is at the edges of half the documents),
-    blocks assembled."""
-    lines = _geometry(doc_lines(spark, sf_dir))
-    blocks = layout.assemble_blocks(lines)
-    return blocks.groupBy("doc_id").agg(F.count("*").alias("blocks"), F.sum("n_lines").alias("n_lines"))
+    """Documents to lines; what stands at the edges of more than a tenth of a source's documents, and page numbers there,
+    are taken off by an anti-join; blocks are assembled from the rest."""
+    lines = doc_lines(spark, sf_dir).select(F.col("source").alias("book_id"), F.col("doc_id").alias("page_no"), "line_no", "text")
+    pages = read(spark, sf_dir, "documents").groupBy(F.col("source").alias("book_id")).agg(F.count("*").alias("n_pages"))
+    kept = layout.strip_running_heads(lines, pages, share=0.1).withColumnRenamed("page_no", "doc_id")
+    blocks = layout.assemble_blocks(_geometry(kept))
+    found = blocks.groupBy("doc_id").agg(F.count("*").alias("blocks"), F.sum("n_lines").alias("n_lines"))
+    whole = read(spark, sf_dir, "documents").select("doc_id", F.size(F.split("text", "\n", -1)).alias("_n"))
+    return found.join(whole, "doc_id").select("doc_id", "blocks", "n_lines", (F.col("_n") - F.col("n_lines")).alias("stripped"))
 
 
 def FLAGSHIP(spark: SparkSession, sf_dir: str) -> DataFrame:
