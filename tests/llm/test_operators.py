@@ -260,6 +260,9 @@ def test_language_id(spark):
     held = [r for r in rows if r[0] % 4 == 2]
     assert sum(got[d]["lang_pred"] == lang for d, _, lang, *_ in held) >= 0.97 * len(held)
     assert all(0 <= r["score"] <= 1 for r in got.values())
+    clash = df.unionAll(df).selectExpr("cast(doc_id as string) doc_id", "text", "lang", "source as lang_pred", "n_chars as score", "doc_id as _h")
+    again = language_id.identify(clash, language_id.train(clash.where("doc_id % 4 <> 2"))).collect()
+    assert len(again) == 610 and {r["doc_id"]: r["lang_pred"] for r in again} == {str(d): r["lang_pred"] for d, r in got.items()}
     none = language_id.train(df.where("false"))
     assert {r["lang_pred"] for r in language_id.identify(df, none).collect()} == {"und"}
 
@@ -268,27 +271,37 @@ def test_ppm_code_lengths():
     """The table against escapes spelt out symbol by symbol."""
     texts = [b"abracadabra", b"banana band", b"cab"]
     model = language_id.PpmModel({"x": language_id.count_grams(texts)})
-    trees = [defaultdict(Counter) for _ in range(3)]
+    n = language_id.ORDER
+    trees = [defaultdict(Counter) for _ in range(n + 1)]
     for t in texts:
-        padded = b"\n\n" + t
-        for i in range(2, len(padded)):
-            for k in range(3):
+        padded = b"\n" * n + t
+        for i in range(n, len(padded)):
+            for k in range(n + 1):
                 trees[k][padded[i - k : i]][padded[i]] += 1
-    symbols = {s for t in texts for s in t}
 
-    def cost(before, s, k=2):
+    def cost(before, s, k=n):
         if k < 0:
-            return 1 / (len(symbols) + 1)
+            return 1 / 256
         seen = trees[k][before[len(before) - k :]]
         total, distinct = sum(seen.values()), len(seen)
         if not total:
             return cost(before, s, k - 1)
         return seen[s] / (total + distinct) if seen[s] else distinct / (total + distinct) * cost(before, s, k - 1)
 
-    for t in [b"abba", b"band cab", b"zzz", b"", b"a"]:
-        padded = b"\n\n" + bytes(c if c in symbols else 10 for c in t)  # bytes not met in training are one class, with the padding
-        want = -sum(np.log2(cost(padded[:i], padded[i])) for i in range(2, len(padded)))
+    other = language_id.PpmModel({"x": language_id.count_grams(texts), "a": language_id.count_grams([b"zebra", b"abba"])})
+    for t in [b"abba", b"band cab", b"zzz", b"", b"a", b"banana"]:
+        padded = b"\n" * n + t
+        want = -sum(np.log2(cost(padded[:i], padded[i])) for i in range(n, len(padded)))
         assert model.code_lengths([b"ab", t, b"c"])[1, 0] == pytest.approx(want, rel=1e-5)
+        assert other.code_lengths([b"ab", t, b"c"])[1, 1] == pytest.approx(want, rel=1e-5)
+
+
+def test_places():
+    rng = np.random.default_rng(3)
+    keys = np.unique(rng.integers(0, 1 << 40, 5000))
+    places = language_id.Places(keys)
+    assert (places(keys) == np.arange(len(keys))).all() and (places(keys[:-1] + 1)[keys[:-1] + 1 != keys[1:]] == -1).all()
+    assert (language_id.Places(keys[:0])(keys) == -1).all()
 
 
 # Toxicity
