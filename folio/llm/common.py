@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -35,9 +36,12 @@ _ours: dict[str, list[str]] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder name under spark.checkpoint.dir, which all executors share; a local one only where that is unset."""
+    """A new folder name under spark.checkpoint.dir, which all executors share. Only a local session may leave that unset:
+    on a cluster each executor would write to its own disk."""
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not re.match(r"local($|\[)", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         if "local" not in _ours:
             _ours["local"] = [tempfile.mkdtemp(prefix="folio-")]
         base = "file://" + _ours["local"][0]

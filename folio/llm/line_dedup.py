@@ -3,7 +3,8 @@
 A rolling hash over the hashes of the last two lines chooses where chunks of lines end, so inserted or deleted lines move
 only the boundaries beside them. A line of LONG_WORDS words or more is a chunk by itself. A chunk of two lines or more,
 or of LONG_WORDS words or more, that stands in more than one place of the whole table is removed everywhere but at its
-first place, by (doc_id, line). Chunks count as equal only if all their bytes are equal: they meet by content, not by hash.
+first place, by (doc_id, line). Chunks meet by their bytes; only contents that
+occur more than `hot` times find the first place of all salts by their SHA-256.
 
 Chunks miss passages that their boundaries cut elsewhere. `dedup_runs` therefore also removes each run of lines of LONG_WORDS
 words or more in all that stands at an earlier place, wherever boundaries fall. Such a run is the union of the shortest runs

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from folio.llm import range_codec
 from folio.llm.bpe import LEAVES
-from folio.llm.common import shared_dir, table
+from folio.llm.common import released, shared_dir, table
 
 MAGIC = b"FOLIOID1"
 SEGMENT_IDS = 1 << 20
@@ -121,7 +121,7 @@ def write(docs: DataFrame, vocabulary: str, path: str) -> None:
             return pa.RecordBatch.from_arrays([pa.array(range(first, seq), pa.int32()), pa.array(rows, pa.binary())], names=["seq", "segment"])
 
         segment = 0
-        for batch in batches:
+        for batch in released(batches):
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 ids = encoder(text or "")
                 if segment and segment + len(ids) // 2 > SEGMENT_IDS:

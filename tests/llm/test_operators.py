@@ -69,6 +69,8 @@ def test_sharding(spark):
     assert sorted(map(key, got)) == sorted(map(key, again))
     assert [r["row_number"] for r in sorted(got, key=lambda r: r["row_number"])] == list(range(len(rows)))
     assert sharding.shard(frame(spark, rows).where("false")).count() == 0
+    clash = frame(spark, rows).withColumnsRenamed({"lang": "_tie", "source": "shard", "n_chars": "slot"})
+    assert Counter((r["shard"], r["slot"]) for r in sharding.shard(clash, 16).collect()) == Counter((r["shard"], r["slot"]) for r in got)
 
 
 @pytest.mark.parametrize("n", [1, 2, 3, 5, 16, 17, 99, 100, 101, 997])
@@ -456,6 +458,37 @@ def test_codec_compresses_and_detects_damage():
         token_files.unpack(segment[:30] + b"\x07" + segment[31:])
 
 
+def test_damaged_block(spark):
+    """One changed byte in a block's words is found when the files are read."""
+    rows = [(i, f"word {i} and more of it " * 40, None, None, None) for i in range(20)]
+    path, broken = shared_dir(spark), shared_dir(spark)
+    token_files.write(frame(spark, rows), P.path("byte_bpe_50k.json"), path)
+    segments = spark.read.parquet(path).collect()
+    whole = bytes(segments[0]["segment"])
+    bad = whole[:-9] + bytes([whole[-9] ^ 0x55]) + whole[-8:]
+    spark.createDataFrame([(r["part"], r["seq"], bad if r is segments[0] else bytes(r["segment"])) for r in segments], "part int, seq int, segment binary").write.parquet(broken)
+    with pytest.raises(Exception, match="damaged block"):
+        token_files.read(spark, broken).collect()
+    assert token_files.read(spark, path).count() == 20
+
+
+def test_repeated_doc_ids(spark):
+    """Rows of one doc_id each stand in the files, in an order that their texts fix; other columns may clash."""
+    rows = [(5, "a b"), (5, "a b"), (5, "c"), (None, None), (None, "x"), (1, "")]
+    df = spark.createDataFrame([(d, t, i, "s") for i, (d, t) in enumerate(rows)], "doc_id long, text string, seq int, segment string").repartition(3)
+    starts = []
+    for _ in range(2):
+        path = shared_dir(spark)
+        token_files.write(df, P.path("byte_bpe_50k.json"), path)
+        got = token_files.with_starts(token_files.with_checksum(token_files.read(spark, path))).collect()
+        assert Counter(r["doc_id"] for r in got) == Counter(d for d, _ in rows)
+        ordered = sorted(got, key=lambda r: r["start"])
+        assert [r["doc_id"] for r in ordered] == [None, None, 1, 5, 5, 5]
+        assert [r["start"] for r in ordered] == np.cumsum([0, *[r["n_tokens"] for r in ordered]])[:-1].tolist()
+        starts.append([(r["start"], r["ids_crc32"]) for r in ordered])
+    assert starts[0] == starts[1]
+
+
 def test_token_files(spark):
     from tokenizers import Tokenizer
 
