@@ -533,7 +533,13 @@ def q_pauses(spark, sf_dir):
     return policy.pauses(_streaks(spark, sf_dir), ["user_id"])
 
 
-@query()
+@query("""
+WITH RECURSIVE e AS (SELECT user_id, event_type <> 'error' AS ok, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k FROM events),
+f(user_id, k, streak, lim) AS (
+  SELECT user_id, 0, 0, 3 FROM (SELECT DISTINCT user_id FROM e)
+  UNION ALL SELECT e.user_id, e.k, CASE WHEN ok AND streak < 19 THEN streak + 1 ELSE 0 END, CASE WHEN NOT ok THEN 1 WHEN streak >= 19 THEN least(3, lim + 1) ELSE lim END
+  FROM f JOIN e ON e.user_id = f.user_id AND e.k = f.k + 1)
+SELECT user_id, arg_max(lim, k)::INT AS "limit" FROM f GROUP BY 1""")
 def q_adaptive_pool(spark, sf_dir):
     e = read(spark, sf_dir, "events").groupBy("user_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("event_id", (F.col("event_type") != "error").alias("ok")))), lambda x: x["ok"]).alias("o"))
     return e.select("user_id", F.element_at(policy.pool_limits(F.col("o")), -1).alias("limit"))
