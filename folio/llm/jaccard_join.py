@@ -46,6 +46,7 @@ BLOCK = 64
 OFTEN = 16
 WIDE = 8
 ROUNDS = 4
+FEW = 4
 MOST_OFTEN = 2_000_000
 FLUSH = 1_000_000
 BROADCAST_BYTES = 32 << 20
@@ -376,7 +377,7 @@ def _links(docs: DataFrame, within: bool) -> tuple[DataFrame, DataFrame, DataFra
     # The matrix: tokens of two groups at least, one of which holds the token
     of = _small(group_of.select("doc_id", "g").distinct())
     first = cut(prefixes(docs, often).join(of, "doc_id"))
-    for last in [*[False] * (ROUNDS - 1), True]:
+    for done in range(1, ROUNDS + 1):
         place = first.select("doc_id", "g", "n", "held", F.posexplode("tokens").alias("at", "token"))
         place = place.select("token", "g", "doc_id", "n", (F.col("n") - F.col("at")).alias("rest"), (F.col("at") < F.col("held")).alias("holds"))
         met = cut(place.groupBy("token").agg(F.min("g").alias("lo"), F.max("g").alias("hi"), F.max("holds").alias("holds")).where("lo <> hi and holds").select("token"))
@@ -387,7 +388,7 @@ def _links(docs: DataFrame, within: bool) -> tuple[DataFrame, DataFrame, DataFra
         wide = wide.where(F.col("times") > WIDE)
         asking = matrix.groupBy("token").agg(F.count("*").alias("asking"))
         heavy = asking.join(wide, "token").agg(F.sum(F.col("asking").cast("double") * F.col("times"))).first()[0] or 0.0
-        if last or heavy <= matrix.count():  # what meets at other tokens is linear
+        if done == ROUNDS or done > 1 and heavy <= FEW * matrix.count():  # what meets at other tokens is linear
             break
         tokens, times = _collected(wide, "times")
         new = ~often.has(tokens)
