@@ -44,9 +44,10 @@ PERCENT = 80
 BINS = 16
 BLOCK = 64
 OFTEN = 16
-WIDE = 8
-ROUNDS = 4
+WIDE = 16
+ROUNDS = 3
 FEW = 4
+SHARED = 4
 MOST_OFTEN = 2_000_000
 FLUSH = 1_000_000
 BROADCAST_BYTES = 32 << 20
@@ -141,6 +142,28 @@ def describe(docs: DataFrame) -> DataFrame:
     return slim.mapInArrow(run, f"doc_id {kind}, n long, d1 long, d2 long, keys array<long>, token long, times long")
 
 
+def token_counts(docs: DataFrame) -> DataFrame:
+    """token, times: how many of docs have a token, in parts that are to be summed."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+
+        def counted() -> pa.RecordBatch:
+            tokens, times = np.unique(np.concatenate(held), return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(tokens.view(np.int64)), pa.array(times.astype(np.int64))], names=["token", "times"])
+
+        for _, sets in _texts(batches):
+            held += sets
+            size += sum(map(len, sets))
+            if size >= FLUSH:
+                yield counted()
+                held, size = [], 0
+        if size:
+            yield counted()
+
+    return docs.select("text").where("text is not null").mapInArrow(run, "token long, times long")
+
+
 class Often:
     """Tokens that many documents share, with how many: they come last in the order of tokens, the most shared last of all."""
 
@@ -384,22 +407,22 @@ def _links(docs: DataFrame, within: bool) -> tuple[DataFrame, DataFrame, DataFra
         matrix = cut(place.join(_small(met), "token").distinct())
         columns = matrix.where("holds").groupBy("token", "g").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.max("rest").alias("rest"))
         columns = cut(columns.withColumnsRenamed({"g": "other", "rest": "other_rest"}))
-        wide = columns.groupBy("token").agg(F.count("*").alias("times"))
-        wide = wide.where(F.col("times") > WIDE)
         asking = matrix.groupBy("token").agg(F.count("*").alias("asking"))
-        heavy = asking.join(wide, "token").agg(F.sum(F.col("asking").cast("double") * F.col("times"))).first()[0] or 0.0
+        met_rows = F.col("asking").cast("double") * F.col("holding")
+        wide = columns.groupBy("token").agg(F.count("*").alias("holding")).join(asking, "token").where(met_rows > WIDE)
+        wide = cut(wide.select("token", met_rows.cast("long").alias("times")))
+        heavy = wide.agg(F.sum("times")).first()[0] or 0
         if done == ROUNDS or done > 1 and heavy <= FEW * matrix.count():  # what meets at other tokens is linear
             break
-        tokens, times = _collected(wide, "times")
+        # Documents with such tokens mostly share many more that aren't among the first yet: all of theirs are counted
+        changed = _small(cut(matrix.join(_small(wide.select("token")), "token", "left_semi").select("doc_id").distinct()))
+        shared = token_counts(docs.select("doc_id", "text").join(changed, "doc_id", "left_semi")).groupBy("token").agg(F.sum("times").alias("times")).where(F.col("times") >= SHARED)
+        tokens, times = _collected(shared, "times")
         new = ~often.has(tokens)
         if not new.any():
             break
         often = often.with_more(tokens[new], times[new])
-        # The first tokens of other documents stay the same
-        moved = cut(wide.select("token"))
-        changed = _small(cut(matrix.join(_small(moved), "token", "left_semi").select("doc_id").distinct()))
-        anew = prefixes(docs.select("doc_id", "text").join(changed, "doc_id", "left_semi"), often).join(of, "doc_id")
-        first = cut(first.join(changed, "doc_id", "left_anti").unionByName(anew))
+        first = cut(prefixes(docs, often).join(of, "doc_id"))
     n = F.col("n")
     overlap = F.ceil(PERCENT * (n + F.greatest("least", F.ceil(PERCENT * n / 100))) / (100 + PERCENT) - 1e-6)
     fits = (F.col("other") != F.col("g")) & (F.col("least") <= n) & (PERCENT * n <= 100 * F.col("most")) & (F.least("rest", "other_rest") >= overlap)
