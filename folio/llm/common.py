@@ -66,21 +66,24 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def released(batches: Iterator) -> Iterator:
-    """batches; what each of them needed goes back to the system, so that workers stay small between long texts."""
+def release() -> None:
+    """Gives memory that is no longer used back to the system."""
     import ctypes
 
     import pyarrow as pa
 
+    pa.default_memory_pool().release_unused()
     try:
-        trim = ctypes.CDLL("libc.so.6").malloc_trim
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
     except (OSError, AttributeError):  # other C libraries have no such call
-        trim = None
+        pass
+
+
+def released(batches: Iterator) -> Iterator:
+    """batches; what each of them needed goes back to the system, so that workers stay small between long texts."""
     for batch in batches:
         yield batch
-        pa.default_memory_pool().release_unused()
-        if trim:
-            trim(0)
+        release()
 
 
 def sub_batches(sizes: np.ndarray, most: int) -> Iterator[tuple[int, int]]:

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from folio.llm.common import Words, cut, mix, released, shingle_hashes, sub_batches, table, text_bytes
+from folio.llm.common import Words, cut, mix, release, released, shingle_hashes, sub_batches, table, text_bytes
 from folio.llm.components import components
 
 SHINGLE = 5
@@ -361,8 +361,11 @@ def open_blocks(docs: DataFrame, queries: DataFrame, members: DataFrame) -> Data
 
 def _collected(rows: DataFrame, count: str) -> tuple[np.ndarray, np.ndarray]:
     """Tokens and their counts, MOST_OFTEN at most, those of the largest counts. The list decides speed only."""
-    top = rows.orderBy(F.desc(count), "token").limit(MOST_OFTEN).select("token", count).toPandas()
-    return top["token"].to_numpy(np.int64).view(np.uint64), top[count].to_numpy(np.int64)
+    top = cut(rows.orderBy(F.desc(count), "token").limit(MOST_OFTEN).select("token", count)).toArrow()
+    tokens, times = (top[c].combine_chunks().to_numpy(zero_copy_only=False).copy() for c in ("token", count))
+    del top
+    release()
+    return tokens.view(np.uint64), times
 
 
 def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:

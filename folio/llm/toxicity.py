@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folio.llm.common import IS_LETTER, Words, cut, released, remainder, sub_batches, table, text_bytes
+from folio.llm.common import IS_LETTER, Words, cut, release, released, remainder, sub_batches, table, text_bytes
 
 MAX_EXAMPLES = 2000
 NEIGHBOURS = 15
@@ -275,7 +275,10 @@ def train(labelled: DataFrame, max_examples: int = MAX_EXAMPLES) -> ToxicityMode
     lists = found["terms"].combine_chunks()
     doc = np.repeat(np.arange(len(ids)), lists.value_lengths().to_numpy(zero_copy_only=False)) if ids else np.empty(0, np.int64)
     flat = lambda c: found[c].combine_chunks().flatten().to_numpy(zero_copy_only=False)
-    return ToxicityModel(ids, labels, doc, flat("terms").view(np.uint64), flat("counts"))
+    model = ToxicityModel(ids, labels, doc, flat("terms").view(np.uint64), flat("counts"))
+    del found, lists, doc
+    release()
+    return model
 
 
 def score(docs: DataFrame, model: ToxicityModel, column: str = "text") -> DataFrame:
