@@ -411,20 +411,45 @@ def test_language_model(spark):
     assert {r["score"] for r in nothing} == {0.0} and language_model.score(df.where("false")).count() == 0
 
 
-def test_predictive_sums_to_one():
-    """In every context the words of the vocabulary and the unknown one have all the probability."""
-    rng = np.random.default_rng(1)
-    contexts = language_model.Contexts(np.sort(rng.integers(1, 2**63, 5).astype(np.uint64)), rng.integers(0, language_model.CLASSES, 5))
-    vocabulary = np.unique(rng.integers(1, 2**63, 40).astype(np.uint64))
-    docs = [(rng.choice(vocabulary, 300, p=np.r_[0.3, np.full(len(vocabulary) - 1, 0.7 / (len(vocabulary) - 1))]), rng.integers(0, contexts.n, 300)) for _ in range(4)]
-    every = [(np.repeat(np.append(vocabulary, np.uint64(3)), contexts.n), np.tile(np.arange(contexts.n), len(vocabulary) + 1))]
-    pairs = [language_model.Pairs(docs, [True] * 4, contexts.n), language_model.Pairs(every, [False], contexts.n)]
-    part = language_model.Part([r[1:] for p in pairs for r in p.by_part(1)], contexts)
-    sums = part.sums()
-    hyper = language_model.Hyper(contexts, 1, sums["customers"], sums["sizes"])
-    totals = [hyper.totals(leaf, classes, root) for *_, (leaf, classes, root) in part.samples(hyper, 0)]
-    p = part.predictive(hyper, 0, totals)
-    assert np.bincount(part.ctx, p, contexts.n) == pytest.approx(np.ones(contexts.n)) and hyper.vocabulary == len(vocabulary)
+@pytest.mark.parametrize("parts", [1, 2])
+def test_predictive_sums_to_one(parts):
+    """After every word the words of the vocabulary and an unknown one have all the probability."""
+    lm, rng = language_model, np.random.default_rng(1)
+    vocabulary = np.unique(rng.integers(1, 2**63, 40).astype(np.uint64) * np.uint64(2))
+    end, unknown = np.array([lm.END]), np.array([3], np.uint64)
+    hot = np.unique(np.concatenate([vocabulary[[4, 9]], end, [lm.START]]))
+    docs = [np.append(rng.choice(vocabulary, 300, p=np.r_[0.3, np.full(len(vocabulary) - 1, 0.7 / (len(vocabulary) - 1))]), end) for _ in range(4)]
+    words, known = np.concatenate([vocabulary, end, unknown]), np.append(vocabulary, unknown)
+    every = [np.array([u, w]) for u in known for w in words] + [np.array([w]) for w in words]
+    asked = [lm.Pairs(docs, [True] * 4, hot, parts), lm.Pairs(every, [False] * len(every), hot, parts)]
+    rows = [{p: row for p, *row in pairs.by_part()} for pairs in asked]
+    made = [lm.Part([r[p] for r in rows if p in r], hot, parts) for p in range(parts)]
+    add = lambda many: {k: sum(m[k] for m in many) for k in many[0]}
+    hyper = lm.Hyper(hot, add([p.sums(len(hot)) for p in made]))
+    assert hyper.vocabulary == len(vocabulary) + 1 and hyper.tokens == sum(map(len, docs))
+    sums, drawn = [], []
+    for seed, part in enumerate(made):
+        own = {}
+        for s, (t, tables, root, tr) in enumerate(part.samples(hyper, seed)):
+            own |= {f"before{s}": part.of_hot(len(hot), tables, part.hot_ctx), f"root{s}": part.of_hot(len(hot), root, part.hot_words), f"all{s}": np.array([t.sum(), tr[part.cold].sum()])}
+            drawn += [(c, s, n) for c, n in zip(part.codes, tables, strict=True)]
+        sums.append(own)
+    totals = lm.Totals(hyper, add(sums), len(hot))
+    pairs, counts, root, tables, above = asked[1], [], [], [], []
+    for seed, part in enumerate(made):
+        own_above, own_root = part.seated(hyper, seed)
+        nw, ne = part.sizes[-1]
+        chunk_words, chunk_pairs = part.chunk_words[-nw:], part.chunk_pairs[-ne:]
+        counts.append(part.counts[chunk_words])
+        root.append(own_root[:, chunk_words])
+        above.append(own_above[chunk_pairs])
+        found = defaultdict(float)
+        for c, s, n in drawn:
+            found[c, s] += n
+        tables.append(np.array([[found[w >> lm.SHORT, s] for w in part.words[chunk_words]] for s in range(lm.SAMPLES)]))
+    _, p = lm.predictive(pairs, hot, hyper, totals, np.concatenate(counts), np.concatenate(root, 1), np.concatenate(tables, 1), np.concatenate(above))
+    after = np.flatnonzero(np.isin(np.append(pairs.words, lm.START), np.append(known, lm.START)))
+    assert np.bincount(pairs.ctx, p, len(pairs.words) + 1)[after] == pytest.approx(np.ones(len(after)), rel=1e-5)
 
 
 def test_stirling_and_tables():
