@@ -422,7 +422,7 @@ def test_predictive_sums_to_one(parts):
     words, known = np.concatenate([vocabulary, end, unknown]), np.append(vocabulary, unknown)
     every = [np.array([u, w]) for u in known for w in words] + [np.array([w]) for w in words]
     asked = [lm.Pairs(docs, [True] * 4, hot, parts), lm.Pairs(every, [False] * len(every), hot, parts)]
-    rows = [{p: row for p, *row in pairs.by_part()} for pairs in asked]
+    rows = [{p: row for p, *row in pairs.by_part(hot)} for pairs in asked]
     made = [lm.Part([r[p] for r in rows if p in r], hot, parts) for p in range(parts)]
     add = lambda many: {k: sum(m[k] for m in many) for k in many[0]}
     hyper = lm.Hyper(hot, add([p.sums(len(hot)) for p in made]))
@@ -435,19 +435,19 @@ def test_predictive_sums_to_one(parts):
             drawn += [(c, s, n) for c, n in zip(part.codes, tables, strict=True)]
         sums.append(own)
     totals = lm.Totals(hyper, add(sums), len(hot))
-    pairs, counts, root, tables, above = asked[1], [], [], [], []
+    pairs, counts, root, tables, seats = asked[1], [], [], [], []
     for seed, part in enumerate(made):
-        own_above, own_root = part.seated(hyper, seed)
+        own_seats, own_root = part.seated(hyper, seed)
         nw, ne = part.sizes[-1]
         chunk_words, chunk_pairs = part.chunk_words[-nw:], part.chunk_pairs[-ne:]
         counts.append(part.counts[chunk_words])
         root.append(own_root[:, chunk_words])
-        above.append(own_above[chunk_pairs])
+        seats.append(own_seats[:, chunk_pairs])
         found = defaultdict(float)
         for c, s, n in drawn:
             found[c, s] += n
         tables.append(np.array([[found[w >> lm.SHORT, s] for w in part.words[chunk_words]] for s in range(lm.SAMPLES)]))
-    _, p = lm.predictive(pairs, hot, hyper, totals, np.concatenate(counts), np.concatenate(root, 1), np.concatenate(tables, 1), np.concatenate(above))
+    _, p = lm.predictive(pairs, hot, hyper, totals, np.concatenate(counts), np.concatenate(root, 1), np.concatenate(tables, 1), np.concatenate(seats, 1))
     after = np.flatnonzero(np.isin(np.append(pairs.words, lm.START), np.append(known, lm.START)))
     assert np.bincount(pairs.ctx, p, len(pairs.words) + 1)[after] == pytest.approx(np.ones(len(after)), rel=1e-5)
 
