@@ -4,9 +4,10 @@ The tokens of a text by a byte-level vocabulary (A) and by a piece model (B) are
 linked if their byte ranges overlap. Union-find over the links gives the connected components, which are the minimal groups
 (`components`); a component's members, in order, are its group, and its links are the token pairs that are counted.
 
-Both vocabularies never join a non-space with the white space behind it (checked when they are loaded), so texts are cut
-there into leaves, whose groups follow from the leaf alone. Leaves met before come from a cache of bounded size. Where the
-check fails, a text is one leaf.
+Byte-level vocabularies never join a non-space with the white space behind it, nor a letter with the punctuation behind it, and
+the piece model only with what some of its pieces has there (looked up when it is loaded). Texts are cut before all other
+white space, and between words of Latin letters and other punctuation, into leaves, whose groups follow from the leaf alone.
+Leaves that a chunk has twice are kept in a cache of CACHED. If a piece joins a word with the space behind it, a text is one leaf.
 
 Documents are taken in chunks of CHUNK_BYTES of text (or one longer document). A chunk is written as a row for each
 document (its leaves by number, its digest and sizes) and rows of its distinct pairs of ids with the number of documents
@@ -21,8 +22,10 @@ table gives no rows; other columns are ignored.
 from __future__ import annotations
 
 import re
+from collections import defaultdict
 from collections.abc import Iterator
 from hashlib import sha256
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -30,13 +33,17 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folio.llm.bpe import LEAVES, WS
+from folio.llm.bpe import WS
 from folio.llm.common import cut, release, table
 
 CHUNK_BYTES = 8 << 20
-CACHED = 200_000
+CACHED = 400_000
 LONGEST_CACHED = 48
+ENCODED = 1 << 16
 _ESCAPED = "▁"
+_LATIN = "A-Za-zÀ-ÖØ-öø-ɏ"
+_PUNCTUATION = ".,;:!?"
+_DUMMY = " a"
 
 
 def components(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -62,6 +69,27 @@ def _byte_letters() -> dict[str, int]:
     return {chr(b): b for b in own} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+class Found:
+    """What is known of some leaves: spelled: their groups; sizes: the numbers of A and B tokens, of groups and of links; codes:
+    the links of one leaf behind those of the last, as a * width + b; bad: tokens that don't give back the leaf's bytes."""
+
+    def __init__(self) -> None:
+        self.spelled: list[bytes] = []
+        self.sizes, self.codes, self.bad = np.zeros((0, 4), np.int64), np.empty(0, np.int64), np.empty(0, bool)
+
+    def add(self, other: Found) -> None:
+        self.spelled += other.spelled
+        self.sizes, self.codes, self.bad = (np.concatenate([a, b]) for a, b in ((self.sizes, other.sizes), (self.codes, other.codes), (self.bad, other.bad)))
+
+    def take(self, at: np.ndarray) -> Found:
+        out = Found()
+        out.spelled = [self.spelled[i] for i in at.tolist()]
+        out.sizes, out.bad = self.sizes[at], self.bad[at]
+        ends = np.cumsum(self.sizes[:, 3])
+        out.codes = self.codes[ranges(ends[at] - out.sizes[:, 3], out.sizes[:, 3])]
+        return out
+
+
 class Aligner:
     """Groups and links of leaves by the tokenizers A (a JSON file's contents) and B (a piece model's bytes)."""
 
@@ -82,36 +110,89 @@ class Aligner:
         self.bytes = a_bytes, b_bytes
         self.sizes = tuple(np.array([len(x) for x in side], np.int64) for side in self.bytes)
         self.width = len(b_bytes)
-        self.blank = self.b.piece_to_id(_ESCAPED)
-        joins = re.compile(f"[^{WS}{_ESCAPED}][{WS}{_ESCAPED}]|{_ESCAPED}[{WS}]").search
-        self.cuts = not any(joins(p) for i, p in enumerate(pieces) if not self.b.is_byte(i)) and pieces[self.blank] == _ESCAPED
+        pieces = [p for i, p in enumerate(pieces) if not self.b.is_byte(i)]
+        # White space that some piece has behind something else, a carriage return for one, begins no leaf
+        joins = re.compile(f"[^{WS}{_ESCAPED}]([{WS}{_ESCAPED}])|{_ESCAPED}([{WS}])").findall
+        joined = {c for p in pieces for pair in joins(p) for c in pair if c}
+        marks = set(_PUNCTUATION) - {p[m.end() - 1] for p in pieces for m in re.finditer(f"[{_LATIN}][{_PUNCTUATION}]", p)}
+        self.cuts = _ESCAPED not in joined and all(len(x) == 1 for x in self._encoded([_DUMMY]))
+        more = f"(?:[{re.escape(''.join(sorted(joined)))}][{WS}]*[^{WS}]*)*" if joined else ""
+        word = f"[{WS}]*[{_LATIN}]+(?=[{re.escape(''.join(sorted(marks)))}])|" if marks else ""
+        self.leaf = re.compile(f"{word}[{WS}]*[^{WS}]+{more}|[{WS}]+")
+        # What can be put behind any other leaf, and before it a leaf that ends in a letter, without a change to either
+        self.alone = re.compile(f"[{WS}]\\Z|{_ESCAPED}").search
+        self.blank = re.compile(f"[{WS}]").match
         # Fixed-width spellings: an id with the mark behind it
         self.spelled = [np.array([b"%d" % i + mark for i in range(n)], "S8") for n, marks in ((len(a_bytes), (b",", b"|")), (len(b_bytes), (b",", b";"))) for mark in marks]
-        self.cache: dict[str, tuple] = {}
+        self.cache = Found()
+        self.number: dict[str, int] = {}
 
     def leaves(self, text: str) -> list[str]:
         """Leaves of a space and text."""
-        return LEAVES.findall(" " + text) if self.cuts else [" " + text]
-
-    def ids(self, leaves: list[str]) -> tuple[list[list[int]], list[list[int]]]:
-        a = [x.ids for x in self.a.encode_batch_fast(leaves, add_special_tokens=False)]
-        b = []
-        # The model puts a space before what it encodes; before leaves that begin with other white space it goes again
-        for leaf, ids in zip(leaves, self.b.encode([x.removeprefix(" ") for x in leaves], num_threads=1), strict=True):
-            b.append(ids if leaf[0] == " " else ids[1:] if ids and ids[0] == self.blank else [])
-        return a, b
-
-    def align(self, leaves: list[str]) -> list[tuple[bytes, int, int, int, np.ndarray] | None]:
-        """Of each leaf: its groups spelled out, the numbers of A and B tokens and of groups, and its links as
-        a * width + b; None if its tokens don't give back its bytes."""
-        a, b = self.ids(leaves)
-        raw = [x.encode() for x in leaves]
-        same = [all(b"".join(map(side.__getitem__, ids)) == x for side, ids in zip(self.bytes, both, strict=True)) for x, both in zip(raw, zip(a, b, strict=True), strict=True)]
-        out: list[tuple | None] = [None] * len(leaves)
-        good = [i for i, ok in enumerate(same) if ok]
-        if not good:
+        return self.leaf.findall(" " + text) if self.cuts else [" " + text]
+
+    def _encoded(self, texts: list[str]) -> tuple[list[list[int]], list[list[int]]]:
+        """Ids of texts that begin with a space, which the piece model puts there itself."""
+        return [x.ids for x in self.a.encode_batch_fast(texts, add_special_tokens=False)], self.b.encode([x[1:] for x in texts], num_threads=1)
+
+    def _single(self, leaves: list[str]) -> tuple[list[list[int]], list[list[int]]]:
+        """Ids of leaves, each encoded by itself, behind a word; whole texts as they are."""
+        if not self.cuts:
+            return self._encoded(leaves)
+        return tuple([ids[1:] for ids in side] for side in self._encoded([_DUMMY + x for x in leaves]))
+
+    def align(self, leaves: list[str]) -> Found:
+        """What is found of leaves. They are encoded together, as one text each ENCODED bytes, where that is the same."""
+        apart = [bool(self.alone(x)) for x in leaves] if self.cuts else [True] * len(leaves)
+        together = [i for i, x in enumerate(apart) if not x]
+        found = self._aligned([leaves[i] for i in together]) if together else Found()
+        if found is None:  # the piece model changes some of them
+            apart, together, found = [True] * len(leaves), [], Found()
+        single = [i for i, x in enumerate(apart) if x]
+        if single:
+            some = [leaves[i] for i in single]
+            sides = self._single(some)
+            raw = [x.encode() for x in some]
+            same = [all(b"".join(map(side.__getitem__, ids)) == x for side, ids in zip(self.bytes, both, strict=True)) for x, both in zip(raw, zip(*sides, strict=True), strict=True)]
+            good = [i for i, ok in enumerate(same) if ok]
+            flat = [np.array([t for i in good for t in side[i]], np.int64) for side in sides]
+            found.add(self._grouped(flat, np.array([len(raw[i]) for i in good], np.int64), np.array(same)))
+        order = np.empty(len(leaves), np.int64)
+        order[together + single] = np.arange(len(leaves))
+        return found.take(order)
+
+    def _aligned(self, leaves: list[str]) -> Found | None:
+        """Leaves that are encoded in common texts; None if these don't come back as they are."""
+        texts, parts, size, sizes, kept = [], [_DUMMY], 0, [len(_DUMMY)], [False]
+        for x in leaves:
+            if size >= ENCODED:
+                texts.append("".join(parts))
+                parts, size = [_DUMMY], 0
+                sizes.append(len(_DUMMY))
+                kept.append(False)
+            elif not self.blank(x):
+                parts.append(_DUMMY)
+                sizes.append(len(_DUMMY))
+                kept.append(False)
+            parts.append(x)
+            n = len(x.encode())
+            size += n
+            sizes.append(n)
+            kept.append(True)
+        texts.append("".join(parts))
+        sides = [[t for ids in side for t in ids] for side in self._encoded(texts)]
+        whole = "".join(texts).encode()
+        if any(b"".join(map(own.__getitem__, ids)) != whole for own, ids in zip(self.bytes, sides, strict=True)):
+            return None
+        found = self._grouped([np.array(x, np.int64) for x in sides], np.array(sizes, np.int64), np.ones(len(sizes), bool))
+        return found.take(np.flatnonzero(kept))
+
+    def _grouped(self, sides: list[np.ndarray], sizes: np.ndarray, good: np.ndarray) -> Found:
+        """Groups and links of leaves, of which the good ones have `sizes` bytes and these ids of A and B."""
+        out = Found()
+        if not len(sizes):
+            out.bad, out.sizes, out.spelled = ~good, np.zeros((len(good), 4), np.int64), [b""] * len(good)
             return out
-        sides = [np.array([t for i in good for t in ids[i]], np.int64) for ids in (a, b)]
         ends = [np.cumsum(self.sizes[k][ids]) for k, ids in enumerate(sides)]
         cuts = np.union1d(*ends)  # between two cuts, one A and one B token overlap
         at = [np.searchsorted(e, cuts) for e in ends]
@@ -125,28 +206,33 @@ class Aligner:
             text[place] = np.where(last, end[ids], plain[ids])
         whole = text.tobytes().replace(b"\0", b"")
         letters = np.cumsum(np.char.str_len(text))
-        codes = sides[0][at[0]] * self.width + sides[1][at[1]]
-        leaf_ends = np.cumsum([len(raw[i]) for i in good])
+        leaf_ends = np.cumsum(sizes)
         end_a, end_b = (np.searchsorted(e, leaf_ends) + 1 for e in ends)
         end_l = np.searchsorted(cuts, leaf_ends) + 1
-        groups = np.cumsum(last_a)[end_a - 1]
-        spans = np.stack([letters[end_a + end_b - 1], end_a, end_b, groups, end_l], 1)
-        before = np.zeros(5, np.int64)
-        for i, now in zip(good, spans, strict=True):
-            out[i] = (whole[before[0] : now[0]], *(now - before)[1:4].tolist(), codes[before[4] : now[4]])
-            before = now
+        stops = letters[end_a + end_b - 1]
+        parts = [whole[a:b] for a, b in zip([0, *stops[:-1].tolist()], stops.tolist(), strict=True)]
+        counts = np.diff(np.stack([end_a, end_b, np.cumsum(last_a)[end_a - 1], end_l], 1), axis=0, prepend=np.zeros((1, 4), np.int64))
+        out.codes = sides[0][at[0]] * self.width + sides[1][at[1]]
+        out.bad, out.sizes, out.spelled = ~good, np.zeros((len(good), 4), np.int64), [b""] * len(good)
+        out.sizes[good] = counts
+        for i, x in zip(np.flatnonzero(good).tolist(), parts, strict=True):
+            out.spelled[i] = x
         return out
 
-    def find(self, leaves: list[str]) -> list[tuple | None]:
-        missing = [x for x in leaves if x not in self.cache]
-        new = dict(zip(missing, self.align(missing), strict=True)) if missing else {}
-        found = [new[x] if x in new else self.cache[x] for x in leaves]
-        for x, entry in new.items():
-            if len(self.cache) >= CACHED:
-                break
-            if len(x) <= LONGEST_CACHED:
-                self.cache[x] = entry
-        return found
+    def find(self, leaves: list[str], often: np.ndarray) -> Found:
+        """What is known of leaves; those that are `often` there are kept."""
+        known = np.fromiter(map(self.number.get, leaves, repeat(-1)), np.int64, len(leaves))
+        missing = np.flatnonzero(known < 0)
+        new = self.align([leaves[i] for i in missing.tolist()])
+        found = self.cache.take(known[known >= 0])
+        found.add(new)
+        order = np.empty(len(leaves), np.int64)
+        order[np.r_[np.flatnonzero(known >= 0), missing]] = np.arange(len(leaves))
+        kept = [i for i in np.flatnonzero(often[missing]).tolist() if len(leaves[missing[i]]) <= LONGEST_CACHED][: CACHED - len(self.number)]
+        if kept:
+            self.number.update(zip((leaves[missing[i]] for i in kept), range(len(self.number), len(self.number) + len(kept)), strict=True))
+            self.cache.add(new.take(np.array(kept)))
+        return found.take(order)
 
 
 _aligners: dict[int, Aligner] = {}
@@ -165,21 +251,20 @@ class _Chunk:
     """Documents whose leaves are numbered together."""
 
     def __init__(self, aligner: Aligner) -> None:
-        self.aligner, self.number, self.docs, self.size = aligner, {}, [], 0
+        self.aligner, self.docs, self.size = aligner, [], 0
+        self.number: defaultdict[str, int] = defaultdict()
+        self.number.default_factory = self.number.__len__
 
     def add(self, doc_id, text: str | None) -> None:
-        number = self.number
         leaves = self.aligner.leaves(text) if text else []
-        self.docs.append((doc_id, np.fromiter((number.setdefault(x, len(number)) for x in leaves), np.int32, len(leaves))))
+        self.docs.append((doc_id, np.fromiter(map(self.number.__getitem__, leaves), np.int32, len(leaves))))
         self.size += len(text or "") + 16
 
     def rows(self, chunk: int) -> tuple[list[tuple], np.ndarray, np.ndarray]:
         """A row for each document, and the chunk's pairs with the number of its documents that hold each."""
-        found = self.aligner.find(list(self.number))
-        bad = np.array([x is None for x in found], bool)
-        spelled = [x[0] if x else b"" for x in found]
-        sizes = np.array([(*x[1:4], len(x[4])) if x else (0, 0, 0, 0) for x in found], np.int64).reshape(-1, 4)
-        flat = np.concatenate([x[4] for x in found if x] or [np.empty(0, np.int64)])
+        counts = np.bincount(np.concatenate([x for _, x in self.docs]), minlength=len(self.number))
+        found = self.aligner.find(list(self.number), counts > 1)
+        bad, spelled, sizes, flat = found.bad, found.spelled, found.sizes, found.codes
         codes, place = np.unique(flat, return_inverse=True)
         starts = np.r_[0, np.cumsum(sizes[:, 3])]
         docs_of = np.zeros(len(codes), np.int64)
