@@ -139,14 +139,14 @@ _, IS_LETTER = _lut(None)
 
 
 class Words:
-    """Words of some texts, lower-cased in A-Z: 64-bit hashes, and where each text's words begin.
+    """Words of some texts, by default lower-cased in A-Z: 64-bit hashes, and where each text's words begin.
 
     starts and ends are byte positions in `joined`; bounds[i]:bounds[i + 1] are the words of text i."""
 
-    def __init__(self, texts: list[bytes], is_word: np.ndarray = IS_WORD) -> None:
+    def __init__(self, texts: list[bytes], is_word: np.ndarray = IS_WORD, letters: np.ndarray = LOWER) -> None:
         sizes = np.fromiter(map(len, texts), np.int64, len(texts))
         raw = b"\n".join([*texts, b""])
-        self.joined = b = LOWER[np.frombuffer(raw, np.uint8)]
+        self.joined = b = letters[np.frombuffer(raw, np.uint8)]
         word = np.zeros(len(b) + 1, np.int8)
         word[1:] = is_word[b]
         edge = np.flatnonzero(np.diff(word))

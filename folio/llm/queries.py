@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folio.llm import alignment, bpe, collocations, decontamination, exact_dedup, jaccard_join, language_id, language_model, line_dedup, sharding, token_files, toxicity
+from folio.llm import alignment, bpe, collocations, decontamination, exact_dedup, jaccard_join, language_id, language_model, line_dedup, sharding, substrings, token_files, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
@@ -23,6 +23,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         decontamination.op9_benchmark_containment,
         line_dedup.op10_line_chunks,
         collocations.op11_collocations,
+        substrings.op12_substring_dedup,
         alignment.op13_token_alignment,
     )
 }
@@ -33,4 +34,5 @@ ORACLE_SQL: dict[str, str] = {
     "op5_block_naming": exact_dedup.SQL,
     "op9_benchmark_containment": decontamination.SQL,
     "op11_collocations": collocations.SQL,
+    "op12_substring_dedup": substrings.SQL,
 }
