@@ -23,9 +23,11 @@ from __future__ import annotations
 
 import tempfile
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -58,6 +60,25 @@ def spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Array:
     return pa.LargeStringArray.from_buffers(len(sizes), pa.py_buffer(offsets), pa.py_buffer(data[at]))
 
 
+def whole(column: pa.ChunkedArray | pa.Array, kind: pa.DataType) -> pa.Array:
+    column = column.cast(kind)
+    return column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+
+
+def lines(strings: pa.ChunkedArray | pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of strings with a line feed behind each, and their sizes without it; null is empty."""
+    ended = pc.binary_join_element_wise(pc.fill_null(whole(strings, pa.large_binary()), b""), pa.scalar(b"", pa.large_binary()), pa.scalar(b"\n", pa.large_binary()))
+    offsets = np.frombuffer(ended.buffers()[1], np.int64)[ended.offset : ended.offset + len(ended) + 1]
+    data = np.frombuffer(ended.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]] if len(ended) else np.empty(0, np.uint8)
+    return data, np.diff(offsets) - 1
+
+
+def numbered(langs: pa.ChunkedArray | pa.Array) -> tuple[list[str], np.ndarray]:
+    """The distinct languages of a column, and the number of each row's."""
+    coded = whole(langs, pa.string()).dictionary_encode()
+    return coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+
+
 def combined(strings: pa.Array, langs: np.ndarray, weights: np.ndarray, n_langs: int) -> tuple[np.ndarray, pa.Array, np.ndarray]:
     """Sums of weights by language and string."""
     coded = strings.dictionary_encode()
@@ -68,9 +89,10 @@ def combined(strings: pa.Array, langs: np.ndarray, weights: np.ndarray, n_langs:
     return found % n_langs, coded.dictionary.take(pa.array(found // n_langs)), np.add.reduceat(weights[order], first) if len(key) else weights
 
 
-def piece_strings(texts: list[bytes]) -> tuple[pa.Array, np.ndarray]:
+def piece_strings(texts: pa.ChunkedArray | pa.Array) -> tuple[pa.Array, np.ndarray]:
     """The pieces with a word of some texts, and the text of each."""
-    b = LOWER[np.frombuffer(b"\n".join([*texts, b""]), np.uint8)]
+    raw, sizes = lines(texts)
+    b = LOWER[raw]
     word = np.zeros(len(b) + 1, np.int8)
     word[1:] = _IN_WORD[b]
     edge = np.flatnonzero(np.diff(word))
@@ -84,8 +106,7 @@ def piece_strings(texts: list[bytes]) -> tuple[pa.Array, np.ndarray]:
     b[ends] = np.where(last, 10, 32)
     made = b[kept]
     stops = np.flatnonzero(made == 10)
-    sizes = np.cumsum([len(t) + 1 for t in texts])
-    return spans(made, np.r_[0, stops[:-1] + 1], stops), np.searchsorted(sizes, starts[last], "right")
+    return spans(made, np.r_[0, stops[:-1] + 1], stops), np.searchsorted(np.cumsum(sizes + 1), starts[last], "right")
 
 
 def pieces(docs: DataFrame) -> DataFrame:
@@ -93,11 +114,9 @@ def pieces(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in gathered(batches, "text"):
-            names = group.column("lang").to_pylist()
-            number = {x: i for i, x in enumerate(dict.fromkeys(names))}
-            strings, of = piece_strings([x or b"" for x in group.column("text").cast("large_binary").to_pylist()])
-            langs = np.array([number[x] for x in names], np.int64)[of]
-            yield from batched(list(number), *combined(strings, langs, np.ones(len(of), np.int64), len(number)), "piece")
+            names, langs = numbered(group.column("lang"))
+            strings, of = piece_strings(group.column("text"))
+            yield from batched(names, *combined(strings, langs[of], np.ones(len(of), np.int64), len(names)), "piece")
 
     rows = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), "text").where("text is not null")
     return cut(rows.mapInArrow(run, "lang string, piece string, n long").groupBy("lang", "piece").agg(F.sum("n").alias("n")))
@@ -127,11 +146,11 @@ def batched(names: list[str], langs: np.ndarray, strings: pa.Array, sums: np.nda
 class Grams:
     """N-grams of pieces whose words are joined by one space."""
 
-    def __init__(self, texts: list[bytes], seeds: np.ndarray) -> None:
+    def __init__(self, pieces: pa.Array, seeds: np.ndarray) -> None:
         """seeds: a hash of each piece's language."""
-        self.words = Words(texts)
+        self.words = Words(lines(pieces))
         counts = np.diff(self.words.bounds)
-        self.piece = np.repeat(np.arange(len(texts)), counts)
+        self.piece = np.repeat(np.arange(len(counts)), counts)
         self.seeds = seeds
 
     def at(self, n: int) -> np.ndarray:
@@ -162,8 +181,8 @@ def bitmap(frequent: DataFrame, n: int) -> np.ndarray:
 
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            names = batch.column("lang").to_pylist()
-            grams = Grams([x or b"" for x in batch.column("gram").cast("binary").to_pylist()], np.array([seed(x) for x in names], np.uint64))
+            names, langs = numbered(batch.column("lang"))
+            grams = Grams(batch.column("gram"), np.array([seed(x) for x in names], np.uint64)[langs])
             at = (grams.hashes(grams.words.bounds[:-1], n) >> np.uint64(shift)).astype(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(at // SEGMENT), pa.array(at % SEGMENT)], names=["segment", "place"])
 
@@ -187,10 +206,8 @@ def grams(rows: DataFrame, n: int, bits: np.ndarray | None) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = shared.value
         for group in gathered(batches, "piece"):
-            names = group.column("lang").to_pylist()
-            number = {x: i for i, x in enumerate(dict.fromkeys(names))}
-            langs = np.array([number[x] for x in names], np.int64)
-            made = Grams([x or b"" for x in group.column("piece").cast("large_binary").to_pylist()], np.array([seed(x) for x in number], np.uint64)[langs])
+            names, langs = numbered(group.column("lang"))
+            made = Grams(group.column("piece"), np.array([seed(x) for x in names], np.uint64)[langs])
             i = made.at(n)
             if bits is not None:
                 known = np.zeros(len(made.piece) + 1, bool)
@@ -199,7 +216,7 @@ def grams(rows: DataFrame, n: int, bits: np.ndarray | None) -> DataFrame:
                 i = i[known[i] & known[i + 1]]
             piece = made.piece[i]
             strings = spans(made.words.joined, made.words.starts[i], made.words.ends[i + n - 1])
-            yield from batched(list(number), *combined(strings, langs[piece], group.column("n").to_numpy()[piece], len(number)), "gram")
+            yield from batched(names, *combined(strings, langs[piece], group.column("n").to_numpy()[piece], len(names)), "gram")
 
     return rows.mapInArrow(run, "lang string, gram string, n long")
 
@@ -210,17 +227,16 @@ def counted(parts: DataFrame, least: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import duckdb
 
-        first = next(batches, None)
+        groups = gathered(batches, "gram")
+        first = next(groups, None)
         if first is None:
             return
         with tempfile.TemporaryDirectory() as spill, duckdb.connect(":memory:", config={"threads": 1, "memory_limit": BUCKET_MEMORY, "temp_directory": spill, "preserve_insertion_order": False}) as con:
             con.execute("CREATE TABLE parts (lang VARCHAR, gram VARCHAR, n BIGINT)")
-            batch: pa.RecordBatch | None = first
-            while batch is not None:
-                con.register("batch", pa.Table.from_batches([batch]))
+            for group in chain([first], groups):
+                con.register("batch", group)
                 con.execute("INSERT INTO parts SELECT lang, gram, n FROM batch")
                 con.unregister("batch")
-                batch = next(batches, None)
             sums = con.sql(f"SELECT lang, gram, CAST(sum(n) AS BIGINT) AS n FROM parts GROUP BY lang, gram HAVING sum(n) >= {int(least)}")
             for found in sums.to_arrow_reader(50_000):
                 yield found.cast(pa.schema([("lang", pa.string()), ("gram", pa.string()), ("n", pa.int64())]))

@@ -143,10 +143,14 @@ class Words:
 
     starts and ends are byte positions in `joined`; bounds[i]:bounds[i + 1] are the words of text i."""
 
-    def __init__(self, texts: list[bytes], is_word: np.ndarray = IS_WORD, letters: np.ndarray = LOWER) -> None:
-        sizes = np.fromiter(map(len, texts), np.int64, len(texts))
-        raw = b"\n".join([*texts, b""])
-        self.joined = b = letters[np.frombuffer(raw, np.uint8)]
+    def __init__(self, texts: list[bytes] | tuple[np.ndarray, np.ndarray], is_word: np.ndarray = IS_WORD, letters: np.ndarray = LOWER) -> None:
+        """texts: a list, or their bytes with a line feed behind each and their sizes without it."""
+        if isinstance(texts, tuple):
+            raw, sizes = texts
+        else:
+            sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+            raw = np.frombuffer(b"\n".join([*texts, b""]), np.uint8)
+        self.joined = b = letters[raw]
         word = np.zeros(len(b) + 1, np.int8)
         word[1:] = is_word[b]
         edge = np.flatnonzero(np.diff(word))
@@ -155,7 +159,7 @@ class Words:
         self._sums = np.zeros(len(b) + 1, np.uint64)
         np.cumsum((b.astype(np.uint64) + np.uint64(1)) * ups[: len(b)], out=self._sums[1:])
         self.hashes = self._hash(self.starts, self.ends)
-        self.offsets = np.zeros(len(texts) + 1, np.int64)
+        self.offsets = np.zeros(len(sizes) + 1, np.int64)
         np.cumsum(sizes + 1, out=self.offsets[1:])
         self.bounds = np.searchsorted(self.starts, self.offsets)
 

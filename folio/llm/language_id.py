@@ -177,7 +177,7 @@ def train(labelled: DataFrame, train_docs: int = TRAIN_DOCS) -> PpmModel:
                 own = [texts[i] for i in np.flatnonzero(langs == lang)]
                 for a, b in sub_batches(np.array([len(x) for x in own]), 1 << 21):
                     keys, counts = count_grams(own[a:b])
-                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(keys)), pa.array(keys), pa.array(counts)], names=["lang", "gram", "n"])
+                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(keys), pa.string()), pa.array(keys, pa.int64()), pa.array(counts, pa.int64())], names=["lang", "gram", "n"])
 
     rows = texts.mapInArrow(run, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas()
     return PpmModel({str(k): (g["gram"].to_numpy(np.int64), g["n"].to_numpy(np.int64)) for k, g in rows.groupby("lang")})

@@ -248,6 +248,17 @@ def test_decontamination(spark, per_block):
 # Language identification
 
 
+def test_languages_whose_texts_are_empty(spark):
+    rows = [(1, "hello there you", "en"), (2, "", "fr"), (3, None, "de"), (4, "", "de"), (5, " 12 !", "pt"), (6, None, "sv"), (7, "bonjour à tous", "fr"), (8, "x", "xx")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    for one in (df, df.coalesce(1), df.where("doc_id in (2, 4)")):
+        got = {r["doc_id"]: r["lang_pred"] for r in language_id.identify(df, language_id.train(one)).collect()}
+        assert len(got) == 8 and {got[i] for i in (2, 3, 4, 5, 6)} == {"und"}
+    model = language_id.train(df)
+    got = {r["doc_id"]: r["lang_pred"] for r in language_id.identify(df, model).collect()}
+    assert got[1] == "en" and got[7] == "fr"
+
+
 def test_language_id(spark):
     rnd = random.Random(8)
     sounds = {"aa": ["ka", "to", "ri", "shi"], "bb": ["sch", "ung", "eit", "die"], "cc": ["que", "eau", "oi", "ent"]}
