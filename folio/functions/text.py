@@ -98,14 +98,13 @@ def series_title(series: Column, index: Column, title: Column) -> Column:
 
 
 def natural_key(c: Column) -> Column:
-    """Sorts digits by value: each run goes behind its number of places, without zeros before it. Case and the accents of
-    Latin letters count for nothing."""
-
-    def sized(m: Column) -> Column:
-        digits = F.regexp_replace(m, "^0+(?=[0-9])", "")
-        return F.concat(F.lpad(F.length(digits).cast("string"), 6, "0"), digits)
-
-    return F.coalesce(js.rebuild(F.translate(F.lower(c), *_ACCENTS), "[0-9]+", sized), F.lit(""))
+    """A sort key, array<struct<text, places, digits>>: what stands before each run of digits in the order of Unicode's root
+    collation, where case and accents of any script count for nothing, and the run by its value: by its number of places
+    without zeros before it, then by the digits."""
+    text = F.coalesce(c, F.lit(""))
+    between = F.transform(F.split(text, "[0-9]+", -1), lambda t: F.collate(t, "UNICODE_CI_AI"))
+    digits = F.transform(F.regexp_extract_all(text, F.lit("[0-9]+"), F.lit(0)), lambda m: F.regexp_replace(m, "^0+(?=[0-9])", ""))
+    return F.zip_with(between, digits, lambda t, d: F.struct(t.alias("text"), F.coalesce(F.length(d), F.lit(-1)).alias("places"), F.coalesce(d, F.lit("")).alias("digits")))
 
 
 def utc_seconds(ts: Column) -> Column:

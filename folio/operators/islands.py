@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from folio.runtime import written
+
 
 def islands(df: DataFrame, by: list[str], order: list[str], starts: Column, name: str = "island") -> DataFrame:
     """df with the number, from 1, of the run that each row is in; `starts` (which may use lag over the same window, made
@@ -37,13 +39,28 @@ def number_ranges(df: DataFrame, by: list[str], number: str) -> DataFrame:
     return runs.groupBy(*by).agg(joined_text(text, F.col("_run"), ", ").alias("ranges"))
 
 
-def running_sum(rows: DataFrame, value: str, by: list[str], order: str, width: int = 4096) -> DataFrame:
-    """rows with `running`: the sum of value over rows up to each, by an integer order. Sums run within spans of `width` and
-    over the spans' totals, so that one hot key is many tasks; rows of one order count in any order among themselves."""
-    span = F.floor(F.col(order) / width)
-    seen = rows.withColumn("_span", span)
-    totals = seen.groupBy(*by, "_span").agg(F.sum(value).alias("_total"))
-    over = Window.partitionBy(*by).orderBy("_span").rowsBetween(Window.unboundedPreceding, -1)
-    before = totals.select(*by, "_span", F.coalesce(F.sum("_total").over(over), F.lit(0)).alias("_before"))
-    here = Window.partitionBy(*by, "_span").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    return seen.join(before, [*by, "_span"]).withColumn("running", F.col("_before") + F.coalesce(F.sum(value).over(here), F.lit(0))).drop("_span", "_before")
+def running_sums(rows: DataFrame, sums: dict[str, Column], by: list[str], order: list[str], parts: int | None = None) -> DataFrame:
+    """rows with, for each name of sums, the column's sum over the key's rows up to each, and `<name>_all`, over all of them.
+
+    In two levels: rows are dealt into ranges of (by, order), which the sort orders of the columns decide alone, so a hot key
+    is as many tasks as it has ranges; sums run within ranges, and over the ranges' totals, of which a key has `parts` at
+    most. The ranges are written, so that a lost task finds them as they were. Rows alike in (by, order) are in one range and
+    count in any order among themselves. Null counts as 0."""
+    spark = rows.sparkSession
+    n = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    named = rows.withColumns({f"_v{i}": F.coalesce(c, F.lit(0)) for i, c in enumerate(sums.values())})
+    dealt = written(named.repartitionByRange(n, *by, *order).withColumn("_part", F.spark_partition_id()))
+    totals = dealt.groupBy(*by, "_part").agg(*[F.sum(f"_v{i}").alias(f"_t{i}") for i in range(len(sums))])
+    key = Window.partitionBy(*by)
+    earlier = key.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    before = totals.select(*by, "_part", *[F.coalesce(F.sum(f"_t{i}").over(earlier), F.lit(0)).alias(f"_b{i}") for i in range(len(sums))], *[F.sum(f"_t{i}").over(key).alias(f"_a{i}") for i in range(len(sums))])
+    here = Window.partitionBy(*by, "_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    inside = dealt.select("*", *[F.sum(f"_v{i}").over(here).alias(f"_h{i}") for i in range(len(sums))])
+    on = [inside[c].eqNullSafe(before[c]) for c in (*by, "_part")]
+    made = inside.join(before, on) if by else inside.join(before, "_part")
+    return made.select(*[inside[c] for c in rows.columns], *[(F.col(f"_b{i}") + F.col(f"_h{i}")).alias(name) for i, name in enumerate(sums)], *[F.col(f"_a{i}").alias(f"{name}_all") for i, name in enumerate(sums)])
+
+
+def running_sum(rows: DataFrame, value: str, by: list[str], order: str, parts: int | None = None) -> DataFrame:
+    """rows with `running`: the sum of value over rows up to each, by any order. See running_sums."""
+    return running_sums(rows, {"running": F.col(value)}, by, [order], parts).drop("running_all")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterable, Iterator
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,62 +16,90 @@ REPEAT_SHARE = 0.5
 MIN_REPEAT_PAGES = 3
 PARAGRAPH_GAP = 1.8
 BUCKET = 8.0
+_SPACES = re.compile(r"[\s\ufeff]+")
 LINES = "file_id string, page_no int, line_no int, y double, height double, text string"
 
 
-def group_lines(pdf):
-    """Lines of one page of glyphs, in order of arrival: a fragment joins the first line made whose baseline is within half
-    the larger height, else it makes one. The spec is sequential, so this is a grouped pandas function."""
-    import re
-
-    made: list[dict] = []
+def page_lines(glyphs: Iterable[tuple]) -> list[tuple[float, float, str]]:
+    """(y, height, text) of the lines of one page of glyphs (str, width, height, x, y), in order of arrival: a fragment joins the
+    first line made whose baseline is within half the larger height, else it makes one. The spec is sequential, so a page
+    is one pass in Python, which looks at lines near the fragment alone."""
+    made: list[list] = []  # y, height and parts of each line
     by_height: dict[int, list[int]] = {}  # numbers of lines by the place of their baseline
     tallest = 0.0
-    rows = pdf.sort_values("glyph_no")
-    for s, width, height, t in zip(rows["str"], rows["width"], rows["height"], rows["transform"], strict=True):
+    for s, width, height, x, y in glyphs:
         s = s or ""
         width = 0.0 if width is None or width != width else width
         if not s.strip() and not width > 0:
             continue
         h = height if height and height == height else 10.0
-        x, y = t[4], t[5]
         reach = 0.5 * max(tallest, h)
-        near = (i for b in range(int((y - reach) // BUCKET), int((y + reach) // BUCKET) + 1) for i in by_height.get(b, ()))
-        at = min((i for i in near if abs(made[i]["y"] - y) <= 0.5 * max(made[i]["height"], h)), default=None)
+        at = None
+        for b in range(int((y - reach) // BUCKET), int((y + reach) // BUCKET) + 1):
+            for i in by_height.get(b, ()):
+                if (at is None or i < at) and abs(made[i][0] - y) <= 0.5 * max(made[i][1], h):
+                    at = i
         if at is None:
             at = len(made)
-            made.append({"y": y, "height": h, "parts": []})
+            made.append([y, h, []])
             by_height.setdefault(int(y // BUCKET), []).append(at)
         line = made[at]
         tallest = max(tallest, h)
-        line["height"] = max(line["height"], h)
-        line["parts"].append((x, width, height, s))
+        line[1] = max(line[1], h)
+        line[2].append((x, width, height, s))
     out = []
-    for line in sorted(made, key=lambda m: -m["y"]):
-        so_far, end = "", None
-        for x, width, height, s in sorted(line["parts"], key=lambda p: p[0]):
-            h = height if height and height == height else line["height"]
-            if end is not None and x - end > 0.25 * h and not so_far.endswith(" "):
-                so_far += " "
-            so_far += s
+    for y, line_height, parts in sorted(made, key=lambda m: -m[0]):
+        so_far, end = [], None
+        for x, width, height, s in sorted(parts, key=lambda p: p[0]):
+            h = height if height and height == height else line_height
+            last = next((p for p in reversed(so_far) if p), "")
+            if end is not None and x - end > 0.25 * h and not last.endswith(" "):
+                so_far.append(" ")
+            so_far.append(s)
             end = x + width
-        whole = re.sub(r"[\s﻿]+", " ", so_far).strip()
+        whole = _SPACES.sub(" ", "".join(so_far)).strip()
         if whole:
-            out.append((line["y"], line["height"], whole))
-    first = pdf.iloc[0]
-    return [(first["file_id"], int(first["page_no"]), i, *x) for i, x in enumerate(out)]
+            out.append((y, line_height, whole))
+    return out
 
 
 def reconstruct_lines(glyphs: DataFrame) -> DataFrame:
-    """glyphs(file_id, page_no, glyph_no, str, width, height, transform) -> lines; pages are independent."""
-
-    def run(pdf):
-        import pandas as pd
-
-        return pd.DataFrame(group_lines(pdf), columns=["file_id", "page_no", "line_no", "y", "height", "text"])
+    """glyphs(file_id, page_no, glyph_no, str, width, height, transform) -> lines; pages are independent. Glyphs are sorted by
+    page, and pages follow each other through Arrow batches."""
+    import pyarrow as pa
+
+    kinds = [pa.string(), pa.int32(), pa.int32(), pa.float64(), pa.float64(), pa.string()]
+    names = ["file_id", "page_no", "line_no", "y", "height", "text"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, page, out = None, [], []
+
+        def done() -> None:
+            out.extend((*key, i, *line) for i, line in enumerate(page_lines(page)))
+            page.clear()
+
+        def sent() -> pa.RecordBatch:
+            rows = list(zip(*out, strict=True))
+            out.clear()
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(rows, kinds, strict=True)], names=names)
+
+        for batch in batches:
+            for file_id, page_no, *glyph in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if key != (file_id, page_no):
+                    if key:
+                        done()
+                    key = (file_id, page_no)
+                page.append(glyph)
+            if len(out) >= 10_000:
+                yield sent()
+        if key:
+            done()
+        if out:
+            yield sent()
 
     kept = glyphs.where("str is not null")
-    return kept.groupBy("file_id", "page_no").applyInPandas(run, LINES)
+    placed = kept.repartition("file_id", "page_no").sortWithinPartitions("file_id", "page_no", "glyph_no")
+    return placed.select(F.col("file_id").cast("string"), F.col("page_no").cast("int"), "str", F.col("width").cast("double"), F.col("height").cast("double"), F.get("transform", F.lit(4)).cast("double"), F.get("transform", F.lit(5)).cast("double")).mapInArrow(run, LINES)
 
 
 def edge_lines(lines: DataFrame, book: str = "book_id", page: str = "page_no", line: str = "line_no") -> DataFrame:

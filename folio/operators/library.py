@@ -50,6 +50,11 @@ def newest_first(rows: DataFrame, at: str = "created_at", id_: str = "id") -> Da
     return rows.orderBy(F.desc(at), id_)
 
 
+def profiles(rows: DataFrame) -> DataFrame:
+    """Saved rule sets(id, name, config, updated_at), the last changed first; those without a config aren't shown."""
+    return newest_first(rows.where(F.col("config").isNotNull()), "updated_at")
+
+
 def texts_of(texts: DataFrame, wanted: DataFrame) -> DataFrame:
     """The texts of the ids of wanted alone: others are neither shuffled nor sent on."""
     return texts.join(wanted.select("id").distinct(), "id", "left_semi")
@@ -61,8 +66,10 @@ def queue_rows(items: DataFrame) -> DataFrame:
 
 
 def restored_queue(rows: DataFrame) -> DataFrame:
-    """Stored rows as items again: those without content go, a missing id is made anew."""
-    made = F.coalesce(F.nullif("id", F.lit("")), F.uuid())
+    """Stored rows as items again: those without content go. A missing id is made from what the row has, so that it is the
+    same whenever it is computed; equal rows without ids are told apart by `position`, where rows have it."""
+    of = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("position", "name", "last_modified", "title") if c in rows.columns]
+    made = F.coalesce(F.nullif("id", F.lit("")), F.sha2(F.concat_ws("\x1f", *of, F.sha2("content", 256)), 256))
     return rows.where(F.col("content").isNotNull()).withColumn("id", made)
 
 

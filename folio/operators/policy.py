@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from folio.operators.folds import ordered_fold
 from folio.operators.islands import islands
 
 TRANSIENT_STREAK = 3
 PAUSES = [30, 60, 120]
 GROW_AFTER = 20
 AUTH_AFTER, LOCKED_AFTER, AGAIN_AFTER = 2, 3, 10
-SLOWEST, RATE_LIMIT_MAX, RATE_LIMIT_MS = 8.0, 8, 600_000
+SLOWEST, RATE_LIMIT_MAX, RATE_LIMIT_MS, RETRIES, BACKOFF_MS = 8.0, 8, 600_000, 3, 2000
 
 
 def failure_streaks(events: DataFrame, by: list[str], order: list[str], failed: Column) -> DataFrame:
@@ -44,6 +45,33 @@ def pool_limits(outcomes: Column, most: int = 3) -> Column:
     return F.aggregate(outcomes, start, step, lambda s: s["out"])
 
 
+def pool_sizes(outcomes: DataFrame, by: list[str], order: list[str], ok: str, most: int = 3) -> DataFrame:
+    """outcomes with `limit`, the pool's size after each, as pool_limits has it; a key's rows are never in memory together."""
+
+    def step(state: tuple[int, int], good: bool) -> tuple[tuple[int, int], tuple[int]]:
+        streak, limit = (state[0] + 1, state[1]) if good else (0, 1)
+        if streak >= GROW_AFTER:
+            streak, limit = 0, min(most, limit + 1)
+        return (streak, limit), (limit,)
+
+    return ordered_fold(outcomes, by, order, [ok], lambda: (0, most), step, "limit int")
+
+
+def due_probes(outcomes: DataFrame, by: list[str], order: list[str], outcome: str) -> DataFrame:
+    """outcomes with `due`: whether a probe of the login is due after each, as probes has it, and `any_ok`."""
+
+    def step(state: tuple, o: str) -> tuple[tuple, tuple[bool, bool]]:
+        any_ok, probed, auth, locked = state
+        if o == "ok":
+            return (True, probed, 0, 0), (False, True)
+        refused = o in ("locked", "missing") and any_ok
+        auth, locked = auth + (o == "auth"), locked + refused
+        due = (o == "auth" and auth >= (AGAIN_AFTER if probed else AUTH_AFTER)) or (refused and locked >= (AGAIN_AFTER if probed else LOCKED_AFTER))
+        return (any_ok, probed or due, 0 if due else auth, 0 if due else locked), (due, any_ok)
+
+    return ordered_fold(outcomes, by, order, [outcome], lambda: (False, False, 0, 0), step, "due boolean, any_ok boolean")
+
+
 def retryable(status: Column) -> Column:
     return status.isin(408, 429) | (status >= 500)
 
@@ -77,20 +105,55 @@ def probes(outcomes: Column) -> Column:
     return F.aggregate(outcomes, start, step, lambda s: s["out"])
 
 
-def slowdowns(answers: Column) -> Column:
-    """array<struct<slow double, gave_up boolean>> after each of array<struct<status int, wait_ms long>>.
+# Answers to requests of one run, in the order of their starts
+
+
+def backoff_ms(n: int) -> int:
+    return BACKOFF_MS * 2**n
+
+
+def next_run(slow: float, cooldown: int, at: int, status: int | None, wait: int | None, limited: bool, tried: bool) -> tuple[float, int]:
+    """What an answer makes of its run: how slow requests are, and the time (ms) before which none starts. limited: the
+    answer is a 429 that doesn't give up; tried: another failure that is tried again."""
+    if status is not None and status < 400:
+        return max(1.0, slow * 0.9), cooldown
+    if limited or (tried and status == 503 and wait is not None):
+        return min(slow * 2, SLOWEST), max(cooldown, at + (wait or 0))
+    return slow, cooldown
+
+
+def next_request(hits: int, waited: int, tries: int, status: int | None, wait_ms: int | None) -> tuple[tuple[int, int, int], int, str]:
+    """What an answer makes of its request: ((429s in a row, ms waited for them, other failures), ms to wait, outcome).
+
+    Outcomes: ok; retry; gave_up, at the RATE_LIMIT_MAX-th 429 in a row or one that brings the waits over RATE_LIMIT_MS; failed,
+    at a refusal that isn't worth a retry or the RETRIES-th retry's failure. A 429 without a wait waits as long as its row
+    says. No status is a failure of the network. What the request has waited for stays when its row of 429s ends."""
+    if status is not None and status < 400:
+        return (0, waited, tries), 0, "ok"
+    if status == 429:
+        wait = wait_ms if wait_ms is not None else backoff_ms(hits)
+        if hits + 1 >= RATE_LIMIT_MAX or waited + wait > RATE_LIMIT_MS:
+            return (hits + 1, waited, tries), wait, "gave_up"
+        return (hits + 1, waited + wait, tries), wait, "retry"
+    if (status is not None and status != 408 and status < 500) or tries >= RETRIES:
+        return (0, waited, tries), 0, "failed"
+    return (0, waited, tries + 1), wait_ms if wait_ms is not None else backoff_ms(tries), "retry"
+
+
+def slowdowns(answers: DataFrame, run: str, order: list[str]) -> DataFrame:
+    """answers(run, request, at (ms), status, wait_ms) with slow, cooldown (ms), hits, waited (ms), outcome after each.
 
-    A 429, or a 503 that says how long to wait, doubles the pause between requests (SLOWEST times at most); a success takes a tenth off
-    (never under 1). The RATE_LIMIT_MAX-th 429 in a row, or one that brings the waits of all over RATE_LIMIT_MS, gives up."""
+    A 429, or a 503 that says how long to wait, doubles the pause between a run's requests (SLOWEST times at most) and holds
+    them all until its wait is over; a success takes a tenth off (never under 1). Hits, waits and tries are the request's
+    own, of which several may be going: they start anew with the next one. See next_request for outcomes."""
 
-    def step(s: Column, a: Column) -> Column:
-        limited, wait = a["status"] == 429, F.coalesce(a["wait_ms"], F.lit(0)).cast("long")
-        row = F.when(limited, s["row"] + 1).otherwise(0).cast("int")
-        gave_up = limited & ((row >= RATE_LIMIT_MAX) | (s["waited"] + wait > RATE_LIMIT_MS))
-        doubled = (limited & ~gave_up) | ((a["status"] == 503) & a["wait_ms"].isNotNull())
-        slow = F.when(doubled, F.least(F.lit(SLOWEST), s["slow"] * 2)).when(a["status"] < 400, F.greatest(F.lit(1.0), s["slow"] * 0.9)).otherwise(s["slow"])
-        waited = s["waited"] + F.when(limited & ~gave_up, wait).otherwise(0)
-        return F.struct(slow.alias("slow"), row.alias("row"), waited.cast("long").alias("waited"), F.concat(s["out"], F.array(F.struct(slow.alias("slow"), gave_up.alias("gave_up")))).alias("out"))
+    def step(state: tuple, request, at: int, status: int | None, wait_ms: int | None) -> tuple[tuple, tuple]:
+        slow, cooldown, going = state
+        own, wait, outcome = next_request(*going.pop(request, (0, 0, 0)), status, wait_ms)
+        tried = outcome == "retry"
+        if tried:
+            going[request] = own
+        slow, cooldown = next_run(slow, cooldown, at or 0, status, wait if status == 429 else wait_ms, tried and status == 429, tried and status != 429)
+        return (slow, cooldown, going), (slow, cooldown, own[0], own[1], outcome)
 
-    start = F.struct(F.lit(1.0).alias("slow"), F.lit(0).alias("row"), F.lit(0).cast("long").alias("waited"), F.array().cast("array<struct<slow:double,gave_up:boolean>>").alias("out"))
-    return F.aggregate(answers, start, step, lambda s: s["out"])
+    return ordered_fold(answers, [run], order, ["request", "at", "status", "wait_ms"], lambda: (1.0, 0, {}), step, "slow double, cooldown long, hits int, waited long, outcome string")

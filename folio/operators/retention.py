@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from folio.operators.islands import running_sums
+
 HISTORY_CAP = 50
 
 
@@ -25,19 +27,17 @@ def byte_budget(quota: Column, cap: int = 512 << 20, share: float = 0.8) -> Colu
 
 
 def prune_victims(records: DataFrame, by: list[str], created: str, id_: str, size: Column, count_cap: int = HISTORY_CAP, budget: float = float("inf"), incoming_bytes: int = 0, incoming_count: int = 0, keep_at_least: int = 0) -> DataFrame:
-    """records that go, with ord: oldest first until what stays fits both limits."""
-    w = Window.partitionBy(*by).orderBy(created, id_)
-    whole = Window.partitionBy(*by)
-    seen = records.withColumn("_b", size).withColumns({"ord": F.row_number().over(w), "_n": F.count("*").over(whole), "_all": F.sum("_b").over(whole), "_gone": F.coalesce(F.sum("_b").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))})
-    left = F.col("_n") - (F.col("ord") - 1) + incoming_count
-    over = (left > count_cap) | (F.col("_all") - F.col("_gone") + incoming_bytes > F.lit(budget))
-    return seen.where(over & (F.col("ord") <= F.col("_n") - keep_at_least)).drop("_b", "_n", "_all", "_gone")
+    """records that go, with ord: oldest first until what stays fits both limits. A hot key is many tasks; see running_sums."""
+    seen = running_sums(records.withColumn("_b", size), {"ord": F.lit(1), "_s": F.col("_b")}, by, [created, id_])
+    left = F.col("ord_all") - (F.col("ord") - 1) + incoming_count
+    over = (left > count_cap) | (F.col("_s_all") - (F.col("_s") - F.coalesce("_b", F.lit(0))) + incoming_bytes > F.lit(budget))
+    return seen.where(over & (F.col("ord") <= F.col("ord_all") - keep_at_least)).drop("_b", "ord_all", "_s", "_s_all").withColumn("ord", F.col("ord").cast("int"))
 
 
 def free_space(records: DataFrame, by: list[str], created: str, id_: str, size: Column, wanted: int) -> DataFrame:
-    """The oldest records that together free `wanted` bytes at least."""
-    w = Window.partitionBy(*by).orderBy(created, id_).rowsBetween(Window.unboundedPreceding, -1)
-    return records.withColumn("_before", F.coalesce(F.sum(size).over(w), F.lit(0))).where(F.col("_before") < wanted).drop("_before")
+    """The oldest records that together free `wanted` bytes at least. A hot key is many tasks; see running_sums."""
+    seen = running_sums(records.withColumn("_b", size), {"_s": F.col("_b")}, by, [created, id_])
+    return seen.where(F.col("_s") - F.coalesce("_b", F.lit(0)) < wanted).drop("_b", "_s", "_s_all")
 
 
 def expired(rows: DataFrame, saved_at: str, now: Column, days: int = 30) -> DataFrame:

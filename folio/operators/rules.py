@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 
 from folio.functions import js
 from folio.functions.text import escape_html
+from folio.operators.automaton import replace_phrases
 
+# The fallback colour, contrast limits, and the shapes of percentages, pairs, tags and spans
 FALLBACK = "#808080"
 MIN_CONTRAST = 2.5
 MIN_GREY_GAP = 0.1
@@ -18,6 +20,8 @@ PERCENT = r"[0-9]+(?:\.[0-9]+)?%"
 PAIR_GAP = rf"(?i)^[{js.WS_CHARS}\]\[:/()]*(?:of)?[{js.WS_CHARS}\]\[:/()]*\z"
 RARITY_TAG = r"\[[A-Za-z][A-Za-z '+-]{0,30}?\]"
 SPAN = r"<span\b[^>]*>.*?</span>"
+#: Phrases beyond which keywords are found by an automaton.
+MOST_ALTERNATIVES = 200
 
 
 @dataclass
@@ -77,7 +81,10 @@ def tag_rarities(html: Column, rules: Rules) -> Column:
 
 
 def tag_keywords(html: Column, rules: Rules) -> Column:
-    pattern, known = rules.keyword_pattern(), _map(rules.keyword_classes())
+    classes = rules.keyword_classes()
+    if len(classes) > MOST_ALTERNATIVES:  # an alternation's time grows with the dictionary, an automaton's doesn't
+        return replace_phrases(html, classes, lambda m, cls: f'<span class="{cls}">{m}</span>', SPAN)
+    pattern, known = rules.keyword_pattern(), _map(classes)
     if pattern is None:
         return html
     look = lambda m: F.try_element_at(known, F.regexp_replace(F.lower(m), "[ -]+", " "))

@@ -45,7 +45,9 @@ def dehyphenate(texts: DataFrame, book: str = "book_id", block: str = "block_no"
     long = breaks.where((F.length("left") > 2) & (F.length("right") > 2))
     tried = long.select(book, block, "pos", F.explode(bases(F.lower(F.concat("left", "right")))).alias("word"))
     wanted = tried.select(book, "word").distinct()
-    known = wanted.join(vocabulary(texts, book), [book, "word"], "left_semi")
+    # Words are joined before they are made distinct: few of them are wanted
+    words = texts.select(book, F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0))).alias("word"))
+    known = words.join(wanted, [book, "word"], "left_semi").distinct()
     joins = tried.join(known, [book, "word"]).select(book, block, "pos").distinct().withColumn("one", F.lit(True))
     decided = breaks.join(joins, [book, block, "pos"], "left")
     word = F.concat("left", F.when(F.col("one"), F.lit("")).otherwise(F.lit("-")), "right")

@@ -46,7 +46,7 @@ def q_file_counters(spark, sf_dir):
 , p AS (SELECT doc_id, unnest(range(1, pages + 1)) AS page_no FROM f WHERE NOT bad)
 SELECT doc_id AS position, page_no::INT AS page_no, row_number() OVER (ORDER BY doc_id, page_no) AS page FROM p""")
 def q_joined_pages(spark, sf_dir):
-    return files.joined_pages(files.parse_files(_files(spark, sf_dir)), 64)
+    return files.joined_pages(files.parse_files(_files(spark, sf_dir)))
 
 
 @query(_FILES + "SELECT doc_id AS position, CASE WHEN doc_id % 3 = 0 THEN 'Title ' || doc_id ELSE 'file ' || doc_id END AS title FROM f WHERE NOT bad")
@@ -58,7 +58,7 @@ def q_zip_titles(spark, sf_dir):
 
 @query("SELECT user_id, event_id, sum(event_id) OVER (PARTITION BY user_id ORDER BY event_id)::BIGINT AS running FROM events")
 def q_running_sum(spark, sf_dir):
-    return islands.running_sum(read(spark, sf_dir, "events").select("user_id", "event_id"), "event_id", ["user_id"], "event_id", 500)
+    return islands.running_sum(read(spark, sf_dir, "events").select("user_id", "event_id"), "event_id", ["user_id"], "event_id", 16)
 
 
 # Queue
@@ -290,22 +290,67 @@ c AS (SELECT user_id, g, n, min(g) FILTER (n >= 2) OVER (PARTITION BY user_id) A
 SELECT user_id, sum(CASE WHEN n < 2 OR g < first THEN 0 WHEN g = first THEN 1 + (n - 2) // 10 ELSE n // 10 END)::BIGINT AS probes FROM c GROUP BY 1 HAVING max(n) IS NOT NULL""")
 def q_auth_probes(spark, sf_dir):
     """Errors of a user as auth answers: the second in a row asks for a probe, later the tenth."""
-    e = read(spark, sf_dir, "events").groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("event_id", F.when(F.col("event_type") == "error", "auth").otherwise("ok").alias("o")))).alias("l"))
-    due = policy.probes(F.transform("l", lambda x: x["o"]))
-    return e.select("user_id", F.size(F.filter(due, lambda d: d)).cast("long").alias("probes"))
+    e = read(spark, sf_dir, "events").select("user_id", "event_id", F.when(F.col("event_type") == "error", "auth").otherwise("ok").alias("o"))
+    return policy.due_probes(e, ["user_id"], ["event_id"], "o").groupBy("user_id").agg(F.count_if("due").alias("probes"))
 
 
-@query("""
-WITH RECURSIVE e AS (SELECT user_id, event_type = 'error' AS bad, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k FROM events),
-f(user_id, k, slow) AS (
-  SELECT user_id, k, CASE WHEN bad THEN 2.0 ELSE 1.0 END::DOUBLE FROM e WHERE k = 1
-  UNION ALL SELECT e.user_id, e.k, CASE WHEN bad THEN least(8, slow * 2) ELSE greatest(1, slow * 0.9) END FROM f JOIN e ON e.user_id = f.user_id AND e.k = f.k + 1)
-SELECT user_id, round(arg_max(slow, k), 6) AS slow FROM f GROUP BY 1""")
+_LOCKED = """
+WITH RECURSIVE e AS (SELECT user_id, event_id, row_number() OVER w AS k, CASE WHEN event_id % 9 = 0 THEN 'ok' WHEN event_id % 3 = 0 THEN 'auth' WHEN event_id % 3 = 1 THEN 'locked' ELSE 'missing' END AS o FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)),
+f AS (
+  SELECT DISTINCT user_id, 0::BIGINT AS event_id, 0::BIGINT AS k, false AS any_ok, false AS probed, 0 AS auth, 0 AS locked, false AS due FROM e
+  UNION ALL
+  SELECT user_id, event_id, k, any_ok, probed OR due, CASE WHEN due OR o = 'ok' THEN 0 ELSE auth END, CASE WHEN due OR o = 'ok' THEN 0 ELSE locked END, due
+  FROM (SELECT *, coalesce(CASE o WHEN 'ok' THEN false WHEN 'auth' THEN auth >= CASE WHEN probed THEN 10 ELSE 2 END ELSE any_ok AND locked >= CASE WHEN probed THEN 10 ELSE 3 END END, false) AS due
+    FROM (SELECT e.user_id, e.event_id, e.k, e.o, f.any_ok OR e.o = 'ok' AS any_ok, f.probed, f.auth + (e.o = 'auth')::INT AS auth, f.locked + (e.o IN ('locked', 'missing') AND f.any_ok)::INT AS locked FROM f JOIN e ON e.user_id = f.user_id AND e.k = f.k + 1)))
+SELECT event_id, due, any_ok FROM f WHERE k > 0"""
+
+
+@query(_LOCKED)
+def q_locked_probes(spark, sf_dir):
+    """After which answers a probe of the login is due, with locked and missing posts among them."""
+    n = F.col("event_id")
+    o = F.when(n % 9 == 0, "ok").when(n % 3 == 0, "auth").when(n % 3 == 1, "locked").otherwise("missing")
+    return policy.due_probes(read(spark, sf_dir, "events").select("user_id", "event_id", o.alias("o")), ["user_id"], ["event_id"], "o").select("event_id", "due", "any_ok")
+
+
+_ANSWERS = """
+e AS (SELECT user_id, event_id, row_number() OVER w AS k, (row_number() OVER w - 1) // 12 AS request,
+  CASE WHEN event_id % 7 = 0 THEN NULL WHEN event_id % 7 IN (1, 2, 3, 4) THEN 429 WHEN event_id % 7 = 5 THEN 503 WHEN event_id % 4 = 0 THEN 404 ELSE 200 END AS status,
+  CASE event_id % 5 WHEN 0 THEN 250000 WHEN 1 THEN 1000 END::BIGINT AS wait, (floor(epoch(ts))::BIGINT * 1000) AS ms FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id))
+"""
+_POLICY = f"""
+WITH RECURSIVE {_ANSWERS},
+f AS (
+  SELECT user_id, 0::BIGINT AS k, 0::BIGINT AS event_id, 1.0::DOUBLE AS slow, 0::BIGINT AS cooldown, -1::BIGINT AS request, 0 AS hits, 0::BIGINT AS waited, 0 AS tries, '' AS outcome FROM (SELECT DISTINCT user_id FROM events)
+  UNION ALL
+  SELECT user_id, k, event_id, CASE WHEN status < 400 THEN greatest(1, slow * 0.9) WHEN outcome = 'retry' AND (status = 429 OR (status = 503 AND wait IS NOT NULL)) THEN least(8, slow * 2) ELSE slow END,
+    CASE WHEN outcome = 'retry' AND (status = 429 OR (status = 503 AND wait IS NOT NULL)) THEN greatest(cooldown, ms + w) ELSE cooldown END, request, hits, waited, tries, outcome
+  FROM (
+    SELECT user_id, k, event_id, slow, cooldown, request, status, wait, w, ms, CASE WHEN status = 429 THEN h + 1 ELSE 0 END AS hits, CASE WHEN status = 429 AND h + 1 < 8 AND wd + w <= 600000 THEN wd + w ELSE wd END AS waited,
+      CASE WHEN status < 400 OR status = 429 OR (status < 500 AND status <> 408) OR t >= 3 THEN t ELSE t + 1 END AS tries,
+      CASE WHEN status < 400 THEN 'ok' WHEN status = 429 AND (h + 1 >= 8 OR wd + w > 600000) THEN 'gave_up' WHEN status = 429 THEN 'retry' WHEN (status < 500 AND status <> 408) OR t >= 3 THEN 'failed' ELSE 'retry' END AS outcome
+    FROM (
+      SELECT e.user_id, e.k, e.event_id, slow, cooldown, e.request, status, wait, ms, coalesce(wait, 2000 * (2 ** CASE WHEN status = 429 THEN h ELSE t END)::BIGINT) AS w, h, wd, t
+      FROM (SELECT user_id, k, slow, cooldown, request, outcome, hits, waited, tries FROM f) p
+      JOIN e ON e.user_id = p.user_id AND e.k = p.k + 1,
+      LATERAL (SELECT p.request = e.request AND p.outcome = 'retry' AS same) s,
+      LATERAL (SELECT CASE WHEN same THEN p.hits ELSE 0 END AS h, CASE WHEN same THEN p.waited ELSE 0 END AS wd, CASE WHEN same THEN p.tries ELSE 0 END AS t) u)))
+SELECT event_id, round(slow, 6) AS slow, cooldown, hits, waited, outcome FROM f WHERE k > 0"""
+
+
+def _answers(spark, sf_dir):
+    """Events as answers: twelve of a user's to a request, 429s, 503s, other refusals, successes and failures of the network."""
+    w, n = Window.partitionBy("user_id").orderBy("event_id"), F.col("event_id") % 7
+    status = F.when(n == 0, None).when(n.isin(1, 2, 3, 4), 429).when(n == 5, 503).when(F.col("event_id") % 4 == 0, 404).otherwise(200)
+    wait = F.when(F.col("event_id") % 5 == 0, 250_000).when(F.col("event_id") % 5 == 1, 1000).cast("long")
+    e = read(spark, sf_dir, "events")
+    return e.select("user_id", "event_id", F.expr("cast((row_number() over (partition by user_id order by event_id) - 1) div 12 as long)").alias("request"), (F.unix_seconds(F.col("ts").cast("timestamp")) * 1000).alias("at"), status.cast("int").alias("status"), wait.alias("wait_ms"))
+
+
+@query(_POLICY)
 def q_slowdown(spark, sf_dir):
-    """Errors of a user as 429 without a wait: how slow requests are in the end."""
-    answer = F.struct(F.when(F.col("event_type") == "error", 429).otherwise(200).alias("status"), F.lit(0).cast("long").alias("wait_ms"))
-    e = read(spark, sf_dir, "events").groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("event_id", answer.alias("a")))).alias("l"))
-    return e.select("user_id", F.round(F.element_at(policy.slowdowns(F.transform("l", lambda x: x["a"])), -1)["slow"], 6).alias("slow"))
+    """How slow a run is and until when it is held, and what its requests have waited for, after each answer."""
+    return policy.slowdowns(_answers(spark, sf_dir), "user_id", ["event_id"]).select("event_id", F.round("slow", 6).alias("slow"), "cooldown", "hits", "waited", "outcome")
 
 
 # Styles and packages

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from folio.functions import text
 from folio.operators import islands, joins, layout, markup, ordering, palette, policy, retention, rules, sequence, sheets, vocabulary
+from folio.operators.folds import ordered_fold
 from folio.sources import feeds, packages
 from folio.streaming import policy as streaming
 
@@ -343,8 +344,10 @@ WITH f AS (SELECT user_id, event_type, max(event_id) AS last FROM events GROUP B
 SELECT user_id, string_agg(event_type, ',' ORDER BY last DESC) AS recent FROM f GROUP BY user_id""")
 def q_mru(spark, sf_dir):
     """The names used by each user, most recent first: a fold over the ordered uses."""
-    uses = read(spark, sf_dir, "events").groupBy("user_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("event_id", "event_type"))), lambda x: x["event_type"]).alias("u"))
-    return uses.select("user_id", F.array_join(F.aggregate("u", F.array().cast("array<string>"), lambda a, x: text.remember(a, x)), ",").alias("recent"))
+    uses = read(spark, sf_dir, "events").select("user_id", "event_id", "event_type")
+    step = lambda names, used: (made := [used, *(n for n in names if n != used)][:12], (",".join(made),))
+    held = ordered_fold(uses, ["user_id"], ["event_id"], ["event_type"], list, step, "recent string")
+    return held.groupBy("user_id").agg(F.max_by("recent", "event_id").alias("recent"))
 
 
 # Rules and colours
@@ -430,7 +433,20 @@ def q_grey_clashes(spark, sf_dir):
     return palette.grey_clashes(tiers, "p_brand", "p_partkey").select("p_brand", "a", "b", F.round("delta", 6).alias("delta"))
 
 
-@query()
+@query("""
+WITH c AS (SELECT p_partkey, ((p_partkey * 7919) % 256) AS r, ((p_partkey * 104729) % 256) AS g, ((p_partkey * 1299709) % 256) AS b FROM part),
+d AS (SELECT DISTINCT r, g, b, r / 255.0 AS x, g / 255.0 AS y, b / 255.0 AS z FROM c),
+m AS (SELECT *, greatest(x, y, z) AS hi, least(x, y, z) AS lo FROM d),
+l AS (SELECT *, (hi + lo) / 2 AS l, CASE WHEN hi = lo THEN 0 WHEN (hi + lo) / 2 <= 0.5 THEN (hi - lo) / (hi + lo) ELSE (hi - lo) / (2 - hi - lo) END AS s,
+  CASE WHEN hi = lo THEN 0 WHEN x = hi THEN (y - z) / (hi - lo) WHEN y = hi THEN 2 + (z - x) / (hi - lo) ELSE 4 + (x - y) / (hi - lo) END / 6 AS h FROM m),
+t AS (SELECT *, step, side, l + side * step / 100.0 AS tried FROM l, (SELECT unnest(range(0, 101)) AS step) a, (SELECT unnest([-1, 1]) AS side) b WHERE step > 0 OR side = 1),
+q AS (SELECT *, CASE WHEN tried <= 0.5 THEN tried * (1 + s) ELSE tried + s - tried * s END AS q2 FROM t WHERE tried BETWEEN 0 AND 1),
+k AS (SELECT r, g, b, step, side, i, 2 * tried - q2 AS q1, q2, h + (1 - i) / 3.0 - floor(h + (1 - i) / 3.0) AS u FROM q, (SELECT unnest([0, 1, 2]) AS i) w),
+v AS (SELECT r, g, b, step, side, i, CASE WHEN step = 0 THEN [r, g, b][i + 1] ELSE least(255, greatest(0, floor((CASE WHEN u < 1 / 6.0 THEN q1 + (q2 - q1) * u * 6 WHEN u < 0.5 THEN q2 WHEN u < 2 / 3.0 THEN q1 + (q2 - q1) * (2 / 3.0 - u) * 6 ELSE q1 END) * 255 + 0.5))) END::INT AS n FROM k),
+y AS (SELECT r, g, b, step, side, '#' || string_agg(lower(lpad(printf('%X', n), 2, '0')), '' ORDER BY i) AS color,
+  sum([0.2126, 0.7152, 0.0722][i + 1] * CASE WHEN n / 255.0 <= 0.03928 THEN n / 255.0 / 12.92 ELSE pow((n / 255.0 + 0.055) / 1.055, 2.4) END) AS lum FROM v GROUP BY r, g, b, step, side),
+f AS (SELECT r, g, b, arg_min(color, step * 10 + side) AS fixed FROM y WHERE 1.05 / (lum + 0.05) >= 2.5 AND (lum + 0.05) / 0.05 >= 2.5 GROUP BY r, g, b)
+SELECT p_partkey, lower(printf('#%02x%02x%02x', c.r, c.g, c.b)) AS color, coalesce(fixed, '#808080') AS fixed FROM c LEFT JOIN f ON f.r = c.r AND f.g = c.g AND f.b = c.b""")
 def q_fix_colors(spark, sf_dir):
     c = F.format_string("#%02x%02x%02x", (F.col("p_partkey") * 7919) % 256, (F.col("p_partkey") * 104729) % 256, (F.col("p_partkey") * 1299709) % 256)
     return palette.fix_colors(read(spark, sf_dir, "part").select("p_partkey", c.alias("color")), "color")
@@ -446,6 +462,29 @@ def q_render(spark, sf_dir):
     return sheets.render(blocks, rules.Rules())
 
 
+@query("""
+WITH l AS (SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS k, trim(regexp_replace(lower(unnest(string_split(text, chr(10)))), '[^a-z]+', ' ', 'g'), ' ') AS t FROM documents),
+b AS (SELECT doc_id, k, t, k % 5 = 4 AS li, k % 7 = 3 AS f, CASE WHEN k % 13 = 12 THEN 'hr' WHEN k % 11 = 6 THEN 'quote' WHEN k % 5 = 4 OR k % 7 = 3 THEN 'stat' ELSE 'prose' END AS kind FROM l WHERE t <> ''),
+s AS (SELECT *, 'Hit: <span class="pct" style="font-weight:700;color:rgb(194,162,0)">20%</span> of <span class="pct" style="font-weight:700;color:rgb(31,158,61)">40%</span> ' || t AS hit FROM b),
+r AS (SELECT *, CASE WHEN kind IN ('stat', 'quote') AND lag(kind) OVER w = kind THEN 0 ELSE 1 END AS sr, CASE WHEN li AND lag(li) OVER w AND kind = 'stat' AND lag(kind) OVER w = 'stat' THEN 0 ELSE 1 END AS st FROM s WINDOW w AS (PARTITION BY doc_id ORDER BY k)),
+r2 AS (SELECT *, sum(sr) OVER (PARTITION BY doc_id ORDER BY k) AS run, sum(st) OVER (PARTITION BY doc_id ORDER BY k) AS sub FROM r),
+i AS (SELECT doc_id, run, sub, min(k) AS k, any_value(kind) AS kind, bool_and(li) AS li, count(*) AS n, bool_or(f) AS strong,
+  string_agg(CASE WHEN li THEN '<li>' || CASE WHEN f THEN 'Power: 3 of 4 Range: [A][B] ' || hit ELSE t END || '</li>' ELSE '<div class="stat-line">Power: 3 of 4</div><div class="stat-line">Range: [A][B]</div><div class="stat-line">' || hit || '</div>' END, '' ORDER BY k) AS sheet,
+  string_agg('<p>' || CASE WHEN f THEN 'Power: 3 of 4 Range: [A][B] ' || hit ELSE t END || '</p>', '' ORDER BY k) AS flow FROM r2 GROUP BY 1, 2, 3),
+h AS (SELECT doc_id, run, min(k) AS k, any_value(kind) AS kind, sum(n) AS n, bool_or(strong) AS strong, string_agg(CASE WHEN kind = 'stat' AND li THEN '<ul class="stat-block">' || sheet || '</ul>' WHEN kind = 'stat' THEN sheet ELSE flow END, '' ORDER BY k) AS body FROM i GROUP BY 1, 2)
+SELECT doc_id, string_agg(CASE kind WHEN 'hr' THEN '<hr class="scene-break" />' WHEN 'quote' THEN '<blockquote>' || body || '</blockquote>' WHEN 'prose' THEN body ELSE CASE WHEN n >= 2 OR strong THEN '<div class="stat-sheet">' || body || '</div>' ELSE body END END, chr(10) ORDER BY k) AS html FROM h GROUP BY 1""")
+def q_render_sheets(spark, sf_dir):
+    """Documents' lines, in letters, as prose, bullets, fields with a pair of percentages, quotations and scene breaks: whole
+    chapters in HTML."""
+    k, plain = F.col("line_no"), F.trim(F.regexp_replace(F.lower("text"), "[^a-z]+", " "))
+    lines = doc_lines(spark, sf_dir).withColumn("t", plain).where("t <> ''")
+    kind = F.when(k % 13 == 12, "hr").when(k % 5 == 4, "li").otherwise("p")
+    body = F.when(k % 7 == 3, F.concat(F.lit("Power: 3 of 4 Range: [A][B] Hit: 20% of 40% "), F.col("t"))).otherwise(F.col("t"))
+    role = F.when((k % 11 == 6) & (k % 13 != 12), "blockquote")
+    blocks = lines.select("doc_id", k.alias("block_no"), kind.alias("type"), body.alias("text"), F.lit(None).cast("array<struct<text:string,marks:array<string>,br:boolean>>").alias("runs"), F.lit(None).cast("string").alias("align"), role.alias("role"))
+    return sheets.render(blocks, rules.Rules())
+
+
 # Markup and feeds
 
 
@@ -541,8 +580,8 @@ f(user_id, k, streak, lim) AS (
   FROM f JOIN e ON e.user_id = f.user_id AND e.k = f.k + 1)
 SELECT user_id, arg_max(lim, k)::INT AS "limit" FROM f GROUP BY 1""")
 def q_adaptive_pool(spark, sf_dir):
-    e = read(spark, sf_dir, "events").groupBy("user_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("event_id", (F.col("event_type") != "error").alias("ok")))), lambda x: x["ok"]).alias("o"))
-    return e.select("user_id", F.element_at(policy.pool_limits(F.col("o")), -1).alias("limit"))
+    e = read(spark, sf_dir, "events").select("user_id", "event_id", (F.col("event_type") != "error").alias("ok"))
+    return policy.pool_sizes(e, ["user_id"], ["event_id"], "ok").groupBy("user_id").agg(F.max_by("limit", "event_id").alias("limit"))
 
 
 @query("""
@@ -625,4 +664,4 @@ def FLAGSHIP(spark: SparkSession, sf_dir: str) -> DataFrame:
     return q_segmentation(spark, sf_dir)
 
 
-from folio.plans import library_queries  # noqa: E402, F401  registers its queries too
+from folio.plans import library_queries, source_queries  # noqa: E402, F401  register their queries too

@@ -1,16 +1,21 @@
-"""Making the package available to executors that don't have it installed."""
+"""Making the package available to executors that don't have it installed, and tables that outlive them."""
 
 from __future__ import annotations
 
+import atexit
 import os
+import re
+import shutil
 import tempfile
+import uuid
 import zipfile
 from functools import wraps
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _sent: set[str] = set()
+_local: list[str] = []
 
 
 def ship(spark: SparkSession) -> None:
@@ -27,6 +32,43 @@ def ship(spark: SparkSession) -> None:
     context.addPyFile(path)
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new folder's name under spark.checkpoint.dir, which all executors share. Only a local session may leave that unset:
+    on a cluster each executor would write to its own disk."""
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base:
+        if not re.match(r"local($|\[)", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        if not _local:
+            _local.append(tempfile.mkdtemp(prefix="folio-"))
+            atexit.register(shutil.rmtree, _local[0], True)
+        base = "file://" + _local[0]
+    return f"{base.rstrip('/')}/folio-{uuid.uuid4().hex}"
+
+
+def hadoop_path(spark: SparkSession, path: str):
+    """path as the file systems that Spark knows name it, and its file system."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def dropped(spark: SparkSession, path: str) -> None:
+    try:
+        p, fs = hadoop_path(spark, path)
+        fs.delete(p, True)
+    except Exception:  # noqa: BLE001  the session may be over; a leftover scratch folder is harmless
+        pass
+
+
+def written(df: DataFrame) -> DataFrame:
+    """df as a table in the shared folder: what is used more than once is made once, survives lost executors, and has no
+    lineage. The table goes with the application."""
+    spark, path = df.sparkSession, scratch(df.sparkSession)
+    df.write.parquet(path)
+    atexit.register(dropped, spark, path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def shipped(query):
     """query(spark, sf_dir) that ships the package first."""
 

@@ -5,6 +5,7 @@ A parser turns a file's bytes into pages, each a list of (text, x, y, height). W
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -12,7 +13,10 @@ from pyspark.sql import functions as F
 
 from folio.functions import js
 from folio.functions.text import brief_list, without_extension
+from folio.runtime import hadoop_path
 
+#: Bytes of files that are parsed into one batch.
+TOGETHER = 1 << 20
 FRAGMENT = "struct<text:string,x:double,y:double,height:double>"
 
 
@@ -25,12 +29,22 @@ def text_pages(content: bytes) -> list[list[tuple[str, float, float, float]]]:
 
 
 def read_files(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """position, name, content of files, in the order of the paths given."""
+    """position, path, name, content of files, in the order of the paths given, each known by its whole path. A file that
+    isn't there has no content. A path given twice is two files."""
     if not paths:
         raise ValueError("Add at least one file to convert.")
-    places = spark.createDataFrame([(i, p.rsplit("/", 1)[-1]) for i, p in enumerate(paths)], "position int, name string")
-    found = spark.read.format("binaryFile").load(paths).select(F.element_at(F.split("path", "/"), -1).alias("name"), "content")
-    return places.join(found, "name", "left").select("position", "name", "content")
+    whole, there = [], []
+    for p in paths:
+        at, fs = hadoop_path(spark, p)
+        whole.append(fs.makeQualified(at).toString())
+        if fs.exists(at):
+            there.append(whole[-1])
+    places = spark.createDataFrame([(i, w, w.rsplit("/", 1)[-1]) for i, w in enumerate(whole)], "position int, path string, name string")
+    if not there:
+        return places.withColumn("content", F.lit(None).cast("binary"))
+    plain = [re.sub(r"([\\*?\[\]{}])", r"\\\1", p) for p in sorted({*there})]  # names are no patterns
+    found = spark.read.format("binaryFile").load(plain).select("path", "content")
+    return places.join(found, "path", "left").select("position", "path", "name", "content")
 
 
 def parse_files(files: DataFrame, parse: Callable[[bytes], list] = text_pages) -> DataFrame:
@@ -50,10 +64,17 @@ def parse_files(files: DataFrame, parse: Callable[[bytes], list] = text_pages) -
 
     def run(batches: Iterator) -> Iterator:
         for batch in batches:
-            for at in range(batch.num_rows):  # files are large: one at a time
-                row = batch.slice(at, 1)
-                error, pages = one(row.column("content")[0].as_py())
-                yield pa.RecordBatch.from_arrays([row.column("position"), row.column("name"), pa.array([error], pa.string()), pa.array([pages], pa.list_(pa.list_(fragment)))], names=["position", "name", "error", "pages"])
+            at = 0
+            while at < batch.num_rows:  # a large file by itself, small ones together
+                done, size, first = [], 0, at
+                while at < batch.num_rows and (not done or size < TOGETHER):
+                    content = batch.column("content")[at].as_py()
+                    done.append(one(content))
+                    size += len(content or b"") + 1
+                    at += 1
+                rows = batch.slice(first, at - first)
+                errors, pages = zip(*done, strict=True)
+                yield pa.RecordBatch.from_arrays([rows.column("position"), rows.column("name"), pa.array(errors, pa.string()), pa.array(pages, pa.list_(pa.list_(fragment)))], names=["position", "name", "error", "pages"])
 
     return files.select("position", "name", "content").mapInArrow(run, f"position {kind}, name string, error string, pages array<array<{FRAGMENT}>>")
 
@@ -95,13 +116,13 @@ def readable(parsed: DataFrame) -> DataFrame:
     raise ValueError("None of the files could be read." + (f" ({'; '.join(why)})" if why else ""))
 
 
-def joined_pages(parsed: DataFrame, width: int = 4096) -> DataFrame:
+def joined_pages(parsed: DataFrame) -> DataFrame:
     """position, page_no and `page`, its number from 1 among the pages of all good files in their order. Pages before a
-    file are summed within spans of `width` positions and over spans, so no task sees all files."""
+    file are summed within ranges of positions and over ranges, so no task sees all files."""
     from folio.operators.islands import running_sum
 
     files = parsed.where("error is null").select("position", F.size("pages").cast("long").alias("n"))
-    before = running_sum(files, "n", [], "position", width).select("position", (F.col("running") - F.col("n")).alias("_before"), "n")
+    before = running_sum(files, "n", [], "position").select("position", (F.col("running") - F.col("n")).alias("_before"), "n")
     numbered = before.where("n > 0").select("position", "_before", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))).alias("page_no"))
     return numbered.select("position", F.col("page_no").cast("int").alias("page_no"), (F.col("_before") + F.col("page_no")).alias("page"))
 

@@ -3,14 +3,13 @@
 from __future__ import annotations
 
 import atexit
-import shutil
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from folio.runtime import dropped, scratch
+
 BREAKER = "user_id long, failures long, halted_at timestamp"
 STATE = "streak int, rung int, failures long, halted timestamp"
 
@@ -50,13 +49,8 @@ def quiet_periods(events: DataFrame, gap: str, watermark: str = "1 day") -> Data
 def once(stream: DataFrame, spark: SparkSession, mode: str) -> DataFrame:
     """Runs a stream over what there is and returns what it put out, written as a table under spark.checkpoint.dir. Only a
     local session may leave that unset."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
-        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        base = tempfile.mkdtemp(prefix="folio-stream-")
-        atexit.register(shutil.rmtree, base, True)
-    path = f"{base.rstrip('/')}/folio-stream-{uuid.uuid4().hex}"
+    path = scratch(spark)
+    atexit.register(dropped, spark, path)
     # A batch that runs again after a failure writes over what it had written
     save = lambda batch, number: batch.write.mode("overwrite").parquet(f"{path}/out/batch={number}")
     stream.writeStream.foreachBatch(save).outputMode(mode).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start().awaitTermination()
