@@ -40,7 +40,7 @@ def escape_html(c: Column) -> Column:
 
 
 def escape_xml(c: Column) -> Column:
-    return reduce(lambda x, kv: F.replace(x, F.lit(kv[0]), F.lit(kv[1])), [('"', "&quot;"), ("'", "&apos;")], escape_html(c))
+    return reduce(lambda x, kv: F.replace(x, F.lit(kv[0]), F.lit(kv[1])), [('"', "&quot;"), ("'", "&#39;")], escape_html(c))
 
 
 def header_key(c: Column) -> Column:
@@ -114,16 +114,21 @@ def utc_seconds(ts: Column) -> Column:
 def retry_after_ms(header: Column, now: Column) -> Column:
     """Seconds or a date, held to 0..300 seconds; null if neither."""
     seconds = header.try_cast("double") * 1000
-    date = F.unix_millis(F.try_to_timestamp(header, F.lit("EEE, dd MMM yyyy HH:mm:ss zzz"))) - F.unix_millis(now)
-    return F.least(F.greatest(F.coalesce(seconds, date.cast("double")), F.lit(0.0)), F.lit(300000.0))
-
-
-def url_shape(url: Column) -> Column:
-    """Path and sorted keys of a URL, never its values."""
-    keys = F.array_sort(F.map_keys(F.str_to_map(F.coalesce(F.try_parse_url(url, F.lit("QUERY")), F.lit("")), F.lit("&"), F.lit("="))))
-    keys = F.filter(keys, lambda k: k != "")
-    path = F.coalesce(F.try_parse_url(url, F.lit("PATH")), F.lit(""))
-    return F.when(F.size(keys) > 0, F.concat(path, F.lit("?"), F.array_join(keys, ","))).otherwise(path)
+    bare = F.regexp_replace(header, "^[A-Za-z]+, ", "")  # a weekday says nothing, and can't be read
+    date = F.unix_millis(F.try_to_timestamp(bare, F.lit("dd MMM yyyy HH:mm:ss zzz"))) - F.unix_millis(now)
+    wait = F.coalesce(seconds, date.cast("double"))
+    return F.when(wait.isNotNull(), F.least(F.greatest(wait, F.lit(0.0)), F.lit(300000.0)))  # least and greatest skip nulls
+
+
+def url_shape(url: Column, home: str = "") -> Column:
+    """Host (but for home), path and the keys of a URL's query, each once in their order, never its values."""
+    host = F.try_parse_url(url, F.lit("HOST"))
+    pairs = F.split(F.coalesce(F.try_parse_url(url, F.lit("QUERY")), F.lit("")), "&")
+    named = F.transform(F.filter(pairs, lambda p: p != ""), lambda p: F.coalesce(F.try_url_decode(F.substring_index(p, "=", 1)), F.substring_index(p, "=", 1)))
+    keys = F.array_join(F.array_distinct(named), "&")
+    path = F.coalesce(F.nullif(F.try_parse_url(url, F.lit("PATH")), F.lit("")), F.lit("/"))
+    shown = F.concat(F.when(host == home, "").otherwise(host), path, F.when(keys != "", F.concat(F.lit("?"), keys)).otherwise(""))
+    return F.when(url.isNotNull(), F.when(host.isNull(), "(bad url)").otherwise(shown))
 
 
 def brief_list(items: Column, shown: int = 5) -> Column:

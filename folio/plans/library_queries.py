@@ -144,12 +144,14 @@ def q_auto_order(spark, sf_dir):
 
 
 @query("""
-WITH n AS (SELECT p_partkey, chr(CASE p_partkey % 3 WHEN 0 THEN 233 WHEN 1 THEN 101 ELSE 201 END::INT) || ' ' || repeat('1', (p_partkey % 25 + 1)::INT) || p_size AS name, length(repeat('1', (p_partkey % 25 + 1)::INT) || p_size) AS k, repeat('1', (p_partkey % 25 + 1)::INT) || p_size AS digits, p_name FROM part)
-SELECT p_partkey, row_number() OVER (PARTITION BY p_name ORDER BY k, digits, p_partkey) AS pos FROM n""")
+WITH n AS (SELECT p_partkey, p_partkey % 4 AS script, length(repeat('1', (p_partkey % 25 + 1)::INT) || p_size) AS k, repeat('1', (p_partkey % 25 + 1)::INT) || p_size AS digits, p_name FROM part)
+SELECT p_partkey, row_number() OVER (PARTITION BY p_name ORDER BY script, k, digits, p_partkey) AS pos FROM n""")
 def q_natural_long(spark, sf_dir):
-    """Runs of up to 27 digits behind letters with and without accents."""
-    digits = F.concat(F.repeat(F.lit("1"), (F.col("p_partkey") % 25 + 1).cast("int")), F.col("p_size").cast("string"))
-    first = F.when(F.col("p_partkey") % 3 == 0, "é").when(F.col("p_partkey") % 3 == 1, "e").otherwise("É")
+    """Runs of up to 27 digits, some behind zeros, behind letters of four scripts in both cases, with and without accents."""
+    k = F.col("p_partkey")
+    digits = F.concat(F.when(k % 2 == 0, "00").otherwise(""), F.repeat(F.lit("1"), (k % 25 + 1).cast("int")), F.col("p_size").cast("string"))
+    letters = [["é", "e", "É"], ["ω", "Ώ", "Ω"], ["ж", "Ж", "ӝ"], ["א", "א", "א"]]
+    first = F.get(F.get(F.array(*[F.array(*map(F.lit, x)) for x in letters]), (k % 4).cast("int")), (k % 3).cast("int"))
     w = Window.partitionBy("p_name").orderBy(text.natural_key(F.col("name")), "p_partkey")
     return read(spark, sf_dir, "part").withColumn("name", F.concat(first, F.lit(" "), digits)).select("p_partkey", F.row_number().over(w).alias("pos"))
 

@@ -133,11 +133,12 @@ def q_running_heads(spark, sf_dir):
 
 
 @query(_TURNS + """
-SELECT book_id, count(*) AS kept FROM e LEFT JOIN r USING (book_id, key)
+SELECT book_id, count(*) AS kept, md5(string_agg(t, chr(10) ORDER BY page_no, line_no)) AS h FROM e LEFT JOIN r USING (book_id, key)
 WHERE NOT (edge AND (r.pages IS NOT NULL OR regexp_full_match(t, '\\s*[0-9]+\\s*'))) GROUP BY book_id""")
 def q_strip_heads(spark, sf_dir):
     lines = turns(spark, sf_dir)
-    return layout.strip_running_heads(lines, page_counts(lines)).groupBy("book_id").agg(F.count("*").alias("kept"))
+    kept = layout.strip_running_heads(lines, page_counts(lines))
+    return kept.groupBy("book_id").agg(F.count("*").alias("kept"), F.md5(islands.joined_text(F.col("text"), F.struct("page_no", "line_no"), "\n")).alias("h"))
 
 
 @query("""
@@ -166,23 +167,26 @@ l AS (SELECT doc_id, unnest(ls) AS t, generate_subscripts(ls, 1) - 1 AS line_no
 p AS (SELECT *, line_no % 5 = 4 AS bullet, lag(t) OVER w AS pt, lag(line_no % 5 = 4) OVER w AS pb FROM l WINDOW w AS (PARTITION BY doc_id ORDER BY line_no)),
 f AS (SELECT *, CASE WHEN pt IS NULL OR bullet OR length(pt) % 3 = 0 OR (pb AND NOT regexp_matches(t, '^[a-z]')) THEN 1 ELSE 0 END AS st FROM p),
 b AS (SELECT *, sum(st) OVER (PARTITION BY doc_id ORDER BY line_no) AS block_no FROM f),
-g AS (SELECT doc_id, block_no, count(*) AS n_lines, bool_or(bullet AND st = 1) AS li FROM b GROUP BY 1, 2)
-SELECT doc_id, count(*) AS blocks, sum(CASE WHEN li THEN 1 ELSE 0 END)::BIGINT AS bullets, max(n_lines) AS longest FROM g GROUP BY doc_id""")
+g AS (SELECT doc_id, block_no, count(*) AS n_lines, bool_or(bullet AND st = 1) AS li, string_agg(t, ' ' ORDER BY line_no) AS t FROM b GROUP BY 1, 2)
+SELECT doc_id, count(*) AS blocks, sum(CASE WHEN li THEN 1 ELSE 0 END)::BIGINT AS bullets, max(n_lines) AS longest,
+  md5(string_agg(CASE WHEN li THEN regexp_replace(t, '^\\s+|\\s+$', '', 'g') ELSE t END, chr(10) ORDER BY block_no)) AS h FROM g GROUP BY doc_id""")
 def q_blocks(spark, sf_dir):
     blocks = layout.assemble_blocks(_geometry(doc_lines(spark, sf_dir)))
-    return blocks.groupBy("doc_id").agg(F.count("*").alias("blocks"), F.count_if(F.col("type") == "li").alias("bullets"), F.max("n_lines").alias("longest"))
+    return blocks.groupBy("doc_id").agg(F.count("*").alias("blocks"), F.count_if(F.col("type") == "li").alias("bullets"), F.max("n_lines").alias("longest"), F.md5(islands.joined_text(F.col("text"), F.col("block_no"), "\n")).alias("h"))
 
 
 @query("""
 WITH c AS (SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN rtrim(text, '.') ELSE lower(left(text, 1)) || substr(text, 2) END AS t FROM conversations),
 p AS (SELECT *, lag(t) OVER (PARTITION BY conv_id ORDER BY turn) AS pt FROM c),
-s AS (SELECT *, CASE WHEN pt IS NULL OR regexp_matches(pt, '[.!?…"”’'']\\s*$') OR right(pt, 1) = ']' OR NOT regexp_matches(t, '^\\p{Ll}') THEN 1 ELSE 0 END AS st FROM p)
-SELECT conv_id, sum(st)::BIGINT AS blocks FROM s GROUP BY conv_id""")
+s AS (SELECT *, CASE WHEN pt IS NULL OR regexp_matches(pt, '[.!?…"”’'']\\s*$') OR right(pt, 1) = ']' OR NOT regexp_matches(t, '^\\p{Ll}') THEN 1 ELSE 0 END AS st FROM p),
+i AS (SELECT *, sum(st) OVER (PARTITION BY conv_id ORDER BY turn) AS block FROM s),
+b AS (SELECT conv_id, block, string_agg(t, ' ' ORDER BY turn) AS t FROM i GROUP BY 1, 2)
+SELECT conv_id, count(*) AS blocks, md5(string_agg(t, chr(10) ORDER BY block)) AS h FROM b GROUP BY conv_id""")
 def q_stitch(spark, sf_dir):
     c = read(spark, sf_dir, "conversations")
     t = F.when(F.col("turn") % 2 == 0, F.rtrim(F.col("text"), F.lit("."))).otherwise(F.concat(F.lower(F.left("text", F.lit(1))), F.substring("text", F.lit(2), F.length("text"))))
     blocks = c.select("conv_id", F.col("turn").alias("page_no"), F.lit(1).alias("block_no"), F.lit("p").alias("type"), t.alias("text"))
-    return layout.stitch_pages(blocks, "conv_id").groupBy("conv_id").agg(F.count("*").alias("blocks"))
+    return layout.stitch_pages(blocks, "conv_id").groupBy("conv_id").agg(F.count("*").alias("blocks"), F.md5(islands.joined_text(F.col("text"), F.col("block_no"), "\n")).alias("h"))
 
 
 @query("""
@@ -203,17 +207,23 @@ def q_glyph_lines(spark, sf_dir):
 
 
 @query("""
-WITH n AS (SELECT l_orderkey AS g, CAST(l_linenumber + (l_partkey % 3) AS INT) AS num FROM lineitem),
+WITH n AS (SELECT l_orderkey AS g, CAST(l_linenumber + (l_partkey % 3) AS INT) AS num, l_linenumber AS pos, CASE WHEN l_orderkey % 3 = 0 AND (l_linenumber - min(l_linenumber) OVER (PARTITION BY l_orderkey)) % 2 = 0 THEN 'Part' ELSE 'Chapter' END AS label FROM lineitem),
+lab AS (SELECT g, arg_max(label, k * 1000 - f) AS label FROM (SELECT g, label, count(*) AS k, min(pos) AS f FROM n GROUP BY 1, 2) GROUP BY 1),
 s AS (SELECT g, count(*) AS present, count(DISTINCT num) AS d, min(num) AS mn, max(num) AS mx FROM n GROUP BY g),
 o AS (SELECT *, present >= 3 AND mx > mn AND mx - mn + 1 <= 5000 AND d >= 0.6 * (mx - mn + 1) AS ok FROM s),
 c AS (SELECT g, num, count(*) AS k FROM n GROUP BY 1, 2)
 SELECT o.g AS orderkey, ok AS has_order, CASE WHEN ok THEN mx - mn + 1 - d ELSE 0 END::BIGINT AS n_missing,
-  CASE WHEN ok THEN (SELECT count(*) FROM c WHERE c.g = o.g AND k > 1) ELSE 0 END::BIGINT AS n_duplicates, CASE WHEN ok THEN mn END AS lo, CASE WHEN ok THEN mx END AS hi
+  CASE WHEN ok THEN (SELECT count(*) FROM c WHERE c.g = o.g AND k > 1) ELSE 0 END::BIGINT AS n_duplicates, CASE WHEN ok THEN (SELECT array_to_string(list_filter(range(mn, mx + 1), lambda i: NOT list_contains(list(c.num), i)), ',') FROM c WHERE c.g = o.g) ELSE '' END AS missing,
+  CASE WHEN ok THEN coalesce((SELECT string_agg(num, ',' ORDER BY num) FROM c WHERE c.g = o.g AND k > 1), '') ELSE '' END AS duplicates, CASE WHEN ok THEN (SELECT label FROM lab WHERE lab.g = o.g) END AS label, CASE WHEN ok THEN mn END AS lo, CASE WHEN ok THEN mx END AS hi
 FROM o""")
 def q_sequence(spark, sf_dir):
-    n = read(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_linenumber").alias("position"), (F.col("l_linenumber") + F.col("l_partkey") % 3).cast("int").alias("num"), F.lit("Chapter").alias("label"))
+    # Each third order's lines are parts and chapters by turns, of which the first seen wins where they are as many, and parts else
+    first = F.min("l_linenumber").over(Window.partitionBy("l_orderkey"))
+    label = F.when((F.col("l_orderkey") % 3 == 0) & ((F.col("l_linenumber") - first) % 2 == 0), "Part").otherwise("Chapter")
+    n = read(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_linenumber").alias("position"), (F.col("l_linenumber") + F.col("l_partkey") % 3).cast("int").alias("num"), label.alias("label"))
     found = sequence.analyze(n, "l_orderkey", "position")
-    return found.select(F.col("l_orderkey").alias("orderkey"), "has_order", F.size("missing").cast("long").alias("n_missing"), F.size("duplicates").cast("long").alias("n_duplicates"), F.col("min").alias("lo"), F.col("max").alias("hi"))
+    spelled = lambda c: F.array_join(F.transform(c, lambda i: i.cast("string")), ",").alias(c)
+    return found.select(F.col("l_orderkey").alias("orderkey"), "has_order", F.size("missing").cast("long").alias("n_missing"), F.size("duplicates").cast("long").alias("n_duplicates"), spelled("missing"), spelled("duplicates"), "label", F.col("min").alias("lo"), F.col("max").alias("hi"))
 
 
 @query("""
@@ -416,10 +426,11 @@ longest AS (SELECT * FROM n QUALIFY row_number() OVER (PARTITION BY conv_id ORDE
 w AS (SELECT n.conv_id, n.turn, n.n, size, first, CASE WHEN size IS NOT NULL THEN least(n.n, greatest(10, size)) END AS target
   FROM longest l LEFT JOIN best USING (conv_id) JOIN n ON n.conv_id = l.conv_id AND n.turn = coalesce(best.turn, l.turn)),
 e AS (SELECT *, CASE WHEN target IS NOT NULL THEN least(n, greatest(first - (target - size) // 2, 0) + target) ELSE least(n, 15) END AS stop FROM w)
-SELECT conv_id, turn, stop - coalesce(greatest(0, stop - target), 0) AS shown FROM e""")
+, f AS (SELECT *, coalesce(greatest(0, stop - target), 0) AS start FROM e)
+SELECT f.conv_id, f.turn, count(*) AS shown, min(b)::INT AS first_block, md5(string_agg(t, chr(10) ORDER BY b)) AS h FROM f JOIN l ON l.conv_id = f.conv_id AND l.turn = f.turn AND b >= start AND b < stop GROUP BY 1, 2""")
 def q_sample_blocks(spark, sf_dir):
     c = read(spark, sf_dir, "conversations").select(F.col("conv_id").alias("book_id"), F.col("turn").alias("chapter_no"), F.posexplode(F.split("text", "\n", -1)).alias("block_no", "text"), F.lit("p").alias("type"))
-    return sheets.sample_blocks(c).groupBy(F.col("book_id").alias("conv_id"), F.col("chapter_no").alias("turn")).agg(F.count("*").alias("shown"))
+    return sheets.sample_blocks(c).groupBy(F.col("book_id").alias("conv_id"), F.col("chapter_no").alias("turn")).agg(F.count("*").alias("shown"), F.min("block_no").alias("first_block"), F.md5(islands.joined_text(F.col("text"), F.col("block_no"), "\n")).alias("h"))
 
 
 @query("""
@@ -516,16 +527,27 @@ def q_links(spark, sf_dir):
 
 
 @query("""
-WITH p AS (SELECT page_id, unnest(regexp_extract_all(html, '(?is)<p(?:[ \\t\\r\\n][^>]*)?>(.*?)</p>', 1)) AS t FROM pages),
-d AS (SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(regexp_replace(t, '<[^>]*>', '', 'g'), '&quot;', '"'), '&copy;', '©'), '&middot;', '·'), '&amp;', '&'), '[\\s\\x0B]+', ' ', 'g')) AS t FROM p)
-SELECT page_id, count(*) AS paragraphs, sum(length(t))::BIGINT AS chars FROM d WHERE t <> '' GROUP BY page_id""")
+WITH q AS (SELECT page_id, regexp_extract_all(html, '(?is)<p(?:[ \\t\\r\\n][^>]*)?>(.*?)</p>', 1) AS ts FROM pages),
+p AS (SELECT page_id, i, ts[i] AS t FROM (SELECT page_id, ts, unnest(range(1, len(ts) + 1)) AS i FROM q)),
+d AS (SELECT page_id, i, trim(regexp_replace(replace(replace(replace(replace(regexp_replace(t, '<[^>]*>', '', 'g'), '&quot;', '"'), '&copy;', '©'), '&middot;', '·'), '&amp;', '&'), '[\\s\\x0B]+', ' ', 'g')) AS t FROM p)
+SELECT page_id, count(*) AS paragraphs, sum(length(t))::BIGINT AS chars, md5(string_agg(t, chr(10) ORDER BY i)) AS h FROM d WHERE t <> '' GROUP BY page_id""")
 def q_html_text(spark, sf_dir):
-    p = read(spark, sf_dir, "pages").select("page_id", F.explode(markup.paragraphs(F.col("html"))).alias("t"))
-    return p.groupBy("page_id").agg(F.count("*").alias("paragraphs"), F.sum(F.length("t")).alias("chars"))
-
-
-@query()
+    p = read(spark, sf_dir, "pages").select("page_id", markup.paragraphs(F.col("html")).alias("t")).where(F.size("t") > 0)
+    return p.select("page_id", F.size("t").cast("long").alias("paragraphs"), F.aggregate("t", F.lit(0).cast("long"), lambda a, x: a + F.length(x)).alias("chars"), F.md5(F.array_join("t", "\n")).alias("h"))
+
+
+@query(r"""
+WITH p AS (SELECT page_id, regexp_extract_all(html, '<li><a href="[^"]*">([^<]*)</a></li>', 1) AS nav, regexp_extract(html, '<div class="ad">([^<]*)</div>', 1) AS ad, string_split(regexp_extract(html, '<article>(.*)</article>', 1, 's'), '<p>') AS parts, regexp_extract(html, '<footer>([^<]*)</footer>', 1) AS foot FROM pages),
+b AS (
+  SELECT page_id, i AS o, 'li' AS type, nav[i] AS raw, NULL AS role, NULL AS part FROM (SELECT page_id, nav, unnest(range(1, len(nav) + 1)) AS i FROM p)
+  UNION ALL SELECT page_id, 1000, 'p', ad, NULL, NULL FROM p
+  UNION ALL SELECT page_id, 1000 + i, 'p', parts[i], CASE WHEN i = 1 THEN 'h1' END, i FROM (SELECT page_id, parts, unnest(range(1, len(parts) + 1)) AS i FROM p)
+  UNION ALL SELECT page_id, 1000000, 'p', foot, NULL, NULL FROM p),
+m AS (SELECT *, max(CASE WHEN raw LIKE '%<b>%' THEN part END) OVER w AS opened, max(CASE WHEN raw LIKE '%</%' THEN part END) OVER (PARTITION BY page_id ORDER BY part ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS closed FROM b WINDOW w AS (PARTITION BY page_id ORDER BY part)),
+t AS (SELECT page_id, o, type, role, part IS NOT NULL AND opened > coalesce(closed, 0) AS bold, trim(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace(raw, '<[^>]*>', ' ', 'g'), '&copy;', '©'), '&middot;', '·'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&'), '\s+', ' ', 'g')) AS text FROM m)
+SELECT page_id, (row_number() OVER (PARTITION BY page_id ORDER BY o) - 1)::INT AS block_no, type, text, role, NULL AS align, CASE WHEN bold THEN '<strong>' || replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') || '</strong>' ELSE '' END AS rich FROM t WHERE text <> ''""")
 def q_html_blocks(spark, sf_dir):
+    """Whole pages as blocks: lists, headings, paragraphs that are or aren't closed, and marks that go on over their borders."""
     blocks = markup.with_blocks(read(spark, sf_dir, "pages").select("page_id", "html"), "html", markup.html_to_blocks)
     return blocks.select("page_id", F.posexplode("blocks").alias("block_no", "b")).select("page_id", "block_no", "b.type", "b.text", "b.role", "b.align", markup.render_runs(F.coalesce("b.runs", F.array().cast(markup.BLOCK.split("runs:")[1].split(",align")[0]))).alias("rich"))
 
@@ -600,6 +622,18 @@ def q_stream_breaker(spark, sf_dir):
     return streaming.once(out, spark, "update").groupBy("user_id").agg(F.max("failures").alias("failures"))
 
 
+@query("""
+WITH e AS (SELECT user_id, ts, event_id, event_type <> 'error' AS failed, sum(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS g FROM events),
+r AS (SELECT user_id, ts, row_number() OVER (PARTITION BY user_id, g ORDER BY ts, event_id) AS j FROM e WHERE failed)
+SELECT u.user_id, (SELECT count(*) FROM e WHERE e.user_id = u.user_id AND failed) AS failures, floor(epoch((SELECT min(ts) FROM r WHERE r.user_id = u.user_id AND j = 12)))::BIGINT AS halted FROM (SELECT DISTINCT user_id FROM events) u""")
+def q_stream_halts(spark, sf_dir):
+    """All but errors as failures: when a user's run is halted, at the twelfth failure in a row."""
+    schema = read(spark, sf_dir, "events").schema
+    e = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir) if not _folder(spark, sf_dir, "events") else spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parquet")
+    out = streaming.breaker(e.select("user_id", "ts", "event_id", (F.col("event_type") != "error").alias("failed")))
+    return streaming.once(out, spark, "update").groupBy("user_id").agg(F.max("failures").alias("failures"), F.unix_seconds(F.min("halted_at")).alias("halted"))
+
+
 def _folder(spark: SparkSession, sf_dir: str, name: str) -> bool:
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{name}.parquet")
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(p).isDirectory()
@@ -646,8 +680,10 @@ l AS (SELECT e.* FROM e LEFT JOIN r ON r.source = e.source AND r.key = e.key WHE
 
 @query(_SEGMENTS + """
 p AS (SELECT *, line_no % 5 = 4 AS bullet, lag(t) OVER w AS pt, lag(line_no % 5 = 4) OVER w AS pb FROM l WINDOW w AS (PARTITION BY doc_id ORDER BY line_no)),
-f AS (SELECT *, CASE WHEN pt IS NULL OR bullet OR length(pt) % 3 = 0 OR (pb AND NOT regexp_matches(t, '^[a-z]')) THEN 1 ELSE 0 END AS st FROM p)
-SELECT doc_id, sum(st)::BIGINT AS blocks, count(*) AS n_lines, max(n) - count(*) AS stripped FROM f GROUP BY doc_id""")
+f AS (SELECT *, CASE WHEN pt IS NULL OR bullet OR length(pt) % 3 = 0 OR (pb AND NOT regexp_matches(t, '^[a-z]')) THEN 1 ELSE 0 END AS st FROM p),
+i AS (SELECT *, sum(st) OVER (PARTITION BY doc_id ORDER BY line_no) AS block FROM f),
+b AS (SELECT doc_id, block, count(*) AS n_lines, max(n) AS n, CASE WHEN bool_or(bullet) THEN regexp_replace(string_agg(t, ' ' ORDER BY line_no), '^\\s+|\\s+$', '', 'g') ELSE string_agg(t, ' ' ORDER BY line_no) END AS t FROM i GROUP BY 1, 2)
+SELECT doc_id, count(*) AS blocks, sum(n_lines)::BIGINT AS n_lines, (max(n) - sum(n_lines))::BIGINT AS stripped, md5(string_agg(t, chr(10) ORDER BY block)) AS h FROM b GROUP BY doc_id""")
 def q_segmentation(spark, sf_dir):
     """Documents to lines; what stands at the edges of more than a tenth of a source's documents, and page numbers there,
     are taken off by an anti-join; blocks are assembled from the rest."""
@@ -655,13 +691,13 @@ def q_segmentation(spark, sf_dir):
     pages = read(spark, sf_dir, "documents").groupBy(F.col("source").alias("book_id")).agg(F.count("*").alias("n_pages"))
     kept = layout.strip_running_heads(lines, pages, share=0.1).withColumnRenamed("page_no", "doc_id")
     blocks = layout.assemble_blocks(_geometry(kept))
-    found = blocks.groupBy("doc_id").agg(F.count("*").alias("blocks"), F.sum("n_lines").alias("n_lines"))
+    found = blocks.groupBy("doc_id").agg(F.count("*").alias("blocks"), F.sum("n_lines").alias("n_lines"), F.md5(islands.joined_text(F.col("text"), F.col("block_no"), "\n")).alias("h"))
     whole = read(spark, sf_dir, "documents").select("doc_id", F.size(F.split("text", "\n", -1)).alias("_n"))
-    return found.join(whole, "doc_id").select("doc_id", "blocks", "n_lines", (F.col("_n") - F.col("n_lines")).alias("stripped"))
+    return found.join(whole, "doc_id").select("doc_id", "blocks", "n_lines", (F.col("_n") - F.col("n_lines")).alias("stripped"), "h")
 
 
 def FLAGSHIP(spark: SparkSession, sf_dir: str) -> DataFrame:
     return q_segmentation(spark, sf_dir)
 
 
-from folio.plans import library_queries, source_queries  # noqa: E402, F401  register their queries too
+from folio.plans import function_queries, library_queries, source_queries  # noqa: E402, F401  register their queries too
