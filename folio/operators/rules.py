@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 from dataclasses import dataclass, field
 
@@ -75,9 +76,12 @@ def _wrapped(match: Column, cls: Column) -> Column:
 
 
 def tag_rarities(html: Column, rules: Rules) -> Column:
+    if not rules.rarity_classes():
+        return html
     known = _map(rules.rarity_classes())
     look = lambda m: F.try_element_at(known, F.lower(js.trim(F.substring(m, F.lit(2), F.length(m) - 2))))
-    return outside_spans(html, lambda t: js.rebuild(t, RARITY_TAG, lambda m: _wrapped(m, look(m))))
+    tagged = outside_spans(html, lambda t: js.rebuild(t, RARITY_TAG, lambda m: _wrapped(m, look(m))))
+    return F.when(html.contains("["), tagged).otherwise(html)
 
 
 def tag_keywords(html: Column, rules: Rules) -> Column:
@@ -104,21 +108,45 @@ def channels(c: Column) -> list[Column]:
     return [F.conv(F.substring(v, i, 2), 16, 10).cast("int") for i in (2, 4, 6)]
 
 
+def _ramp(t: float, rules: Rules) -> str:
+    """percent_color of 0..1, by the same steps."""
+    low, mid, high = ([int(c[i : i + 2], 16) for i in (1, 3, 5)] for c in (_hex(x) for x in (rules.low, rules.mid, rules.high)))
+    ends, local = ((low, mid), t * 2) if t < 0.5 else ((mid, high), (t - 0.5) * 2)
+    return "rgb(" + ",".join(str(max(0, min(255, math.floor(a + (b - a) * local + 0.5)))) for a, b in zip(*ends, strict=True)) + ")"
+
+
+def _hex(color: str) -> str:
+    """#rrggbb of a colour, of the fallback if it isn't one."""
+    v = color.strip().lower()
+    if re.fullmatch("#[0-9a-f]{3}", v):
+        return "#" + "".join(c * 2 for c in v[1:])
+    return v if re.fullmatch("#[0-9a-f]{6}", v) else FALLBACK
+
+
 def percent_color(ratio: Column, rules: Rules) -> Column:
-    """rgb(...) between low, mid and high for 0..1; no number counts as 0."""
+    """rgb(...) between low, mid and high for 0..1; no number counts as 0. Whole percentages are looked up, others computed."""
     t = F.when(ratio.isNull() | F.isnan(ratio) | (F.abs(ratio) == float("inf")), 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), ratio)))
+    known = F.array(*[F.lit(_ramp(i / 100, rules)) for i in range(101)])
     low, mid, high = (channels(F.lit(x)) for x in (rules.low, rules.mid, rules.high))
-    below, local = t < 0.5, F.when(t < 0.5, t * 2).otherwise((t - 0.5) * 2)
-    parts = []
-    for a, b, c in zip(low, mid, high, strict=True):
-        start, end = F.when(below, a).otherwise(b), F.when(below, b).otherwise(c)
-        parts.append(F.greatest(F.lit(0), F.least(F.lit(255), js.rounded(start + (end - start) * local))).cast("string"))
-    return F.concat(F.lit("rgb("), F.concat_ws(",", *parts), F.lit(")"))
 
+    def computed(t: Column) -> Column:
+        below, local = t < 0.5, F.when(t < 0.5, t * 2).otherwise((t - 0.5) * 2)
+        parts = []
+        for a, b, c in zip(low, mid, high, strict=True):
+            start, end = F.when(below, a).otherwise(b), F.when(below, b).otherwise(c)
+            parts.append(F.greatest(F.lit(0), F.least(F.lit(255), js.rounded(start + (end - start) * local))).cast("string"))
+        return F.concat(F.lit("rgb("), F.concat_ws(",", *parts), F.lit(")"))
 
-def percent_ratios(text: Column, rules: Rules) -> Column:
-    """array<double>: the ratio of each percentage; `a% of b%` counts as a / b and 1, pairs taken from the left."""
-    numbers = F.transform(F.regexp_extract_all(text, F.lit(PERCENT), F.lit(0)), lambda m: F.rtrim(m, F.lit("%")).cast("double"))
+    def one(t: Column) -> Column:
+        whole = F.floor(t * 100 + 0.5)
+        return F.when(whole / 100 == t, F.get(known, whole.cast("int"))).otherwise(computed(t))
+
+    return js.let(t, one)
+
+
+def _ratios(found: Column, between: Column, rules: Rules) -> Column:
+    """array<double>: of percentages found and the texts between them."""
+    numbers = F.transform(found, lambda m: F.rtrim(m, F.lit("%")).cast("double"))
     if not rules.pair_max:
         return F.transform(numbers, lambda v: F.least(F.lit(1.0), v / 100))
 
@@ -134,8 +162,13 @@ def percent_ratios(text: Column, rules: Rules) -> Column:
         values, first = s["values"], s["first"]
         return F.transform(values, lambda v, i: F.when(F.get(first, i), F.least(F.lit(1.0), v / F.get(values, i + 1))).when((i > 0) & F.coalesce(F.get(first, i - 1), F.lit(False)), F.lit(1.0)).otherwise(F.least(F.lit(1.0), v / 100)))
 
-    found = F.struct(numbers.alias("values"), F.slice(F.split(text, PERCENT, -1), 2, 1 << 30).alias("gaps"))
-    return js.let(js.let(found, joined), ratios)
+    given = F.struct(numbers.alias("values"), F.slice(between, 2, 1 << 30).alias("gaps"))
+    return js.let(js.let(given, joined), ratios)
+
+
+def percent_ratios(text: Column, rules: Rules) -> Column:
+    """array<double>: the ratio of each percentage; `a% of b%` counts as a / b and 1, pairs taken from the left."""
+    return _ratios(F.regexp_extract_all(text, F.lit(PERCENT), F.lit(0)), F.split(text, PERCENT, -1), rules)
 
 
 def tag_percents(html: Column, rules: Rules) -> Column:
@@ -143,12 +176,17 @@ def tag_percents(html: Column, rules: Rules) -> Column:
         return html
     weight = "font-weight:700;" if rules.bold else ""
 
+    def coloured(s: Column) -> Column:
+        found, between = s["found"], s["between"]
+        spans = F.zip_with(found, _ratios(found, between, rules), lambda m, r: F.concat(F.lit(f'<span class="pct" style="{weight}color:'), percent_color(r, rules), F.lit('">'), m, F.lit("</span>")))
+        return F.array_join(F.zip_with(between, spans, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
+
     def stretch(t: Column) -> Column:
-        found = F.regexp_extract_all(t, F.lit(PERCENT), F.lit(0))
-        spans = F.zip_with(found, percent_ratios(t, rules), lambda m, r: F.concat(F.lit(f'<span class="pct" style="{weight}color:'), percent_color(r, rules), F.lit('">'), m, F.lit("</span>")))
-        return F.array_join(F.zip_with(F.split(t, PERCENT, -1), spans, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
+        # Each percentage is found once, and texts without one are left alone
+        once = F.struct(F.regexp_extract_all(t, F.lit(PERCENT), F.lit(0)).alias("found"), F.split(t, PERCENT, -1).alias("between"))
+        return F.when(t.contains("%"), js.let(once, coloured)).otherwise(t)
 
-    return outside_spans(html, stretch)
+    return F.when(html.contains("%"), outside_spans(html, stretch)).otherwise(html)
 
 
 def style_stat(text: Column, rules: Rules) -> Column:

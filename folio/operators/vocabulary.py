@@ -55,3 +55,13 @@ def dehyphenate(texts: DataFrame, book: str = "book_id", block: str = "block_no"
     between = F.split("text", WRAP, -1)
     whole = F.array_join(F.zip_with(between, F.col("fixes"), lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
     return texts.join(fixes, [book, block], "left").withColumn("text", F.when(F.col("fixes").isNull(), F.col("text")).otherwise(whole)).drop("fixes")
+
+
+def dehyphenate_chapters(chapters: DataFrame, book: str = "book_id", chapter: str = "chapter_no", blocks: str = "blocks") -> DataFrame:
+    """chapters(book, chapter, blocks array<struct<..., text, ...>>) with the texts of all blocks as dehyphenate has them, by the
+    words of the whole book; blocks keep their places and all else. Null blocks stay null."""
+    flat = chapters.select(book, chapter, F.posexplode(blocks).alias("_pos", "_b")).withColumn("_key", F.struct(F.col(chapter).alias("c"), F.col("_pos").alias("p")))
+    fixed = dehyphenate(flat.select(book, "_key", F.col("_b.text").alias("text")), book, "_key")
+    back = flat.join(fixed, [book, "_key"]).withColumn("_b", F.col("_b").withField("text", F.col("text")))
+    made = back.groupBy(book, chapter).agg(F.transform(F.array_sort(F.collect_list(F.struct("_pos", "_b"))), lambda x: x["_b"]).alias("_new"))
+    return chapters.join(made, [book, chapter], "left").withColumn(blocks, F.coalesce("_new", blocks)).drop("_new")

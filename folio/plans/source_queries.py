@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from folio.functions import text
-from folio.operators import automaton, library, sheets
+from folio.operators import automaton, library, sheets, versions, vocabulary
 from folio.plans.library_queries import _CRAWL, _POLICY, _answers, _pages
 from folio.plans.registry import query, read
 from folio.runtime import scratch
@@ -113,16 +113,16 @@ def q_file_source(spark, sf_dir):
 
 
 @query("""
-WITH l AS (SELECT doc_id % 8 AS folder, doc_id, text FROM documents)
-SELECT doc_id, 2 AS page_no, CASE WHEN regexp_matches(text, '[^\\s\\x1c-\\x1f\\x85\\xa0]') THEN len(list_filter(string_split(text, chr(10)), lambda l: regexp_matches(l, '[^\\s\\x1c-\\x1f\\x85\\xa0]'))) END AS fragments FROM documents WHERE doc_id % 50 = 0""")
+WITH d AS (SELECT doc_id % 16 AS folder, row_number() OVER (PARTITION BY doc_id % 16 ORDER BY doc_id) AS page_no, len(list_filter(string_split(text, chr(10)), lambda l: regexp_matches(l, '[^\\s\\x1c-\\x1f\\x85\\xa0]'))) AS fragments FROM documents)
+SELECT folder, page_no::INT AS page_no, fragments FROM d WHERE page_no BETWEEN 3 AND 5 AND fragments > 0""")
 def q_file_pages(spark, sf_dir):
-    """Each fiftieth document as a file of three pages, of which the second alone is asked for: the condition reaches the source."""
+    """All documents as pages of sixteen files, of which pages 3 to 5 are asked for: the condition reaches the source."""
     path = scratch(spark)
-    d = read(spark, sf_dir, "documents").where("doc_id % 50 = 0").select(F.concat(F.lit("one\f"), "text", F.lit("\fthree")).alias("text"), "doc_id")
-    d.write.partitionBy("doc_id").text(path)
+    d = read(spark, sf_dir, "documents").select("doc_id", F.concat("text", F.lit("\f")).alias("text"), (F.col("doc_id") % 16).alias("folder"))
+    d.repartition(4, "folder").sortWithinPartitions("folder", "doc_id").select("text", "folder").write.partitionBy("folder").text(path)
     names = [r["path"] for r in spark.read.format("binaryFile").option("pathGlobFilter", "part-*").option("recursiveFileLookup", "true").load(path).select("path").orderBy("path").collect()]
-    rows = filesource.scan_files(spark, names, files_per_task=8).where("page_no = 2")
-    return rows.groupBy(F.regexp_extract("path", "doc_id=([^/]*)/", 1).cast("long").alias("doc_id"), "page_no").agg(F.count("text").alias("fragments"))
+    rows = filesource.scan_files(spark, names, files_per_task=2).where("page_no >= 3 and page_no <= 5")
+    return rows.groupBy(F.regexp_extract("path", "folder=([^/]*)/", 1).cast("long").alias("folder"), "page_no").agg(F.count("text").alias("fragments"))
 
 
 # Listings
@@ -270,6 +270,53 @@ def q_profiles(spark, sf_dir):
     return library.profiles(p).limit(500).select("id", F.expr("row_number() over (order by updated_at desc, id)").cast("long").alias("place"))
 
 
+# A library in versions, and books
+
+
+@query("""
+WITH s AS (SELECT conv_id AS id, count(*) AS n, (2 * sum(length(role) + 16 + length(text) + 8))::BIGINT AS chapters_size FROM conversations GROUP BY 1),
+c AS (SELECT count(*) * 2 // 3 AS cap, count(*) FILTER (id % 2 = 1) AS odd FROM s),
+r AS (SELECT *, row_number() OVER (PARTITION BY id % 2 ORDER BY id DESC) AS newest FROM s)
+SELECT id, n AS size, chapters_size, n AS stored FROM r, c WHERE newest <= CASE WHEN id % 2 = 1 THEN cap ELSE cap - odd END""")
+def q_library_versions(spark, sf_dir):
+    """Conversations put into a library in two versions, even ones first, of which two thirds of all may stay: the oldest even ones
+    make room for the odd ones."""
+    c = read(spark, sf_dir, "conversations")
+    chapter = F.struct("turn", F.col("role").alias("title"), F.array(F.struct("text")).alias("blocks"))
+    made = c.groupBy(F.col("conv_id").alias("id")).agg(F.array_sort(F.collect_list(chapter)).alias("c"), F.count("*").alias("size"))
+    records = made.select("id", (F.col("id") * 10).alias("created_at"), "size", F.transform("c", lambda x: F.struct(x["title"], x["blocks"])).alias("chapters"))
+    cap = records.count() * 2 // 3
+    lib = versions.Library(spark, scratch(spark))
+    lib.put(records.where("id % 2 = 0"), cap)
+    lib.put(records.where("id % 2 = 1"), cap)
+    outputs, texts = lib.read()
+    return outputs.join(texts.select("id", F.size("chapters").cast("long").alias("stored")), "id", "left").select("id", "size", "chapters_size", "stored")
+
+
+@query("""
+WITH l AS (SELECT source, doc_id, k, string_split(t, ' ') AS ws FROM (SELECT source, doc_id, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS k, trim(regexp_replace(lower(unnest(string_split(text, chr(10)))), '[^a-z]+', ' ', 'g'), ' ') AS t FROM documents) WHERE t <> ''),
+w AS (SELECT source, doc_id, k, i, ws[i] AS w, k % 3 = 0 AND length(ws[i]) >= 8 AS brk FROM (SELECT *, unnest(range(1, len(ws) + 1)) AS i FROM l)),
+v AS (SELECT source, w FROM w WHERE NOT brk UNION SELECT source, left(w, 4) FROM w WHERE brk UNION SELECT source, substr(w, 5) FROM w WHERE brk),
+b AS (SELECT DISTINCT source, w FROM w WHERE brk),
+a AS (SELECT source, w, w AS base FROM b
+  UNION ALL SELECT source, w, left(w, length(w) - length(x)) FROM b, (SELECT unnest(['ness', 'tion', 'ing', 'ize', 'ly', 'ed', 'es', 's']) AS x) WHERE length(w) > length(x) + 2 AND ends_with(w, x)
+  UNION ALL SELECT source, w, left(w, length(w) - length(x)) || 'e' FROM b, (SELECT unnest(['ing', 'ed']) AS x) WHERE length(w) > length(x) + 2 AND ends_with(w, x)
+  UNION ALL SELECT source, w, substr(w, length(x) + 1) FROM b, (SELECT unnest(['dis', 're', 'un', 'in']) AS x) WHERE length(w) > length(x) + 2 AND starts_with(w, x)),
+j AS (SELECT DISTINCT a.source, a.w FROM a JOIN v ON v.source = a.source AND v.w = a.base),
+o AS (SELECT doc_id, k, string_agg(CASE WHEN brk AND j.w IS NULL THEN left(w.w, 4) || '-' || substr(w.w, 5) ELSE w.w END, ' ' ORDER BY i) AS t FROM w LEFT JOIN j ON brk AND j.source = w.source AND j.w = w.w GROUP BY 1, 2)
+SELECT doc_id, count(*) AS blocks, md5(string_agg(t, chr(10) ORDER BY k)) AS h FROM o GROUP BY doc_id""")
+def q_dehyphenate_books(spark, sf_dir):
+    """Sources as books and documents as their chapters, in letters; in each third line all long words are broken: joined again if
+    the book has them or a base of them elsewhere, else with their hyphen."""
+    t = F.trim(F.regexp_replace(F.lower("text"), "[^a-z]+", " "))
+    lines = read(spark, sf_dir, "documents").select("source", "doc_id", F.posexplode(F.split("text", "\n", -1)).alias("k", "text")).select("source", "doc_id", "k", t.alias("t")).where("t <> ''")
+    broken = F.when(F.col("k") % 3 == 0, F.regexp_replace("t", r"\b([a-z]{4})([a-z]{4,})\b", "$1- $2")).otherwise(F.col("t"))
+    block = F.struct("k", F.struct(F.lit("p").alias("type"), broken.alias("text")).alias("b"))
+    books = lines.groupBy(F.col("source").alias("book_id"), F.col("doc_id").alias("chapter_no")).agg(F.transform(F.array_sort(F.collect_list(block)), lambda x: x["b"]).alias("blocks"))
+    made = vocabulary.dehyphenate_chapters(books)
+    return made.select(F.col("chapter_no").alias("doc_id"), F.size("blocks").cast("long").alias("blocks"), F.md5(F.array_join(F.transform("blocks", lambda b: b["text"]), "\n")).alias("h"))
+
+
 # Streams
 
 
