@@ -21,6 +21,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, InputPartition, LessThan, LessThanOrEqual, WriterCommitMessage
 
+from folio.runtime import deal_unions_again
+
 SCAN = "position int, path string, name string, pages int, error string, page_no int, ord int, text string, x double, y double, height double"
 ENTRIES = "book_id string, ord long, path string, content binary, stored boolean"
 COMMITTED = "_committed"
@@ -195,6 +197,7 @@ class PackageWriter(DataSourceWriter):
 
 def write_packages(entries: DataFrame, path: str, mode: str = "append") -> None:
     """Writes entries(book_id, ord, path, content, stored) as packages, a file a book; see PackageFiles."""
+    deal_unions_again(entries.sparkSession)
     entries.sparkSession.dataSource.register(PackageFiles)
     rows = entries.select(F.col("book_id").cast("string").alias("book_id"), F.col("ord").cast("long").alias("ord"), "path", "content", "stored")
     rows.repartition("book_id").sortWithinPartitions("book_id", "ord").write.format("folio_packages").mode(mode).option("path", path).save()

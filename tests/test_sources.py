@@ -38,6 +38,16 @@ def test_rewriting_keeps_what_it_does_not_change(spark):
     assert made.startswith('<!DOCTYPE package>\n<package version="3.0">') and "A&nbsp;B" in made and "<dc:language>de</dc:language>" in made and '<manifest>\t\t<item id="rarity-css"' in made
 
 
+def test_entries_of_a_book_are_dealt_again_behind_a_union(spark):
+    # Both tables are dealt by book_id, but adaptive execution may coalesce their partitions differently
+    spark.conf.unset("spark.sql.unionOutputPartitioning")
+    c = spark.range(40).select((F.col("id") % 10).alias("book_id"), F.col("id").alias("ord"), F.col("id").cast("string").alias("path"), F.lit(b"x").alias("content"), F.lit(False).alias("stored"))
+    first = c.groupBy("book_id").agg(F.lit(-1).cast("long").alias("ord"), F.lit("mimetype").alias("path"), F.lit(b"m").alias("content"), F.lit(True).alias("stored"))
+    made = packages.zip_books(first.unionByName(c.repartition("book_id")))
+    assert "REPARTITION_BY_COL" in made._jdf.queryExecution().executedPlan().toString().split("Union")[0]
+    assert sorted(len(zipfile.ZipFile(io.BytesIO(r["package"])).namelist()) for r in made.collect()) == [5] * 10
+
+
 def test_navigation_points():
     point = '<navPoint><navLabel><text> A&nbsp;<![CDATA[x]]> </text></navLabel><content src="a.html"/><navPoint><navLabel><text/></navLabel><content src=""/></navPoint></navPoint>'
     found = packages.nav_points(f"<ncx><docTitle><text>T</text></docTitle><navMap>{point}</navMap></ncx>")
