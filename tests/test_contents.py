@@ -1,8 +1,10 @@
 """Chapters, blocks and marks in whole, on small inputs."""
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from folio.plans import registry
 from folio.runtime import ship
 from folio.sources import chapters
 
@@ -33,3 +35,12 @@ def test_a_render_makes_each_form_where_it_is_asked_for(spark):
         "<p>10% plain</p>", "<blockquote><p>x</p></blockquote>", '<ul class="stat-block"><li>one</li></ul>', "<p>y</p>",
         '<div class="stat-sheet"><div class="stat-line">[a][b]</div><ul class="stat-block"><li>[c] 5%</li></ul></div>', '<hr class="scene-break" />', "<h2>z</h2>",
     ]
+
+
+def test_numbers_and_repeated_lines_of_texts_are_no_heads(spark, tmp_path):
+    texts = ["a b c d e f g h 4880761348116108", " ".join(["the"] * 960 + ["end."]), "Of " * 500 + "it 7"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = registry.QUERIES["q_chapter_blocks"](spark, str(tmp_path)).select("doc_id", "block_no", "text", "type").collect()
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    assert sorted(map(tuple, got)) == sorted(db.execute(registry.ORACLE_SQL["q_chapter_blocks"]).fetchall())
