@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from folio.functions import text
 from folio.operators import islands, library, palette, policy, queue
 from folio.plans.registry import query, read
+from folio.runtime import spread
 from folio.sources import feeds, files, packages
 
 # Files
@@ -118,7 +119,7 @@ def q_ordered_results(spark, sf_dir):
 SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN p_name || '.epub' WHEN p_partkey % 3 = 1 THEN rtrim(left(repeat(p_name || 'x', 30), 120 - length(' (1-' || p_size || ')'))) || ' (1-' || p_size || ').epub'
   ELSE 'untitled (' || p_size || '-' || p_size || ').epub' END AS file, (p_size * 7 // 60) || ':' || lpad((p_size * 7 % 60)::VARCHAR, 2, '0') AS wait FROM part""")
 def q_book_filename(spark, sf_dir):
-    p, k, size = read(spark, sf_dir, "part"), F.col("p_partkey") % 3, F.col("p_size")
+    p, k, size = spread(read(spark, sf_dir, "part").select("p_partkey", "p_name", "p_size")), F.col("p_partkey") % 3, F.col("p_size")
     title = F.when(k == 1, F.repeat(F.concat("p_name", F.lit("x")), F.lit(30))).when(k == 0, F.col("p_name")).otherwise(" ..")
     name = queue.book_filename(title, F.when(k == 1, 1).when(k == 2, size), size)
     return p.select("p_partkey", name.alias("file"), queue.wait_text(size * 7000 - 999).alias("wait"))
@@ -360,7 +361,7 @@ def q_slowdown(spark, sf_dir):
 
 def _configs(spark, sf_dir):
     """A rule set of each part: one rarity, one keyword with a glow, percentages, a panel that tries to break out."""
-    p = read(spark, sf_dir, "part")
+    p = spread(read(spark, sf_dir, "part").select("p_partkey"))
     color = F.concat(F.lit("#"), F.lower(F.lpad(F.hex((F.col("p_partkey") * 7919) % 16777216), 6, "0")))
     style = lambda glow, bold: F.struct(color.alias("color"), F.lit(glow).alias("glow"), bold.alias("bold"))
     group = lambda key, s: F.array(F.struct(F.lit(key).alias("key"), F.lit("L").alias("label"), F.array(F.lit(" W ")).alias("words"), s.alias("style")))

@@ -76,6 +76,12 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df, whose rows are small but dear to work on, as a table in the shared folder of two files a core: Spark reads a table of one
+    file or row group in one task. It is written since filters are pushed through an exchange, with all that they compute."""
+    return written(df.repartition(2 * df.sparkSession.sparkContext.defaultParallelism))
+
+
 def shipped(query):
     """query(spark, sf_dir) that ships the package first, and whose unions are dealt again."""
 
