@@ -9,6 +9,7 @@ import shutil
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
 from functools import wraps
 from pathlib import Path
 
@@ -76,6 +77,21 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def slices(batch, column: str, most: int = 1 << 20) -> Iterator:
+    """An Arrow batch in parts of about `most` bytes of a column, a row at least: what Python makes of a batch of many long
+    texts is many times as large as they are."""
+    import pyarrow.compute as pc
+
+    first = size = 0
+    for at, n in enumerate(pc.binary_length(batch.column(column)).fill_null(0).to_pylist()):
+        if at > first and size + n > most:
+            yield batch.slice(first, at - first)
+            first, size = at, 0
+        size += n
+    if first < batch.num_rows:
+        yield batch.slice(first)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """df, whose rows are small but dear to work on, as a table in the shared folder of two files a core: Spark reads a table of one
     file or row group in one task. It is written since filters are pushed through an exchange, with all that they compute."""

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from folio.plans import registry
-from folio.runtime import ship
+from folio.runtime import ship, slices
 from folio.sources import chapters
 
 
@@ -44,3 +44,11 @@ def test_numbers_and_repeated_lines_of_texts_are_no_heads(spark, tmp_path):
     db = duckdb.connect()
     db.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
     assert sorted(map(tuple, got)) == sorted(db.execute(registry.ORACLE_SQL["q_chapter_blocks"]).fetchall())
+
+
+def test_long_texts_of_a_batch_are_taken_in_parts():
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_pydict({"t": ["a" * 60, None, "b" * 60, "c" * 300, "", "é"], "n": list(range(6))})
+    assert [p.column("n").to_pylist() for p in slices(batch, "t", 100)] == [[0, 1], [2], [3], [4, 5]]
+    assert list(slices(batch.slice(0, 0), "t")) == []
