@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folio.operators.folds import ordered_fold
+from folio.runtime import slices
 
 #: Bytes of phrases that one automaton takes; more are several automata over the same texts.
 MOST_BYTES = 32 << 20
@@ -106,7 +107,7 @@ def _matcher(held, id_: str, text: str, choose: bool):
         import pyarrow as pa
 
         made = Phrases((p, (p, c)) for p, c in held.value)
-        for batch in batches:
+        for batch in (part for b in batches for part in slices(b, text)):
             rows, at = [], []
             for i, t in enumerate(batch.column(text).to_pylist()):
                 for start, end, (phrase, cls) in (made.chosen if choose else made.matches)(t or ""):
