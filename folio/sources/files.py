@@ -5,6 +5,8 @@ A parser turns a file's bytes into pages, each a list of (text, x, y, height). W
 
 from __future__ import annotations
 
+import codecs
+import itertools
 import re
 from collections.abc import Callable, Iterator
 
@@ -28,6 +30,41 @@ def text_pages(content: bytes) -> list[list[tuple[str, float, float, float]]]:
     return [[(line, 0.0, -12.0 * i, 10.0) for i, line in enumerate(p.split("\n")) if line.strip()] for p in pages]
 
 
+def text_stream(pieces: Callable[[], Iterator[bytes]]) -> tuple[int, Iterator[tuple[int, int, tuple]]]:
+    """text_pages of a file that pieces() reads from its start: the number of pages, and (page_no from 1, ord, fragment). It is
+    read once to check and count, and again for its fragments, so memory holds a piece and a line, however large a page is."""
+    decoder, pages, at, null, wrong = codecs.getincrementaldecoder("utf-8"), 1, 0, False, None
+    one = decoder()
+    for piece, last in itertools.chain(((p, False) for p in pieces()), [(b"", True)]):
+        null |= b"\x00" in piece
+        pages += piece.count(b"\f")
+        before = at - len(one.getstate()[0])
+        try:
+            if wrong is None:
+                one.decode(piece, last)
+        except UnicodeDecodeError as e:
+            a, b = before + e.start, before + e.end - 1
+            wrong = "'utf-8' codec can't decode " + (f"byte 0x{e.object[e.start]:02x} in position {a}" if a == b else f"bytes in position {a}-{b}") + f": {e.reason}"
+        at += len(piece)
+    if null or wrong:
+        raise ValueError("not a text file" if null else wrong)
+
+    def found() -> Iterator[tuple[int, int, tuple]]:
+        two, rest, page, i, k = decoder(), "", 1, 0, 0
+        for piece in itertools.chain(pieces(), [b"\n"]):
+            *parts, rest = re.split("([\n\f])", rest + two.decode(piece))
+            for line, end in zip(parts[::2], parts[1::2], strict=True):
+                if line.strip():
+                    yield page, k, (line, 0.0, -12.0 * i, 10.0)
+                    k += 1
+                page, i, k = (page + 1, 0, 0) if end == "\f" else (page, i + 1, k)
+
+    return pages, found()
+
+
+text_pages.stream = text_stream  # how the file source reads what need not be held as a whole
+
+
 def read_files(spark: SparkSession, paths: list[str]) -> DataFrame:
     """position, path, name, content of files, in the order of the paths given, each known by its whole path. A file that
     isn't there has no content. A path given twice is two files."""

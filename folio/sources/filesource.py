@@ -26,6 +26,8 @@ from folio.runtime import deal_unions_again
 SCAN = "position int, path string, name string, pages int, error string, page_no int, ord int, text string, x double, y double, height double"
 ENTRIES = "book_id string, ord long, path string, content binary, stored boolean"
 COMMITTED = "_committed"
+#: Bytes that are read from a file at once.
+PIECE = 1 << 20
 
 
 def reached(path: str):
@@ -43,7 +45,7 @@ class Files(InputPartition):
 
 class FileScan(DataSource):
     """Rows of SCAN. Options: paths, a JSON list, in whose order files have their position; parser, `module:function` from
-    bytes to pages of (text, x, y, height); filesPerTask, 1 unless files are small.
+    bytes to pages of (text, x, y, height), with an attribute `stream` if it can do without the whole file; filesPerTask, 1 unless files are small.
 
     Each file is known by its whole path. It gives a row for each fragment of the pages asked for; a file without any there,
     and one that is missing or that the parser refuses, gives one row without a page. Conditions on page_no are pushed down:
@@ -94,19 +96,31 @@ class FileReader(DataSourceReader):
             name = path.rsplit("/", 1)[-1]
             try:
                 fs, at = reached(path)
-                with fs.open_input_stream(at) as f:
-                    pages = [list(p) for p in parse(f.read())]
-                error, n = None, len(pages)
+
+                def pieces(fs=fs, at=at) -> Iterator[bytes]:
+                    with fs.open_input_stream(at) as f:
+                        while piece := f.read(PIECE):
+                            yield piece
+
+                if stream := getattr(parse, "stream", None):
+                    n, found = stream(pieces)
+                else:
+                    pages = [list(p) for p in parse(b"".join(pieces()))]
+                    n, found = len(pages), ((i, k, x) for i, p in enumerate(pages, 1) for k, x in enumerate(p))
+                error = None
             except FileNotFoundError:
-                pages, error, n = [], "file not found", None
+                n, found, error = None, (), "file not found"
             except Exception as e:  # noqa: BLE001  whatever a parser raises is that file's error
-                pages, error, n = [], str(e) or type(e).__name__, None
-            chosen = [(i, p) for i, p in enumerate(pages, 1) if i >= self.first and (self.last is None or i <= self.last) and p]
-            if not chosen and not self.pushed:
-                yield (position, path, name, n, error, *[None] * 6)
-            for i, p in chosen:
-                for k, (text, x, y, height) in enumerate(p):
+                n, found, error = None, (), str(e) or type(e).__name__
+            some = False
+            for i, k, (text, x, y, height) in found:
+                if self.last is not None and i > self.last:
+                    break
+                if i >= self.first:
+                    some = True
                     yield (position, path, name, n, error, i, k, text, x, y, height)
+            if not some and not self.pushed:
+                yield (position, path, name, n, error, *[None] * 6)
 
 
 def scan_files(spark: SparkSession, paths: list[str], parser: str = "folio.sources.files:text_pages", files_per_task: int = 1) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from folio.plans import registry
 from folio.runtime import ship, slices
-from folio.sources import chapters
+from folio.sources import chapters, files
 
 
 @pytest.fixture(autouse=True, scope="module")
@@ -52,3 +52,17 @@ def test_long_texts_of_a_batch_are_taken_in_parts():
     batch = pa.RecordBatch.from_pydict({"t": ["a" * 60, None, "b" * 60, "c" * 300, "", "é"], "n": list(range(6))})
     assert [p.column("n").to_pylist() for p in slices(batch, "t", 100)] == [[0, 1], [2], [3], [4, 5]]
     assert list(slices(batch.slice(0, 0), "t")) == []
+
+
+def test_a_text_file_is_read_in_pieces_as_it_is_in_whole():
+    for content in (b"", b"\f", "é\n \x1c\nb\f\fc\r\nlast".encode(), b"a\nb\n", b"a\xffb\x80", "é".encode()[:1], b"x\xe2\x28\xa1", b"\xff\x00"):
+        for n in (1, 2, 3, 100):
+            try:
+                pages, want = files.text_pages(content), None
+            except ValueError as e:
+                pages, want = [], str(e)
+            try:
+                count, found = files.text_stream(lambda: (content[i : i + n] for i in range(0, len(content), n)))
+                assert (count, list(found), want) == (len(pages), [(i, k, f) for i, p in enumerate(pages, 1) for k, f in enumerate(p)], None)
+            except ValueError as e:
+                assert str(e) == want
