@@ -91,6 +91,19 @@ def chunks(docs: DataFrame, divisor: int = DIVISOR, long_words: int = LONG_WORDS
     return rows.mapInArrow(run, f"_row long, of long, doc_id {rows.schema['doc_id'].dataType.simpleString()}, first_line int, n_lines int, removable boolean, chunk string")
 
 
+def chunk_hashes(docs: DataFrame, divisor: int = DIVISOR, long_words: int = LONG_WORDS) -> DataFrame:
+    """h, what xxhash64 gives in Spark, of each removable chunk of docs(doc_id, text), without the chunks themselves."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
+        for batch in batches:
+            found = [xxhash.xxh64_intdigest(c, 42) for x in text_bytes(batch.column("text")) for _, n, w, c in split_chunks(x, divisor, long_words) if w > 0 and (n > 1 or w >= long_words)]
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.uint64()).view(pa.int64())], names=["h"])
+
+    return docs.select("text").mapInArrow(run, "h long")
+
+
 def short_runs(text: bytes, long_words: int = LONG_WORDS) -> list[tuple[int, int, bytes]]:
     """(first line, lines, digest) of the shortest runs of two lines or more that have long_words words, forward from each
     line with a word and back from each. Runs of one line are chunks."""
@@ -125,29 +138,33 @@ def repeated_runs(docs: DataFrame, long_words: int = LONG_WORDS) -> DataFrame:
                 first, lines = (pa.array([c[i] for c in flat], pa.int32()) for i in (0, 1))
                 yield pa.RecordBatch.from_arrays([batch.column("_row").take(parent), batch.column("doc_id").take(parent), of.take(parent), first, lines, pa.array([c[2] for c in flat], pa.binary())], names=["_row", "doc_id", "of", "first_line", "n_lines", "digest"])
 
-    spans = docs.mapInArrow(run, f"_row long, doc_id {docs.schema['doc_id'].dataType.simpleString()}, of long, first_line int, n_lines int, digest binary")
-    place = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("d"), F.col("_row").alias("r"), F.col("first_line").alias("l"))
+    spans = docs.mapInArrow(run, f"_row long, doc_id {docs.schema['doc_id'].dataType.simpleString()}, of long, first_line int, n_lines int, digest binary").where("_row is not null and digest is not null").repartition("digest")
+    # Both sides use all columns and have the filters that joins add, so that they are one exchange and texts are read once
+    place = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("d"), F.col("_row").alias("r"), F.col("first_line").alias("l"), F.col("n_lines").alias("k"), F.col("of").alias("o"))
     firsts = spans.groupBy("digest").agg(F.min(place).alias("a"), F.count("*").alias("m")).where("m > 1").drop("m")
-    overlaps = (F.col("a.r") == F.col("_row")) & (F.col("first_line") < F.col("a.l") + F.col("n_lines"))
+    overlaps = (F.col("a.r") == F.col("_row")) & F.col("a.d").eqNullSafe(F.col("doc_id")) & (F.col("first_line") < F.col("a.l") + F.col("n_lines"))
     return spans.join(firsts, "digest").where(~overlaps).groupBy("_row").agg(F.first("of").alias("of"), F.sort_array(F.collect_list(F.struct("first_line", "n_lines"))).alias("runs"))
 
 
-def _without(lines: int, chunks: list[dict], runs: list[dict]) -> tuple[list[tuple[int, int]], str]:
-    """Removed spans of lines, as long as can be, and the text that is left of chunks."""
-    gone = np.zeros(lines + 1, np.int32)  # +1 where a removed run begins, -1 behind it
-    for x in [*runs, *(c for c in chunks if not c["kept"])]:
-        gone[x["first_line"]] += 1
-        gone[x["first_line"] + x["n_lines"]] -= 1
-    gone = np.cumsum(gone) > 0
-    edges = np.flatnonzero(np.diff(np.concatenate([[False], gone])))
+def _without(first: np.ndarray, lines: np.ndarray, kept: np.ndarray, texts: list[str | None], runs: list[dict]) -> tuple[list[tuple[int, int]], str]:
+    """Removed spans of lines, as long as can be, and the text that is left of the chunks of a row."""
+    ends = first + lines
+    edge = np.zeros(int(ends[-1]) + 1, np.int32)  # +1 where something removed begins, -1 behind it
+    edge[first[~kept]] += 1
+    np.subtract.at(edge, ends[~kept], 1)
+    for x in runs:
+        edge[x["first_line"]] += 1
+        edge[x["first_line"] + x["n_lines"]] -= 1
+    gone = np.cumsum(edge) > 0
+    edges = np.flatnonzero(np.diff(gone, prepend=False))
+    before = np.concatenate([[0], np.cumsum(gone)])
+    own = before[ends] - before[first]
     left = []
-    for c in chunks:
-        if c["kept"]:
-            own = gone[c["first_line"] : c["first_line"] + c["n_lines"]]
-            if not own.any():
-                left.append(c["chunk"])
-            elif not own.all():
-                left.append("\n".join(x for x, g in zip(c["chunk"].split("\n"), own) if not g))
+    for i in np.flatnonzero(kept & (own < lines)).tolist():
+        if own[i]:
+            left.append("\n".join(x for x, g in zip(texts[i].split("\n"), gone[first[i] : ends[i]]) if not g))
+        else:
+            left.append(texts[i])
     return list(zip(edges[::2].tolist(), (edges[1::2] - 1).tolist())), "\n".join(left)
 
 
@@ -155,7 +172,7 @@ def _pieces(docs: DataFrame, divisor: int, long_words: int, hot: int) -> DataFra
     """_row, of, doc_id and p, the chunks in their order (first_line, n_lines, kept, chunk if kept), for every row."""
     parts = chunks(docs, divisor, long_words)
     h = F.xxhash64("chunk")
-    often = parts.where("removable").select(h.alias("h")).groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") > hot)
+    often = chunk_hashes(docs, divisor, long_words).groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") > hot)
     hashes = [r["h"] for r in often.orderBy(F.desc("n"), "h").limit(MAX_HOT).collect()]
     is_hot = F.col("removable") & h.isin(hashes) if hashes else F.lit(False)
     place = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("d"), F.col("first_line").alias("l"))
@@ -192,23 +209,33 @@ def dedup_runs(docs: DataFrame, divisor: int = DIVISOR, long_words: int = LONG_W
     found = repeated_runs(numbered(docs), long_words).withColumnRenamed("of", "seen")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        span = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())]))
+        import pyarrow.compute as pc
+
+        kind = pa.struct([("first", pa.int32()), ("last", pa.int32())])
         for all_rows in batches:
             for at in range(0, all_rows.num_rows, 100):
                 batch = all_rows.slice(at, 100)
-                n_lines, n_chunks, removed_lines, removed, texts = [], [], [], [], []
-                for row in batch.select(["of", "seen", "p", "runs"]).to_pylist():
-                    if row["seen"] not in (None, row["of"]):
-                        raise RuntimeError("The table's rows came in another order when they were read again")
-                    n = sum(c["n_lines"] for c in row["p"])
-                    spans, left = _without(n, row["p"], row["runs"] or [])
-                    n_lines.append(n)
-                    n_chunks.append(len(row["p"]))
-                    removed_lines.append(sum(b - a + 1 for a, b in spans))
-                    removed.append([{"first": a, "last": b} for a, b in spans])
+                of, seen = batch.column("of"), batch.column("seen")
+                if pc.any(pc.not_equal(of, seen)).as_py():
+                    raise RuntimeError("The table's rows came in another order when they were read again")
+                p = batch.column("p")
+                bounds, flat = p.offsets.to_numpy() - p.offsets[0].as_py(), p.flatten()
+                first, lines, kept = (flat.field(c).to_numpy(zero_copy_only=False) for c in ("first_line", "n_lines", "kept"))
+                total = np.concatenate([[0], np.cumsum(lines)])[bounds]
+                lost = np.concatenate([[0], np.cumsum(~kept)])[bounds]
+                # Rows that lose nothing are joined as they are; a chunk that is not kept is null, and so is its row
+                whole_texts = pc.binary_join(pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), flat.field("chunk")), "\n")
+                hit = (np.diff(lost) > 0) | batch.column("runs").is_valid().to_numpy(zero_copy_only=False)
+                removed_lines, counts, removed, texts = np.zeros(len(hit), np.int32), np.zeros(len(hit) + 1, np.int32), [], []
+                for i in np.flatnonzero(hit).tolist():
+                    a, b = int(bounds[i]), int(bounds[i + 1])
+                    spans, left = _without(first[a:b], lines[a:b], kept[a:b], flat.field("chunk").slice(a, b - a).to_pylist(), batch.column("runs")[i].as_py() or [])
+                    removed_lines[i], counts[i + 1] = sum(y - x + 1 for x, y in spans), len(spans)
+                    removed += spans
                     texts.append(left)
-                counts = [pa.array(x, pa.int32()) for x in (n_lines, n_chunks, removed_lines)]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *counts, pa.array(removed, span), pa.array(texts, pa.string())], names=["doc_id", "n_lines", "n_chunks", "removed_lines", "removed", "text"])
+                spans = pa.StructArray.from_arrays([pa.array([x[k] for x in removed], pa.int32()) for k in (0, 1)], fields=list(kind))
+                columns = [pa.array(np.diff(total).astype(np.int32)), pa.array(np.diff(bounds).astype(np.int32)), pa.array(removed_lines), pa.ListArray.from_arrays(pa.array(np.cumsum(counts, dtype=np.int32)), spans)]
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns, pc.replace_with_mask(whole_texts, pa.array(hit), pa.array(texts, pa.string()))], names=["doc_id", "n_lines", "n_chunks", "removed_lines", "removed", "text"])
 
     kind = whole.schema["doc_id"].dataType.simpleString()
     joined = whole.join(found, "_row", "left").select("doc_id", "of", "seen", "p", "runs")

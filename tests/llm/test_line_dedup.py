@@ -110,3 +110,19 @@ def test_runs_against_brute_force(spark):
     want = brute_runs(rows)
     assert spans_of(df) == {d: want[d] | chunked[d] for d in want}
     assert any(want[d] - chunked[d] for d in want)
+
+
+def test_texts_are_read_once_for_runs(spark):
+    """The runs and their first places are one exchange."""
+    found = line_dedup.dedup_runs(spark.createDataFrame(corpus(), "doc_id long, text string"))
+    found.collect()
+    assert "ReusedExchange" in found._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+
+
+def test_chunk_hashes_are_sparks(spark):
+    from pyspark.sql import functions as F
+
+    df = spark.createDataFrame(corpus(), "doc_id long, text string")
+    want = line_dedup.chunks(df).where("removable").select(F.xxhash64("chunk").alias("h"))
+    got = line_dedup.chunk_hashes(df)
+    assert sorted(r["h"] for r in got.collect()) == sorted(r["h"] for r in want.collect()) != []
