@@ -52,23 +52,29 @@ class Requests(StatefulProcessor):
     def handleInputRows(self, key, rows, timerValues) -> Iterator:
         import pandas as pd
 
-        slow, cooldown = self.run.get() if self.run.exists() else (1.0, 0)
+        new = not self.run.exists()  # a new run has no requests either
+        slow, cooldown = (1.0, 0) if new else self.run.get()
         out = []
-        # Answers of a batch, in their order; each state is read and written where it changes
+        # Answers of a batch, in their order; each call of the state is a message to Spark, so a request's entry is read where it
+        # comes first and written once
+        stored: dict[int, tuple | None] = {}
+        going: dict[int, tuple | None] = {}
         for r in _frames(rows, ["event_id"]).itertuples():
-            request, status = (int(r.request),), None if pd.isna(r.status) else int(r.status)
+            request, status = int(r.request), None if pd.isna(r.status) else int(r.status)
             wait_ms, at = None if pd.isna(r.wait_ms) else int(r.wait_ms), int(r.at)
-            known = self.requests.getValue(request) if self.requests.containsKey(request) else (0, 0, 0, 0)
-            own, wait, outcome = next_request(*known[:3], status, wait_ms)
+            if request not in going:
+                stored[request] = going[request] = None if new or not self.requests.containsKey((request,)) else self.requests.getValue((request,))
+            own, wait, outcome = next_request(*(going[request] or (0, 0, 0))[:3], status, wait_ms)
             tried = outcome == "retry"
             slow, cooldown = next_run(slow, cooldown, at, status, wait if status == 429 else wait_ms, tried and status == 429, tried and status != 429)
-            if tried:
-                until = max(cooldown, at + wait) + self.forgotten_ms
-                self.requests.updateValue(request, (*own, until))
-                self.handle.registerTimer(until)
-            elif known != (0, 0, 0, 0):
-                self.requests.removeKey(request)
+            going[request] = (*own, max(cooldown, at + wait) + self.forgotten_ms) if tried else None
             out.append((int(key[0]), int(r.event_id), slow, cooldown, own[0], own[1], outcome))
+        for request, entry in going.items():
+            if entry:
+                self.requests.updateValue((request,), entry)
+                self.handle.registerTimer(entry[3])
+            elif stored[request]:
+                self.requests.removeKey((request,))
         self.run.update((slow, cooldown))
         yield pd.DataFrame(out, columns=[c.split()[0] for c in ANSWER.split(", ")])
 

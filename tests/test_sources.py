@@ -430,3 +430,29 @@ def test_natural_order_of_many_scripts(spark):
     place = {n: i for i, n in enumerate(got)}
     for a, b in (("", "007"), ("007", "07"), ("07", "7a"), ("a", "A1"), ("é9", "E10"), ("ｚ2", "Z10"), ("Ж 2", "ж 10"), ("א 3", "א 12"), ("日本 2", "日本 10"), ("Z10", "е 1"), ("Ж 2", "א 3")):
         assert place[a] < place[b], (a, b, got)
+
+
+def test_state_of_requests_is_read_and_written_once_a_batch():
+    import pandas as pd
+
+    from folio.streaming.requests import Requests
+
+    class State:
+        def __init__(self):
+            self.kept, self.calls = {}, 0
+
+        def __getattr__(self, name):
+            kept = self.kept
+            self.calls += 1
+            return {"exists": lambda: "v" in kept, "get": lambda: kept["v"], "update": lambda v: kept.update(v=v), "containsKey": lambda k: k in kept, "getValue": lambda k: kept[k], "updateValue": kept.__setitem__, "removeKey": kept.pop}[name]
+
+    timers = []
+    step = Requests(1000)
+    step.run, step.requests, step.handle = State(), State(), type("Handle", (), {"registerTimer": staticmethod(timers.append)})
+    answers = lambda ids, status: pd.DataFrame({"user_id": 1, "event_id": ids, "request": 7, "at": [100 * i for i in ids], "status": status, "wait_ms": 10})
+    (out,) = step.handleInputRows((1,), iter([answers([3, 1, 2], 429)]), None)
+    assert out["event_id"].tolist() == [1, 2, 3] and out["hits"].tolist() == [1, 2, 3] and out["waited"].tolist() == [10, 20, 30]
+    assert step.requests.calls == 1 and len(timers) == 1 and step.requests.kept[(7,)] == (3, 30, 0, timers[0]) and timers[0] == 1310
+    (out,) = step.handleInputRows((1,), iter([answers([4], 429), answers([5], 200)]), None)
+    assert out["hits"].tolist() == [4, 0] and out["outcome"].tolist() == ["retry", "ok"]
+    assert step.requests.kept == {} and step.requests.calls == 4 and len(timers) == 1
