@@ -65,10 +65,14 @@ def _map(entries: dict[str, str]) -> Column:
 
 
 def outside_spans(html: Column, fn) -> Column:
-    """fn applied to the stretches of text between finished spans."""
-    between = F.transform(F.when(html.contains("<span"), F.split(html, SPAN, -1)).otherwise(F.array(html)), fn)
-    spans = F.when(html.contains("<span"), F.regexp_extract_all(html, F.lit(SPAN), F.lit(0))).otherwise(F.array().cast("array<string>"))
-    return F.array_join(F.zip_with(between, spans, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
+    """fn applied to the stretches of text between finished spans. html, which may be dear, is evaluated once."""
+
+    def whole(html: Column) -> Column:
+        between = F.transform(F.when(html.contains("<span"), F.split(html, SPAN, -1)).otherwise(F.array(html)), fn)
+        spans = F.when(html.contains("<span"), F.regexp_extract_all(html, F.lit(SPAN), F.lit(0))).otherwise(F.array().cast("array<string>"))
+        return F.array_join(F.zip_with(between, spans, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
+
+    return js.let(html, whole)
 
 
 def _wrapped(match: Column, cls: Column) -> Column:
@@ -80,8 +84,8 @@ def tag_rarities(html: Column, rules: Rules) -> Column:
         return html
     known = _map(rules.rarity_classes())
     look = lambda m: F.try_element_at(known, F.lower(js.trim(F.substring(m, F.lit(2), F.length(m) - 2))))
-    tagged = outside_spans(html, lambda t: js.rebuild(t, RARITY_TAG, lambda m: _wrapped(m, look(m))))
-    return F.when(html.contains("["), tagged).otherwise(html)
+    tagged = lambda t: js.rebuild(t, RARITY_TAG, lambda m: _wrapped(m, look(m)))
+    return js.let(html, lambda h: F.when(h.contains("["), outside_spans(h, tagged)).otherwise(h))
 
 
 def tag_keywords(html: Column, rules: Rules) -> Column:
@@ -186,7 +190,7 @@ def tag_percents(html: Column, rules: Rules) -> Column:
         once = F.struct(F.regexp_extract_all(t, F.lit(PERCENT), F.lit(0)).alias("found"), F.split(t, PERCENT, -1).alias("between"))
         return F.when(t.contains("%"), js.let(once, coloured)).otherwise(t)
 
-    return F.when(html.contains("%"), outside_spans(html, stretch)).otherwise(html)
+    return js.let(html, lambda h: F.when(h.contains("%"), outside_spans(h, stretch)).otherwise(h))
 
 
 def style_stat(text: Column, rules: Rules) -> Column:

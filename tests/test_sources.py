@@ -432,6 +432,14 @@ def test_natural_order_of_many_scripts(spark):
         assert place[a] < place[b], (a, b, got)
 
 
+def test_texts_to_tag_are_evaluated_once(spark):
+    """However many steps tag a text, what makes it stands once in the plan."""
+    r = rules.Rules(rarities=[("a", ["the"])], keywords=[("k", ["of the"])])
+    df = spark.createDataFrame([("[the] of the 5%",)], "t string").select(rules.tag_percents(rules.tag_keywords(rules.tag_rarities(F.concat("t", F.lit("mark")), r), r), r).alias("h"))
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("mark)") == 1
+    assert df.first()["h"].startswith('<span class="rarity-a">[the]</span> <span class="kw-k">of the</span> <span class="pct"')
+
+
 def test_state_of_requests_is_read_and_written_once_a_batch():
     import pandas as pd
 
