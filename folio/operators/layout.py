@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -63,43 +64,101 @@ def page_lines(glyphs: Iterable[tuple]) -> list[tuple[float, float, str]]:
     return out
 
 
+def _starts(batch) -> np.ndarray:
+    """Rows of a batch, sorted by page, where a page begins; the first is 0."""
+    import pyarrow.compute as pc
+
+    n, differ = batch.num_rows, np.zeros(max(batch.num_rows - 1, 0), bool)
+    for c in batch.columns[:2]:
+        here, before = c.slice(1), c.slice(0, n - 1)
+        differ |= pc.or_(pc.fill_null(pc.not_equal(here, before), False), pc.xor(pc.is_null(here), pc.is_null(before))).to_numpy(zero_copy_only=False)
+    return np.concatenate([[0], np.flatnonzero(differ) + 1])
+
+
+def _spaced_pages(batch, starts: np.ndarray) -> tuple[np.ndarray, list]:
+    """Pages (numbers in `starts`) whose baselines are equal or farther apart than half the tallest fragment, in all of which
+    fragments have a width and a text, and the lines of those: page, y, height, text. There a fragment can join the line of its
+    own baseline alone, so the order of arrival decides nothing, and lines of many pages are made at once."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    words = pc.fill_null(batch.column(2), "")
+    width, height, x, y = (c.to_numpy(zero_copy_only=False) for c in batch.columns[3:])
+    known = (height == height) & (height != 0)
+    own = np.where(known, height, 10.0)
+    sizes = np.diff(np.append(starts, batch.num_rows))
+    page = np.repeat(np.arange(len(starts)), sizes)
+    usual = (width > 0) & np.isfinite(width) & np.isfinite(own) & (own > 0) & np.isfinite(x) & np.isfinite(y) & (pc.binary_length(words).to_numpy() > 0)
+    good = np.logical_and.reduceat(usual, starts)
+    order = np.lexsort((x, -y, page))
+    y, tallest = y[order], np.maximum.reduceat(own, starts)
+    same = page[1:] == page[:-1]
+    step = y[:-1] - y[1:]
+    good[page[1:][same & (step != 0) & ~(step > 0.5 * tallest[page[1:]])]] = False
+    order, y = order[good[page]], y[good[page]]
+    if not len(order):
+        return good, [[], [], [], []]
+    page, x, width, own, known = page[order], x[order], width[order], own[order], known[order]
+    words = words.take(pa.array(order))
+    begins = np.concatenate([[True], (page[1:] != page[:-1]) | (y[1:] != y[:-1])])
+    first = np.flatnonzero(begins)
+    tall = np.maximum.reduceat(own, first)
+    line = np.cumsum(begins) - 1
+    space = np.zeros(len(order), bool)
+    space[1:] = (x[1:] - (x + width)[:-1] > 0.25 * np.where(known, own, tall[line])[1:]) & ~pc.ends_with(words, " ").to_numpy(zero_copy_only=False)[:-1] & ~begins[1:]
+    pieces = pc.binary_join_element_wise(pc.if_else(pa.array(space), " ", ""), words, "")
+    whole = pc.binary_join(pa.ListArray.from_arrays(pa.array(np.append(first, len(order)), pa.int32()), pieces), "")
+    return good, [page[first].tolist(), y[first].tolist(), tall.tolist(), [_SPACES.sub(" ", t).strip() for t in whole.to_pylist()]]
+
+
 def reconstruct_lines(glyphs: DataFrame) -> DataFrame:
     """glyphs(file_id, page_no, glyph_no, str, width, height, transform) -> lines; pages are independent. Glyphs are sorted by
-    page, and pages follow each other through Arrow batches."""
+    page, and pages follow each other through Arrow batches. Pages of well-spaced lines are made many at once, others one by one
+    in the order of arrival."""
     import pyarrow as pa
 
     kinds = [pa.string(), pa.int32(), pa.int32(), pa.float64(), pa.float64(), pa.string()]
     names = ["file_id", "page_no", "line_no", "y", "height", "text"]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, page, out = None, [], []
-
-        def done() -> None:
-            out.extend((*key, i, *line) for i, line in enumerate(page_lines(page)))
-            page.clear()
-
-        def sent() -> pa.RecordBatch:
-            rows = list(zip(*out, strict=True))
-            out.clear()
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(rows, kinds, strict=True)], names=names)
+    def lines(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        batch = held[0] if len(held) == 1 else pa.concat_batches(held)
+        starts = _starts(batch)
+        good, (page, y, height, texts) = _spaced_pages(batch, starts)
+        found, number, last = [], 0, -1
+        for row in zip(page, y, height, texts, strict=True):
+            number, last = (0 if row[0] != last else number), row[0]
+            if row[3]:
+                found.append((row[0], number, *row[1:]))
+                number += 1
+        ends = np.append(starts[1:], batch.num_rows)
+        for p in np.flatnonzero(~good).tolist():
+            glyphs = zip(*(c.slice(starts[p], ends[p] - starts[p]).to_pylist() for c in batch.columns[2:]), strict=True)
+            found += [(p, i, *line) for i, line in enumerate(page_lines(glyphs))]
+        of, *made = list(zip(*found, strict=True)) if found else [[]] * 5
+        of = pa.array(starts[np.array(of, np.int64)])
+        return pa.RecordBatch.from_arrays([*(c.take(of) for c in batch.columns[:2]), *(pa.array(c, k) for c, k in zip(made, kinds[2:], strict=True))], names=names)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []  # of whole pages, and of the last one as far as it has come
         for batch in batches:
-            for file_id, page_no, *glyph in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if key != (file_id, page_no):
-                    if key:
-                        done()
-                    key = (file_id, page_no)
-                page.append(glyph)
-            if len(out) >= 10_000:
-                yield sent()
-        if key:
-            done()
-        if out:
-            yield sent()
+            if not batch.num_rows:
+                continue
+            cut = int(_starts(batch)[-1])
+            if cut:
+                yield lines([*held, batch.slice(0, cut)])
+                held = [batch.slice(cut)]
+            elif held and any(held[-1].column(c)[-1].as_py() != batch.column(c)[0].as_py() for c in (0, 1)):
+                yield lines(held)
+                held = [batch]
+            else:
+                held.append(batch)
+        if held:
+            yield lines(held)
 
     kept = glyphs.where("str is not null")
-    placed = kept.repartition("file_id", "page_no").sortWithinPartitions("file_id", "page_no", "glyph_no")
-    return placed.select(F.col("file_id").cast("string"), F.col("page_no").cast("int"), "str", F.col("width").cast("double"), F.col("height").cast("double"), F.get("transform", F.lit(4)).cast("double"), F.get("transform", F.lit(5)).cast("double")).mapInArrow(run, LINES)
+    rows = kept.select(F.col("file_id").cast("string").alias("file_id"), F.col("page_no").cast("int").alias("page_no"), "glyph_no", "str", F.col("width").cast("double").alias("width"), F.col("height").cast("double").alias("height"), F.get("transform", F.lit(4)).cast("double").alias("x"), F.get("transform", F.lit(5)).cast("double").alias("y"))
+    placed = rows.repartition("file_id", "page_no").sortWithinPartitions("file_id", "page_no", "glyph_no")
+    return placed.drop("glyph_no").mapInArrow(run, LINES)
 
 
 def edge_lines(lines: DataFrame, book: str = "book_id", page: str = "page_no", line: str = "line_no") -> DataFrame:
