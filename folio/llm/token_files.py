@@ -17,21 +17,26 @@ from __future__ import annotations
 import re
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from folio.llm import range_codec
-from folio.llm.bpe import LEAVES
 from folio.llm.common import released, shared_dir, table
 
 MAGIC = b"FOLIOID1"
-SEGMENT_IDS = 1 << 20
+SEGMENT_IDS = 1 << 21
 END_ID = 2
-CACHED = 300_000
+#: Places in the table of leaves met before, and leaves looked up at once
+SLOT_BITS = 22
+SLOTS = 1 << SLOT_BITS
+LEAVES = 500_000
+LOW_BYTES = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 _NULL = -(1 << 63)
 
 
@@ -62,32 +67,199 @@ def unpack(segment: bytes) -> tuple[list[int | None], np.ndarray, list[tuple[int
     return [None if d == _NULL else int(d) for d in ids], lengths, blocks, sums
 
 
+def _classes() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Classes of bytes, pairs of classes between which the splitting pattern cuts, and last two bytes (big-endian) of
+    characters outside ASCII that are, or may be, white space."""
+    kind = np.zeros(256, np.uint8)  # bytes that say nothing by themselves
+    kind[list(b"\t\n\x0b\x0c\r ")] = SPACES
+    kind[[*range(65, 91), *range(97, 123)]] = LETTERS
+    kind[48:58] = DIGITS
+    kind[[b for b in range(33, 127) if not chr(b).isalnum() and b != 39]] = SIGNS
+    kind[39] = APOSTROPHE
+    kind[128:] = WIDE
+    cut = np.zeros((7, 7), bool)
+    cut[LETTERS:, SPACES] = True
+    cut[LETTERS, [DIGITS, SIGNS, APOSTROPHE]] = cut[DIGITS, [LETTERS, SIGNS, APOSTROPHE]] = cut[SIGNS, [LETTERS, DIGITS]] = True
+    wide = np.zeros(1 << 16, bool)
+    wide[[0xC285, 0xC2A0, 0x9A80, *range(0x8080, 0x808B), 0x80A8, 0x80A9, 0x80AF, 0x819F]] = True
+    return kind, cut.ravel(), wide
+
+
+SPACES, LETTERS, DIGITS, SIGNS, APOSTROPHE, WIDE = range(1, 7)
+KIND, CUT, WIDE_SPACE = _classes()
+#: What the pattern takes as one piece: a run of one kind and at most one space before it
+PIECE = re.compile(rb" ?(?:[A-Za-z]+|[0-9]+|[!-&(-/:-@\[-`{-~]+)").fullmatch
+WORD = re.compile(" ?[^\\W\\d_]+").fullmatch
+
+
+class Known:
+    """Ids of leaves of at most 15 bytes, found by their bytes and length as two numbers: a table of open addresses with
+    SLOTS places, at most half of them taken."""
+
+    def __init__(self) -> None:
+        self.one, self.two = np.zeros(SLOTS, np.uint64), np.zeros(SLOTS, np.uint64)
+        self.place = np.full(SLOTS, -1, np.int32)
+        self.count = 0
+        self.ids, self.starts = np.zeros(1 << 20, np.uint16), np.zeros(SLOTS // 2 + 1, np.int32)
+
+    @staticmethod
+    def slots(one: np.ndarray, two: np.ndarray) -> np.ndarray:
+        h = (one ^ (two * np.uint64(0x9E3779B97F4A7C15))) * np.uint64(0xBF58476D1CE4E5B9)
+        return ((h ^ (h >> np.uint64(31))) * np.uint64(0x94D049BB133111EB) >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+
+    def find(self, one: np.ndarray, two: np.ndarray) -> np.ndarray:
+        """Places of keys, or -1."""
+        slot = self.slots(one, two)
+        found = self.place.take(slot, mode="wrap")
+        left = np.flatnonzero((found >= 0) & ((self.one.take(slot, mode="wrap") != one) | (self.two.take(slot, mode="wrap") != two)))
+        slot, one, two = slot[left], one[left], two[left]
+        while len(left):
+            slot = (slot + 1) & (SLOTS - 1)
+            found[left] = place = self.place[slot]
+            on = np.flatnonzero((place >= 0) & ((self.one[slot] != one) | (self.two[slot] != two)))
+            left, slot, one, two = left[on], slot[on], one[on], two[on]
+        return found
+
+    def add(self, one: np.ndarray, two: np.ndarray, ids: list[bytes]) -> None:
+        """Keys that differ and aren't there yet."""
+        flat = np.frombuffer(b"".join(ids), np.uint16)
+        first, n = int(self.starts[self.count]), len(ids)
+        if first + len(flat) > len(self.ids):
+            self.ids = np.concatenate([self.ids[:first], np.zeros(first + 2 * len(flat), np.uint16)])
+        self.ids[first : first + len(flat)] = flat
+        self.starts[self.count + 1 : self.count + n + 1] = first + (np.fromiter(map(len, ids), np.int64, n) >> 1).cumsum()
+        slot, left = self.slots(one, two), np.arange(n)
+        while len(left):
+            own = slot[left]
+            free = self.place[own] < 0
+            self.place[own[free]] = self.count + left[free]
+            won = self.place[own] == self.count + left
+            self.one[own[won]], self.two[own[won]] = one[left[won]], two[left[won]]
+            left = left[~won]
+            slot[left] = (slot[left] + 1) & (SLOTS - 1)
+        self.count += n
+
+
 class LeafEncoder:
-    """Ids of texts by a byte-level vocabulary of the tokenizers library. Between a non-space and a space its splitting
-    pattern always cuts, so each leaf is encoded by itself and leaves met before come from a cache of bounded size."""
+    """Ids of texts by a byte-level vocabulary of the tokenizers library. Its splitting pattern always cuts between a
+    non-space and a space, and between runs of ASCII letters, digits and signs (but for apostrophes, which begin
+    contractions), so each leaf between such cuts is encoded by itself, and leaves met before come from a table of bounded
+    size, which begins anew when it is full. A leaf that is one piece of the pattern goes to the library's BPE model as it is."""
 
     def __init__(self, vocabulary: str) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(vocabulary)
-        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.added = re.compile("|".join(map(re.escape, added))).search if added else lambda _: None
-        self.cache: dict[str, bytes] = {}
-
-    def __call__(self, text: str) -> bytes:
-        """Ids as little-endian uint16, with the end id."""
-        if self.added(text):  # these may have rules of their own about what stands around
-            return np.array([*self.tokenizer.encode(text, add_special_tokens=False).ids, END_ID], "<u2").tobytes()
-        leaves = LEAVES.findall(text)
-        get = self.cache.get
-        found = [get(x) for x in leaves]
-        missing = [i for i, b in enumerate(found) if b is None]
-        if missing:
-            for i, e in zip(missing, self.tokenizer.encode_batch([leaves[i] for i in missing], add_special_tokens=False), strict=True):
-                found[i] = np.array(e.ids, "<u2").tobytes()
-                if len(self.cache) < CACHED and len(leaves[i]) <= 32:
-                    self.cache[leaves[i]] = found[i]
-        return b"".join([*found, struct.pack("<H", END_ID)])
+        self.model = self.tokenizer.model
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.known = Known()
+        #: The byte-level alphabet: printable characters stand for themselves, others for those from 256 on
+        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        other = iter(range(256, 512))
+        self.alphabet = {b: b if b in plain else next(other) for b in range(256)}
+        self.space = chr(self.alphabet[32])
+
+    def leaf(self, leaf: bytes) -> bytes:
+        if PIECE(leaf):
+            mapped = self.space + leaf[1:].decode() if leaf[0] == 32 else leaf.decode()
+        else:
+            text = leaf.decode()
+            # letters before U+0250 are the same in all versions of Unicode in use
+            if not (len(text) < len(leaf) and WORD(text) and max(text) < "\u0250"):
+                return array("H", self.tokenizer.encode(text, add_special_tokens=False).ids if text else []).tobytes()
+            mapped = leaf.decode("latin-1").translate(self.alphabet)
+        return array("H", [t.id for t in self.model.tokenize(mapped)]).tobytes()
+
+    def leaves(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """Where leaves of texts begin."""
+        kind = KIND[data]
+        starts = np.zeros(len(data) + 1, bool)
+        starts[1:-1] = CUT[kind[:-1] * np.uint8(7) + kind[1:]]
+        wide = np.flatnonzero((kind[:-1] == WIDE) & starts[1:-1]) + 1
+        starts[wide] = ~WIDE_SPACE[data[wide - 2].astype(np.uint16) << 8 | data[wide - 1]]
+        starts[offsets] = True
+        return np.flatnonzero(starts[:-1])
+
+    def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of an array of texts, each with the end id behind it, and how many each text has; null is empty."""
+        texts = texts.fill_null("").cast(pa.large_binary())
+        rare = np.zeros(len(texts), bool)
+        for content in self.added:  # these may have rules of their own about what stands around
+            rare |= pc.match_substring(texts, content).to_numpy(zero_copy_only=False)
+        bounds = [0, *(np.flatnonzero(rare[1:] != rare[:-1]) + 1).tolist(), len(texts)]
+        made = [(self.whole if rare[a] else self.plain)(texts.slice(a, b - a)) for a, b in zip(bounds[:-1], bounds[1:], strict=True) if b > a]
+        return np.concatenate([np.zeros(0, np.uint16), *(x for x, _ in made)]), np.concatenate([np.zeros(0, np.int64), *(n for _, n in made)])
+
+    def whole(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        ids = [[*self.tokenizer.encode(t.decode(), add_special_tokens=False).ids, END_ID] for t in texts.to_pylist()]
+        return np.array([i for own in ids for i in own], np.uint16), np.array([len(own) for own in ids])
+
+    def plain(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+        first, last = int(offsets[0]), int(offsets[-1])
+        if first == last:
+            return np.full(len(texts), END_ID, np.uint16), np.ones(len(texts), np.int64)
+        raw = texts.buffers()[2].slice(first, last - first).to_pybytes() + bytes(16)
+        offsets = offsets - first
+        starts = self.leaves(np.frombuffer(raw, np.uint8, last - first), offsets)
+        ends = np.append(starts[1:], last - first)
+        flat, sizes = [], []
+        for i in range(0, len(starts), LEAVES):
+            own, n = self.parts(raw, starts[i : i + LEAVES], ends[i : i + LEAVES])
+            flat.append(own)
+            sizes.append(n)
+        before = np.concatenate([[0], np.concatenate(sizes).cumsum()])[np.searchsorted(starts, offsets)]
+        lengths = np.diff(before) + 1
+        out = np.full(int(before[-1]) + len(lengths), END_ID, np.uint16)
+        own = np.ones(len(out), bool)
+        own[lengths.cumsum() - 1] = False
+        out[own] = np.concatenate(flat)
+        return out, lengths
+
+    def parts(self, raw: bytes, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of leaves, at most LEAVES of them, and how many each has."""
+        eight = np.ndarray(len(raw) - 7, "<u8", raw, strides=(1,))
+        sizes = ends - starts
+        long = np.flatnonzero(sizes > 15)
+        sizes[long] = 0  # these are put in afterwards
+        one = eight[starts] & LOW_BYTES[np.minimum(sizes, 8)]
+        two = eight[starts + 8 - 8 * (sizes <= 8)] & LOW_BYTES[np.maximum(sizes - 8, 0)] | sizes.astype(np.uint64) << np.uint64(56)
+        found = self.known.find(one, two)
+        for again in (True, False):
+            missing = np.flatnonzero(found < 0)
+            new: dict[bytes, int] = {}
+            for i, a, n in zip(missing.tolist(), starts[missing].tolist(), sizes[missing].tolist(), strict=True):
+                new.setdefault(raw[a : a + n], i)
+            if again and self.known.count + len(new) > SLOTS // 2:
+                self.known = Known()
+                found[:] = -1
+                continue
+            at = np.fromiter(new.values(), np.int64, len(new))
+            self.known.add(one[at], two[at], [self.leaf(x) for x in new])
+            found[missing] = self.known.find(one[missing], two[missing])
+            break
+        begin = self.known.starts[found].astype(np.int64)
+        count = self.known.starts[found + 1] - begin
+        ids = self.known.ids
+        if len(long):
+            own = [self.leaf(raw[a:b]) for a, b in zip(starts[long].tolist(), ends[long].tolist(), strict=True)]
+            count[long] = np.fromiter(map(len, own), np.int64, len(own)) >> 1
+            used = int(self.known.starts[self.known.count])
+            ids = np.concatenate([ids[:used], np.frombuffer(b"".join(own), np.uint16)])
+            begin[long] = used + count[long].cumsum() - count[long]
+        total = count.cumsum()
+        return ids.take(np.repeat(begin - total + count, count) + np.arange(total[-1]), mode="wrap"), count
+
+
+#: By vocabulary: a worker's tasks share what they have met
+_encoders: dict[str, LeafEncoder] = {}
+
+
+def encoder_of(vocabulary: str) -> LeafEncoder:
+    if vocabulary not in _encoders:
+        _encoders.clear()
+        _encoders[vocabulary] = LeafEncoder(vocabulary)
+    return _encoders[vocabulary]
 
 
 def write(docs: DataFrame, vocabulary: str, path: str) -> None:
@@ -99,42 +271,32 @@ def write(docs: DataFrame, vocabulary: str, path: str) -> None:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        encoder = LeafEncoder(spelled)
-        held: list[list] = [[[], []]]  # segments of (doc_ids, ids)
-        size, seq = 0, 0
+        encoder = encoder_of(spelled)
+        doc_ids, lengths, ids, size, seq = [], [], [], 0, 0
 
         def flush() -> pa.RecordBatch:
-            nonlocal held, size, seq
-            coded, rows = [], []
-            for ids, texts in held:
-                flat = np.frombuffer(b"".join(texts), "<u2")
-                coded.append([flat[i : i + range_codec.BLOCK_IDS] for i in range(0, len(flat), range_codec.BLOCK_IDS)])
-            blocks = encode_blocks([b for c in coded for b in c])
-            at = 0
-            for (ids, texts), own in zip(held, coded, strict=True):
-                sums = [zlib.crc32(b.tobytes()) for b in own]
-                rows.append(pack(ids, [len(t) // 2 for t in texts], blocks[at : at + len(own)], sums))
-                at += len(own)
-            first = seq
-            seq += len(rows)
-            held, size = [[[], []]], 0
-            return pa.RecordBatch.from_arrays([pa.array(range(first, seq), pa.int32()), pa.array(rows, pa.binary())], names=["seq", "segment"])
-
-        segment = 0
+            nonlocal doc_ids, lengths, ids, size, seq
+            flat = np.concatenate(ids)
+            sums = [zlib.crc32(b) for b in range_codec.cuts(flat.astype("<u2"))]
+            segment = pack(doc_ids, lengths, range_codec.encode_ids(flat), sums)
+            doc_ids, lengths, ids, size, seq = [], [], [], 0, seq + 1
+            return pa.RecordBatch.from_arrays([pa.array([seq - 1], pa.int32()), pa.array([segment], pa.binary())], names=["seq", "segment"])
+
         for batch in released(batches):
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                ids = encoder(text or "")
-                if segment and segment + len(ids) // 2 > SEGMENT_IDS:
-                    if size >= range_codec.LANES * range_codec.BLOCK_IDS - SEGMENT_IDS:
-                        yield flush()
-                    else:
-                        held.append([[], []])
-                    segment = 0
-                held[-1][0].append(doc_id)
-                held[-1][1].append(ids)
-                segment += len(ids) // 2
-                size += len(ids) // 2
-        if held[0][0]:
+            flat, counts = encoder(batch.column("text"))
+            own, ends, a = batch.column("doc_id").to_pylist(), counts.cumsum(), 0
+            while a < len(own):
+                before = int(ends[a - 1]) if a else 0
+                b = int(np.searchsorted(ends, before + SEGMENT_IDS - size, "right"))  # those that still fit
+                if b == a and size:
+                    yield flush()
+                    continue
+                b = max(b, a + 1)
+                doc_ids += own[a:b]
+                lengths += counts[a:b].tolist()
+                ids.append(flat[before : int(ends[b - 1])])
+                size, a = size + len(ids[-1]), b
+        if doc_ids:
             yield flush()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("h"))
@@ -143,42 +305,22 @@ def write(docs: DataFrame, vocabulary: str, path: str) -> None:
     segments.select(F.spark_partition_id().alias("part"), "seq", "segment").write.option("compression", "none").parquet(path)
 
 
-def encode_blocks(blocks: list[np.ndarray]) -> list[tuple[int, bytes]]:
-    """Codes blocks of ids side by side, longest first."""
-    order = sorted(range(len(blocks)), key=lambda i: -len(blocks[i]))
-    out: list[tuple[int, bytes]] = [(0, b"")] * len(blocks)
-    for i in range(0, len(order), range_codec.LANES):
-        own = order[i : i + range_codec.LANES]
-        lengths = np.array([len(blocks[k]) for k in own])
-        rows = np.zeros((len(own), int(lengths.max())), np.uint16)
-        for r, k in zip(rows, own, strict=True):
-            r[: len(blocks[k])] = blocks[k]
-        words, n = range_codec.encode(rows, lengths)
-        for w, e, k in zip(words, n, own, strict=True):
-            out[k] = (len(blocks[k]), w[:e].astype("<u2").tobytes())
-    return out
-
-
 def read(spark: SparkSession, path: str) -> DataFrame:
     """part, seq, at (place in the segment), doc_id, before (ids before it in the segment), ids (with the end id), for every
     document in the files; blocks that don't have their checksum raise an error."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k in range(0, batch.num_rows, 4):
-                segments = [unpack(x) for x in batch.column("segment").slice(k, 4).to_pylist()]
-                decoded = range_codec.decode_ids([b for s in segments for b in s[2]])
-                at = 0
-                for i, (ids, lengths, blocks, sums) in enumerate(segments):
-                    own = decoded[at : at + len(blocks)]
-                    at += len(blocks)
-                    if any(zlib.crc32(b.astype("<u2").tobytes()) != c for b, c in zip(own, sums, strict=True)):
-                        raise ValueError("damaged block of a token segment")
-                    offsets = np.concatenate([[0], np.cumsum(lengths)])
-                    values = pa.array(np.concatenate(own).astype(np.int32))
-                    n = len(ids)
-                    part, seq = (pa.array([batch.column(c)[k + i].as_py()] * n, pa.int32()) for c in ("part", "seq"))
-                    yield pa.RecordBatch.from_arrays([part, seq, pa.array(np.arange(n, dtype=np.int32)), pa.array(ids, pa.int64()), pa.array(offsets[:-1].astype(np.int64)), pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), values)], names=["part", "seq", "at", "doc_id", "before", "ids"])
+            for k in range(batch.num_rows):
+                ids, lengths, blocks, sums = unpack(batch.column("segment")[k].as_py())
+                own = range_codec.decode_ids(blocks)
+                if any(zlib.crc32(b.astype("<u2")) != c for b, c in zip(own, sums, strict=True)):
+                    raise ValueError("damaged block of a token segment")
+                offsets = np.concatenate([[0], np.cumsum(lengths)])
+                values = pa.array(np.concatenate(own).astype(np.int32))
+                n = len(ids)
+                part, seq = (pa.array([batch.column(c)[k].as_py()] * n, pa.int32()) for c in ("part", "seq"))
+                yield pa.RecordBatch.from_arrays([part, seq, pa.array(np.arange(n, dtype=np.int32)), pa.array(ids, pa.int64()), pa.array(offsets[:-1].astype(np.int64)), pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), values)], names=["part", "seq", "at", "doc_id", "before", "ids"])
 
     rows = spark.read.schema("part int, seq int, segment binary").parquet(path)
     return rows.mapInArrow(run, "part int, seq int, at int, doc_id long, before long, ids array<int>")
