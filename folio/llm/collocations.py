@@ -2,8 +2,8 @@
 
 1. Texts are lower-cased in A-Z and split into pieces, whose words are joined by one space; identical pieces of a language
    become one row with a multiplicity (`pieces`).
-2. N-grams of pieces, weighted by multiplicity, are summed within a task and shuffled into hash buckets, each of which DuckDB
-   counts under a memory limit, out of core where that doesn't suffice (`counted`). Its spill files belong to one task, which
+2. N-grams of pieces, weighted by multiplicity, are summed within a group of pieces, whose words are numbers there, so that
+   strings are made for distinct n-grams only. They are shuffled into hash buckets, each of which DuckDB counts under a memory limit, out of core where that doesn't suffice (`counted`). Its spill files belong to one task, which
    removes them, like those of Spark's own sorts; nothing else reads them.
 3. A phrase is as frequent as `least` only if both its parts without the last and without the first word are. A bitmap of the
    frequent n-grams' hashes, of MAX_BITS at most, therefore goes to the tasks that make the next longer ones. What it lets
@@ -83,12 +83,28 @@ def combined(strings: pa.Array, langs: np.ndarray, weights: np.ndarray, n_langs:
     """Sums of weights by language and string."""
     coded = strings.dictionary_encode()
     key = coded.indices.to_numpy().astype(np.int64) * n_langs + langs
-    order = np.argsort(key, kind="stable")
-    first = np.flatnonzero(np.r_[True, np.diff(key[order]) != 0]) if len(key) else np.empty(0, np.int64)
-    found = key[order][first]
+    order, first = alike(key)
+    found = key[order[first]]
     return found % n_langs, coded.dictionary.take(pa.array(found // n_langs)), np.add.reduceat(weights[order], first) if len(key) else weights
 
 
+def alike(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The places of whole numbers that aren't negative in their order, and where each distinct number begins there."""
+    if not len(key):
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    bits = (len(key) - 1).bit_length()
+    if int(key.max()).bit_length() + bits > 64:
+        order = np.argsort(key, kind="stable")
+        key = key[order]
+    else:  # sorted with their places below them, which is faster
+        packed = key.astype(np.uint64) << np.uint64(bits)
+        packed |= np.arange(len(key), dtype=np.uint64)
+        packed.sort()
+        order = (packed & np.uint64((1 << bits) - 1)).view(np.int64)
+        key = packed >> np.uint64(bits)
+    return order, np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+
+
 def piece_strings(texts: pa.ChunkedArray | pa.Array) -> tuple[pa.Array, np.ndarray]:
     """The pieces with a word of some texts, and the text of each."""
     raw, sizes = lines(texts)
@@ -99,14 +115,14 @@ def piece_strings(texts: pa.ChunkedArray | pa.Array) -> tuple[pa.Array, np.ndarr
     starts, ends = edge[::2], edge[1::2]
     if not len(starts):
         return pa.array([], pa.large_string()), np.empty(0, np.int64)
-    piece = np.cumsum(_ENDS[b])[starts]
+    piece = np.cumsum(_ENDS[b], dtype=np.int32 if len(b) < 1 << 31 else np.int64)[starts]
     last = np.r_[np.diff(piece) != 0, True]
     kept = word[1:].astype(bool)
-    kept[ends] = True  # one byte behind each word
-    b[ends] = np.where(last, 10, 32)
-    made = b[kept]
-    stops = np.flatnonzero(made == 10)
-    return spans(made, np.r_[0, stops[:-1] + 1], stops), np.searchsorted(np.cumsum(sizes + 1), starts[last], "right")
+    kept[ends] = ~last  # a space behind each word but the last
+    b[ends] = 32
+    stops = np.cumsum(ends - starts + ~last)[last]
+    made = pa.LargeStringArray.from_buffers(len(stops), pa.py_buffer(np.r_[0, stops]), pa.py_buffer(b[kept]))
+    return made, np.searchsorted(np.cumsum(sizes + 1), starts[last], "right")
 
 
 def pieces(docs: DataFrame) -> DataFrame:
@@ -144,22 +160,52 @@ def batched(names: list[str], langs: np.ndarray, strings: pa.Array, sums: np.nda
 
 
 class Grams:
-    """N-grams of pieces whose words are joined by one space."""
-
-    def __init__(self, pieces: pa.Array, seeds: np.ndarray) -> None:
-        """seeds: a hash of each piece's language."""
-        self.words = Words(lines(pieces))
-        counts = np.diff(self.words.bounds)
-        self.piece = np.repeat(np.arange(len(counts)), counts)
-        self.seeds = seeds
+    """N-grams of pieces whose words are joined by one space; words are numbers, and only distinct ones are hashed."""
+
+    def __init__(self, pieces: pa.ChunkedArray | pa.Array, langs: np.ndarray, seeds: np.ndarray) -> None:
+        """langs: the number of each piece's language; seeds: the hash of each language."""
+        self.data, _ = lines(pieces)
+        split = pc.split_pattern(whole(pieces, pa.large_string()), " ")
+        counts = pc.list_value_length(split).to_numpy()
+        words = split.flatten()
+        sizes = pc.binary_length(words).to_numpy()
+        self.ends = np.cumsum(sizes + 1) - 1  # in data, where one byte is behind each word
+        self.starts = self.ends - sizes
+        coded = words.dictionary_encode()
+        self.word = coded.indices.to_numpy()
+        self.n_words = len(coded.dictionary)
+        self.hash = Words(lines(coded.dictionary)).hashes
+        self.bounds = np.zeros(len(counts) + 1, np.int64)
+        np.cumsum(counts, out=self.bounds[1:])
+        self.piece = np.repeat(np.arange(len(counts), dtype=np.int32), counts)
+        self.langs, self.seeds = langs, seeds
 
     def at(self, n: int) -> np.ndarray:
         """The first words of all n-grams that lie within a piece."""
-        i = np.arange(max(0, len(self.piece) - n + 1))
-        return i[self.piece[i] == self.piece[i + n - 1]]
+        last = max(0, len(self.piece) - n + 1)
+        return np.flatnonzero(self.piece[:last] == self.piece[n - 1 :])
 
     def hashes(self, i: np.ndarray, n: int) -> np.ndarray:
-        return mix(self.words._hash(self.words.starts[i], self.words.ends[i + n - 1]) ^ self.seeds[self.piece[i]])
+        out = self.seeds[self.langs[self.piece[i]]]
+        for k in range(n):
+            out = mix(out + self.hash[self.word[i + k]])
+        return out
+
+    def combined(self, i: np.ndarray, n: int, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """One first word of each distinct n-gram of a language among those at i, and the sums of weights, one for each piece."""
+        key = self.langs[self.piece[i]]
+        for k in range(n):
+            if k:  # the first k words and the language become one number below len(i)
+                first = np.zeros(len(i), np.int64)
+                first[begin] = 1
+                key = np.empty(len(i), np.int64)
+                key[order] = first.cumsum() - 1
+            key = key * self.n_words + self.word[i + k]
+            order, begin = alike(key)
+        return i[order[begin]], np.add.reduceat(weights[self.piece[i[order]]], begin) if len(i) else np.empty(0, np.int64)
+
+    def strings(self, i: np.ndarray, n: int) -> pa.Array:
+        return spans(self.data, self.starts[i], self.ends[i + n - 1])
 
 
 def seed(lang: str) -> int:
@@ -182,8 +228,8 @@ def bitmap(frequent: DataFrame, n: int) -> np.ndarray:
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             names, langs = numbered(batch.column("lang"))
-            grams = Grams(batch.column("gram"), np.array([seed(x) for x in names], np.uint64)[langs])
-            at = (grams.hashes(grams.words.bounds[:-1], n) >> np.uint64(shift)).astype(np.int64)
+            grams = Grams(batch.column("gram"), langs, np.array([seed(x) for x in names], np.uint64))
+            at = (grams.hashes(grams.bounds[:-1], n) >> np.uint64(shift)).astype(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(at // SEGMENT), pa.array(at % SEGMENT)], names=["segment", "place"])
 
     def packed(key: tuple, rows: pa.Table) -> pa.Table:
@@ -199,24 +245,29 @@ def bitmap(frequent: DataFrame, n: int) -> np.ndarray:
     return out
 
 
+def found_in(group: pa.Table, n: int, bits: np.ndarray | None, most: int = 50_000) -> Iterator[pa.RecordBatch]:
+    """lang, gram, n: the distinct n-grams of group(lang, piece, n), with strings made for `most` at once."""
+    names, langs = numbered(group.column("lang"))
+    made = Grams(group.column("piece"), langs, np.array([seed(x) for x in names], np.uint64))
+    i = made.at(n)
+    if bits is not None:
+        known = np.zeros(len(made.piece) + 1, bool)
+        shorter = made.at(n - 1)
+        known[shorter] = lookup(bits, made.hashes(shorter, n - 1))
+        i = i[known[i] & known[i + 1]]
+    i, sums = made.combined(i, n, group.column("n").to_numpy())
+    for at in range(0, len(i), most):
+        some = i[at : at + most]
+        yield from batched(names, langs[made.piece[some]], made.strings(some, n), sums[at : at + most], "gram", most)
+
+
 def grams(rows: DataFrame, n: int, bits: np.ndarray | None) -> DataFrame:
     """lang, gram, n: weighted n-grams of pieces, summed within each task; bits: frequent n-grams that are a word shorter."""
     shared = rows.sparkSession.sparkContext.broadcast(bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = shared.value
         for group in gathered(batches, "piece"):
-            names, langs = numbered(group.column("lang"))
-            made = Grams(group.column("piece"), np.array([seed(x) for x in names], np.uint64)[langs])
-            i = made.at(n)
-            if bits is not None:
-                known = np.zeros(len(made.piece) + 1, bool)
-                shorter = made.at(n - 1)
-                known[shorter] = lookup(bits, made.hashes(shorter, n - 1))
-                i = i[known[i] & known[i + 1]]
-            piece = made.piece[i]
-            strings = spans(made.words.joined, made.words.starts[i], made.words.ends[i + n - 1])
-            yield from batched(names, *combined(strings, langs[piece], group.column("n").to_numpy()[piece], len(names)), "gram")
+            yield from found_in(group, n, shared.value)
 
     return rows.mapInArrow(run, "lang string, gram string, n long")
 

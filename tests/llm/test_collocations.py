@@ -2,10 +2,12 @@
 
 import random
 import re
+import tracemalloc
 from collections import Counter
 from decimal import Decimal
 
 import duckdb
+import pyarrow as pa
 import pytest
 from pyspark.sql import types as T
 
@@ -76,3 +78,29 @@ def test_whole_table_against_sql(spark):
     con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{path}/documents.parquet')")
     con.execute(C.SQL)
     assert sorted(map(tuple, op11_collocations(spark, path).collect())) == sorted(con.fetchall())
+
+
+@pytest.mark.parametrize("n", [1, 2, 4])
+def test_a_group_takes_little_memory(n):
+    """Strings are made for distinct n-grams, some at a time, and not for every place at once."""
+    random.seed(n)
+    vocabulary = [f"word{i}" for i in range(20_000)]
+    text = [" ".join(random.choices(vocabulary, k=12)) for _ in range(40_000)]
+    group = pa.table({"lang": ["en", "fr"] * 20_000, "piece": text, "n": pa.array([3] * 40_000)})
+    want = Counter()
+    for lang, piece in zip(["en", "fr"] * 20_000, text, strict=True):
+        w = piece.split(" ")
+        want.update((lang, " ".join(w[i : i + n])) for i in range(13 - n))
+    list(C.found_in(group.slice(0, 10), n, None))
+    tracemalloc.start()
+    got, most = {}, 0
+    for batch in C.found_in(group, n, None if n == 1 else C.np.full(1 << 17, 255, C.np.uint8)):
+        most = max(most, tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+        rows = list(zip(*(batch.column(c).to_pylist() for c in ("lang", "gram", "n")), strict=True))
+        assert not got.keys() & {r[:2] for r in rows}
+        got |= {r[:2]: r[2] for r in rows}
+        tracemalloc.start()
+    tracemalloc.stop()
+    assert got == {k: 3 * v for k, v in want.items()}
+    assert most < 16 * sum(map(len, text))
