@@ -3,8 +3,8 @@
 Restaurants: one for each word of the corpus as the word before, one for the start of a text, and the root, which all of
 them share as their parent; the root's base is uniform over the vocabulary and one unknown word. So the restaurants grow
 with the corpus. Seats are sampled by Gibbs: the tables of one dish in one restaurant are drawn given all others (exactly,
-by generalised Stirling numbers, up to EXACT customers, then customer by customer in batches of a hundredth of those
-seated), and each table is a customer of the parent. Predictive probabilities are averaged over SAMPLES sweeps after BURN.
+by generalised Stirling numbers, up to EXACT customers, then customer by customer in batches of a STEP-th of those seated,
+each with the chance of a new table in its middle), and each table is a customer of the parent. Predictive probabilities are averaged over SAMPLES sweeps after BURN.
 
 Nothing of the vocabulary's size goes to the driver or to all executors. Texts are dealt into chunks. Each chunk sends its
 distinct (word, word before) pairs with their training counts to the part that owns the word's hash, so that a dish with
@@ -41,6 +41,7 @@ PACK_BYTES = 24 << 20
 BURN = 2
 SAMPLES = 3
 EXACT = 30
+STEP = 16
 STRENGTH = 1.0
 END = np.uint64(0x0E0D0C0B0A090807)
 START = np.uint64(0x1E1D1C1B1A191817)
@@ -102,9 +103,9 @@ class Pairs:
         part = part_of(self.words, parts)[word]
         spread = (places(hot, self.words) >= 0)[word]
         part[spread] = part_of(mix(self.words[word[spread]] ^ mix(codes[ctx[spread]])), parts)
-        order = np.argsort(part, kind="stable")
+        order = np.argsort(part.astype(np.uint16) if parts <= 1 << 16 else part, kind="stable")  # the short ones by radix
         self.word, self.ctx, self.part = word[order], ctx[order], part[order]
-        self.codes = codes[self.ctx]
+        self.codes, self.hot_ctx = codes[self.ctx], places(hot >> SHORT, codes)[self.ctx]
         place = np.empty(len(order), np.int64)
         place[order] = np.arange(len(order))
         self.of_token = place[of_token]
@@ -113,7 +114,7 @@ class Pairs:
         new = (self.word[1:] != self.word[:-1]) | (self.part[1:] != self.part[:-1])
         self.groups = np.flatnonzero(np.concatenate([[True], new]))
 
-    def by_part(self, hot: np.ndarray) -> Iterator[tuple[int, int, int, bytes, bytes]]:
+    def by_part(self) -> Iterator[tuple[int, int, int, bytes, bytes]]:
         """(part, groups, pairs, words of groups, counts and words before)."""
         own = self.part[self.groups]
         first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
@@ -121,7 +122,7 @@ class Pairs:
         for a, b in zip(first.tolist(), [*first[1:].tolist(), len(own)], strict=True):
             c, d = ends[a], ends[b]
             each = np.diff(ends[a : b + 1]).astype(np.uint32)
-            yield int(own[a]), b - a, int(d - c), squeeze(self.words[self.word[self.groups[a:b]]].tobytes()), squeeze(planes(self.counts[c:d]) + planes(each) + short(self.codes[c:d], hot))
+            yield int(own[a]), b - a, int(d - c), squeeze(self.words[self.word[self.groups[a:b]]].tobytes()), squeeze(planes(self.counts[c:d]) + planes(each) + short(self.codes[c:d], self.hot_ctx[c:d]))
 
 
 def part_of(words: np.ndarray, parts: int) -> np.ndarray:
@@ -131,18 +132,19 @@ def part_of(words: np.ndarray, parts: int) -> np.ndarray:
 
 def planes(x: np.ndarray, width: int = 4) -> bytes:
     """The low bytes of whole numbers, all first ones first, which compresses well."""
-    return np.array(x, np.uint64, order="C").ravel().view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()
+    b = np.array(x, np.uint64, order="C").ravel().view(np.uint8).reshape(-1, 8)
+    return b"".join(b[:, i].tobytes() for i in range(width))
 
 
 def from_planes(b: bytes, n: int, at: int = 0, width: int = 4) -> np.ndarray:
     out = np.zeros((n, 8), np.uint8)
-    out[:, :width] = np.frombuffer(b, np.uint8, width * n, at).reshape(width, n).T
+    for i in range(width):
+        out[:, i] = np.frombuffer(b, np.uint8, n, at + i * n)
     return out.view(np.uint64).ravel()
 
 
-def short(codes: np.ndarray, hot: np.ndarray) -> bytes:
-    """Words before: the place of frequent ones, and five bytes of others."""
-    at = places(hot >> SHORT, codes)
+def short(codes: np.ndarray, at: np.ndarray) -> bytes:
+    """Words before: the place of frequent ones, and five bytes of others, whose place is -1."""
     return planes(at + 1, 2) + planes(codes[at < 0], 5)
 
 
@@ -197,14 +199,15 @@ def sample_tables(c: np.ndarray, a: np.ndarray, d: float, stirling: np.ndarray,
     own_c, own_a, own_t, seated = c[left], a[left], t[left], EXACT  # all that are left have as many seated
     soonest = own_c.min() if len(left) else seated
     while len(left):
-        batch = max(seated // 100, 1)
-        new = np.minimum(own_a / np.maximum(seated - d * own_t + own_a, 1e-300), 1.0)
-        if seated + batch < soonest:
-            own_t += rng.binomial(batch, new)
-            seated += batch
-            continue
-        own_t += rng.binomial(np.minimum(batch, own_c - seated), new)
+        batch = max(seated // STEP, 1)
+        some = batch if seated + batch < soonest else np.minimum(batch, own_c - seated)
+        known, half = np.maximum(seated - d * own_t, 1e-300), (some - 1) / 2
+        new = own_a / (known + own_a)
+        new = own_a / (known + half * (1 - d * new) + own_a)
+        own_t += rng.binomial(some, np.minimum(new, 1.0))
         seated += batch
+        if seated < soonest:
+            continue
         done = own_c <= seated
         t[left[done]] = own_t[done]
         left, own_c, own_a, own_t = left[~done], own_c[~done], own_a[~done], own_t[~done]
@@ -360,7 +363,7 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for a, b in zip(cuts, [*cuts[1:], len(chunk)], strict=True):
             sink = pa.BufferOutputStream()
             part = rows.slice(a, b - a).drop_columns(["chunk"]).combine_chunks()
-            with pa.ipc.new_stream(sink, part.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=9))) as w:
+            with pa.ipc.new_stream(sink, part.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=7))) as w:
                 w.write_table(part)
             packs.append(sink.getvalue().to_pybytes())
         return pa.RecordBatch.from_arrays([pa.array(chunk[cuts]), pa.array(packs, pa.binary())], names=["chunk", "pack"])
@@ -433,7 +436,7 @@ def score(docs: DataFrame) -> DataFrame:
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk, sub, _, pairs in _chunks(batches, hot, parts):
-            part, *columns = zip(*((p, chunk, sub, *row) for p, *row in pairs.by_part(hot)), strict=True)
+            part, *columns = zip(*((p, chunk, sub, *row) for p, *row in pairs.by_part()), strict=True)
             yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), *(pa.array(c, t) for c, t in zip(columns, types, strict=True))], names=["part", *names])
 
     def together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
