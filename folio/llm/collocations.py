@@ -3,8 +3,9 @@
 1. Texts are lower-cased in A-Z and split into pieces, whose words are joined by one space; identical pieces of a language
    become one row with a multiplicity (`pieces`).
 2. N-grams of pieces, weighted by multiplicity, are summed within a group of pieces, whose words are numbers there, so that
-   strings are made for distinct n-grams only. They are shuffled into hash buckets, each of which DuckDB counts under a memory limit, out of core where that doesn't suffice (`counted`). Its spill files belong to one task, which
-   removes them, like those of Spark's own sorts; nothing else reads them.
+   strings are made for distinct n-grams only. They are shuffled into hash buckets, each of which DuckDB counts under a
+   memory limit, out of core where that doesn't suffice (`counted`). Its spill files belong to one task, which removes
+   them, like those of Spark's own sorts; nothing else reads them.
 3. A phrase is as frequent as `least` only if both its parts without the last and without the first word are. A bitmap of the
    frequent n-grams' hashes, of MAX_BITS at most, therefore goes to the tasks that make the next longer ones. What it lets
    through wrongly is counted and then dropped, so its size has no effect on results.
