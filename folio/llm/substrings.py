@@ -3,9 +3,11 @@
 The edges of the graph are the windows of WINDOW words, its nodes the runs of a word less; of the edges, those matter that
 occur twice or more.
 
-1. Documents are put into chunks of CHUNK_BYTES of text, or one longer document, once (`chunked`); a chunk is a row.
-2. Each window names the smallest hash of its runs of SEED words. Equal windows name the same one, so only windows whose seed
-   occurs twice can be repeated (`seeds`, `repeated`); the others send no edge.
+1. Documents are put into chunks of CHUNK_BYTES of text, or one longer document, once (`chunked`); a chunk is a row, whose
+   texts are compressed as one, since they go through two exchanges.
+2. Each window names the smallest hash of its runs of SEED words, mixed again: smallest hashes are small, and buckets are ranges.
+   Equal windows name the same one, so only windows whose seed occurs twice can be repeated (`seeds`, `repeated`); the others
+   send no edge.
 3. Edges meet in buckets by their hash, one entry a chunk however often it has them, with the hash of the word that always
    follows and the one that always precedes, or 0 where that differs or the document ends (`edges`). What a bucket tells of
    an edge, whether it is repeated and has one successor and one predecessor only, is joined back to the chunks (`degrees`).
@@ -17,7 +19,8 @@ occur twice or more.
    are compared word by word with all windows of the same hash, and the chunks concerned are done again (`corrections`).
 
 A seed or an edge is sent once by a chunk, so a passage of a third of all documents is at most as many entries of a bucket as
-there are chunks; buckets are as many as keep them at BUCKET_BYTES on average. Tasks hold one chunk or one bucket.
+there are chunks; buckets are as many as keep them at BUCKET_BYTES on average, those of edges by the share of seeds that are
+repeated. Tasks hold one chunk or one bucket.
 
 Defined results: null text has no words; texts of fewer than WINDOW words lose none; overlapping occurrences in one document
 count as two places; rows of equal doc_id are documents of their own; an empty table gives no rows; other columns are ignored.
@@ -31,47 +34,62 @@ from hashlib import sha256
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folio.llm.common import Words, cut, mix, release, table
+from folio.llm.common import Words, cut, mix, release, sub_batches, table, text_bytes
 
 WINDOW = 35
 SEED = 12
 CHUNK_BYTES = 4 << 20
 BUCKET_BYTES = 8 << 20
+HASH_BYTES = 1 << 19
+PACK_LEVEL = 6
 _BASE = 0x9E3779B97F4A7C15
 _AS_IS = np.arange(256, dtype=np.uint8)
 REPEATED, ONE_NEXT, ONE_PREVIOUS = np.uint8(1), np.uint8(2), np.uint8(4)
 
 
+def packed(texts: list[bytes]) -> bytes:
+    raw = b"".join([np.array([len(texts), *map(len, texts)], np.int64).tobytes(), *texts])
+    return len(raw).to_bytes(8, "little") + pa.Codec("zstd", PACK_LEVEL).compress(raw, asbytes=True)
+
+
+def unpacked(pack: bytes) -> list[bytes]:
+    raw = pa.decompress(memoryview(pack)[8:], int.from_bytes(pack[:8], "little"), "zstd", asbytes=True)
+    n = int.from_bytes(raw[:8], "little")
+    ends = 8 * (n + 1) + np.cumsum(np.frombuffer(raw, np.int64, n + 1) * (np.arange(n + 1) > 0))
+    return [raw[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+
+
 def chunked(docs: DataFrame, most: int = CHUNK_BYTES) -> DataFrame:
-    """chunk, doc_ids, texts: docs(doc_id, text) in rows of `most` bytes, written once so that they stay as they are."""
+    """chunk, doc_ids, texts (packed): docs(doc_id, text) in rows of `most` bytes, written once so that they stay as they are."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, seq = TaskContext.get().partitionId() << 32, 0
         ids: list = []
-        texts: list[str | None] = []
+        texts: list[bytes] = []
         size, id_type = 0, None
 
         def flush() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([part + seq]), pa.array([ids], pa.list_(id_type)), pa.array([texts], pa.list_(pa.string()))], names=["chunk", "doc_ids", "texts"])
+            return pa.RecordBatch.from_arrays([pa.array([part + seq]), pa.array([ids], pa.list_(id_type)), pa.array([packed(texts)], pa.binary())], names=["chunk", "doc_ids", "texts"])
 
         for batch in batches:
             id_type = batch.schema.field("doc_id").type
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
+            for doc_id, text in zip(batch.column("doc_id").to_pylist(), text_bytes(batch.column("text")), strict=True):
                 ids.append(doc_id)
                 texts.append(text)
-                size += len(text or "") + 16
+                size += len(text) + 16
                 if size >= most:
                     yield flush()
                     seq, ids, texts, size = seq + 1, [], [], 0
         if ids:
             yield flush()
 
-    return cut(docs.select("doc_id", "text").mapInArrow(run, f"chunk long, doc_ids array<{kind}>, texts array<string>"))
+    return cut(docs.select("doc_id", "text").mapInArrow(run, f"chunk long, doc_ids array<{kind}>, texts binary"))
 
 
 def run_hashes(h: np.ndarray, k: int) -> np.ndarray:
@@ -99,12 +117,19 @@ def least(x: np.ndarray, n: int) -> np.ndarray:
 
 
 class Windows:
-    """The windows of a chunk: at: their first words among all of the chunk; doc: the document of each word."""
-
-    def __init__(self, texts: list[str | None], window: int, seed: int, mask: int) -> None:
-        self.texts = [(x or "").encode() for x in texts]
-        self.words = Words(self.texts, letters=_AS_IS)
-        counts = np.diff(self.words.bounds)
+    """The windows of a chunk: at: their first words among all of the chunk; doc: the document of each word; bounds: where the
+    words of each document begin."""
+
+    def __init__(self, texts: list[bytes], window: int, seed: int, mask: int) -> None:
+        self.texts = texts
+        hashes, counts = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
+        # Hashing takes some fifty times the bytes that it is given
+        for a, b in sub_batches(np.fromiter(map(len, texts), np.int64, len(texts)), HASH_BYTES):
+            words = Words(texts[a:b], letters=_AS_IS)
+            hashes.append(words.hashes)
+            counts.append(np.diff(words.bounds))
+        self.hashes, counts = np.concatenate(hashes), np.concatenate(counts)
+        self.bounds = np.concatenate([[0], np.cumsum(counts)])
         self.doc = np.repeat(np.arange(len(texts)), counts)
         self.size = window
         i = np.arange(max(0, len(self.doc) - window + 1))
@@ -115,19 +140,19 @@ class Windows:
         """The hashes of all runs of seed words, and the one that each window names."""
         if not len(self.at):
             return (np.empty(0, np.uint64),) * 2
-        runs = run_hashes(self.words.hashes, self.seed)
-        return runs, least(runs, self.size - self.seed + 1)[self.at]
+        runs = run_hashes(self.hashes, self.seed)
+        return mix(runs), mix(least(runs, self.size - self.seed + 1)[self.at])
 
     def edges(self, some: np.ndarray) -> np.ndarray:
         """Hashes of windows that begin at the words `some`."""
-        return run_hashes(self.words.hashes, self.size)[some] & self.mask if len(some) else np.empty(0, np.uint64)
+        return run_hashes(self.hashes, self.size)[some] & self.mask if len(some) else np.empty(0, np.uint64)
 
     def beside(self, some: np.ndarray, step: int) -> np.ndarray:
         """A hash of the word after (step 1) or before (step -1) each window, 0 where its document ends."""
         at = some + (self.size if step > 0 else -1)
         inside = np.clip(at, 0, len(self.doc) - 1)
         same = (at == inside) & (self.doc[inside] == self.doc[some])
-        return np.where(same, (self.words.hashes[inside] >> np.uint64(32)).astype(np.uint32) | np.uint32(1), np.uint32(0))
+        return np.where(same, (self.hashes[inside] >> np.uint64(32)).astype(np.uint32) | np.uint32(1), np.uint32(0))
 
 
 def buckets_of(values: np.ndarray, n: int) -> np.ndarray:
@@ -158,7 +183,7 @@ def seeds(chunks: DataFrame, n: int, window: int, seed: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for chunk, texts in zip(batch.column("chunk").to_pylist(), batch.column("texts"), strict=True):
-                w = Windows(texts.as_py(), window, seed, 0)
+                w = Windows(unpacked(texts.as_py()), window, seed, 0)
                 runs, named = w.seeds()
                 every, counts = np.unique(runs, return_counts=True)
                 own = np.unique(named)
@@ -192,7 +217,7 @@ def _told(rows: pa.Table, hashes: list[np.ndarray], flags: np.ndarray) -> pa.Tab
 
 
 def _flags(told: pa.Table) -> np.ndarray:
-    told = told.filter(pa.compute.greater_equal(told.column("bucket"), 0)).sort_by("bucket")
+    told = told.filter(pc.greater_equal(told.column("bucket"), 0)).sort_by("bucket")
     return np.frombuffer(b"".join(told.column("flags").to_pylist()), np.uint8)
 
 
@@ -217,7 +242,7 @@ def edges(chunks: DataFrame, told: DataFrame, n: int, window: int, seed: int, ma
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows:
             return _schema(3).empty_table()
-        w = Windows(left.column("texts")[0].as_py(), window, seed, mask)
+        w = Windows(unpacked(left.column("texts")[0].as_py()), window, seed, mask)
         some = _candidates(w, _flags(right))
         values = w.edges(some)
         order = np.argsort(values, kind="stable")
@@ -232,7 +257,7 @@ def edges(chunks: DataFrame, told: DataFrame, n: int, window: int, seed: int, ma
         release()
         return out
 
-    return chunks.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(run, "bucket long, chunk long, hashes binary, x0 binary, x1 binary, x2 binary")
+    return chunks.select("chunk", "texts").groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(run, "bucket long, chunk long, hashes binary, x0 binary, x1 binary, x2 binary")
 
 
 def degrees(sent: DataFrame) -> DataFrame:
@@ -285,9 +310,9 @@ def spans(chunks: DataFrame, seeds_told: DataFrame, edges_told: DataFrame, windo
         if not left.num_rows:
             return pa.table({c: [] for c in names}).cast(pa.schema([(c, t) for c, t in zip(names, [pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.list_(pa.int64()), pa.int64(), pa.int64(), pa.int64(), pa.string()], strict=True)]))
         chunk = left.column("chunk")[0].as_py()
-        w = Windows(left.column("texts")[0].as_py(), window, seed, mask)
-        of_edges = pa.compute.equal(right.column("kind"), "edge")
-        seen = _candidates(w, _flags(right.filter(pa.compute.invert(of_edges))))
+        w = Windows(unpacked(left.column("texts")[0].as_py()), window, seed, mask)
+        of_edges = pc.equal(right.column("kind"), "edge")
+        seen = _candidates(w, _flags(right.filter(pc.invert(of_edges))))
         starts, lengths, firsts, at = _paths(w, seen, _flags(right.filter(of_edges)))
         gone = np.zeros(len(w.doc) + 1, np.int64)
         at = np.setdiff1d(at, _wrong(right))
@@ -296,10 +321,10 @@ def spans(chunks: DataFrame, seeds_told: DataFrame, edges_told: DataFrame, windo
         gone = np.cumsum(gone[:-1]) > 0
         found: dict[tuple, list[int]] = defaultdict(list)
         docs: dict[str, list] = {"n_words": [], "n_removed": [], "kept_sha256": []}
-        path_of = np.searchsorted(starts, w.words.bounds)
+        path_of = np.searchsorted(starts, w.bounds)
         for i, text in enumerate(w.texts):
             words = text.split()
-            a, b = int(w.words.bounds[i]), int(w.words.bounds[i + 1])
+            a, b = int(w.bounds[i]), int(w.bounds[i + 1])
             lost = gone[a:b]
             kept = b" ".join([x for x, y in zip(words, lost.tolist(), strict=True) if not y] if lost.any() else words)
             docs["n_words"].append(b - a)
@@ -339,7 +364,7 @@ def corrections(paths: DataFrame, window: int, mask: int) -> DataFrame | None:
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for chunk, words, places in zip(batch.column("chunk").to_pylist(), batch.column("words").to_pylist(), batch.column("places").to_pylist(), strict=True):
-                w = Windows([words.decode()], window, 1, mask)
+                w = Windows([words], window, 1, mask)
                 hashes = w.edges(w.at).view(np.int64).tolist()
                 own = words.split()
                 spelled = [b" ".join(own[i : i + window]) for i in range(len(hashes))]
@@ -353,14 +378,20 @@ def corrections(paths: DataFrame, window: int, mask: int) -> DataFrame | None:
     return cut(among.join(single, ["edge", "spelled"], "left_semi").groupBy("chunk").agg(F.collect_list("place").alias("wrong")))
 
 
+def edge_buckets(seeds_told: DataFrame, text_size: int) -> int:
+    """Buckets for edges: an edge takes 17 bytes, and of the words, of some 6 bytes, as many begin one as seeds are repeated."""
+    seen = seeds_told.agg(F.expr("sum(length(replace(hex(flags), '0', '')))").alias("twice"), F.sum(F.length("flags")).alias("all")).first()
+    return max(1, -(-text_size * 17 * (seen["twice"] or 0) // (6 * BUCKET_BYTES * (seen["all"] or 1))))
+
+
 def dedup(docs: DataFrame, window: int = WINDOW, seed: int = SEED, chunk_bytes: int = CHUNK_BYTES, mask: int = (1 << 64) - 1) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 for every row of docs(doc_id, text). mask: bits of a window's hash that are used."""
     seed = min(seed, window)
     chunks = chunked(docs, chunk_bytes)
-    # On average a seed is named by a tenth of the words, and takes 9 bytes; an edge takes 17, and a word has some 6
-    n = max(1, chunks.count() * chunk_bytes // (6 * BUCKET_BYTES))
-    seeds_told = cut(repeated(seeds(chunks, n, window, seed)))
-    edges_told = cut(degrees(edges(chunks, seeds_told, 3 * n, window, seed, mask)))
+    size = chunks.count() * chunk_bytes
+    # On average a seed is named by a tenth of the words, of some 6 bytes, and takes 9
+    seeds_told = cut(repeated(seeds(chunks, max(1, size // (6 * BUCKET_BYTES)), window, seed)))
+    edges_told = cut(degrees(edges(chunks, seeds_told, edge_buckets(seeds_told, size), window, seed, mask)))
     made = cut(spans(chunks, seeds_told, edges_told, window, seed, mask))
     columns = ["doc_id", "n_words", "n_removed", "kept_sha256"]
     wrong = corrections(made.where("first is not null"), window, mask)

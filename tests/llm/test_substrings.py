@@ -83,6 +83,25 @@ def test_hashes_and_minima():
         assert (least(h, k) == [h[i : i + k].min() for i in range(200 - k + 1)]).all()
 
 
+def test_buckets_are_even(spark):
+    """Smallest hashes are small, but no bucket gets more seeds than another; those of edges follow what is repeated."""
+    alone = spark.range(30).selectExpr("id doc_id", "concat_ws(' ', transform(sequence(1, 900), i -> md5(concat(id, 'x', i)))) text").coalesce(1)
+    sent = S.seeds(S.chunked(alone, 50_000), 16, 35, 12)
+    sizes = Counter()
+    for r in sent.collect():
+        sizes[r["bucket"]] += len(r["hashes"]) // 8
+    assert len(sizes) == 16 and max(sizes.values()) < 1.5 * sum(sizes.values()) / 16
+    told = S.repeated(sent)
+    assert S.edge_buckets(told, 100 * S.BUCKET_BYTES) == 1
+    again = S.repeated(S.seeds(S.chunked(alone.union(alone), 50_000), 16, 35, 12))
+    assert S.edge_buckets(again, 100 * S.BUCKET_BYTES) == 284
+
+
+def test_packed_texts_come_back():
+    for texts in ([], [b""], [b"", "é \n".encode(), b"", b"x" * 1000]):
+        assert S.unpacked(S.packed(texts)) == texts
+
+
 def test_whole_table_against_sql(spark):
     path = "/root/testdata/sf0.01"
     con = duckdb.connect()
