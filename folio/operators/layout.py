@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from folio.functions import js, text
 from folio.operators.islands import islands, joined_text
+from folio.runtime import slices, written
 
 EDGE_LINES = 2
 REPEAT_SHARE = 0.5
@@ -19,6 +20,12 @@ PARAGRAPH_GAP = 1.8
 BUCKET = 8.0
 _SPACES = re.compile(r"[\s\ufeff]+")
 LINES = "file_id string, page_no int, line_no int, y double, height double, text string"
+PACKS = "file_id string, page_no int, n int, size int, pack binary"
+PACK_BYTES = 1 << 18
+#: Rows of an unpacked pack: the bytes of glyph_no, width, height, x, y, and of the text's size.
+_FIELDS, _ROWS = 5, 44
+#: The bits of a double that stand for null: a NaN that no arithmetic makes.
+_NULL = np.uint64(0x7FF8DEADBEEF0001)
 
 
 def page_lines(glyphs: Iterable[tuple]) -> list[tuple[float, float, str]]:
@@ -111,17 +118,89 @@ def _spaced_pages(batch, starts: np.ndarray) -> tuple[np.ndarray, list]:
     return good, [page[first].tolist(), y[first].tolist(), tall.tolist(), [_SPACES.sub(" ", t).strip() for t in whole.to_pylist()]]
 
 
+def _bits(column) -> np.ndarray:
+    bits = np.array(column.to_numpy(zero_copy_only=False), np.float64).view(np.uint64)
+    bits[column.is_null().to_numpy(zero_copy_only=False)] = _NULL
+    return bits
+
+
+def _packed(batch):
+    """A batch of glyphs (file_id, page_no, glyph_no, str, width, height, x, y) as a row for each run of one page: fields by
+    planes of bytes, most of which are alike, then the texts; compressed unless there are few. A glyph takes a fraction of its row."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    starts = _starts(batch)
+    if len(starts) * 16 > batch.num_rows:  # pages are mixed, or small
+        batch = batch.sort_by([("file_id", "ascending"), ("page_no", "ascending")])
+        starts = _starts(batch)
+    n, words, zstd = batch.num_rows, batch.column(3), pa.Codec("zstd", 3)
+    number = pc.fill_null(batch.column(2), -(1 << 63)).to_numpy(zero_copy_only=False)
+    fields = [np.ascontiguousarray(number, np.int64).view(np.uint64), *map(_bits, batch.columns[4:])]
+    _, offsets, data = words.buffers()
+    offsets = np.frombuffer(offsets, np.int32)[words.offset : words.offset + n + 1]
+    data = memoryview(data or b"")
+    sizes = np.diff(offsets).astype(np.uint32)
+    planes = np.concatenate([*(f.view(np.uint8).reshape(n, 8).T for f in fields), sizes.view(np.uint8).reshape(n, 4).T])
+    ends = np.append(starts[1:], n)
+    packs, whole = [], []
+    for a, b in zip(starts.tolist(), ends.tolist(), strict=True):
+        raw = planes[:, a:b].tobytes() + bytes(data[offsets[a] : offsets[b]])
+        whole.append(len(raw))
+        packed = zstd.compress(raw, asbytes=True) if b - a >= 16 else raw
+        packs.append(packed if len(packed) < len(raw) else raw)
+    first = pa.array(starts)
+    return pa.RecordBatch.from_arrays([batch.column(0).take(first), batch.column(1).take(first), pa.array(ends - starts, pa.int32()), pa.array(whole, pa.int32()), pa.array(packs, pa.binary())], names=["file_id", "page_no", "n", "size", "pack"])
+
+
+def _unpacked(packs):
+    """file_id, page_no, str, width, height, x, y of the glyphs of whole pages, sorted by page, in the order of arrival."""
+    import pyarrow as pa
+
+    starts = _starts(packs)
+    page = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, packs.num_rows)))
+    counts = packs.column("n").to_numpy()
+    raw = [x if len(x) == size else pa.decompress(x, size, "zstd", asbytes=True) for x, size in zip(packs.column("pack").to_pylist(), packs.column("size").to_pylist(), strict=True)]
+    planes = np.concatenate([np.frombuffer(x, np.uint8, _ROWS * n).reshape(_ROWS, n) for x, n in zip(raw, counts.tolist(), strict=True)], axis=1)
+    fields = [np.ascontiguousarray(planes[8 * k : 8 * k + 8].T).view(np.uint64).ravel() for k in range(_FIELDS)]
+    sizes = np.ascontiguousarray(planes[8 * _FIELDS :].T).view(np.uint32).ravel()
+    offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+    words = pa.StringArray.from_buffers(len(sizes), pa.py_buffer(offsets), pa.py_buffer(b"".join([x[_ROWS * n :] for x, n in zip(raw, counts.tolist(), strict=True)])))
+    order = pa.array(np.lexsort((fields[0].view(np.int64), np.repeat(page, counts))))
+    of = pa.array(np.repeat(np.arange(packs.num_rows), counts))
+    columns = [packs.column(0).take(of), packs.column(1).take(of), words, *(pa.array(f.view(np.float64), mask=f == _NULL) for f in fields[1:])]
+    return pa.RecordBatch.from_arrays([c.take(order) for c in columns], names=["file_id", "page_no", "str", "width", "height", "x", "y"])
+
+
+def packed_pages(glyphs: DataFrame) -> DataFrame:
+    """glyphs(file_id, page_no, glyph_no, str, width, height, transform) packed, a row or more for each page."""
+
+    def run(batches: Iterator) -> Iterator:
+        for batch in batches:
+            if batch.num_rows:
+                yield _packed(batch)
+
+    kept = glyphs.where("str is not null")
+    rows = kept.select(F.col("file_id").cast("string").alias("file_id"), F.col("page_no").cast("int").alias("page_no"), F.col("glyph_no").cast("long").alias("glyph_no"), "str", F.col("width").cast("double").alias("width"), F.col("height").cast("double").alias("height"), F.get("transform", F.lit(4)).cast("double").alias("x"), F.get("transform", F.lit(5)).cast("double").alias("y"))
+    return rows.mapInArrow(run, PACKS)
+
+
 def reconstruct_lines(glyphs: DataFrame) -> DataFrame:
-    """glyphs(file_id, page_no, glyph_no, str, width, height, transform) -> lines; pages are independent. Glyphs are sorted by
-    page, and pages follow each other through Arrow batches. Pages of well-spaced lines are made many at once, others one by one
-    in the order of arrival."""
+    """glyphs(file_id, page_no, glyph_no, str, width, height, transform) -> lines; pages are independent."""
+    return lines_with_edges(glyphs).drop("is_edge")
+
+
+def lines_with_edges(glyphs: DataFrame) -> DataFrame:
+    """reconstruct_lines with is_edge, as edge_lines has it. Glyphs are packed before they are dealt by page, so that the exchange
+    and its sort hold few small rows, and pages follow each other through Arrow batches. Pages of well-spaced lines are made
+    many at once, others one by one in the order of arrival."""
     import pyarrow as pa
 
     kinds = [pa.string(), pa.int32(), pa.int32(), pa.float64(), pa.float64(), pa.string()]
-    names = ["file_id", "page_no", "line_no", "y", "height", "text"]
+    names = ["file_id", "page_no", "line_no", "y", "height", "text", "is_edge"]
 
     def lines(held: list[pa.RecordBatch]) -> pa.RecordBatch:
-        batch = held[0] if len(held) == 1 else pa.concat_batches(held)
+        batch = _unpacked(held[0] if len(held) == 1 else pa.concat_batches(held))
         starts = _starts(batch)
         good, (page, y, height, texts) = _spaced_pages(batch, starts)
         found, number, last = [], 0, -1
@@ -135,14 +214,15 @@ def reconstruct_lines(glyphs: DataFrame) -> DataFrame:
             glyphs = zip(*(c.slice(starts[p], ends[p] - starts[p]).to_pylist() for c in batch.columns[2:]), strict=True)
             found += [(p, i, *line) for i, line in enumerate(page_lines(glyphs))]
         of, *made = list(zip(*found, strict=True)) if found else [[]] * 5
-        of = pa.array(starts[np.array(of, np.int64)])
-        return pa.RecordBatch.from_arrays([*(c.take(of) for c in batch.columns[:2]), *(pa.array(c, k) for c, k in zip(made, kinds[2:], strict=True))], names=names)
+        of = np.array(of, np.int64)
+        at = np.array(made[0], np.int64)
+        is_edge = (at < EDGE_LINES) | (at >= np.bincount(of)[of] - EDGE_LINES) if len(of) else np.empty(0, bool)
+        of = pa.array(starts[of])
+        return pa.RecordBatch.from_arrays([*(c.take(of) for c in batch.columns[:2]), *(pa.array(c, k) for c, k in zip(made, kinds[2:], strict=True)), pa.array(is_edge)], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []  # of whole pages, and of the last one as far as it has come
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in (part for whole in batches if whole.num_rows for part in slices(whole, "pack", PACK_BYTES)):
             cut = int(_starts(batch)[-1])
             if cut:
                 yield lines([*held, batch.slice(0, cut)])
@@ -155,14 +235,14 @@ def reconstruct_lines(glyphs: DataFrame) -> DataFrame:
         if held:
             yield lines(held)
 
-    kept = glyphs.where("str is not null")
-    rows = kept.select(F.col("file_id").cast("string").alias("file_id"), F.col("page_no").cast("int").alias("page_no"), "glyph_no", "str", F.col("width").cast("double").alias("width"), F.col("height").cast("double").alias("height"), F.get("transform", F.lit(4)).cast("double").alias("x"), F.get("transform", F.lit(5)).cast("double").alias("y"))
-    placed = rows.repartition("file_id", "page_no").sortWithinPartitions("file_id", "page_no", "glyph_no")
-    return placed.drop("glyph_no").mapInArrow(run, LINES)
+    placed = packed_pages(glyphs).repartition("file_id", "page_no").sortWithinPartitions("file_id", "page_no")
+    return placed.mapInArrow(run, f"{LINES}, is_edge boolean")
 
 
 def edge_lines(lines: DataFrame, book: str = "book_id", page: str = "page_no", line: str = "line_no") -> DataFrame:
-    """lines with is_edge: among the first or last two of its page."""
+    """lines with is_edge: among the first or last two of its page. Lines that have it already stay as they are."""
+    if "is_edge" in lines.columns:
+        return lines
     n = F.count("*").over(Window.partitionBy(book, page))
     at = F.row_number().over(Window.partitionBy(book, page).orderBy(line)) - 1
     return lines.withColumn("is_edge", (at < EDGE_LINES) | (at >= n - EDGE_LINES))
@@ -177,7 +257,13 @@ def running_heads(lines: DataFrame, pages: DataFrame, share: float = REPEAT_SHAR
 
 
 def strip_running_heads(lines: DataFrame, pages: DataFrame, share: float = REPEAT_SHARE, least: int = MIN_REPEAT_PAGES) -> DataFrame:
-    """lines without running heads and page numbers at the edges. Lines are read twice; write those that are dear to make."""
+    """lines without running heads and page numbers at the edges. Lines are read twice; write those that are dear to make. Of lines
+    with is_edge those at the edges alone are looked up, and the others aren't dealt out for it."""
+    if "is_edge" in lines.columns:
+        rest = [c for c in lines.columns if c != "is_edge"]
+        inside, edges = lines.where("not is_edge").select(rest), lines.where("is_edge").select(rest)
+        keyed = edges.withColumn("key", text.header_key(F.col("text"))).where(~F.coalesce(text.is_page_number(F.col("text")), F.lit(False)))
+        return inside.unionByName(keyed.join(running_heads(lines, pages, share, least).select("book_id", "key"), ["book_id", "key"], "left_anti").select(rest))
     edged = edge_lines(lines).withColumn("key", text.header_key(F.col("text")))
     numbered = F.col("is_edge") & text.is_page_number(F.col("text"))
     heads = running_heads(lines, pages, share, least).select("book_id", "key", F.lit(True).alias("is_edge"))
@@ -210,7 +296,8 @@ def stitch_pages(blocks: DataFrame, doc: str = "doc_id", page: str = "page_no",
 
 
 def chapter_blocks(glyphs: DataFrame, pages: DataFrame) -> DataFrame:
-    """Glyphs of files and pages(file_id, n_pages) to the blocks of chapters: lines, heads off, blocks, pages stitched."""
-    lines = reconstruct_lines(glyphs).withColumnRenamed("file_id", "book_id")
+    """Glyphs of files and pages(file_id, n_pages) to the blocks of chapters: lines, heads off, blocks, pages stitched. Lines are
+    made once and written; what was dealt out for them goes from the disk before they are dealt out again."""
+    lines = written(lines_with_edges(glyphs).withColumnRenamed("file_id", "book_id"), compression="zstd", tidy=True)
     kept = strip_running_heads(lines, pages.withColumnRenamed("file_id", "book_id"))
     return stitch_pages(assemble_blocks(kept, "book_id"), "book_id").withColumnRenamed("book_id", "file_id")

@@ -159,19 +159,23 @@ def q_chapter_blocks(spark, sf_dir):
     """Documents set in pages of fifty lines, in shuffled order of arrival, each under a running head and over its number: from
     glyphs to the blocks of chapters, heads and numbers off, and pages stitched. Head and foot have two lines each, as many as
     count as a page's edge: a line of text there that is a number alone, or repeats on most pages, would be taken for one of them."""
-    words = read(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))).alias("i", "w"))
+    docs, every = read(spark, sf_dir, "documents"), F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
+    words = docs.select("doc_id", F.posexplode(every).alias("i", "w"))
     page = (F.floor(F.col("i") / 400) + 1).cast("int")
     glyph = lambda s, x, y: [s.alias("str"), (F.length(s) * 5.0).alias("width"), F.lit(10.0).alias("height"), F.array(F.lit(1.0), F.lit(0.0), F.lit(0.0), F.lit(1.0), x, y.cast("double")).alias("transform")]
     file_id = F.col("doc_id").cast("string").alias("file_id")
     shuffled = F.pmod(F.xxhash64("doc_id", "i"), F.lit(1 << 30)).cast("int").alias("glyph_no")
     body = words.select(file_id, page.alias("page_no"), shuffled, *glyph(F.col("w"), (F.col("i") % 8) * 1000.0, -40.0 - 12.0 * F.floor((F.col("i") % 400) / 8)))
-    pages = words.select("doc_id", page.alias("page_no")).distinct()
-    head = pages.select(file_id, "page_no", F.lit(-1).alias("glyph_no"), *glyph(F.concat(F.lit("Head of the book "), F.col("page_no").cast("string")), F.lit(0.0), F.lit(0.0)))
-    under = pages.select(file_id, "page_no", F.lit(-3).alias("glyph_no"), *glyph(F.concat(F.lit("Page "), F.col("page_no").cast("string"), F.lit(" of 99")), F.lit(0.0), F.lit(-12.0)))
-    foot = pages.select(file_id, "page_no", F.lit(-2).alias("glyph_no"), *glyph(F.col("page_no").cast("string"), F.lit(0.0), F.lit(-900.0)))
-    over = pages.select(file_id, "page_no", F.lit(-4).alias("glyph_no"), *glyph(F.concat(F.col("page_no").cast("string"), F.lit(" / 99")), F.lit(0.0), F.lit(-880.0)))
+    n_pages = F.ceil(F.size(every) / 400).cast("int")
+    pages = docs.select("doc_id", n_pages.alias("n")).where("n > 0").select("doc_id", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("page_no")).distinct()
+    number = F.col("page_no").cast("string")
+    marks = [
+        (-1, F.concat(F.lit("Head of the book "), number), 0.0), (-3, F.concat(F.lit("Page "), number, F.lit(" of 99")), -12.0),
+        (-2, number, -900.0), (-4, F.concat(number, F.lit(" / 99")), -880.0),
+    ]
+    around = pages.select(file_id, "page_no", F.inline(F.array(*[F.struct(F.lit(k).alias("glyph_no"), *glyph(s, F.lit(0.0), F.lit(y))) for k, s, y in marks])))
     counts = pages.groupBy(file_id).agg(F.count("*").alias("n_pages"))
-    blocks = layout.chapter_blocks(body.unionByName(head).unionByName(under).unionByName(over).unionByName(foot), counts)
+    blocks = layout.chapter_blocks(body.unionByName(around), counts)
     return blocks.select(F.col("file_id").cast("long").alias("doc_id"), F.col("block_no").cast("long").alias("block_no"), F.md5("text").alias("text"), "type")
 
 

@@ -68,11 +68,22 @@ def dropped(spark: SparkSession, path: str) -> None:
         pass
 
 
-def written(df: DataFrame) -> DataFrame:
+TIDY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def written(df: DataFrame, compression: str | None = None, tidy: bool = False) -> DataFrame:
     """df as a table in the shared folder: what is used more than once is made once, survives lost executors, and has no
-    lineage. The table goes with the application."""
+    lineage. The table goes with the application. tidy: shuffle files of the writing go when it is done, not when the driver
+    happens to collect its garbage."""
     spark, path = df.sparkSession, scratch(df.sparkSession)
-    df.write.parquet(path)
+    before = spark.conf.get(TIDY, None)
+    if tidy:
+        spark.conf.set(TIDY, "true")
+    try:
+        df.write.parquet(path, compression=compression)
+    finally:
+        if tidy:
+            spark.conf.unset(TIDY) if before is None else spark.conf.set(TIDY, before)
     atexit.register(dropped, spark, path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -1,5 +1,7 @@
 """Chapters, blocks and marks in whole, on small inputs."""
 
+import time
+
 import duckdb
 import pytest
 from pyspark.sql import functions as F
@@ -46,6 +48,20 @@ def test_numbers_and_repeated_lines_of_texts_are_no_heads(spark, tmp_path):
     assert sorted(map(tuple, got)) == sorted(db.execute(registry.ORACLE_SQL["q_chapter_blocks"]).fetchall())
 
 
+def test_lines_of_chapters_are_made_once_and_leave_no_shuffle_files(spark, tmp_path):
+    """Glyphs were dealt out twice, once for the heads and once for what they are taken from, and stayed on the disk."""
+    files = lambda: sum("shuffle_" in f.getName() for f in spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()))
+    spark.createDataFrame([(i, "word " * 900) for i in range(20)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    before = files()
+    plan = registry.QUERIES["q_chapter_blocks"](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" not in plan
+    for _ in range(50):  # they are removed in the background
+        if files() <= before:
+            break
+        time.sleep(0.1)
+    assert files() <= before
+
+
 def test_long_texts_of_a_batch_are_taken_in_parts():
     import pyarrow as pa
 
