@@ -53,12 +53,14 @@ def is_page_number(c: Column) -> Column:
 
 
 def is_scene_break(c: Column) -> Column:
-    """1 to 10 copies of one symbol, white space aside; some symbols never, some not alone."""
+    """1 to 10 copies of one symbol, white space aside; some symbols never, some not alone. Whether a text is so short is asked
+    first, as the rest makes several copies of it."""
+    short = c.rlike(rf"\A{js.WS}*+(?:[^{js.WS_CHARS}]{js.WS}*+){{1,10}}\z")
     compact = F.regexp_replace(c, f"{js.WS}+", "")
     first = F.left(compact, F.lit(1))
     size = js.utf16_length(compact)
     plain = ~first.rlike(r"[\p{L}\p{N}_]") & ~first.isin(NOT_A_DIVIDER) & (js.utf16_length(first) == 1)
-    return F.coalesce(size.between(1, 10) & plain & (F.replace(compact, first, F.lit("")) == "") & ~((size == 1) & first.isin(NEEDS_REPETITION)), F.lit(False))
+    return F.coalesce(short & size.between(1, 10) & plain & (F.replace(compact, first, F.lit("")) == "") & ~((size == 1) & first.isin(NEEDS_REPETITION)), F.lit(False))
 
 
 def strip_bullet(c: Column) -> Column:

@@ -82,3 +82,12 @@ def test_a_text_file_is_read_in_pieces_as_it_is_in_whole():
                 assert (count, list(found), want) == (len(pages), [(i, k, f) for i, p in enumerate(pages, 1) for k, f in enumerate(p)], None)
             except ValueError as e:
                 assert str(e) == want
+
+
+def test_scene_breaks_are_looked_for_in_short_texts(spark):
+    """A page's text has eleven symbols or more, which is seen before it is copied."""
+    from folio.functions import text
+
+    texts = ["* * *", "*" * 10, "*" * 11, " ~ ~ ", "~", "😀" * 5, "😀" * 6, "a a", "word " * 400, "", None, "\n#﻿# "]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert [r[0] for r in rows.coalesce(1).select(text.is_scene_break(F.col("t"))).collect()] == [True, True, False, True, False, False, False, False, False, False, False, True]
