@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from folio.functions import text
 from folio.operators import layout, markup, palette, queue, retention, rules, sequence, sheets
 from folio.plans.registry import query, read
+from folio.runtime import written
 from folio.sources import feeds, packages
 
 # Names and texts
@@ -160,14 +161,14 @@ def q_chapter_blocks(spark, sf_dir):
     glyphs to the blocks of chapters, heads and numbers off, and pages stitched. Head and foot have two lines each, as many as
     count as a page's edge: a line of text there that is a number alone, or repeats on most pages, would be taken for one of them."""
     docs, every = read(spark, sf_dir, "documents"), F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
-    words = docs.select("doc_id", F.posexplode(every).alias("i", "w"))
+    file_id = F.col("doc_id").cast("string").alias("file_id")
+    words = docs.select("doc_id", file_id, every.alias("w")).select("doc_id", "file_id", F.posexplode("w").alias("i", "w"))
     page = (F.floor(F.col("i") / 400) + 1).cast("int")
     glyph = lambda s, x, y: [s.alias("str"), (F.length(s) * 5.0).alias("width"), F.lit(10.0).alias("height"), F.array(F.lit(1.0), F.lit(0.0), F.lit(0.0), F.lit(1.0), x, y.cast("double")).alias("transform")]
-    file_id = F.col("doc_id").cast("string").alias("file_id")
     shuffled = F.pmod(F.xxhash64("doc_id", "i"), F.lit(1 << 30)).cast("int").alias("glyph_no")
-    body = words.select(file_id, page.alias("page_no"), shuffled, *glyph(F.col("w"), (F.col("i") % 8) * 1000.0, -40.0 - 12.0 * F.floor((F.col("i") % 400) / 8)))
+    body = words.select("file_id", page.alias("page_no"), shuffled, *glyph(F.col("w"), (F.col("i") % 8) * 1000.0, -40.0 - 12.0 * F.floor((F.col("i") % 400) / 8)))
     n_pages = F.ceil(F.size(every) / 400).cast("int")
-    pages = docs.select("doc_id", n_pages.alias("n")).where("n > 0").select("doc_id", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("page_no")).distinct()
+    pages = written(docs.select("doc_id", n_pages.alias("n")).where("n > 0").select("doc_id", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("page_no")).distinct(), tidy=True)
     number = F.col("page_no").cast("string")
     marks = [
         (-1, F.concat(F.lit("Head of the book "), number), 0.0), (-3, F.concat(F.lit("Page "), number, F.lit(" of 99")), -12.0),
