@@ -105,7 +105,7 @@ class Pairs:
         part[spread] = part_of(mix(self.words[word[spread]] ^ mix(codes[ctx[spread]])), parts)
         order = np.argsort(part.astype(np.uint16) if parts <= 1 << 16 else part, kind="stable")  # the short ones by radix
         self.word, self.ctx, self.part = word[order], ctx[order], part[order]
-        self.codes, self.hot_ctx = codes[self.ctx], places(hot >> SHORT, codes)[self.ctx]
+        self.code_of = codes
         place = np.empty(len(order), np.int64)
         place[order] = np.arange(len(order))
         self.of_token = place[of_token]
@@ -114,15 +114,16 @@ class Pairs:
         new = (self.word[1:] != self.word[:-1]) | (self.part[1:] != self.part[:-1])
         self.groups = np.flatnonzero(np.concatenate([[True], new]))
 
-    def by_part(self) -> Iterator[tuple[int, int, int, bytes, bytes]]:
+    def by_part(self, hot: np.ndarray) -> Iterator[tuple[int, int, int, bytes, bytes]]:
         """(part, groups, pairs, words of groups, counts and words before)."""
+        codes, hot_ctx = self.code_of[self.ctx], places(hot >> SHORT, self.code_of)[self.ctx]
         own = self.part[self.groups]
         first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
         ends = np.append(self.groups, len(self.part))
         for a, b in zip(first.tolist(), [*first[1:].tolist(), len(own)], strict=True):
             c, d = ends[a], ends[b]
             each = np.diff(ends[a : b + 1]).astype(np.uint32)
-            yield int(own[a]), b - a, int(d - c), squeeze(self.words[self.word[self.groups[a:b]]].tobytes()), squeeze(planes(self.counts[c:d]) + planes(each) + short(self.codes[c:d], self.hot_ctx[c:d]))
+            yield int(own[a]), b - a, int(d - c), squeeze(self.words[self.word[self.groups[a:b]]].tobytes()), squeeze(planes(self.counts[c:d]) + planes(each) + short(codes[c:d], hot_ctx[c:d]))
 
 
 def part_of(words: np.ndarray, parts: int) -> np.ndarray:
@@ -436,7 +437,7 @@ def score(docs: DataFrame) -> DataFrame:
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk, sub, _, pairs in _chunks(batches, hot, parts):
-            part, *columns = zip(*((p, chunk, sub, *row) for p, *row in pairs.by_part()), strict=True)
+            part, *columns = zip(*((p, chunk, sub, *row) for p, *row in pairs.by_part(hot)), strict=True)
             yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), *(pa.array(c, t) for c, t in zip(columns, types, strict=True))], names=["part", *names])
 
     def together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
